@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +28,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_texts
 
@@ -40,7 +45,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), columns=kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op7_bpe_codec, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_quality_rules, op7_bpe_codec, op10_media_columns)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality.oracle()}
