@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import ngram_join, quality
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,12 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import joined
+
+    return joined(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -45,7 +51,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), columns=kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_quality_rules, op7_bpe_codec, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_quality_rules, op7_bpe_codec, op9_ngram_join, op10_media_columns)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op4_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op9_ngram_join": ngram_join.ORACLE, "op4_quality_rules": quality.oracle()}
