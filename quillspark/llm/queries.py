@@ -28,6 +28,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,7 +63,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), columns=kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_quality_rules, op5_pii_spans, op7_bpe_codec, op9_ngram_join, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_quality_rules, op5_pii_spans, op7_bpe_codec, op9_ngram_join, op10_media_columns)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_ngram_join": ngram_join.ORACLE, "op4_quality_rules": quality.oracle()}
