@@ -50,6 +50,12 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import find_repeats
+
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import joined
 
@@ -63,7 +69,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), columns=kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_quality_rules, op5_pii_spans, op7_bpe_codec, op9_ngram_join, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_quality_rules, op5_pii_spans, op7_bpe_codec, op8_paragraph_dedup, op9_ngram_join, op10_media_columns)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_ngram_join": ngram_join.ORACLE, "op4_quality_rules": quality.oracle()}
