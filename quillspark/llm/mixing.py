@@ -136,3 +136,12 @@ def mix_sources(
     ups = pivotal_rounding(wide.where("part > 0").select("slot", "key", "size", "part"), seed).where("up").select("slot", "key").withColumn("extra", F.lit(1))
     got = wide.join(ups, ["slot", "key"], "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long"))
     return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """``df`` as the mix takes it: each row as often as its copies say, with all its columns. Rows that share an id get the
+    largest number drawn for it."""
+    drawn = mix_sources(df, id_col=id_col, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    drawn = staged(drawn, "mix-drawn")
+    taken = df.join(small(drawn, SMALL * 50), field(id_col).eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_copies")
