@@ -44,6 +44,12 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transcripts import parse_transcripts
+
+    return parse_transcripts(table(spark, sf_dir, "conversations"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_texts
 
@@ -69,7 +75,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), columns=kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_quality_rules, op5_pii_spans, op7_bpe_codec, op8_paragraph_dedup, op9_ngram_join, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_quality_rules, op5_pii_spans, op6_transcript_roles, op7_bpe_codec, op8_paragraph_dedup, op9_ngram_join, op10_media_columns)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_ngram_join": ngram_join.ORACLE, "op4_quality_rules": quality.oracle()}
