@@ -3,8 +3,8 @@
 The frequent pre-tokens of the corpus (counted over all texts, with partial counts before the shuffle) are encoded once by
 exact merges and compiled into a minimal acyclic automaton with shared suffixes. Each edge carries how many words lie before
 it, so that a walk adds up to a word's number, which points to its ids. The arrays travel as one broadcast of bounded size
-(``lexicon_words`` words of at most WORD_BYTES bytes), are written once on each machine and memory-mapped by its workers. A
-pre-token that isn't in the lexicon is merged exactly, so the lexicon changes speed and never results.
+(LEXICON_WORDS words of at most WORD_BYTES bytes) and are memory-mapped by the workers. A pre-token that isn't in the
+lexicon is merged exactly, so the lexicon changes speed and never results.
 
 Null and empty texts: no ids, empty decoded text. Special tokens of the file that stand in a text become their ids, as
 with the tokenizers library's defaults. Repeated rows are encoded each for itself.
@@ -21,26 +21,29 @@ import re
 import sys
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, map_texts
+from .common import dropped, id_and_bytes, map_texts, staged
 
-LEXICON_WORDS = 1 << 15
+LEXICON_WORDS = 1 << 16
 WORD_BYTES = 64
-#: Entries of a task's tables of words met; they are emptied at this size.
+#: Entries of a worker's table of words met; a full one becomes the elder, of which only what is met again stays.
 MEMO = 1 << 18
+#: Pre-tokens of so many bytes keep the ranks of their pairs in a list, longer ones in a heap.
+SHORT = 32
 
 
-def _class(kinds: tuple[str, ...]) -> str:
-    """A character class of all code points whose general category starts with one of ``kinds``."""
+def _class(kinds: tuple[str, ...], top: int = sys.maxunicode) -> str:
+    """A character class of all code points up to ``top`` whose general category starts with one of ``kinds``."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c)).startswith(kinds)
+    for c in range(top + 2):
+        inside = c <= top and unicodedata.category(chr(c)).startswith(kinds)
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -49,15 +52,30 @@ def _class(kinds: tuple[str, ...]) -> str:
     return "".join(out)
 
 
-#: White space of the Unicode standard. Fixed values.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: White space of the Unicode standard, that of Latin-1 first. Fixed values.
+SPACE = "\\t-\\r \\x85\\xa0", "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def splitter() -> re.Pattern:
-    """What cuts a text into pre-tokens: contractions, then letters, digits or other characters, each with at most one space
-    before, then white space, of which the last leaves a character to what follows."""
-    letter, number = _class(("L",)), _class(("N",))
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+def _pattern(letter: str, number: str, space: str) -> re.Pattern:
+    """Letters, contractions, digits or other characters, but for contractions each with at most one space before; white
+    space, of which the last leaves a character to what follows."""
+    return re.compile(f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+def splitter() -> Callable[[str], list[str]]:
+    """What cuts a text into pre-tokens. Texts of Latin-1 alone go by a pattern of small tables, which is faster."""
+    latin = _pattern(_class(("L",), 255), _class(("N",), 255), SPACE[0]).findall
+    every = _pattern(_class(("L",)), _class(("N",)), "".join(SPACE)).findall
+
+    def split(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return every(text)
+        return latin(text)
+
+    return split
 
 
 def byte_letters() -> dict[int, str]:
@@ -86,13 +104,25 @@ class Merges:
         for r, (a, b) in enumerate(pairs):
             a, b = raw(a), raw(b)
             self.rank[ids[a], ids[b]] = (r, ids[a + b])
+        self.order = {p: r for p, (r, _) in self.rank.items()}
+        self.made = [ids[raw(a) + raw(b)] for a, b in pairs]
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of a pre-token: the pair of least rank is merged first, the leftmost of equals. A heap and linked neighbours
         keep long pre-tokens at n log n steps."""
         ids, rank = [self.byte_id[b] for b in word], self.rank
         n = len(ids)
-        if n < 2:
+        if n <= SHORT:
+            get, made, none = self.order.get, self.made, len(self.made)
+            ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+            while ranks and (least := min(ranks)) < none:
+                i = ranks.index(least)
+                ids[i : i + 2] = [made[least]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+                if i < len(ranks):
+                    ranks[i] = get((ids[i], ids[i + 1]), none)
             return ids
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(*rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank]
@@ -151,19 +181,17 @@ def compile_lexicon(words: Iterable[bytes], encode) -> bytes:
     below: list[int] = []  # words reachable from a state; edges lead to earlier states
     for final, edges in states:
         below.append(final + sum(below[t] for _, t in edges))
-    first, labels, targets, skips, finals = [0], bytearray(), [], [], []
-    for final, edges in states:
+    keys, targets, skips = [], [], []
+    for s, (final, edges) in enumerate(states):
         skip = int(final)
         for label, t in edges:
-            labels.append(label)
+            keys.append(s << 8 | label)
             targets.append(t)
             skips.append(skip)
             skip += below[t]
-        first.append(len(labels))
-        finals.append(final)
     ids = [encode(w) for w in sorted_words]
     offsets = np.cumsum([0, *map(len, ids)])
-    parts = [np.array(first, "<u4"), np.array(targets, "<u4"), np.array(skips, "<u4"), offsets.astype("<u4"), np.array([x for w in ids for x in w], "<u4"), np.frombuffer(bytes(labels), np.uint8), np.array(finals, np.uint8)]
+    parts = [np.array(keys, "<u4"), np.array(targets, "<u4"), np.array(skips, "<u4"), offsets.astype("<u4"), np.array([x for w in ids for x in w], "<u4"), np.array([final for final, _ in states], "<u4")]
     head = np.array([root, *(p.nbytes for p in parts)], "<u8")
     return head.tobytes() + b"".join(p.tobytes() for p in parts)
 
@@ -174,41 +202,50 @@ class Lexicon:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        head = np.frombuffer(self.map, "<u8", 8)
+        head = np.frombuffer(self.map, "<u8", 7)
         self.root, at, parts = int(head[0]), head.nbytes, []
-        for k, size in enumerate(map(int, head[1:])):
-            kind, wide = ("<u4", 4) if k < 5 else (np.uint8, 1)
-            parts.append(np.frombuffer(self.map, kind, size // wide, at))
-            if k == 5:
-                self.labels_at = at
+        for size in map(int, head[1:]):
+            parts.append(np.frombuffer(self.map, "<u4", size // 4, at))
             at += size
-        self.first, self.targets, self.skips, self.offsets, self.ids, _, self.finals = parts
-
-    def find(self, word: bytes) -> bytes | None:
-        """The word's ids as little-endian 32-bit integers, or None if the lexicon doesn't have it."""
-        state, number, find, at = self.root, 0, self.map.find, self.labels_at
-        for i in range(len(word)):
-            edge = find(word[i : i + 1], at + int(self.first[state]), at + int(self.first[state + 1]))
-            if edge < 0:
-                return None
-            edge -= at
-            number += int(self.skips[edge])
-            state = int(self.targets[edge])
-        if not self.finals[state]:
-            return None
-        return self.ids[self.offsets[number] : self.offsets[number + 1]].tobytes()
-
-
-def unpacked(blob: bytes) -> str:
-    """The path of a file in the machine's temporary folder that holds ``blob``, written if it isn't there. Workers of one
-    machine share it; its name has its digest, and it appears in one step."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:32]}.bin")
-    if not os.path.exists(path):
-        fd, part = tempfile.mkstemp(dir=os.path.dirname(path))
-        with os.fdopen(fd, "wb") as f:
-            f.write(blob)
-        os.replace(part, path)
-    return path
+        self.keys, self.targets, self.skips, self.offsets, self.ids, self.finals = parts
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """For each of ``words`` its ids as little-endian 32-bit integers, or None if the lexicon doesn't have it. All walk
+        at once, a letter a step; edges are found by state and letter in their sorted order."""
+        out: list[bytes | None] = [None] * len(words)
+        if not words or not len(self.keys):
+            return out
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        start = np.cumsum(size) - size
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        on = np.flatnonzero(size)
+        for step in range(int(size.max())):
+            on = on[size[on] > step]
+            if not len(on):
+                break
+            key = (state[on] << 8 | text[start[on] + step]).astype(np.uint32)
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == key
+            state[on[~hit]] = -1
+            on, at = on[hit], at[hit]
+            number[on] += self.skips[at]
+            state[on] = self.targets[at]
+        found = np.flatnonzero((state >= 0) & (size > 0))
+        found = found[self.finals[state[found]] > 0]
+        for k, lo, hi in zip(found.tolist(), self.offsets[number[found]].tolist(), self.offsets[number[found] + 1].tolist(), strict=True):
+            out[k] = self.ids[lo:hi].tobytes()
+        return out
+
+
+def opened(blob: bytes) -> Lexicon:
+    """The lexicon ``blob`` mapped from a file in the machine's temporary folder. The file has no name any more once it is
+    mapped, so nothing stays behind a worker."""
+    with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:
+        f.write(blob)
+        f.flush()
+        return Lexicon(f.name)
 
 
 # ---- over tables -----------------------------------------------------------------------------------------------------
@@ -224,7 +261,7 @@ def word_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         def work(_: list, texts: list[bytes]) -> dict:
             counts: Counter = Counter()
             for text in texts:
-                counts.update(split.findall(text.decode("utf-8", "replace")))
+                counts.update(split(text.decode("utf-8", "replace")))
             words = [(w.encode("utf-8"), n) for w, n in counts.items() if len(w) <= WORD_BYTES]
             words = [(w, n) for w, n in words if 1 < len(w) <= WORD_BYTES]
             return {"word": [w for w, _ in words], "n": [n for _, n in words]}
@@ -235,8 +272,17 @@ def word_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def build_lexicon(df: DataFrame, path: str, words: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """The compiled lexicon of the most frequent pre-tokens of ``df`` (``words`` at most; of equal counts the lesser)."""
-    top = word_counts(df, id_col, text_col).orderBy(F.desc("n"), "word").limit(words).collect()
+    """The compiled lexicon of the most frequent pre-tokens of ``df``, ``words`` at most. A histogram of counts in steps of
+    about a hundredth gives the least count by which they are few enough; only words from it on come to the driver."""
+    counts = staged(word_counts(df, id_col, text_col).where("n > 1").withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "lexicon-counts")
+    room, least = words, None
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = [] if least is None else counts.where(F.col("step") >= least).select("word").collect()
+    dropped(counts)
     merges = Merges(path)
     return compile_lexicon((bytes(r["word"]) for r in top), merges.encode)
 
@@ -245,38 +291,57 @@ class Codec:
     """Encodes and decodes texts in one task."""
 
     def __init__(self, path: str, blob: bytes) -> None:
-        self.merges, self.lexicon, self.split = Merges(path), Lexicon(unpacked(blob)), splitter()
+        self.merges, self.lexicon, self.split = Merges(path), opened(blob), splitter()
         self.memo: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.pieces = [self.merges.bytes_of.get(i, b"") for i in range(max(self.merges.bytes_of) + 1)]
 
-    def word(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
-        ids = self.lexicon.find(raw)
-        if ids is None:
-            ids = np.array(self.merges.encode(raw), "<u4").tobytes()
-        if len(word) <= WORD_BYTES:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        memo, word, out = self.memo.get, self.word, []
-        parts = self.special.split(text) if self.special and any(x in text for x in self.merges.special) else (text,)
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(np.uint32(self.merges.special[part]).astype("<u4").tobytes())
-            else:
-                out += [memo(w) or word(w) for w in self.split.findall(part)]
-        return b"".join(out)
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The table of words met, with all of ``words`` in it: from the elder table, the lexicon or by merging."""
+        if len(self.memo) >= MEMO:
+            self.memo, self.elder = {}, self.memo
+        memo, elder, new = self.memo, self.elder, []
+        for w in words:
+            if w not in memo:
+                if w in elder:
+                    memo[w] = elder[w]
+                else:
+                    new.append(w)
+        raw = [w.encode("utf-8") for w in new]
+        encode = self.merges.encode
+        for w, b, ids in zip(new, raw, self.lexicon.find([b if len(b) <= WORD_BYTES else b"" for b in raw]), strict=True):
+            memo[w] = ids if ids is not None else array("I", encode(b)).tobytes()
+        return memo
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split, special = self.split, self.merges.special
+        cut = []
+        for text in texts:
+            parts = self.special.split(text) if special and any(x in text for x in special) else (text,)
+            cut.append([split(part) if k % 2 == 0 else part for k, part in enumerate(parts)])
+        memo = self.learn({w for parts in cut for part in parts[::2] for w in part})
+        own = {x: array("I", [i]).tobytes() for x, i in special.items()}
+        return [b"".join(own[part] if k % 2 else b"".join(map(memo.__getitem__, part)) for k, part in enumerate(parts)) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(path: str, blob: bytes) -> Codec:
+    """The worker's codec for a tokenizer and lexicon: its tables serve the tasks that follow. Others are let go."""
+    key = (path, hashlib.sha256(blob).hexdigest())
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(path, blob)
+    return _codecs[key]
+
+
 COLUMNS = {"ids": "binary", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
@@ -287,12 +352,11 @@ def encode_texts(df: DataFrame, path: str, lexicon: bytes | None = None, id_col:
     blob = df.sparkSession.sparkContext.broadcast(build_lexicon(df, path, id_col=id_col, text_col=text_col) if lexicon is None else lexicon)
 
     def make():
-        codec = Codec(path, blob.value)
+        codec = codec_of(path, blob.value)
 
         def work(ids: list, texts: list[bytes]) -> dict:
             out: dict = {"doc_id": ids} | {c: [] for c in columns}
-            for text in texts:
-                coded = codec.encode(text.decode("utf-8", "replace"))
+            for coded in codec.encode([x.decode("utf-8", "replace") for x in texts]):
                 decoded = codec.decode(coded)
                 row = {"ids": coded, "n_tokens": len(coded) // 4, "decoded": decoded}
                 if "ids_sha256" in out:
