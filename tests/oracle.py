@@ -1,0 +1,33 @@
+"""Holds a query against its SQL over the same tables."""
+
+import math
+import os
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 6)
+    return v
+
+
+def rows(names, values):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((repr([plain(r[i]) for i in order]) for r in values)), sorted(names)
+
+
+def same(spark, query, sql, sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        path = f"{sf_dir}/{t}.parquet"
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    want = con.sql(sql)
+    df = query(spark, sf_dir)
+    got, names = rows(df.columns, [tuple(r) for r in df.collect()])
+    expected, their = rows(want.columns, want.fetchall())
+    assert names == their
+    assert got == expected
+    return len(got)
