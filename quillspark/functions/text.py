@@ -25,10 +25,13 @@ NUMBER = r"[0-9][0-9,.:/-]*[0-9]|[0-9]"
 CITATION = r"\[([A-Za-z0-9_.:-]+)\]"
 
 
-@F.pandas_udf("string")
-def composed(text: pd.Series) -> pd.Series:
+def composed(text: Column) -> Column:
     """Canonical composition of characters (NFC)."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+    return F.pandas_udf(nfc, "string")(text)
 
 
 def tokens(text: Column) -> Column:
@@ -66,8 +69,9 @@ def plain(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct runs of three lower-cased words."""
     w = words(F.lower(text))
-    starts = F.when(F.size(w) > 2, F.sequence(F.lit(1), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    after = lambda k: F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0)))
+    pairs = F.zip_with(w, after(1), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.array_distinct(F.array_compact(F.zip_with(pairs, after(2), lambda x, y: F.concat(x, F.lit(" "), y))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -131,7 +135,7 @@ def without_citations(text: Column) -> Column:
 
 def calendar_escaped(text: Column) -> Column:
     """For iCalendar values: backslash, semicolon, comma and line end."""
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("text", "retrieval", "evaluation", "documents", "registry", "timeline", "stateful")
+FAMILIES = ("text",)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -109,7 +109,7 @@ ORACLES = {
     "text_neighbour_similarity": f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(left(text, 2000)), '{_SPACE.replace('[', '[^', 1)}') AS w FROM documents), g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w) SELECT a.doc_id, round(CASE WHEN len(a.g) + len(b.g) = 0 THEN 1.0 ELSE len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) END, 9) AS similarity FROM g a JOIN g b ON b.doc_id = a.doc_id + 1",
     "text_numeric_grounding": f"WITH p AS (SELECT a.conv_id, a.turn, 'About twenty of 3 and ' || a.turn || ' or 1,000: ' || a.text AS answer, 'three or twenty; ' || b.text AS cited FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant'), n AS (SELECT conv_id, turn, regexp_extract_all({_NUMBERED.replace('t0', 'answer')}, '{T.NUMBER}') AS x, regexp_extract_all({_NUMBERED.replace('t0', 'cited')}, '{T.NUMBER}') AS y FROM p) SELECT conv_id, turn, array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), '|') AS ungrounded FROM n",
     "text_citations": "WITH t AS (SELECT doc_id, left(text, 80) || ' [src:' || (doc_id % 7) || '] and [VA] as [src:' || (doc_id % 3) || '] says . [src:0]' AS a FROM documents), b AS (SELECT doc_id, a, regexp_extract_all(a, '\\[([A-Za-z0-9_.:-]+)\\]', 1) AS l FROM t), u AS (SELECT doc_id, a, list_filter(l, lambda x, i: list_position(l, x) = i) AS ids FROM b) SELECT doc_id, array_to_string(list_filter(ids, lambda x: x <> 'VA'), ',') AS cited, array_to_string(list_filter(ids, lambda x: x NOT IN ('VA', 'src:0', 'src:1', 'src:2')), ',') AS invalid, trim(regexp_replace(regexp_replace(regexp_replace(a, '\\[([A-Za-z0-9_.:-]+)\\]', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '[ \\t]+([.,;:!?])', '\\1', 'g'), ' ') AS prose, array_to_string(list_filter(ids, lambda x: regexp_full_match(x, '[A-Z]+')), ',') AS acronyms FROM u",
-    "text_calendar_text": "SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '\\', '\\\\'), ';', '\;'), ',', '\\,'), chr(13) || chr(10), '\\n'), chr(10), '\\n')) AS digest FROM documents",
+    "text_calendar_text": "SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '\\', '\\\\'), ';', '\\;'), ',', '\\,'), chr(13) || chr(10), '\\n'), chr(10), '\\n')) AS digest FROM documents",
     "text_heading_echo": "WITH o AS (SELECT doc_id, left(text, 300) AS opening, array_to_string(string_split(left(text, 300), ' ')[1:doc_id % 3 + 1], ' ') AS section FROM documents) SELECT doc_id, CASE WHEN length(section) > 0 AND starts_with(lower(opening), lower(section)) AND NOT regexp_matches(substr(opening, length(section) + 1), '^[A-Za-z0-9]') AND NOT regexp_matches(lower(section), '^(if|unless)\\b') THEN regexp_replace(substr(opening, length(section) + 1), '^[ :.\\-]+', '') ELSE opening END AS body FROM o",
     "text_url_checks": "WITH h AS (SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS own FROM pages) SELECT page_id, regexp_matches(lower(own || CASE WHEN page_id % 5 = 0 THEN '.gov' ELSE '' END), '(^|\\.)(gov|mil)$') AS government, len(list_filter(regexp_extract_all(html, 'src=[\"''](https?://[^\"'']+)[\"'']', 1), lambda u: lower(regexp_extract(u, '^[a-z]+://([^/?#:]+)', 1)) <> own))::BIGINT AS off_origin FROM h",
     "text_pattern_hits": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) SELECT doc_id, line::BIGINT AS line, kind FROM l, (VALUES ('email', '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[a-z]+'), ('number', '[0-9]{13,}'), ('phone', '\\+[0-9]')) r(kind, pattern) WHERE regexp_matches(content, pattern)",
