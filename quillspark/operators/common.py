@@ -1,8 +1,15 @@
 """Helpers of the operators."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_local_root: str | None = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -11,3 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """Marked for broadcast behind a check of its size; beyond ``rows`` the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to the folder of spark.checkpoint.dir (a local one where it is unset, as in tests) and reads it again."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        global _local_root
+        root = _local_root = _local_root or tempfile.mkdtemp(prefix="quillspark-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("text",)
+FAMILIES = ("text", "retrieval", "stateful")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
