@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("text", "retrieval", "stateful")
+FAMILIES = ("text", "retrieval", "timeline", "stateful")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

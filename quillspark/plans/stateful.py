@@ -55,7 +55,7 @@ QUERIES = {f"state_{f.__name__}": f for f in (daily_budget, rate_limit, activity
 ORACLES = {
     "state_daily_budget": "SELECT event_id, units, coalesce(b, 0)::BIGINT AS before, coalesce(b, 0) < 6500 AS allowed FROM (SELECT event_id, ceil(value)::BIGINT AS units, sum(ceil(value)::BIGINT) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events)",
     "state_rate_limit": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 43200000000 ORDER BY ts, event_id) <= 2 AS allowed FROM events",
-    "state_activity_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 240 * 60000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, min(epoch_us(ts)) AS started, max(epoch_us(ts)) AS ended, count(*) AS n FROM s GROUP BY user_id, session",
+    "state_activity_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 14400000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, min(epoch_us(ts)) AS started, max(epoch_us(ts)) AS ended, count(*) AS n FROM s GROUP BY user_id, session",
     "state_last_seen": "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (SELECT user_id, event_id, now, n, now AS mark FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.now, o.n, greatest(r.mark, least(o.now, r.mark + 172800000000)) FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, event_id, mark, mark - now > 86400000000 AS late FROM r",
     "state_back_off": "WITH f AS (SELECT *, event_type IN ('error', 'view', 'click') AS failed FROM events), r AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM f), c AS (SELECT event_id, sum(failed::INT) OVER (PARTITION BY user_id, run ORDER BY event_id)::BIGINT AS failures FROM r) SELECT event_id, failures, CASE WHEN failures <= 3 THEN 0 WHEN failures = 4 THEN 30 WHEN failures = 5 THEN 60 WHEN failures = 6 THEN 300 ELSE 900 END::BIGINT AS wait FROM c",
     "state_latest_state": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
