@@ -154,7 +154,7 @@ def merged_record(record: DataFrame, events: DataFrame, added_on: Column, today:
 
 def strict_day(text: Column) -> Column:
     """A date from YYYY-MM-DD within 1900 to 2200; null for everything else."""
-    day = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    day = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
     return F.when(F.year(day).between(1900, 2200) & (F.date_format(day, "yyyy-MM-dd") == text), day)
 
 
