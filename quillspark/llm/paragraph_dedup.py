@@ -4,7 +4,9 @@ Paragraphs are lines of ``MIN_WORDS`` words or more and, since a repeated passag
 ``SPAN`` words at content-defined places: of any ``GAP`` consecutive places the one of least hash, so two copies of a passage of
 ``SPAN + GAP - 1`` words (49) share a window wherever they stand. Paragraphs with the same words are one class at once. Different
 lines meet in MinHash buckets (bands tuned by ``tuned_bands`` for recall at the threshold), are compared with the bucket's pivot
-by exact Jaccard similarity of five-word shingles, and linked from 3/4 on; components of the links are clusters. Of a
+by exact Jaccard similarity of five-word shingles, and linked from 3/4 on. Pairs that no pivot links are found by the exact
+second step of ``ngram_join``: groups of bounded size, asked by shared prefix tokens, of other components alone. Components of
+the links are clusters, those of all pairs of different lines. Of a
 cluster the occurrence with the least id and place stays; runs of words of all others are to be removed.
 
 Words are what stands between spaces and the controls 9 to 13, A-Z lower-cased. Null and empty texts have no paragraphs. Rows with a null
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, dropped, field, id_and_bytes, map_texts, sliced, small, small_batches, staged
-from .ngram_join import WORDS, Shingler, mixed, similar
+from .ngram_join import WORDS, Shingler, bridged, heavy_tokens, mixed, prefix, similar
 
 MIN_WORDS, SPAN, GAP = 25, 24, 26
 THRESHOLD, RECALL, MOST_ROWS = 0.75, 0.99, 2
@@ -72,16 +74,20 @@ def lines_of(text: bytes) -> list[list[bytes]]:
     return [line.split() for line in text.split(b"\n")]
 
 
-def paragraphs(texts: DataFrame) -> DataFrame:
-    """(doc_id, start, n, whole, key, b0 ...): place and number of words, whether it is a line, digest of the words, and a
-    line's band keys (null for windows)."""
-    names = [f"b{k}" for k in range(BANDS)]
+def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """(doc_id, start, n, whole, key, size, prefix, least, b0 ...): place and number of words, whether it is a line, digest of
+    the words, and a line's number of different shingles, prefix of them (those in ``heavy`` come last), least minimum and band
+    keys (null for windows)."""
+    names = ["least", *(f"b{k}" for k in range(BANDS))]
+    order = np.argsort(heavy, kind="stable")
+    shared = texts.sparkSession.sparkContext.broadcast((heavy[order], order))
 
     def make():
         shingle = Shingler()
+        common, ranks = shared.value
 
         def work(ids: list, texts: list[bytes]) -> dict:
-            doc, start, size, whole, key = [], [], [], [], []
+            doc, start, size, whole, key, different, first_tokens = [], [], [], [], [], [], []
             hashes, cuts = [], []
             for doc_id, text in zip(ids, texts, strict=True):
                 words = shingle.words(text)
@@ -95,6 +101,9 @@ def paragraphs(texts: DataFrame) -> DataFrame:
                         key.append(xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + n)]))
                         cuts.append(n - WORDS + 1)
                         hashes.append(grams[at : at + n - WORDS + 1])
+                        tokens = np.unique(hashes[-1])
+                        different.append(len(tokens))
+                        first_tokens.append(prefix(tokens, common, ranks).tobytes())
                     at += n
                 for at in places(words).tolist():
                     doc.append(doc_id)
@@ -102,7 +111,9 @@ def paragraphs(texts: DataFrame) -> DataFrame:
                     size.append(SPAN)
                     whole.append(False)
                     key.append(xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + SPAN)]))
-            bands = np.zeros((BANDS, len(cuts)), np.int64)
+                    different.append(None)
+                    first_tokens.append(None)
+            bands = np.zeros((1 + BANDS, len(cuts)), np.int64)
             if cuts:
                 every = np.concatenate(hashes)
                 first = np.cumsum([0, *cuts[:-1]])
@@ -110,10 +121,13 @@ def paragraphs(texts: DataFrame) -> DataFrame:
                     for b in range(BANDS):
                         sig = np.full(len(cuts), b, np.uint64)
                         for r in range(ROWS):
-                            sig = mixed(sig * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(every * _A[b * ROWS + r], first))
-                        bands[b] = sig.view(np.int64)
+                            least = np.minimum.reduceat(every * _A[b * ROWS + r], first)
+                            if b == r == 0:
+                                bands[0] = least.view(np.int64)
+                            sig = mixed(sig * np.uint64(0x9E3779B97F4A7C15) + least)
+                        bands[1 + b] = sig.view(np.int64)
             is_line = np.array(whole, bool)
-            out: dict = {"doc_id": doc, "start": start, "n": size, "whole": whole, "key": key}
+            out: dict = {"doc_id": doc, "start": start, "n": size, "whole": whole, "key": key, "size": different, "prefix": first_tokens}
             for b, name in enumerate(names):
                 values = np.zeros(len(doc), np.int64)
                 values[is_line] = bands[b]
@@ -122,7 +136,7 @@ def paragraphs(texts: DataFrame) -> DataFrame:
 
         return work
 
-    return map_texts(texts, "doc_id long, start long, n long, whole boolean, key binary, " + ", ".join(f"{b} long" for b in names), make)
+    return map_texts(texts, "doc_id long, start long, n long, whole boolean, key binary, size long, prefix binary, " + ", ".join(f"{b} long" for b in names), make)
 
 
 def line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,9 +159,25 @@ def line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, tokens binary")
 
 
+def prefix_tokens(lines: DataFrame) -> DataFrame:
+    """(token, rep, n, pos) of the lines (node, size, prefix)."""
+    small_batches(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
+            if tokens:
+                many = list(map(len, tokens))
+                node, size = (np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "size"))
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in many])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(node), pa.array(size.astype(np.int32)), pa.array(pos)], names=["token", "rep", "n", "pos"])
+
+    return lines.select("node", "size", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
+
+
 def near_lines(texts: DataFrame, lines: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(node, component) of the classes of lines that are linked, from the classes (node, doc_id, start, n: any one place) and
-    the (bucket, node) of all lines.
+    """(node, component) of the classes of lines that are linked, from the classes (node, doc_id, start, n: any one place, and
+    size, prefix, least) and the (bucket, node) of all lines.
 
     A node is turned by its bucket (exclusive or), so that the least of a bucket, its pivot, is another in each; least and
     greatest combine before the shuffle, copies of a line being one node, and only buckets where they differ are joined."""
@@ -166,19 +196,34 @@ def near_lines(texts: DataFrame, lines: DataFrame, buckets: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("sb")), "b")
-    return components(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "lines-components")
+    first = staged(components(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "lines-components"), "lines-component")
+    dropped(sets)
+
+    # pairs that no pivot links
+    ranks = first.join(first.groupBy("component").agg(F.count("*").alias("csize")), "component").select("node", F.struct("csize", F.col("component").alias("comp")).alias("rank"))
+    alone = F.struct(F.lit(1).cast("long").alias("csize"), F.col("node").alias("comp"))
+    ranked = lines.join(ranks, "node", "left").select(F.col("node").alias("rep"), F.col("size").alias("n"), F.coalesce("rank", alone).alias("rank"), F.xxhash64(F.when(F.col("rank").isNull(), F.col("least")), "rank.comp").alias("bucket"))
+    ranked = staged(ranked, "lines-ranked")
+
+    def sets_of_reps(reps: DataFrame) -> DataFrame:
+        wanted = lines.select("node", "doc_id", "start", "n").join(small(reps.withColumnRenamed("rep", "node"), SMALL), "node")
+        return line_sets(texts, wanted).groupBy(F.col("node").alias("rep")).agg(F.first("tokens").alias("tokens"))
+
+    over = bridged(ranked, prefix_tokens(lines), sets_of_reps)
+    joined = ranked.select("rep", "rank.*").join(over, "comp", "left").where("csize > 1 OR above IS NOT NULL")
+    return joined.select(F.col("rep").alias("node"), F.coalesce("above", "comp").alias("component"))
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, n_words, class_id, removed): runs of words, end exclusive, that stand elsewhere too.
     ``removed`` is false where the run is its cluster's first occurrence; class_id is the least cluster in the run."""
     texts = id_and_bytes(df, id_col, text_col).where("doc_id IS NOT NULL")
-    units = staged(paragraphs(texts), "paragraphs")
+    units = staged(paragraphs(texts, heavy_tokens(texts, texts.count())), "paragraphs")
     place = F.xxhash64("doc_id", "start")
     elsewhere = F.min(place) != F.max(place)
     windows = units.where("NOT whole").groupBy("key").agg(elsewhere.alias("repeats")).where("repeats").select("key", F.xxhash64("key").alias("class"), F.lit(False).alias("whole"))
     # one row for each different line; its place is any one occurrence's, to read its words again
-    kinds = units.where("whole").groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in ("doc_id", "start", "n")])
+    kinds = units.where("whole").groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in ("doc_id", "start", "n", "size", "prefix", "least")])
     kinds = staged(kinds.withColumn("node", F.xxhash64("key")), "lines")
     buckets = units.where("whole").select(F.xxhash64("key").alias("node"), F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket"))
     near = staged(near_lines(texts, kinds, buckets), "lines-near")

@@ -67,6 +67,49 @@ def test_planted_cases(spark):
         assert after[i] == t if i not in removed else len(after[i].split()) == len(t.split()) - sum(r["n_words"] for r in got if r["removed"] and r["doc_id"] == i)
 
 
+def test_large_family_of_near_lines(spark, monkeypatch):
+    """Lines of one changed word each are similar to the original (61 of 71 shingles) alone, or to those changed near by."""
+    monkeypatch.setattr(pd, "places", lambda words: np.zeros(0, np.int64))
+    rng = random.Random(5)
+    line, other = words(rng, 60), words(rng, 60)
+    docs = [(0, " ".join(line))]
+    for i in range(1, 1001):
+        changed = list(line)
+        changed[5 + i % 50] = f"y{i}"
+        docs.append((i, " ".join(changed)))
+    docs.append((1001, " ".join(other)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = pd.find_repeats(df).collect()
+    assert {r["doc_id"] for r in got} == set(range(1001)) and len({r["class_id"] for r in got}) == 1
+    assert [r["doc_id"] for r in got if not r["removed"]] == [0]
+
+
+def test_lines_of_random_families_against_all_pairs(spark, monkeypatch):
+    """Clusters are the components of all pairs of lines that are similar."""
+    monkeypatch.setattr(pd, "places", lambda words: np.zeros(0, np.int64))
+    rng = random.Random(6)
+    docs = []
+    for _ in range(12):
+        line = words(rng, rng.randrange(25, 70))
+        for _ in range(rng.randrange(1, 30)):
+            new = list(line)
+            for _ in range(rng.randrange(4)):
+                new[rng.randrange(len(new))] = f"z{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(new)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in docs]
+    head = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]) and head[i] != head[j]:
+                old, new = max(head[i], head[j]), min(head[i], head[j])
+                head = [new if h == old else h for h in head]
+    want = {frozenset(i for i, h in enumerate(head) if h == g) for g in head}
+    got = defaultdict(set)
+    for r in pd.find_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["class_id"]].add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == {g for g in want if len(g) > 1}
+
+
 def test_places_read_back(spark, documents):
     """What is said to be a repeat of exact windows stands in another place of the table."""
     texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in documents.collect()}
