@@ -2,7 +2,8 @@
 
 Paragraphs are lines of ``MIN_WORDS`` words or more and, since a repeated passage may stand inside longer lines, windows of
 ``SPAN`` words at content-defined places: of any ``GAP`` consecutive places the one of least hash, so two copies of a passage of
-``SPAN + GAP - 1`` words (49) share a window wherever they stand. Paragraphs with the same words are one class at once. Different
+``SPAN + GAP - 1`` words (49) share a window wherever they stand. A window is widened word by word as far as it matches another occurrence; windows of
+one passage being near to each other, ``GAP - 1`` words to either side reach its ends. Paragraphs with the same words are one class at once. Different
 lines meet in MinHash buckets (bands tuned by ``tuned_bands`` for recall at the threshold), are compared with the bucket's pivot
 by exact Jaccard similarity of five-word shingles, and linked from 3/4 on. Pairs that no pivot links are found by the exact
 second step of ``ngram_join``: groups of bounded size, asked by shared prefix tokens, of other components alone. Components of
@@ -175,6 +176,54 @@ def prefix_tokens(lines: DataFrame) -> DataFrame:
     return lines.select("node", "size", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
 
 
+def widened(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, start, left, right, left_before, right_before): by how many words each of ``windows`` (doc_id, start) matches
+    another place further to either side, and one of an earlier place (document, then word).
+
+    A window and the d words to its left or right have one hash, so places that match so far meet in an aggregate that combines
+    before the shuffle; nothing is compared by pairs."""
+    lists = windows.groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    rows = texts.join(small(lists, SMALL // 16), "doc_id").select("doc_id", "text", "starts")
+    small_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, most = Shingler(), np.uint64(0x9E3779B97F4A7C15)
+        for batch in sliced(batches, "text"):
+            words = [shingle.words(x or b"") for x in batch.column("text").to_pylist()]
+            starts = [np.array(x, np.int64) for x in batch.column("starts").to_pylist()]
+            starts = [x[x + SPAN <= len(w)] for x, w in zip(starts, words, strict=True)]  # of rows that repeat an id
+            many, size = list(map(len, starts)), np.array(list(map(len, words)))
+            base = np.cumsum(size) - size
+            low, high = np.repeat(base, many), np.repeat(base + size, many)
+            start, every = np.concatenate(starts), np.concatenate(words)
+            doc = np.repeat(batch.column("doc_id").to_numpy(), many)
+            own = np.zeros(len(start), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(SPAN):
+                    own = mixed(own * most + every[low + start + k])
+                for side in (-1, 1):
+                    h, at = mixed(own + np.uint64(2 + side)), low + start + (0 if side > 0 else -1) + (SPAN if side > 0 else 0)
+                    live = np.arange(len(start))
+                    for d in range(1, GAP):
+                        inside = (at >= low[live]) & (at < high[live])
+                        live, at, h = live[inside], at[inside], h[inside]
+                        if not len(live):
+                            break
+                        h, at = mixed(h * most + every[at]), at + side
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[live]), pa.array(start[live]), pa.array(np.full(len(live), side * d, np.int32))], names=["h", "doc_id", "start", "depth"])
+
+    reach = staged(rows.mapInArrow(run, "h long, doc_id long, start long, depth int"), "paragraphs-reach")
+    place = F.struct("doc_id", "start")
+    seen = reach.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    met = reach.join(small(staged(seen, "paragraphs-seen"), SMALL), "h")
+    later = place != F.col("first")
+    sides = {"left": -F.col("depth"), "right": F.col("depth")}
+    far = [F.greatest(F.max(d), F.lit(0)).alias(c) for c, d in sides.items()] + [F.greatest(F.max(F.when(later, d)), F.lit(0)).alias(f"{c}_before") for c, d in sides.items()]
+    out = staged(met.groupBy("doc_id", "start").agg(*far), "paragraphs-widened")
+    dropped(reach)
+    return out
+
+
 def near_lines(texts: DataFrame, lines: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, component) of the classes of lines that are linked, from the classes (node, doc_id, start, n: any one place, and
     size, prefix, least) and the (bucket, node) of all lines.
@@ -216,7 +265,8 @@ def near_lines(texts: DataFrame, lines: DataFrame, buckets: DataFrame) -> DataFr
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, n_words, class_id, removed): runs of words, end exclusive, that stand elsewhere too.
-    ``removed`` is false where the run is its cluster's first occurrence; class_id is the least cluster in the run."""
+    ``removed`` is false where the run is its cluster's first occurrence, or where what goes beyond a run to be removed stands
+    in later places alone; class_id is the least cluster in the run."""
     texts = id_and_bytes(df, id_col, text_col).where("doc_id IS NOT NULL")
     units = staged(paragraphs(texts, heavy_tokens(texts, texts.count())), "paragraphs")
     place = F.xxhash64("doc_id", "start")
@@ -233,10 +283,18 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dropped(units)
     first = found.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     marked = found.join(first, "class").withColumn("removed", F.struct("doc_id", "start") != F.col("first")).withColumn("end", F.col("start") + F.col("n"))
-    # runs: what overlaps, or leaves no more than lies between the windows of one passage
+    # windows grow as far as they match: what an earlier place has is removed, what later ones alone have stays
+    wide = widened(texts, found.where(F.col("n") == SPAN).select("doc_id", "start").distinct())
+    marked = marked.join(wide.withColumn("n", F.lit(SPAN).cast("long")), ["doc_id", "start", "n"], "left").na.fill(0, wide.columns[2:])
+    grown = lambda c: F.when(F.col("removed"), F.col(f"{c}_before")).otherwise(F.col(c))
+    piece = lambda start, end, removed: F.struct(start.alias("start"), end.alias("end"), removed.alias("removed"))
+    start, end, stays = F.col("start"), F.col("end"), F.lit(False)
+    pieces = F.array(piece(start - grown("left"), end + grown("right"), F.col("removed")), piece(start - F.col("left"), start - grown("left"), stays), piece(end + grown("right"), end + F.col("right"), stays))
+    marked = marked.select("doc_id", "class", F.explode(pieces).alias("p")).select("doc_id", "class", "p.*").where("start < end")
+    # runs: what overlaps or adjoins
     in_doc = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     before = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = marked.withColumn("new", F.coalesce(F.col("start") > before + (GAP - SPAN), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
     out = runs.groupBy("doc_id", "removed", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("class").alias("class_id"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "class_id", "removed")
 

@@ -67,6 +67,28 @@ def test_planted_cases(spark):
         assert after[i] == t if i not in removed else len(after[i].split()) == len(t.split()) - sum(r["n_words"] for r in got if r["removed"] and r["doc_id"] == i)
 
 
+def test_runs_reach_the_ends_of_the_passage(spark):
+    """All words of a copied passage, and no others, are in its run; of a shorter first copy what it has is removed."""
+    rng = random.Random(7)
+    docs, spots = [], defaultdict(list)
+    for p in range(40):
+        passage = words(rng, 50 + rng.randrange(31))
+        for copy in range(3):
+            part = passage[:49] if copy == 0 and p % 2 else passage
+            before, after = words(rng, rng.randrange(40)), words(rng, rng.randrange(40))
+            spots[p].append((len(docs), len(before), len(before) + len(part)))
+            docs.append((len(docs), " ".join(before + part + after)))
+    got = {(i, flag): set() for i, _ in docs for flag in (True, False)}
+    for r in pd.find_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["doc_id"], r["removed"]] |= set(range(r["start_word"], r["end_word"]))
+    for p, (one, two, three) in spots.items():
+        shared = 49 if p % 2 else two[2] - two[1]
+        assert got[one[0], False] == set(range(*one[1:])) and not got[one[0], True]
+        assert got[two[0], True] == set(range(two[1], two[1] + shared))
+        assert got[two[0], True] | got[two[0], False] == set(range(*two[1:]))
+        assert got[three[0], True] == set(range(*three[1:]))
+
+
 def test_large_family_of_near_lines(spark, monkeypatch):
     """Lines of one changed word each are similar to the original (61 of 71 shingles) alone, or to those changed near by."""
     monkeypatch.setattr(pd, "places", lambda words: np.zeros(0, np.int64))
