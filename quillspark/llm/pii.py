@@ -5,7 +5,8 @@ and those that repeat the local part of an address; neighbours share a chain pot
 repeat or resemble each other (the same word, the same digits, the same last seven digits, an address and its local part)
 a skip potential. Tokens of base spans are observed; loopy message passing carries their labels to the rest, and a node whose
 belief in a kind reaches ``SURE`` gives a span. Equal keys are linked one to the next and to the first observed one, so links
-grow as tokens do. All other tokens count as outside, which cuts the chain.
+grow as tokens do. All other tokens count as outside, which cuts the chain. The field runs on each document that has nodes,
+whether or not a pattern matched there.
 
 The potentials are fit by penalised pseudo-likelihood on the base labels of at most ``TRAIN_ROWS`` tokens from about
 ``TRAIN_DOCS`` documents (a bounded sample by hash of the id), around a prior that lets linked tokens agree. Where that sample
@@ -215,7 +216,7 @@ class Field:
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans that the field adds to the base ones, none of which it overlaps."""
         g = Graph(text, base)
-        if all(x > 0 for x in g.seen) or not (g.chain or g.skip):
+        if all(x > 0 for x in g.seen):
             return []
         p = self.beliefs(g)
         label = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
@@ -318,7 +319,7 @@ def find_pii(df: DataFrame, model: Field | None | str = "train", id_col: str = "
                 for k, kind in enumerate(KINDS):
                     out[f"n_{kind}"].append(sum(x[0] == k for x in base))
                 out["base_sha256"].append(hashlib.sha256(text_of(base).encode()).hexdigest())
-                out["spans"].append(text_of(base + (field_.added(text, base) if field_ and base else [])))
+                out["spans"].append(text_of(base + (field_.added(text, base) if field_ else [])))
             return out
 
         return work
@@ -350,8 +351,7 @@ def redact(df: DataFrame, model: Field | None | str = "train", id_col: str = "do
                 if raw is not None:
                     raw = raw.decode("utf-8", "replace")
                     base = base_spans(raw)
-                    if base:
-                        raw = redacted(raw, base + (field_.added(raw, base) if field_ else []))
+                    raw = redacted(raw, base + (field_.added(raw, base) if field_ else []))
                 new.append(raw)
             columns = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)

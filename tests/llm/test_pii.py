@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from quillspark.llm import pii
 
 
@@ -69,6 +71,31 @@ def test_repeats_get_their_label(spark):
     assert clean >= 198 and found >= 180
 
 
+def test_field_runs_without_base_spans(spark):
+    """Unmatched numbers, repeated or alone, get their labels in texts in which no pattern matches, too."""
+    m = len(pii.LABELS)
+    unary = np.zeros((pii.N_FEATURES, m))
+    unary[0, 0], unary[5, 4] = 4.0, 8.0
+    field = pii.Field(unary, np.zeros((m, m)), np.diag([1.0, *[6.0] * len(pii.KINDS)]))
+    rows = [(1, "Ring 201-4477 now. I said 201-4477 twice."), (2, "Ring 201-4477 now. I said 201-4477 twice. Mail a.b@c.de too."), (3, "One number, 201-4477, alone."), (4, "No number at all.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(df, field).collect()}
+    assert got == {1: "phone:5:13,phone:26:34", 2: "email:47:55,phone:5:13,phone:26:34", 3: "phone:12:20", 4: ""}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df, field).collect()}[1] == "Ring [PHONE] now. I said [PHONE] twice."
+
+
+def test_trained_field_leaves_plain_numbers(spark):
+    """Years, counts and prices, repeated or not, get no label in texts without personal data."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(documents_with_people(rng, 400))], "doc_id long, text string")
+    field = pii.train(df)
+    marked = 0
+    for _ in range(200):
+        year, count = rng.randrange(1900, 2030), rng.randrange(1000, 90_000)
+        marked += bool(field.added(f"In {year} there were {count} items at 3.5 each. After {year} the {count} items went, {rng.randrange(100)} a day.", []))
+    assert marked <= 2
+
+
 def test_long_texts_are_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "a@" * 60_000, "1." * 60_000, "+1" * 60_000, "1 " * 60_000):
         pii.base_spans(text)
