@@ -34,7 +34,7 @@ from .common import dropped, id_and_bytes, map_texts, staged
 LEXICON_WORDS = 1 << 16
 WORD_BYTES = 64
 #: Entries of a worker's table of words met; a full one becomes the elder, of which only what is met again stays.
-MEMO = 1 << 18
+MEMO = 1 << 16
 #: Pre-tokens of so many bytes keep the ranks of their pairs in a list, longer ones in a heap.
 SHORT = 32
 
