@@ -15,6 +15,8 @@ SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch that goes to Python: bounds what a worker holds when texts are long.
 BATCH_ROWS = 1024
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 _local_root: str | None = None
 
@@ -29,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset, as in tests."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or, in local
+    mode only, a temporary one where it is unset, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         global _local_root
         root = _local_root = _local_root or tempfile.mkdtemp(prefix="quillspark-")
     return root.rstrip("/")
@@ -66,9 +71,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, unless they are smaller."""
+    """Lowers the session's Arrow batches to BATCH_ROWS rows and about BATCH_BYTES bytes, unless they are smaller. The
+    setting stays: plans are lazy, and Spark reads it when they run."""
     if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    known = str(spark.conf.get(BATCH_BYTES_CONF)).rstrip("b")
+    if not known.isdigit() or not 0 < int(known) <= BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES_CONF, str(BATCH_BYTES))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[pa.RecordBatch]:

@@ -92,7 +92,7 @@ def _rounded(level: int, seed: int):
     return run
 
 
-NODE = "slot long, node long, key long, size long, part double, open boolean"
+NODE = "slot long, node long, key string, size long, part double, open boolean"
 
 
 def pivotal_rounding(parts: DataFrame, seed: int = 0, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
@@ -118,30 +118,50 @@ def pivotal_rounding(parts: DataFrame, seed: int = 0, leaf: int = LEAF, fan: int
     return out
 
 
-def mix_sources(
-    df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
-    """doc_id, source, size, source_size, target (of the source), copies (how often the mix takes the row) and taken
-    (copies times size), one row for each row of ``df``."""
+def drawn(df: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, nth, source_size, target, copies): rows that agree in the first three are told apart by their
+    number among their like, so that each is rounded for itself."""
     narrow = df.select(field(id_col).alias("doc_id"), field(source_col).alias("source"), size_of(field(text_col)).alias("size"))
     narrow = staged(narrow, "mix-sizes")
     sources = staged(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn("slot", F.xxhash64("source")), "mix-targets")
-    # rows that agree in everything are told apart by their number among their like, so that each is rounded for itself
-    rows = narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("like")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("like"))))
+    rows = narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("like")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("like"))))
     joined = rows.join(small(sources, SMALL), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     near = F.when(F.abs(each - F.round(each)) < TINY, F.round(each)).otherwise(each)
     wide = joined.withColumn("copies", F.when(F.col("size") > 0, near).otherwise(0.0)).withColumn("whole", F.floor("copies")).withColumn("part", F.col("copies") - F.col("whole"))
-    wide = staged(wide.select("doc_id", "source", "size", "source_size", "target", "slot", "whole", "part", F.xxhash64("doc_id", "size", "nth").alias("key")), "mix-parts")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "nth")
+    wide = staged(wide.select("doc_id", "source", "size", "nth", "source_size", "target", "slot", "whole", "part", key.alias("key")), "mix-parts")
     ups = pivotal_rounding(wide.where("part > 0").select("slot", "key", "size", "part"), seed).where("up").select("slot", "key").withColumn("extra", F.lit(1))
     got = wide.join(ups, ["slot", "key"], "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long"))
+    return got.select("doc_id", "source", "size", "nth", "source_size", "target", "copies")
+
+
+def mix_sources(
+    df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """doc_id, source, size, source_size, target (of the source), copies (how often the mix takes the row) and taken
+    (copies times size), one row for each row of ``df``."""
+    got = drawn(df, weights, share, most, seed, id_col, text_col, source_col)
     return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``df`` as the mix takes it: each row as often as its copies say, with all its columns. Rows that share an id get the
-    largest number drawn for it."""
-    drawn = mix_sources(df, id_col=id_col, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    drawn = staged(drawn, "mix-drawn")
-    taken = df.join(small(drawn, SMALL * 50), field(id_col).eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_copies")
+def mixed_rows(
+    df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``df`` as the mix takes it: each row as often as its copies say, with all its columns. Rows that share an id are
+    numbered among those of equal source and size, and each gets its own draw; only then are texts shuffled for it. Rows travel
+    as one struct, so no name of a column matters."""
+    got = staged(drawn(df, weights, share, most, seed, id_col, text_col, source_col).select("doc_id", "source", "size", "nth", "copies"), "mix-drawn")
+    twice = got.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    rows = df.select(field(id_col).alias("doc_id"), F.struct(*[field(c) for c in df.columns]).alias("row"))
+    keys = ["doc_id"]
+    if twice:
+        rows = rows.withColumns({"source": F.col("row").getField(source_col), "size": size_of(F.col("row").getField(text_col))})
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.to_json("row"))).cast("long"))
+        keys = ["doc_id", "source", "size", "nth"]
+    taken = got.where("copies > 0").select(*[F.col(k).alias(f"of_{k}") for k in keys], "copies")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    out = rows.join(small(taken, SMALL * 50), same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return out.select("row.*")

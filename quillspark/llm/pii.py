@@ -9,11 +9,18 @@ grow as tokens do. All other tokens count as outside, which cuts the chain. The
 whether or not a pattern matched there.
 
 The potentials are fit by penalised pseudo-likelihood on the base labels of at most ``TRAIN_ROWS`` tokens from about
-``TRAIN_DOCS`` documents (a bounded sample by hash of the id), around a prior that lets linked tokens agree. Where that sample
-has no personal data, nothing is added.
+``TRAIN_DOCS`` documents (a bounded sample by hash of the id), around a prior that lets linked tokens agree. Patterns label
+only what they match, so a token that resembles an observed one but isn't matched says nothing and isn't trained on; and as
+the form of a token was all that the patterns saw, its evidence is held to ``FORM`` either way, which one observed token that
+it resembles outweighs. Where the sample has no personal data, nothing is added.
+
+Secrets (a long run of hexadecimal digits or base64 letters that a word for a key stands before) are a pattern beside the
+base ones; they aren't among the spans but have a count of their own, and ``redact`` takes them away too.
 
 Null and empty texts have no spans. Rows with a null id are served like others but never sampled. Repeated rows are
-searched each for itself; an empty table gives an empty one. Offsets are code points, ends exclusive.
+searched each for itself; an empty table gives an empty one; extra columns of any name stay out of the search. Very long
+texts are searched whole: links and messages grow as the tokens do and are passed in blocks. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -34,7 +41,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
 TRAIN_DOCS, TRAIN_ROWS, TRAIN_SEED = 4000, 20_000, 11
 SURE, ROUNDS, DAMPING = 0.8, 20, 0.5
+#: Most that a token's form says for or against a kind, and what agreeing with a like token counts beforehand.
+FORM, AGREE = 3.0, 6.0
 MIN_KEY = 5
+#: Links whose messages are worked out at once.
+LINKS = 1 << 15
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +55,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, MARK, TOKEN = re.compile("[0-9]"), re.compile("[0-9@+]"), re.compile(r"\S+")
 TRIM = ".,;:!?()[]{}\"'<>"
+#: A word for a key, a sign that gives it, and at least twenty letters of it.
+SECRET = re.compile(r"(?i:\b(?:api[_-]?key|access[_-]?key|auth|key|passw(?:or)?d|pwd|secret|token)\b)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_=-]{20,})")
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +102,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of secrets that have a digit."""
+    return [m.span(1) for m in SECRET.finditer(text) if DIGIT.search(m[1])]
+
+
 # ---- the graph of a document -----------------------------------------------------------------------------------------
 
 
@@ -184,28 +202,34 @@ class Field:
 
     def beliefs(self, g: Graph) -> np.ndarray:
         """Each node's distribution over labels, by loopy message passing in logarithms with damping."""
-        n, m = len(g.nodes), len(LABELS)
+        m = len(LABELS)
         bits = (np.array(g.form)[:, None] >> np.arange(N_FEATURES)) & 1
         own = bits @ self.unary
+        own[:, 1:] = np.clip(own[:, 1:] - own[:, :1], -FORM, FORM)
+        own[:, 0] = 0.0
         seen = np.array(g.seen)
         own[seen > 0] = -50.0
         own[seen > 0, seen[seen > 0]] = 0.0
-        links = [(i, j, self.chain) for i, j in g.chain] + [(i, j, self.skip) for i, j in g.skip]
-        if links:
-            a = np.array([i for i, _, _ in links] + [j for _, j, _ in links])
-            b = np.array([j for _, j, _ in links] + [i for i, _, _ in links])
-            pot = np.stack([w for _, _, w in links] + [w.T for _, _, w in links])
+        links = np.array([*g.chain, *g.skip], np.int64).reshape(-1, 2)
+        if len(links):
+            # each link once forward, once back: tables 0 and 1 are the chain's, 2 is that of skips
+            a, b = np.r_[links[:, 0], links[:, 1]], np.r_[links[:, 1], links[:, 0]]
+            tables, skip = np.stack([self.chain, self.chain.T, self.skip]), np.arange(len(links)) >= len(g.chain)
+            kind = np.r_[np.where(skip, 2, 0), np.where(skip, 2, 1)]
             back = np.r_[len(links) : 2 * len(links), 0 : len(links)]
             message = np.zeros((len(a), m))
             for _ in range(ROUNDS):
                 total = own.copy()
                 np.add.at(total, b, message)
-                out = (total[a] - message[back])[:, :, None] + pot
-                top = out.max(axis=1, keepdims=True)
-                out = top[:, 0] + np.log(np.exp(out - top).sum(axis=1))
-                out -= out.max(axis=1, keepdims=True)
-                step = np.abs(out - message).max()
-                message = DAMPING * message + (1 - DAMPING) * out
+                new = np.empty_like(message)
+                for at in range(0, len(a), LINKS):
+                    part = slice(at, at + LINKS)
+                    out = (total[a[part]] - message[back[part]])[:, :, None] + tables[kind[part]]
+                    top = out.max(axis=1, keepdims=True)
+                    new[part] = top[:, 0] + np.log(np.exp(out - top).sum(axis=1))
+                new -= new.max(axis=1, keepdims=True)
+                step = np.abs(new - message).max()
+                message = DAMPING * message + (1 - DAMPING) * new
                 if step < 1e-3:
                     break
             np.add.at(own, b, message)
@@ -216,7 +240,7 @@ class Field:
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans that the field adds to the base ones, none of which it overlaps."""
         g = Graph(text, base)
-        if all(x > 0 for x in g.seen):
+        if all(x > 0 for x in g.seen):  # also where there are no nodes
             return []
         p = self.beliefs(g)
         label = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
@@ -250,6 +274,8 @@ def training_rows(df: DataFrame, rows: int, id_col: str, text_col: str) -> DataF
                     linked[i][g.seen[j]] += 1
                     linked[j][g.seen[i]] += 1
                 for i, (s, _) in enumerate(g.nodes):
+                    if not g.seen[i] and any(linked[i][1:]):
+                        continue
                     out["at"].append(hash((doc_id, s)) & 0x7FFFFFFFFFFFFFF)
                     out["label"].append(g.seen[i])
                     out["form"].append(g.form[i])
@@ -276,7 +302,7 @@ def fit(rows: list, rounds: int = 300, ridge: float = 1e-3) -> Field | None:
     linked = np.array([r["linked"] for r in rows], float)
     linked /= np.maximum(1, linked.sum(axis=1, keepdims=True))
     target = np.eye(m)[y]
-    prior = [np.zeros((N_FEATURES, m)), np.zeros((m, m)), np.diag([1.0, *[6.0] * len(KINDS)])]
+    prior = [np.zeros((N_FEATURES, m)), np.zeros((m, m)), AGREE * np.eye(m)]
     w, ahead = [p.copy() for p in prior], [p.copy() for p in prior]
     for k in range(rounds):
         u, c, s = ahead
@@ -306,34 +332,40 @@ def text_of(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(df: DataFrame, model: Field | None | str = "train", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id; n_email, n_ip, n_card, n_phone of the base spans, the SHA-256 of their list, and the list of all spans
-    (kind:start:end, by kind as listed, then start, joined by commas)."""
+    """doc_id; n_email, n_ip, n_card, n_phone of the base spans, the SHA-256 of their list, the list of all spans
+    (kind:start:end, by kind as listed, then start, joined by commas), how many these are, how many secrets there are, and
+    whether there is any of them."""
     field_ = train(df, id_col, text_col) if isinstance(model, str) else model
 
     def make():
         def work(ids: list, texts: list[bytes]) -> dict:
-            out: dict = {"doc_id": ids} | {c: [] for c in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans")}
+            out: dict = {"doc_id": ids} | {c: [] for c in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_secret", "private")}
             for raw in texts:
                 text = raw.decode("utf-8", "replace")
                 base = base_spans(text)
                 for k, kind in enumerate(KINDS):
                     out[f"n_{kind}"].append(sum(x[0] == k for x in base))
                 out["base_sha256"].append(hashlib.sha256(text_of(base).encode()).hexdigest())
-                out["spans"].append(text_of(base + (field_.added(text, base) if field_ else [])))
+                spans = base + (field_.added(text, base) if field_ else [])
+                secrets = secret_spans(text)
+                out["spans"].append(text_of(spans))
+                out["n_spans"].append(len(spans))
+                out["n_secret"].append(len(secrets))
+                out["private"].append(bool(spans or secrets))
             return out
 
         return work
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_secret long, private boolean"
     return map_texts(id_and_bytes(df, id_col, text_col), schema, make)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each span replaced by its kind in brackets; what overlaps is one span of the first's kind."""
+    """The text with each span and secret replaced by its kind in brackets; what overlaps is one span of the first's kind."""
     out, at = [], 0
-    for s, e, k in sorted((s, e, k) for k, s, e in spans):
+    for s, e, kind in sorted([*((s, e, KINDS[k]) for k, s, e in spans), *((s, e, "secret") for s, e in secret_spans(text))]):
         if s >= at:
-            out += [text[at:s], f"[{KINDS[k].upper()}]"]
+            out += [text[at:s], f"[{kind.upper()}]"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 

@@ -71,7 +71,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
-    kept = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    kept = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "fingerprints")
     return media_columns(table(spark, sf_dir, "documents"), columns=kept)
 
 

@@ -49,7 +49,7 @@ def test_reruns_and_partitions_agree(documents):
 
 
 def test_tree_keeps_the_sum(spark):
-    df = spark.range(3000).selectExpr("id % 2 as slot", "id as key", "1 + (id * 37) % 90 as size", "0.37D as part")
+    df = spark.range(3000).selectExpr("id % 2 as slot", "cast(id as string) as key", "1 + (id * 37) % 90 as size", "0.37D as part")
     got = {(r["slot"], r["key"]): r["up"] for r in mixing.pivotal_rounding(df, leaf=20, fan=3).collect()}
     assert len(got) == 3000
     for slot in (0, 1):
@@ -68,3 +68,20 @@ def test_expectations_hold():
 
 def test_empty_table(none):
     assert mixing.mix_sources(none).count() == 0
+
+
+def test_rows_that_share_an_id_keep_the_target(spark):
+    """Eighty rows of ten words under ten ids; a text a row; a column named like the operator's own."""
+    rows = [(k % 10, " ".join([f"w{k}"] * 10), "a" if k % 2 else "b", k) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long")
+    out = mixing.mixed_rows(df, weights=(1,), share=0.5, most=2.0)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert abs(10 * len(got) - 400) <= 20 and len({r["text"] for r in got}) == len(got)
+
+
+def test_null_ids_and_clashing_names(spark):
+    rows = [(None, "one two three", "a", 1, 2, 3), (None, None, None, 4, 5, 6), (3, "x " * 50, "a", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, copy long, nth long")
+    out = mixing.mixed_rows(df, share=2.0)
+    assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {None, 3}

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -84,6 +85,53 @@ def test_field_runs_without_base_spans(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df, field).collect()}[1] == "Ring [PHONE] now. I said [PHONE] twice."
 
 
+def exact(field, g):
+    """Marginals by adding up all labellings."""
+    m, n = len(pii.LABELS), len(g.nodes)
+    bits = (np.array(g.form)[:, None] >> np.arange(pii.N_FEATURES)) & 1
+    own = bits @ field.unary
+    own[:, 1:] = np.clip(own[:, 1:] - own[:, :1], -pii.FORM, pii.FORM)
+    own[:, 0] = 0
+    out = np.zeros((n, m))
+    for labels in itertools.product(range(m), repeat=n):
+        if any(s and s != y for s, y in zip(g.seen, labels, strict=True)):
+            continue
+        score = sum(own[i, y] for i, y in enumerate(labels) if not g.seen[i])
+        score += sum(field.chain[labels[i], labels[j]] for i, j in g.chain) + sum(field.skip[labels[i], labels[j]] for i, j in g.skip)
+        for i, y in enumerate(labels):
+            out[i, y] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_beliefs_against_exact_marginals(monkeypatch):
+    """Equal on trees; near on graphs with a loop."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(pii, "ROUNDS", 200)
+    m = len(pii.LABELS)
+    for text, most in (("a1 b2 c3 d4", 1e-2), ("name.11@x.yz wrote; name.11 asked for 22 and 33", 1e-2), ("5550123 one 5550123 two 5550123", 1e-2), ("71234567 81234567 and 91234567", 0.2)):
+        for _ in range(5):
+            skip = rng.normal(0, 0.7, (m, m))
+            field = pii.Field(rng.normal(0, 1, (pii.N_FEATURES, m)), rng.normal(0, 0.7, (m, m)), skip + skip.T)
+            g = pii.Graph(text, pii.base_spans(text))
+            assert np.abs(field.beliefs(g) - exact(field, g)).max() < most
+
+
+def test_similar_numbers_agree(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(documents_with_people(rng, 400))], "doc_id long, text string")
+    field = pii.train(df)
+    for text, start in (("call +1 415 555-0132; later 4155550132", 28), ("call +1 415 555-0132; later (555) 0132 or 415-555-0132", 42)):
+        assert any(k == 3 and s >= start for k, s, _ in field.added(text, pii.base_spans(text))), text
+    assert not field.added("call +1 415 555-0132 in 2019, or 2019 times; 4041", pii.base_spans("call +1 415 555-0132 in 2019, or 2019 times; 4041"))
+
+
+def test_secrets():
+    text = 'token = "11acdfb36bb72224148e6160f674b4be45601bff" and token of no worth; api_key: ABCDEF0123456789ABCDEF01'
+    assert [text[s:e] for s, e in pii.secret_spans(text)] == ["11acdfb36bb72224148e6160f674b4be45601bff", "ABCDEF0123456789ABCDEF01"]
+    assert pii.redacted(text, []) == 'token = "[SECRET]" and token of no worth; api_key: [SECRET]'
+    assert pii.secret_spans("the token = abcdefghijklmnopqrstuvwxyz") == []
+
+
 def test_trained_field_leaves_plain_numbers(spark):
     """Years, counts and prices, repeated or not, get no label in texts without personal data."""
     rng = random.Random(4)
