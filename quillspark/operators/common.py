@@ -21,10 +21,12 @@ def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the folder of spark.checkpoint.dir (a local one where it is unset, as in tests) and reads it again."""
+    """Writes ``df`` to the folder of spark.checkpoint.dir (in local mode a temporary one where it is unset, as in tests) and reads it again."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         global _local_root
         root = _local_root = _local_root or tempfile.mkdtemp(prefix="quillspark-")
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
