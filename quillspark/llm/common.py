@@ -65,9 +65,15 @@ def dropped(df: DataFrame | None) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int, size: int = 16 << 20) -> DataFrame:
+    """``df`` as a table in the shared folder, marked for broadcast if it has at most ``rows`` rows and ``size`` bytes there;
+    else for a shuffled join."""
+    if getattr(df, "_quillspark_path", None) is None:
+        df = staged(df, "side")
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quillspark_path)
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if held <= size and df.limit(rows + 1).count() <= rows else df
 
 
 def small_batches(spark: SparkSession) -> None:

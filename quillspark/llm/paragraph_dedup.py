@@ -2,16 +2,23 @@
 
 Paragraphs are lines of ``MIN_WORDS`` words or more and, since a repeated passage may stand inside longer lines, windows of
 ``SPAN`` words at content-defined places: of any ``GAP`` consecutive places the one of least hash, so two copies of a passage of
-``SPAN + GAP - 1`` words (49) share a window wherever they stand. A window is widened word by word as far as it matches another occurrence; windows of
-one passage being near to each other, ``GAP - 1`` words to either side reach its ends. Paragraphs with the same words are one class at once. Different
-lines meet in MinHash buckets (bands tuned by ``tuned_bands`` for recall at the threshold), are compared with the bucket's pivot
-by exact Jaccard similarity of five-word shingles, and linked from 3/4 on. Pairs that no pivot links are found by the exact
-second step of ``ngram_join``: groups of bounded size, asked by shared prefix tokens, of other components alone. Components of
-the links are clusters, those of all pairs of different lines. Of a
-cluster the occurrence with the least id and place stays; runs of words of all others are to be removed.
-
-Words are what stands between spaces and the controls 9 to 13, A-Z lower-cased. Null and empty texts have no paragraphs. Rows with a null
-id take no part; rows that repeat an id and place count as one occurrence. Nothing is found in an empty table.
+``SPAN + GAP - 1`` words (39) share a window wherever they stand.
+
+Lines with the same words are one class at once. Different lines meet in MinHash buckets (bands tuned by ``tuned_bands`` for
+recall at the threshold), are compared with the bucket's pivot by exact Jaccard similarity of five-word shingles, and linked
+from 3/4 on. Pairs that no pivot links are found by the exact second step of ``ngram_join``: groups of bounded size, asked by
+shared prefix tokens, of other components alone. Components of the links are clusters, those of all pairs of different lines.
+Of a cluster the occurrence with the least id and place stays.
+
+A window is held against the first and the second place of its class. Windows of one document that lie equally far from such places
+in one other document are one run as far as they adjoin. A run is then widened to both sides over at most ``REACH`` words
+that its first place has too: to where matches less ``MISS`` for each other word add up to most, so a changed word inside a
+passage doesn't end it while four fifths of what is added agree at least. Runs of ``MIN_RUN`` words or more count.
+
+What is removed is each line of a cluster but its first, and each run but its first place. Words are what stands between spaces and
+the controls 9 to 13, A-Z lower-cased. Null and empty texts have no paragraphs. Rows with a null id take no part; rows that
+repeat an id and place count as one occurrence. Very long texts are read whole. Extra columns of any name take no part.
+Nothing is found in an empty table.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import components, dropped, field, id_and_bytes, map_texts, sliced, small, small_batches, staged
 from .ngram_join import WORDS, Shingler, bridged, heavy_tokens, mixed, prefix, similar
 
-MIN_WORDS, SPAN, GAP = 25, 24, 26
+MIN_WORDS, SPAN, GAP = 25, 20, 20
+REACH, MISS, MIN_RUN = 48, 4, 40
 THRESHOLD, RECALL, MOST_ROWS = 0.75, 0.99, 2
 #: Tables of at most so many rows (keys, nodes) are broadcast; larger ones are joined by a shuffle.
 SMALL = 1_000_000
@@ -62,6 +71,22 @@ def places(words: np.ndarray) -> np.ndarray:
     return np.unique(n - 1 - (view.argmin(axis=1) + np.arange(len(view))))
 
 
+#: Odd multipliers and their inverses modulo 2**64.
+_BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+def window_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128-bit digests of the windows at ``at``, two integers each, from sums of powers that are taken once."""
+    out = np.empty((len(at), len(_BASES)), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, (b, inverse) in enumerate(_BASES):
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), b, np.uint64)]), dtype=np.uint64)
+            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), inverse, np.uint64)]), dtype=np.uint64)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words + np.uint64(k)) * power[:-1], dtype=np.uint64)])
+            out[:, k] = mixed((sums[at + SPAN] - sums[at]) * back[at])
+    return out
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of the five-word shingles at each place, in order."""
     h = np.full(max(0, len(words) - WORDS + 1), WORDS, np.uint64)
@@ -88,17 +113,19 @@ def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
         common, ranks = shared.value
 
         def work(ids: list, texts: list[bytes]) -> dict:
-            doc, start, size, whole, key, different, first_tokens = [], [], [], [], [], [], []
+            doc, start, size, key, different, first_tokens = [], [], [], [], [], []
             hashes, cuts = [], []
+            docs, starts, keys = [], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
             for doc_id, text in zip(ids, texts, strict=True):
                 words = shingle.words(text)
-                raw, grams, at = words.tobytes(), shingles(words), 0
+                raw, grams, at = words.tobytes(), None, 0
                 for n in map(len, lines_of(text)):
                     if n >= MIN_WORDS:
+                        if grams is None:
+                            grams = shingles(words)
                         doc.append(doc_id)
                         start.append(at)
                         size.append(n)
-                        whole.append(True)
                         key.append(xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + n)]))
                         cuts.append(n - WORDS + 1)
                         hashes.append(grams[at : at + n - WORDS + 1])
@@ -106,14 +133,10 @@ def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
                         different.append(len(tokens))
                         first_tokens.append(prefix(tokens, common, ranks).tobytes())
                     at += n
-                for at in places(words).tolist():
-                    doc.append(doc_id)
-                    start.append(at)
-                    size.append(SPAN)
-                    whole.append(False)
-                    key.append(xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + SPAN)]))
-                    different.append(None)
-                    first_tokens.append(None)
+                at = places(words)
+                docs.append(len(at))
+                starts.append(at)
+                keys.append(window_keys(words, at) if len(at) else keys[0])
             bands = np.zeros((1 + BANDS, len(cuts)), np.int64)
             if cuts:
                 every = np.concatenate(hashes)
@@ -127,12 +150,23 @@ def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
                                 bands[0] = least.view(np.int64)
                             sig = mixed(sig * np.uint64(0x9E3779B97F4A7C15) + least)
                         bands[1 + b] = sig.view(np.int64)
-            is_line = np.array(whole, bool)
-            out: dict = {"doc_id": doc, "start": start, "n": size, "whole": whole, "key": key, "size": different, "prefix": first_tokens}
+            places_, windows = np.concatenate(starts), np.concatenate(keys)
+            none, many = len(windows), len(doc)
+            of = np.repeat(np.array(ids, np.int64), docs)
+            digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), none, [None, pa.py_buffer(windows.tobytes())]).cast(pa.binary())
+            joined = lambda a, kind, b: pa.concat_arrays([pa.array(a, kind), b])
+            void = lambda kind: pa.nulls(none, kind)
+            out: dict = {
+                "doc_id": joined(doc, pa.int64(), pa.array(of)),
+                "start": joined(start, pa.int64(), pa.array(places_)),
+                "n": joined(size, pa.int64(), pa.array(np.full(none, SPAN))),
+                "whole": joined([True] * many, pa.bool_(), pa.array(np.zeros(none, bool))),
+                "key": joined(key, pa.binary(), digests),
+                "size": joined(different, pa.int64(), void(pa.int64())),
+                "prefix": joined(first_tokens, pa.binary(), void(pa.binary())),
+            }
             for b, name in enumerate(names):
-                values = np.zeros(len(doc), np.int64)
-                values[is_line] = bands[b]
-                out[name] = pa.array(values, mask=~is_line)
+                out[name] = joined(bands[b], pa.int64(), void(pa.int64()))
             return out
 
         return work
@@ -176,51 +210,101 @@ def prefix_tokens(lines: DataFrame) -> DataFrame:
     return lines.select("node", "size", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
 
 
-def widened(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, start, left, right, left_before, right_before): by how many words each of ``windows`` (doc_id, start) matches
-    another place further to either side, and one of an earlier place (document, then word).
+def runs_of(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, start, end, fdoc, fstart, class): runs of words and the first places that have them too, from the windows
+    (doc_id, start, key) of all texts."""
+    place = F.struct("doc_id", "start")
+    seen = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    seen = staged(seen.select("key", F.col("first.doc_id").alias("fdoc"), F.col("first.start").alias("fstart")), "windows-seen")
+    other = lambda df: df.where("doc_id <> fdoc OR start <> fstart")
+    hits = staged(other(windows.join(small(seen, SMALL), "key")), "windows-hits")
+    # a copy may go on where the first place doesn't but the second does
+    second = staged(hits.groupBy("key").agg(F.min(place).alias("second")).select("key", F.col("second.doc_id").alias("fdoc"), F.col("second.start").alias("fstart")), "windows-second")
+    hits = hits.unionByName(other(hits.drop("fdoc", "fstart").join(small(second, SMALL), "key")))
+    # windows on one diagonal (a document, another, how far apart): a document has no more of them than words
+    lines = hits.groupBy("doc_id", "fdoc", (F.col("start") - F.col("fstart")).alias("apart")).agg(F.sort_array(F.collect_set(F.struct("start", F.xxhash64("key").alias("class")))).alias("w"))
+    small_batches(texts.sparkSession)
 
-    A window and the d words to its left or right have one hash, so places that match so far meet in an aggregate that combines
-    before the shuffle; nothing is compared by pairs."""
-    lists = windows.groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    rows = texts.join(small(lists, SMALL // 16), "doc_id").select("doc_id", "text", "starts")
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("w")
+            many = pa.compute.list_value_length(column).to_numpy()
+            flat = column.flatten()
+            start, kind = (flat.field(c).to_numpy() for c in ("start", "class"))
+            line = np.repeat(np.arange(len(many)), many)
+            if not len(start):
+                continue
+            new = np.r_[True, (line[1:] != line[:-1]) | (start[1:] > start[:-1] + SPAN)]
+            at = np.flatnonzero(new)
+            last = np.r_[at[1:], len(start)] - 1
+            doc, fdoc, apart = (batch.column(c).to_numpy()[line[at]] for c in ("doc_id", "fdoc", "apart"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, start[at], start[last] + SPAN, fdoc, start[at] - apart, np.minimum.reduceat(kind, at))], names=["doc_id", "start", "end", "fdoc", "fstart", "class"])
+
+    found = staged(lines.mapInArrow(chained, "doc_id long, start long, end long, fdoc long, fstart long, class long"), "windows-runs")
+    dropped(seen)
+    return widened(texts, found)
+
+
+def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, side, at, words): for each (doc_id, side, at) up to REACH words before ``at`` (side -1, the nearest first) or from it on
+    (side 1), as 32-bit hashes."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("side", "at")).alias("ends"))
+    rows = texts.join(small(lists, SMALL // 16), "doc_id").select("doc_id", "text", "ends")
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, most = Shingler(), np.uint64(0x9E3779B97F4A7C15)
+        shingle = Shingler()
         for batch in sliced(batches, "text"):
-            words = [shingle.words(x or b"") for x in batch.column("text").to_pylist()]
-            starts = [np.array(x, np.int64) for x in batch.column("starts").to_pylist()]
-            starts = [x[x + SPAN <= len(w)] for x, w in zip(starts, words, strict=True)]  # of rows that repeat an id
-            many, size = list(map(len, starts)), np.array(list(map(len, words)))
-            base = np.cumsum(size) - size
-            low, high = np.repeat(base, many), np.repeat(base + size, many)
-            start, every = np.concatenate(starts), np.concatenate(words)
-            doc = np.repeat(batch.column("doc_id").to_numpy(), many)
-            own = np.zeros(len(start), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(SPAN):
-                    own = mixed(own * most + every[low + start + k])
-                for side in (-1, 1):
-                    h, at = mixed(own + np.uint64(2 + side)), low + start + (0 if side > 0 else -1) + (SPAN if side > 0 else 0)
-                    live = np.arange(len(start))
-                    for d in range(1, GAP):
-                        inside = (at >= low[live]) & (at < high[live])
-                        live, at, h = live[inside], at[inside], h[inside]
-                        if not len(live):
-                            break
-                        h, at = mixed(h * most + every[at]), at + side
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[live]), pa.array(start[live]), pa.array(np.full(len(live), side * d, np.int32))], names=["h", "doc_id", "start", "depth"])
-
-    reach = staged(rows.mapInArrow(run, "h long, doc_id long, start long, depth int"), "paragraphs-reach")
-    place = F.struct("doc_id", "start")
-    seen = reach.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
-    met = reach.join(small(staged(seen, "paragraphs-seen"), SMALL), "h")
-    later = place != F.col("first")
-    sides = {"left": -F.col("depth"), "right": F.col("depth")}
-    far = [F.greatest(F.max(d), F.lit(0)).alias(c) for c, d in sides.items()] + [F.greatest(F.max(F.when(later, d)), F.lit(0)).alias(f"{c}_before") for c, d in sides.items()]
-    out = staged(met.groupBy("doc_id", "start").agg(*far), "paragraphs-widened")
-    dropped(reach)
+            ids, sides, ats, out = [], [], [], []
+            for doc, text, ends in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("ends"), strict=True):
+                words = shingle.words(text or b"").astype(np.uint32)
+                flat = ends.values
+                side, at = (flat.field(c).to_numpy() for c in ("side", "at"))
+                ids.append(np.full(len(side), doc))
+                sides.append(side)
+                ats.append(at)
+                out += [(words[max(0, a - REACH) : a][::-1] if s < 0 else words[a : a + REACH]).tobytes() for s, a in zip(side.tolist(), at.tolist(), strict=True)]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sides)), pa.array(np.concatenate(ats)), pa.array(out, pa.binary())], names=["doc_id", "side", "at", "words"])
+
+    return rows.mapInArrow(run, "doc_id long, side int, at long, words binary").dropDuplicates(["doc_id", "side", "at"])
+
+
+def extension(a: bytes, b: bytes) -> int:
+    """How many words to go on: to where equal ones less MISS for each other one add up to most, the nearest of such."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    n = min(len(x), len(y))
+    score = np.cumsum(np.where(x[:n] == y[:n], 1, -MISS))
+    return int(score.argmax()) + 1 if n and score.max() > 0 else 0
+
+
+def widened(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with both ends moved out as far as extension goes; those of less than MIN_RUN words go."""
+    length = F.col("end") - F.col("start")
+    ends = F.array(
+        F.struct(F.lit(-1).alias("side"), F.col("start").alias("at"), F.col("fstart").alias("fat")),
+        F.struct(F.lit(1).alias("side"), F.col("end").alias("at"), (F.col("fstart") + length).alias("fat")),
+    )
+    sides = staged(runs.select("*", F.explode(ends).alias("e")).select(*runs.columns, "e.*"), "runs-ends")
+    wanted = sides.select("doc_id", "side", "at").unionByName(sides.select(F.col("fdoc").alias("doc_id"), "side", F.col("fat").alias("at"))).distinct()
+    near = staged(contexts(texts, staged(wanted, "runs-wanted")), "runs-contexts")
+    both = sides.join(near.withColumnRenamed("words", "own"), ["doc_id", "side", "at"])
+    first = near.select(F.col("doc_id").alias("fdoc"), "side", F.col("at").alias("fat"), F.col("words").alias("theirs"))
+    both = both.join(first, ["fdoc", "side", "fat"]).select(*runs.columns, "side", "own", "theirs")
+    small_batches(texts.sparkSession)
+    names = runs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [extension(a, b) for a, b in zip(batch.column("own").to_pylist(), batch.column("theirs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*names, "side")] + [pa.array(more, pa.int64())], names=[*names, "side", "more"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in runs.dtypes) + ", side int, more long"
+    moved = both.mapInArrow(run, schema).groupBy(*runs.columns).agg(*[F.max(F.when(F.col("side") == s, F.col("more")).otherwise(0)).alias(c) for s, c in ((-1, "left"), (1, "right"))])
+    out = moved.select("doc_id", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"), "fdoc", (F.col("fstart") - F.col("left")).alias("fstart"), "class")
+    out = staged(out.where(F.col("end") - F.col("start") >= MIN_RUN), "runs-widened")
+    for x in (sides, near, runs):
+        dropped(x)
     return out
 
 
@@ -265,37 +349,31 @@ def near_lines(texts: DataFrame, lines: DataFrame, buckets: DataFrame) -> DataFr
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, n_words, class_id, removed): runs of words, end exclusive, that stand elsewhere too.
-    ``removed`` is false where the run is its cluster's first occurrence, or where what goes beyond a run to be removed stands
-    in later places alone; class_id is the least cluster in the run."""
+    ``removed`` is false where they are the first of their kind and stay; class_id is the least cluster in the run."""
     texts = id_and_bytes(df, id_col, text_col).where("doc_id IS NOT NULL")
     units = staged(paragraphs(texts, heavy_tokens(texts, texts.count())), "paragraphs")
     place = F.xxhash64("doc_id", "start")
     elsewhere = F.min(place) != F.max(place)
-    windows = units.where("NOT whole").groupBy("key").agg(elsewhere.alias("repeats")).where("repeats").select("key", F.xxhash64("key").alias("class"), F.lit(False).alias("whole"))
+    runs = runs_of(texts, units.where("NOT whole").select("doc_id", "start", "key"))
     # one row for each different line; its place is any one occurrence's, to read its words again
-    kinds = units.where("whole").groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in ("doc_id", "start", "n", "size", "prefix", "least")])
+    whole = units.where("whole")
+    kinds = whole.groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in ("doc_id", "start", "n", "size", "prefix", "least")])
     kinds = staged(kinds.withColumn("node", F.xxhash64("key")), "lines")
-    buckets = units.where("whole").select(F.xxhash64("key").alias("node"), F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket"))
+    buckets = whole.select(F.xxhash64("key").alias("node"), F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket")).distinct()
     near = staged(near_lines(texts, kinds, buckets), "lines-near")
-    lines = kinds.join(near, "node", "left").where("repeats OR component IS NOT NULL").select("key", F.coalesce("component", "node").alias("class"), F.lit(True).alias("whole"))
-    repeated = staged(windows.unionByName(lines), "paragraphs-repeated")
-    found = staged(units.select("doc_id", "start", "n", "whole", "key").join(small(repeated, SMALL), ["key", "whole"]).select("doc_id", "start", "n", "class").distinct(), "paragraphs-found")
+    lines = kinds.join(near, "node", "left").where("repeats OR component IS NOT NULL").select("key", F.coalesce("component", "node").alias("class"))
+    found = staged(whole.select("doc_id", "start", "n", "key").join(small(lines, SMALL), "key").select("doc_id", "start", "n", "class").distinct(), "paragraphs-found")
     dropped(units)
-    first = found.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    marked = found.join(first, "class").withColumn("removed", F.struct("doc_id", "start") != F.col("first")).withColumn("end", F.col("start") + F.col("n"))
-    # windows grow as far as they match: what an earlier place has is removed, what later ones alone have stays
-    wide = widened(texts, found.where(F.col("n") == SPAN).select("doc_id", "start").distinct())
-    marked = marked.join(wide.withColumn("n", F.lit(SPAN).cast("long")), ["doc_id", "start", "n"], "left").na.fill(0, wide.columns[2:])
-    grown = lambda c: F.when(F.col("removed"), F.col(f"{c}_before")).otherwise(F.col(c))
-    piece = lambda start, end, removed: F.struct(start.alias("start"), end.alias("end"), removed.alias("removed"))
-    start, end, stays = F.col("start"), F.col("end"), F.lit(False)
-    pieces = F.array(piece(start - grown("left"), end + grown("right"), F.col("removed")), piece(start - F.col("left"), start - grown("left"), stays), piece(end + grown("right"), end + F.col("right"), stays))
-    marked = marked.select("doc_id", "class", F.explode(pieces).alias("p")).select("doc_id", "class", "p.*").where("start < end")
+    first = staged(found.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first")), "paragraphs-first")
+    marked = found.join(small(first, SMALL), "class").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "class", (F.struct("doc_id", "start") != F.col("first")).alias("removed"))
+    copies = runs.select("doc_id", "start", "end", "class", F.lit(True).alias("removed"))
+    stay = runs.groupBy(F.col("fdoc").alias("doc_id"), F.col("fstart").alias("start"), (F.col("fstart") + F.col("end") - F.col("start")).alias("end")).agg(F.min("class").alias("class")).withColumn("removed", F.lit(False))
+    marked = marked.unionByName(copies).unionByName(stay)
     # runs: what overlaps or adjoins
     in_doc = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     before = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = marked.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc_id", "removed", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("class").alias("class_id"))
+    joined = marked.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    out = joined.groupBy("doc_id", "removed", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("class").alias("class_id"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "class_id", "removed")
 
 
@@ -319,18 +397,21 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the runs to be removed cut from its texts; other columns and null texts as they are."""
-    runs = find_repeats(df, id_col, text_col).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_runs"))
+    """``df`` with the runs to be removed cut from its texts; other columns and null texts as they are. Rows travel as one
+    struct, so no name of a column matters."""
+    runs = find_repeats(df, id_col, text_col).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("runs"))
     names = df.columns
-    joined = df.withColumn(text_col, field(text_col).cast("binary")).join(small(staged(runs, "paragraphs-runs"), SMALL // 16), field(id_col) == F.col("_id"), "left").drop("_id")
+    rows = df.select(field(id_col).alias("doc_id"), field(text_col).cast("binary").alias("text"), F.struct(*[field(c) for c in names if c != text_col]).alias("row"))
+    joined = rows.join(small(runs, SMALL // 16), "doc_id", "left").drop("doc_id")
     small_batches(df.sparkSession)
+    rest = joined.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text_col):
-            texts = batch.column(text_col).to_pylist()
-            new = [cut(t, [(x["start_word"], x["end_word"]) for x in r]).decode("utf-8", "replace") if r else t and t.decode("utf-8", "replace") for t, r in zip(texts, batch.column("_runs").to_pylist(), strict=True)]
-            new = ["" if n is None and t is not None else n for n, t in zip(new, texts, strict=True)]
-            new = [n if isinstance(n, str) or n is None else "" for n in new]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_col else batch.column(c) for c in names], names=names)
-
-    return joined.mapInArrow(run, df.schema)
+        for batch in sliced(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            new = [t if not r or t is None else cut(t, [(x["start_word"], x["end_word"]) for x in r]) for t, r in zip(texts, batch.column("runs").to_pylist(), strict=True)]
+            new = [None if t is None else t.decode("utf-8", "replace") for t in new]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column("row")], names=["text", "row"])
+
+    out = joined.mapInArrow(run, f"text string, row {rest}")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names])

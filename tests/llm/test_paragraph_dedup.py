@@ -132,6 +132,44 @@ def test_lines_of_random_families_against_all_pairs(spark, monkeypatch):
     assert {frozenset(g) for g in got.values()} == {g for g in want if len(g) > 1}
 
 
+def test_near_passages_inside_long_lines(spark):
+    """Passages of sixty words with one word changed, inside lines of some two hundred, against what holds of all pairs by plan."""
+    rng = random.Random(9)
+    docs, spots = [], []
+    for p in range(100):
+        passage = words(rng, 60)
+        for copy in range(2):
+            own = list(passage)
+            if copy:
+                own[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            before, after = words(rng, 40 + rng.randrange(60)), words(rng, 40 + rng.randrange(60))
+            spots.append((len(docs), len(before)))
+            docs.append((len(docs), " ".join(before + own + after)))
+    docs += [(1000 + k, " ".join(words(rng, 200))) for k in range(50)]
+    got = defaultdict(set)
+    for r in pd.find_repeats(spark.createDataFrame(docs, "doc_id long, text string")).where("removed").collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    found = [len(got[i] & set(range(at, at + 60))) for i, at in spots if i % 2]
+    assert sum(n >= 50 for n in found) >= 90
+    assert all(len(got[i]) <= 60 for i, _ in docs) and not any(got[i] for i, _ in docs if i % 2 == 0)
+
+
+def test_extension():
+    a = np.arange(60, dtype=np.uint32)
+    b = a.copy()
+    b[10] = 999
+    assert pd.extension(a.tobytes(), b.tobytes()) == 60 and pd.extension(b[8:14].tobytes(), a[8:14].tobytes()) == 2
+    assert pd.extension(b"", a.tobytes()) == 0 and pd.extension(a[1:].tobytes(), a.tobytes()) == 0
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(1, text, 1, 2, 3), (2, text + " more", 4, 5, 6), (None, text, 7, 8, 9)], "doc_id long, text string, _id long, runs long, row long")
+    out = pd.drop_repeats(df)
+    assert out.columns == df.columns
+    assert {(r["doc_id"], r["text"], r["_id"]) for r in out.collect()} == {(1, text, 1), (2, "", 4), (None, text, 7)}  # the second line is near the first
+
+
 def test_places_read_back(spark, documents):
     """What is said to be a repeat of exact windows stands in another place of the table."""
     texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in documents.collect()}
