@@ -66,21 +66,35 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct runs of three lower-cased words."""
-    w = words(F.lower(text))
-    after = lambda k: F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0)))
-    pairs = F.zip_with(w, after(1), lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.array_distinct(F.array_compact(F.zip_with(pairs, after(2), lambda x, y: F.concat(x, F.lit(" "), y))))
+def trigrams(words_: Column) -> Column:
+    """Distinct runs of three of an array of words, as 64-bit hashes. Give it a column, not an expression: what a lambda refers
+    to is spelled out in it."""
+    return F.when(F.size(words_) > 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words_) - 3), lambda i: F.xxhash64(F.get(words_, i), F.get(words_, i + 1), F.get(words_, i + 2))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of trigrams: 1 if both are empty, 0 if one is."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def snippet(text: Column, whole: int = 120, side: int = 60, mark: str = " ... ") -> Column:
+def units(text: Column) -> Column:
+    """The text's UTF-16 units as integers."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("long"))
+
+
+def n_units(text: Column) -> Column:
+    """Number of UTF-16 units: those beyond the basic plane count twice."""
+    return F.length(text) + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
+
+
+def snippet(text: Column, whole: int = 120, side: int = 60, mark: str = " [...] ") -> Column:
     """The text if it is short, else its two ends."""
     return F.when(F.length(text) <= whole, text).otherwise(F.concat(F.left(text, F.lit(side)), F.lit(mark), F.right(text, F.lit(side))))
 
@@ -91,9 +105,8 @@ def chunk_id(source: Column, text: Column) -> Column:
 
 
 def split_bucket(text: Column, buckets: int = 100) -> Column:
-    """A frozen bucket of a text: h * 33 + code from 5381, modulo 2**32, modulo ``buckets``."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c) % 4294967296) % buckets
+    """A frozen bucket of a text: h * 33 + unit from 5381 over its UTF-16 units, modulo 2**32, modulo ``buckets``."""
+    return F.aggregate(units(text), F.lit(5381).cast("long"), lambda h, c: (h * 33 + c) % 4294967296) % buckets
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -127,35 +140,38 @@ def cited_ids(text: Column, printed: Column) -> Column:
     return F.array_except(F.array_distinct(bracketed(text)), printed)
 
 
-def without_citations(text: Column) -> Column:
-    """Citation marks go, and the white space that they leave."""
-    out = F.regexp_replace(F.regexp_replace(text, CITATION, ""), "[ \\t]{2,}", " ")
-    return F.trim(F.regexp_replace(out, "[ \\t]+([.,;:!?])", "$1"))
+def without_citations(text: Column, printed: Column | None = None) -> Column:
+    """Citation marks go but for ``printed`` acronyms (an array), and the white space that they leave."""
+    if printed is None:
+        out = F.regexp_replace(text, CITATION, "")
+    else:
+        # acronyms are capitals alone, so they need no escape in a pattern
+        out = F.regexp_replace(text, F.concat(F.lit("\\[(?!(?:"), F.array_join(printed, "|"), F.lit(")\\])[A-Za-z0-9_.:-]+\\]")), F.lit(""))
+    out = F.regexp_replace(out, "[ \\t]{2,}", " ")
+    return trimmed(F.regexp_replace(out, "[ \\t]+([.,;:!?])", "$1"))
 
 
 def calendar_escaped(text: Column) -> Column:
     """For iCalendar values: backslash, semicolon, comma and line end."""
-    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\r", "\\n"), ("\n", "\\n")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
 def heading_stripped(text: Column, section: Column) -> Column:
-    """The text without a repeat of its section at the front, unless the repeat ends inside a word; then without leading
-    spaces, colons, full stops and dashes."""
+    """The text without a repeat of its section at the front, in the same case, unless the section opens with if or unless or
+    the repeat ends inside a word; then without leading white space, colons, full stops and dashes."""
     rest = F.substr(text, F.length(section) + 1)
-    echo = (F.length(section) > 0) & F.startswith(F.lower(text), F.lower(section)) & ~rest.rlike("^[A-Za-z0-9]") & ~F.lower(section).rlike("^(if|unless)\\b")
-    return F.when(F.coalesce(echo, F.lit(False)), F.regexp_replace(rest, "^[ :.\\-]+", "")).otherwise(text)
+    echo = (F.length(section) > 0) & F.startswith(text, section) & ~rest.rlike("^[A-Za-z0-9]") & ~section.rlike("^(?i:if|unless)(?![A-Za-z0-9_])")
+    return F.when(F.coalesce(echo, F.lit(False)), F.regexp_replace(rest, f"^[{SPACES}:.\\-]+", "")).otherwise(text)
 
 
 def extraction_faults(text: Column, pages: Column, least: int = 100, most_bad: float = 0.02) -> Column:
-    """Names of what is wrong with an extraction: empty, sparse (under ``least`` characters a page), garbled (over
-    ``most_bad`` replacement or control characters)."""
-    size = F.length(F.coalesce(text, F.lit("")))
-    bad = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[�\\x00-\\x08\\x0e-\\x1f]"))
-    return F.array_compact(F.array(F.when(size == 0, "empty"), F.when((size > 0) & (size < pages * least), "sparse"), F.when((size > 0) & (bad > size * most_bad), "garbled")))
-
-
-def government_host(host: Column) -> Column:
-    """Whether a host is or ends in .gov or .mil."""
-    return F.coalesce(F.lower(host).rlike("(^|\\.)(gov|mil)$"), F.lit(False))
+    """Names of what is wrong with an extraction, its ends trimmed: empty (and nothing else), sparse (under ``least`` UTF-16
+    units a page, where pages are known), garbled (over ``most_bad`` replacement or control characters other than tab, line
+    feed and return)."""
+    text = trimmed(F.coalesce(text, F.lit("")))
+    size = n_units(text)
+    bad = F.regexp_count(text, F.lit("[\ufffd\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"))
+    sparse = F.coalesce((pages > 0) & (size < pages * least), F.lit(False))
+    return F.when(size == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(F.when(sparse, "sparse"), F.when(bad > size * most_bad, "garbled"))))

@@ -29,6 +29,13 @@ def mean_reciprocal_rank(lists: DataFrame, ranked: str = "ranked", expected: str
     return lists.agg(F.coalesce(F.avg(reciprocal_rank(F.col(ranked), F.col(expected))), F.lit(0.0)).alias("mrr"))
 
 
+def measures_of_ranks(ranks: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+    """One row: n, hit_rate (share of first expected ranks up to ``k``) and mrr (mean of one over the rank, which is never cut; a null
+    rank counts as 0)."""
+    hit = F.coalesce((F.col(rank) <= k).cast("int"), F.lit(0))
+    return ranks.agg(F.count("*").alias("n"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("hit_rate"), F.coalesce(F.avg(F.coalesce(1 / F.col(rank), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
+
+
 def split(queries: DataFrame, text: Column, held_out: int = 30) -> DataFrame:
     """Adds bucket and held_out: frozen by the text, so both parts together are all and have nothing in common."""
     return queries.withColumn("bucket", split_bucket(text)).withColumn("held_out", F.col("bucket") < held_out)
@@ -86,11 +93,15 @@ def sign_test(b: Column, c: Column) -> Column:
     from one another."""
     n, low = b + c, F.least(b, c)
     steps = F.when(low > 0, F.sequence(F.lit(1).cast("long"), low.cast("long"))).otherwise(F.array().cast("array<long>"))
-    first = F.pow(F.lit(0.5), n.cast("double"))
-    total = F.aggregate(
-        steps, F.struct(first.alias("term"), first.alias("sum")),
-        lambda a, i: F.struct((a["term"] * (n - i + 1) / i).alias("term"), (a["sum"] + a["term"] * (n - i + 1) / i).alias("sum")), lambda a: a["sum"],
-    )
+    first = n.cast("double") * F.log(F.lit(0.5))
+    # in logarithms: the first term vanishes for n of a thousand and more
+
+    def step(a: Column, i: Column) -> Column:
+        term = a["term"] + F.log((n - i + 1) / i)
+        top = F.greatest(a["sum"], term)
+        return F.struct(term.alias("term"), (top + F.log1p(F.exp(-F.abs(a["sum"] - term)))).alias("sum"))
+
+    total = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), step, lambda a: F.exp(a["sum"]))
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACES
+
 
 def violations(rows: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """(key, code): every rule that a row breaks, and ``duplicate`` for all but one of rows that share a key. A rule is a
@@ -32,6 +34,11 @@ def stages(extracted: Column, cleaned_from: Column, pending: Column, chunked: Co
     return {"ingest": ingest, "clean": clean, "chunk": F.when((clean == "skip") & F.coalesce(chunked, F.lit(False)), "skip").otherwise("run")}
 
 
+def embedding_stage(chunks_hash: Column, corpus_hash: Column) -> Column:
+    """run or skip for the vectors of a whole corpus: skip if there is one made of these chunks."""
+    return F.when(F.coalesce(chunks_hash == corpus_hash, F.lit(False)), "skip").otherwise("run")
+
+
 def capture_stamp(old_hash: Column, old_at: Column, new_hash: Column, now: Column) -> Column:
     """The old time of capture if the hash is the same, else now."""
     return F.when(old_hash.eqNullSafe(new_hash) & old_at.isNotNull(), old_at).otherwise(now)
@@ -55,11 +62,10 @@ def path_allowed(paths: DataFrame, rules: DataFrame, path: str = "path", host: s
     ones the first; true without one. A path is asked for its prefixes, so the join is on equal keys."""
     lengths = rules.select(host, F.length("prefix").alias("_n")).groupBy(host).agg(F.sort_array(F.collect_set("_n")).alias("_ns"))
     first = rules.groupBy(host, "prefix").agg(F.min_by("allow", "ord").alias("_allow"))
-    asked = paths.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in paths.columns else paths
     cut = paths.select(host, path).distinct().join(lengths, host).withColumn("_n", F.explode("_ns")).where(F.length(path) >= F.col("_n"))
     hits = cut.withColumn("prefix", F.substr(F.col(path), F.lit(1), F.col("_n"))).join(first, [host, "prefix"])
     best = hits.groupBy(host, path).agg(F.max_by("_allow", "_n").alias("_best"))
-    return asked.join(best, [host, path], "left").withColumn("allowed", F.coalesce("_best", F.lit(True))).drop("_best", "_row")
+    return paths.join(best, [host, path], "left").withColumn("allowed", F.coalesce("_best", F.lit(True))).drop("_best")
 
 
 def content_revision(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,13 +88,24 @@ def sections(blocks: DataFrame, doc: str, order: str, heading: Column) -> DataFr
     return blocks.withColumn("section", F.last(heading, ignorenulls=True).over(w))
 
 
-def span_faults(spans: DataFrame, doc: str, text: str, start: str = "start", end: str = "end") -> DataFrame:
-    """(doc, fault, at): the first overlap, or gap with something in it, of each text's spans; texts without one are left out."""
-    before = F.coalesce(F.lag(end).over(Window.partitionBy(doc).orderBy(start, end)), F.lit(0))
-    cut = spans.withColumn("_before", before)
-    gap = F.substr(F.col(text), F.col("_before") + 1, F.greatest(F.col(start) - F.col("_before"), F.lit(0)))
-    fault = F.when(F.col(start) < F.col("_before"), "overlap").when(gap.rlike("\\S"), "gap")
-    return cut.withColumn("fault", fault).where("fault IS NOT NULL").groupBy(doc).agg(F.min(F.struct(F.col(start).alias("at"), "fault")).alias("f")).select(doc, "f.fault", "f.at")
+def span_faults(spans: DataFrame, texts: DataFrame, doc: str, text: str = "text", start: str = "start", end: str = "end") -> DataFrame:
+    """(doc, fault, at) of the first thing wrong with how spans (doc, start, end) cover the texts (doc, text): an overlap, at the span's
+    start, or a gap that isn't white space alone, at the end of what came before. Spans count in the order of their starts, then
+    ends; what follows the last, and a text without spans, are held to it too. Texts covered well are left out.
+
+    Spans that adjoin drop out before anything is joined; of the others a text gets one row, however many there are."""
+    order = Window.partitionBy(doc).orderBy(start, end)
+    cut = spans.select(doc, F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e"), F.coalesce(F.lag(end).over(order), F.lit(0)).cast("int").alias("p"), F.row_number().over(order).alias("k"))
+    # every text has what came before each break, and where its last span ends
+    held = cut.groupBy(doc).agg(F.array_sort(F.collect_list(F.when(F.col("s") != F.col("p"), F.struct("k", "s", "p")))).alias("breaks"), F.max_by("e", "k").alias("last"))
+    rows = texts.select(doc, text).join(held, doc, "left")
+    breaks = F.coalesce("breaks", F.array().cast("array<struct<k: int, s: int, p: int>>"))
+    size, last = F.length(text), F.coalesce("last", F.lit(0))
+    tail = F.struct(F.lit(2147483647).alias("k"), F.greatest(size, last).alias("s"), last.alias("p"))
+    piece = lambda x: F.substr(F.col(text), x["p"] + 1, F.greatest(x["s"] - x["p"], F.lit(0)))
+    faults = F.transform(F.concat(breaks, F.array(tail)), lambda x: F.when(x["s"] < x["p"], F.struct(F.lit("overlap").alias("fault"), x["s"].alias("at"))).when(piece(x).rlike(f"[^{SPACES}]"), F.struct(F.lit("gap").alias("fault"), x["p"].alias("at"))))
+    first = F.get(F.array_compact(faults), F.lit(0))
+    return rows.select(doc, first.alias("f")).where("f IS NOT NULL").select(doc, "f.fault", "f.at")
 
 
 def document_states(held: DataFrame, documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("text", "retrieval", "registry", "timeline", "stateful")
+FAMILIES = ("text", "retrieval", "registry", "timeline", "stateful", "rules")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

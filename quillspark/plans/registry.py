@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical
 from ..operators import registry as G
 from ..operators.common import table
+from .text import _canonical_sql
 
 #: Made-up crawling rules: host, prefix, allow.
 CRAWL = [("example.com", "/", False), ("example.com", "/en/", True), ("example.com", "/en/1", False), ("example.net", "/fr/", False), ("example.org", "/es", False), ("example.org", "/es", True)]
@@ -36,10 +38,10 @@ def build_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents against the same documents with every a an o in lines that start with D, by lower-cased form."""
+    """Lines of documents against the same documents with every a an o in lines that start with D, by canonical form."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     new = d.withColumn("content", F.when(F.col("content").startswith("D"), F.regexp_replace("content", "a", "o")).otherwise(F.col("content")))
-    return G.block_difference(d, new, "doc_id", F.lower(F.trim("content"))).groupBy("doc_id", "side").agg(F.count("*").alias("n"))
+    return G.block_difference(d, new, "doc_id", canonical(F.col("content"))).groupBy("doc_id", "side").agg(F.count("*").alias("n"))
 
 
 def crawling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def crawling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.content_revision(table(spark, sf_dir, "documents"), "doc_id", "lang")
+    return G.content_revision(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def span_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +62,20 @@ def span_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations under the last question of a user."""
     c = table(spark, sf_dir, "conversations")
-    out = G.sections(c, "conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 30)))
+    out = G.sections(c, "conv_id", "turn", F.when(F.col("role") == "user", F.col("text")))
     return out.select("conv_id", "turn", "section")
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of a hundred characters, some of which start early or late, over documents of up to 5,000 characters."""
-    d = table(spark, sf_dir, "documents").where("n_chars <= 5000").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 100))))
-    shift = F.when((F.col("doc_id") + F.col("i")) % 17 == 0, 3).when((F.col("doc_id") + F.col("i")) % 23 == 0, -2).otherwise(0)
-    spans = d.select("doc_id", "text", F.greatest(F.col("i") * 100 + shift, F.lit(0)).cast("int").alias("start"), (F.col("i") * 100 + 100).cast("int").alias("end"))
-    return G.span_faults(spans, "doc_id", "text").select("doc_id", "fault", F.col("at").cast("long").alias("at"))
+    """Spans of a hundred characters, some of which start early or late, over documents; each ninth has none, each seventh lacks
+    its last."""
+    d = table(spark, sf_dir, "documents")
+    many = F.floor(F.length("text") / 100).cast("int") - F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+    rows = d.where("doc_id % 9 <> 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(many, F.lit(0)))).alias("i"))
+    k = F.col("doc_id") + F.col("i")
+    shift = F.when((k % 97 == 0) & (F.col("doc_id") % 5 == 0), 3).when((k % 89 == 0) & (F.col("doc_id") % 5 == 1), -2).otherwise(0)
+    spans = rows.select("doc_id", F.greatest(F.col("i") * 100 + shift, F.lit(0)).alias("start"), (F.col("i") * 100 + 100).alias("end"))
+    return G.span_faults(spans, d, "doc_id").select("doc_id", "fault", F.col("at").cast("long").alias("at"))
 
 
 def held_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +93,11 @@ ORACLES = {
     "registry_schema_violations": "WITH p AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS key FROM pages), v AS (SELECT key, 'https' AS code FROM p WHERE NOT starts_with(url, 'https://') UNION ALL SELECT key, 'host' FROM p WHERE NOT regexp_matches(key, '\\.(com|net)$') UNION ALL SELECT key, 'long' FROM p WHERE length(html) >= 20000 UNION ALL SELECT key, 'duplicate' FROM (SELECT key, row_number() OVER (PARTITION BY key) AS i FROM p) WHERE i > 1) SELECT key, code, count(*) AS n FROM v GROUP BY key, code",
     "registry_changes": "WITH c AS (SELECT doc_id, doc_id % 7 AS k, CASE WHEN doc_id % 7 <> 5 THEN sha256(text) END AS o, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '.') WHEN doc_id % 7 <> 1 THEN sha256(text) END AS n, CASE WHEN doc_id % 7 <> 2 THEN doc_id % 30 END AS od, doc_id % 29 AS nd FROM documents) SELECT doc_id, CASE WHEN k = 6 THEN 'manual' WHEN n IS NOT NULL AND n <> coalesce(o, '') THEN 'changed' WHEN od IS NOT NULL AND nd > od THEN 'changed' ELSE 'unchanged' END AS change FROM c",
     "registry_build_stages": "WITH c AS (SELECT doc_id, doc_id % 5 AS k, CASE WHEN doc_id % 5 <> 0 THEN lang END AS e, CASE WHEN doc_id % 5 > 1 THEN CASE WHEN doc_id % 5 = 2 THEN 'de' ELSE lang END END AS f FROM documents), s AS (SELECT *, CASE WHEN f IS NULL OR f IS DISTINCT FROM e THEN 'run' WHEN k = 3 THEN 'gate-pending' ELSE 'skip' END AS clean FROM c) SELECT doc_id, CASE WHEN e IS NULL THEN 'run' ELSE 'skip' END AS ingest, clean, CASE WHEN clean = 'skip' AND doc_id % 2 = 0 THEN 'skip' ELSE 'run' END AS chunk FROM s",
-    "registry_block_changes": "WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents), n AS (SELECT doc_id, CASE WHEN starts_with(c, 'D') THEN replace(c, 'a', 'o') ELSE c END AS c FROM o), f AS (SELECT doc_id, lower(trim(c)) AS c FROM o), g AS (SELECT doc_id, lower(trim(c)) AS c FROM n) SELECT doc_id, side, count(*) AS n FROM (SELECT doc_id, 'removed' AS side FROM f WHERE (doc_id, c) NOT IN (SELECT doc_id, c FROM g) UNION ALL SELECT doc_id, 'added' FROM g WHERE (doc_id, c) NOT IN (SELECT doc_id, c FROM f)) GROUP BY doc_id, side",
+    "registry_block_changes": f"WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents), n AS (SELECT doc_id, CASE WHEN starts_with(c, 'D') THEN replace(c, 'a', 'o') ELSE c END AS c FROM o), f AS (SELECT doc_id, {_canonical_sql('c')} AS c FROM o), g AS (SELECT doc_id, {_canonical_sql('c')} AS c FROM n) SELECT doc_id, side, count(*) AS n FROM (SELECT doc_id, 'removed' AS side FROM f WHERE (doc_id, c) NOT IN (SELECT doc_id, c FROM g) UNION ALL SELECT doc_id, 'added' FROM g WHERE (doc_id, c) NOT IN (SELECT doc_id, c FROM f)) GROUP BY doc_id, side",
     "registry_crawling": f"WITH p AS (SELECT page_id, regexp_extract(url, '([a-z]+\\.(com|net|org))([/?#]|$)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages), h AS (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC, i) AS n FROM p JOIN (VALUES {_RULES}) r(host, prefix, allow, i) ON p.host = r.host AND starts_with(path, prefix)) SELECT page_id, coalesce(allow, true) AS allowed FROM p LEFT JOIN (SELECT * FROM h WHERE n = 1) USING (page_id)",
-    "registry_revision": "WITH r AS (SELECT sha256('[\"' || doc_id || '\",\"' || lang || '\"]') AS r FROM documents), b AS (SELECT left(r, 3) AS b, sha256(string_agg(r, '' ORDER BY r)) AS d, count(*) AS n FROM r GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS revision, sum(n)::BIGINT AS n FROM b",
+    "registry_revision": "WITH r AS (SELECT sha256(to_json([doc_id::VARCHAR, text])) AS r FROM documents), b AS (SELECT left(r, 3) AS b, sha256(string_agg(r, '' ORDER BY r)) AS d, count(*) AS n FROM r GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS revision, sum(n)::BIGINT AS n FROM b",
     "registry_span_ids": "WITH b AS (SELECT doc_id, source || ':' || left(sha256(text), 12) AS base FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) - 1 AS k FROM b) SELECT doc_id, CASE WHEN k = 0 THEN base ELSE base || '-' || k END AS id FROM n",
-    "registry_running_sections": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 30) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations",
-    "registry_coverage": "WITH i AS (SELECT doc_id, text, unnest(range(0, n_chars // 100 + 1)) AS i FROM documents WHERE n_chars <= 5000), s AS (SELECT doc_id, text, greatest(i * 100 + CASE WHEN (doc_id + i) % 17 = 0 THEN 3 WHEN (doc_id + i) % 23 = 0 THEN -2 ELSE 0 END, 0) AS a, i * 100 + 100 AS b FROM i), l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS p FROM s), f AS (SELECT doc_id, a, CASE WHEN a < p THEN 'overlap' WHEN regexp_matches(substr(text, p + 1, greatest(a - p, 0)), '[^ \\t\\n\\x0b\\f\\r]') THEN 'gap' END AS fault FROM l) SELECT doc_id, arg_min(fault, a) AS fault, min(a)::BIGINT AS at FROM f WHERE fault IS NOT NULL GROUP BY doc_id",
+    "registry_running_sections": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations",
+    "registry_coverage": "WITH i AS (SELECT doc_id, unnest(range(0, greatest(length(text) // 100 - (doc_id % 7 = 0)::INT, 0) + 1)) AS i FROM documents WHERE doc_id % 9 <> 0), s AS (SELECT doc_id, greatest(i * 100 + CASE WHEN (doc_id + i) % 97 = 0 AND doc_id % 5 = 0 THEN 3 WHEN (doc_id + i) % 89 = 0 AND doc_id % 5 = 1 THEN -2 ELSE 0 END, 0) AS a, i * 100 + 100 AS b FROM i), l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS p FROM s), e AS (SELECT doc_id, a, b, p, false AS ending FROM l UNION ALL SELECT d.doc_id, length(text), NULL, coalesce(max(b), 0), true FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, text), f AS (SELECT e.doc_id, a, ending, CASE WHEN NOT ending AND a < p THEN 'overlap' WHEN regexp_matches(substr(text, p + 1, greatest(a - p, 0)), '[^\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]') THEN 'gap' END AS fault, p, b FROM e JOIN documents d USING (doc_id)), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ending, a, b) AS k FROM f WHERE fault IS NOT NULL) SELECT doc_id, fault, CASE fault WHEN 'gap' THEN p ELSE a END::BIGINT AS at FROM g WHERE k = 1",
     "registry_held_documents": "WITH d AS (SELECT DISTINCT conv_id AS doc, (conv_id % 3)::VARCHAR AS version FROM conversations), h AS (SELECT conv_id AS doc, list_sort(list(DISTINCT (turn % 2)::VARCHAR)) AS have FROM conversations WHERE conv_id % 4 <> 0 GROUP BY 1) SELECT doc, CASE WHEN list_contains(have, version) THEN 'held' WHEN len(have) > 0 THEN 'outdated' ELSE 'absent' END AS state, coalesce(array_to_string(list_filter(have, lambda x: x <> version), ','), '') AS stale FROM d LEFT JOIN h USING (doc)",
 }

@@ -32,11 +32,10 @@ def above_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of asking vectors with one of their label among the first five, and mean reciprocal rank over twenty."""
-    rows = _lists(spark, sf_dir, 20).groupBy("query_id", "wanted").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("r"))
-    lists = rows.select(F.col("r.label").alias("ranked"), F.array("wanted").alias("expected"))
-    both = E.hit_rate(lists, 5).join(E.mean_reciprocal_rank(lists), how="full")
-    return both.select("n", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
+    """Share of asking vectors with one of their label among the first five others, and mean reciprocal rank over all."""
+    v = table(spark, sf_dir, "embeddings")
+    measures = E.measures_of_ranks(R.first_match_ranks(v, v.where("vec_id % 20 = 0"), "label"), 5)
+    return measures.select("n", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +67,7 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents for each benchmark item, by scores rounded to nine places."""
     d = table(spark, sf_dir, "documents")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     scores = R.bm25_scores(d, items).withColumn("score", F.round("score", 6))
     return R.ranked(scores, "query_id", "score", "id", 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
@@ -79,7 +78,7 @@ def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").cast("double").alias("score"), F.substring_index("text", " ", 12).alias("excerpt"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").cast("double").alias("score"), F.col("text").alias("excerpt"))
     return R.similar_cards(R.ranked(d, "source", "score", "doc_id", 6)).select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -88,7 +87,7 @@ def passages_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frozen_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = E.split(table(spark, sf_dir, "conversations"), F.substring("text", 1, 40))
+    c = E.split(table(spark, sf_dir, "conversations"), F.col("text"))
     return c.groupBy("held_out").agg(F.count("*").alias("n"), F.sum("bucket").cast("long").alias("buckets"))
 
 
@@ -121,16 +120,16 @@ _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 ORACLES = {
     "rank_vector_search": f"WITH {_LISTS} SELECT query_id, rank, id, round(score, 6) AS score FROM l WHERE rank <= 5",
     "rank_above_cutoff": f"WITH {_LISTS} SELECT query_id, count(*) AS n, round(min(score), 6) AS least FROM l WHERE rank <= 5 AND score >= 0.3 GROUP BY query_id",
-    "rank_list_measures": f"WITH {_LISTS}, q AS (SELECT query_id, min(rank) FILTER (label = wanted) AS first FROM l WHERE rank <= 20 GROUP BY query_id) SELECT count(*) AS n, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM q",
+    "rank_list_measures": f"WITH {_LISTS}, q AS (SELECT query_id, min(rank) FILTER (label = wanted) AS first FROM l GROUP BY query_id) SELECT count(*) AS n, round(avg((coalesce(first <= 5, false))::INT), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM q",
     "rank_hybrid": f"WITH {_SCORED}, t AS (SELECT *, max(bm25) OVER (PARTITION BY query_id) AS top FROM c), f AS (SELECT query_id, id, round(cosine, 4) * 0.5 + CASE WHEN top > 0 THEN bm25 / top ELSE 0 END * 0.5 AS score FROM t WHERE bm25 >= 3) SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f WHERE score >= 0.2) WHERE rank <= 5",
     "rank_grid": f"WITH {_GRID} SELECT * FROM m",
     "rank_grid_best": f"WITH {_GRID} SELECT combo, alpha, min_bm25, min_score FROM m ORDER BY round(hit_rate + mrr, 5) DESC, combo LIMIT 1",
     "rank_calibration": f"WITH {_LISTS}, b AS (SELECT query_id, coalesce(max(round(score, 6)) FILTER (label = wanted), -1) AS best FROM l WHERE rank <= 5 GROUP BY query_id), r AS (SELECT i / 20 AS cutoff, avg((best >= i / 20)::INT) AS rate FROM b, range(20) t(i) GROUP BY i) SELECT coalesce(max(cutoff) FILTER (rate >= 0.5), 0) AS cutoff FROM r",
-    "rank_bm25": f"WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), p AS (SELECT id, len(w) AS length, unnest(w) AS term FROM d), c AS (SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL), i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM c, n GROUP BY term, n), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')) AS term FROM benchmark), s AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN c USING (term) JOIN i USING (term), n GROUP BY query_id, id) SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5",
+    "rank_bm25": f"WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), p AS (SELECT id, len(w) AS length, unnest(w) AS term FROM d), c AS (SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL), i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM c, n GROUP BY term, n), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), s AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN c USING (term) JOIN i USING (term), n GROUP BY query_id, id) SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5",
     "rank_term_weights": f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t GROUP BY term",
-    "rank_similar_cards": "SELECT source, doc_id, rank FROM (SELECT source, doc_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS excerpt, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank BETWEEN 2 AND 6 AND len(list_filter(regexp_split_to_array(excerpt, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) > 8",
+    "rank_similar_cards": "SELECT source, doc_id, rank FROM (SELECT source, doc_id, text AS excerpt, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank BETWEEN 2 AND 6 AND len(list_filter(regexp_split_to_array(excerpt, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) > 8",
     "rank_passages_by_source": "SELECT source, min(doc_id) AS first, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
-    "rank_frozen_split": "WITH b AS (SELECT (list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(left(text, 40), ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296) % 100)::BIGINT AS bucket FROM conversations) SELECT bucket < 30 AS held_out, count(*) AS n, sum(bucket)::BIGINT AS buckets FROM b GROUP BY 1",
+    "rank_frozen_split": "WITH b AS (SELECT (list_reduce(list_prepend(5381::BIGINT, flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + ((unicode(c) - 65536) >> 10)::BIGINT, 56320 + ((unicode(c) - 65536) & 1023)::BIGINT] END))), lambda h, c: (h * 33 + c) % 4294967296) % 100)::BIGINT AS bucket FROM conversations) SELECT bucket < 30 AS held_out, count(*) AS n, sum(bucket)::BIGINT AS buckets FROM b GROUP BY 1",
     "rank_candidates": "WITH v AS (SELECT list_sort(list(value)) AS v, count(*) AS n FROM events) SELECT DISTINCT unnest([0.0::DOUBLE, v[1 + floor(0.25 * (n - 1))::BIGINT], v[1 + floor(0.5 * (n - 1))::BIGINT], v[1 + floor(0.75 * (n - 1))::BIGINT]]) AS candidate FROM v",
     "rank_median": "SELECT list_sort(list(value))[1 + count(*) // 2] AS median FROM events",
     "rank_paired_test": "WITH t AS (SELECT s_suppkey, s_suppkey % 31 AS b, s_nationkey::BIGINT AS c FROM supplier), p AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END AS p FROM t) SELECT s_suppkey, round(p, 9) AS p, b > c AS more, b > c AND p < 0.05 AS surely_more FROM p",
