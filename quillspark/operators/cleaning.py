@@ -170,7 +170,9 @@ def affixes(blocks: DataFrame) -> DataFrame:
 def without_exercise(text: Column) -> Column:
     """A block up to the heading of a true or false quiz at its end; the heading reaches back to the end of a sentence or the sign of
     a list."""
-    return trimmed(F.regexp_replace(text, "(?i)" + pattern(rf"[^.!?{MARKERS}]*\bQUIZ\s+TRUE\s+FALSE\b") + "(?s:.)*$", ""))
+    # a run starts behind a boundary, so no other place is tried
+    heading = rf"(?:^|(?<=[.!?{MARKERS}]))[^.!?{MARKERS}]*?\bQUIZ\s+TRUE\s+FALSE\b"
+    return trimmed(F.regexp_replace(text, "(?i)" + pattern(heading) + "(?s:.)*$", ""))
 
 
 def cleaned(blocks: DataFrame) -> DataFrame:

@@ -240,3 +240,27 @@ def escaped_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def component_text(tag: Column, contact: Column, extension: Column) -> Column:
+    """What a telephone element shows, which only its attributes tell; null for other elements or without a number."""
+    number, more = F.trim(F.coalesce(contact, F.lit(""))), F.trim(F.coalesce(extension, F.lit("")))
+    shown = F.when(more == "", number).otherwise(F.concat(number, F.lit(", ext. "), more))
+    return F.when((F.lower(tag) == "va-telephone") & (number != ""), shown)
+
+
+def paced(requests: DataFrame, group: str, tie: str, at: str, least: int) -> DataFrame:
+    """Adds wait: how long each request (by time, then ``tie``) waits so that those of a group start ``least`` apart. A start is the
+    greatest, over the requests up to it, of their time and ``least`` for each one since; so no step needs the one before it,
+    and groups of any size are summed by slices of a minute first."""
+    order = Window.partitionBy(group, "_slice").orderBy(at, tie)
+    cut = requests.withColumn("_slice", F.floor(F.col(at) / 60_000)).withColumn("_n", F.row_number().over(order).cast("long"))
+    slices = cut.groupBy(group, "_slice").agg(F.count("*").alias("_many"), F.max(F.col(at) - F.col("_n") * least).alias("_top"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_first", F.coalesce(F.sum("_many").over(before), F.lit(0)))
+    slices = slices.select(group, "_slice", "_first", F.max(F.col("_top") - F.col("_first") * least).over(before).alias("_held"))
+    out = cut.join(slices, [group, "_slice"])
+    nth = F.col("_first") + F.col("_n")
+    own = F.max(F.col(at) - nth * least).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.greatest(own, F.col("_held")) + nth * least
+    return out.withColumn("wait", start - F.col(at)).drop("_slice", "_n", "_first", "_held")
