@@ -1,16 +1,20 @@
 """Licence scans: a generalised suffix automaton over the tokens of licence templates.
 
 Texts stream through the automaton token by token, which gives at each place the longest run that also stands in some
-template (its matching statistics). Known phrases are read off the states; maximal runs are chained along each template
-into spans, and a template that a chain covers well enough adds its label. Rows are independent and nothing is shuffled;
-the automaton is built once for each task from the templates, whose size is fixed.
-
-Null and empty texts: no words, no places, no labels, score 0. Repeated rows are scanned each for itself.
+template (its matching statistics). Known phrases are read off the states; maximal runs are chained along each template,
+over words that are other or missing. A chain's share is what it covers over the longer of the template and its stretch of text.
+Chains of a share that ``needed`` asks of the template's length are spans; of spans that overlap the one of the greatest share
+stays, so of close templates the closest gives its label. All chains count, however many a text has. Rows are independent and
+nothing is shuffled; the automaton is built once for each task from the templates, whose size is fixed.
+
+Null and empty texts: no words, no places, no labels, score 0. Repeated rows are scanned each for itself; very long texts are
+scanned whole; extra columns of any name take no part; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -24,8 +28,11 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrases whose every place counts, with their labels. Fixed values.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Notices as their publishers word them, with their labels. Fixed values.
+#: Public licence texts and notices as their publishers word them, with their labels. Fixed values.
 TEMPLATES = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "Released under the MIT License."),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -48,8 +55,9 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
-#: A run counts from so many tokens on; a chain may skip so many tokens in text and template; a label needs this share.
-MIN_RUN, MAX_GAP, MIN_COVER = 3, 4, 0.95
+#: A run counts from so many tokens on; a chain may skip so many tokens in text and template; a label needs this share of a
+#: template of FEW tokens or more, and all tokens of shorter ones.
+MIN_RUN, MAX_GAP, MIN_COVER, FEW = 2, 4, 0.75, 8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -148,42 +156,61 @@ class Scanner:
             runs.append((len(words), run, state))
         return places, runs
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, str, float]]]:
-        """Number of words; (start, phrase) places; (first word, end, label, share covered) of the best chain of each
-        template that runs support."""
-        words = words_of(text)
-        places, runs = self.statistics(words)
-        by_template: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    def needed(self, k: int) -> float:
+        """The share of template ``k`` that gives its label."""
+        return self.min_cover if self.sizes[k] >= FEW else 1.0
+
+    def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[float, int, int, int, int]]:
+        """(share, covered, start, end, template) of the best chain that ends with each run, at each place of each template."""
+        by_template: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        ends, link, length = self.automaton.ends, self.automaton.link, self.automaton.length
         for end, run, state in runs:
-            for k, at in self.automaton.ends[state]:
-                if k >= self.n_phrases:
-                    by_template[k].append((end, at, run))
-        spans = []
+            # shorter ends of the run may stand in further places
+            known, low = set(), end - run
+            while state > 0 and run >= self.min_run:
+                for place in ends[state] - known:
+                    if place[0] >= self.n_phrases:
+                        by_template[place[0]].append((end, place[1], run, low))
+                known, state = ends[state], link[state]
+                run = length[state]
+        out = []
         for k, found in by_template.items():
             found.sort()
             open_: list[tuple[int, int, int, int]] = []  # chains: text end, template end, tokens covered, text start
-            best = (0.0, 0, 0)
-            for end, at, run in found:
+            for end, at, run, low in found:
                 covered, start = run, end - run
-                kept = []
+                open_ = [x for x in open_ if low - x[0] <= self.max_gap]  # longest runs start ever later
                 for e, t, c, s in open_:
                     if end - run - e > self.max_gap:
                         continue
-                    kept.append((e, t, c, s))
                     over = max(0, e - (end - run), t - (at - run))
                     if over < run and at > t and end > e and at - run - t <= self.max_gap and c + run - over > covered:
                         covered, start = c + run - over, s
-                open_ = [*kept[-63:], (end, at, covered, start)]
-                best = max(best, (covered / self.sizes[k], -start, end))
-            spans.append((-best[1], best[2], self.labels[k], best[0]))
-        return len(words), places, spans
+                open_.append((end, at, covered, start))
+                out.append((covered / max(self.sizes[k], end - start), covered, start, end, k))
+        return out
+
+    def scan_scored(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, str, float]], float]:
+        """Number of words; (start, phrase) places; (first word, end, label, share) of the spans, which don't overlap; the greatest
+        share of any chain."""
+        words = words_of(text)
+        places, runs = self.statistics(words)
+        found = self.chains(runs)
+        spans: list[tuple[int, int, str, float]] = []
+        for share, _, start, end, k in sorted((x for x in found if x[0] >= self.needed(x[4])), key=lambda x: (-x[0], -x[1], x[2], self.labels[x[4]])):
+            at = bisect_left(spans, (start, end))
+            if (at == 0 or spans[at - 1][1] <= start) and (at == len(spans) or spans[at][0] >= end):
+                spans.insert(at, (start, end, self.labels[k], share))
+        return len(words), places, spans, max([x[0] for x in found], default=0.0)
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, str, float]]]:
+        return self.scan_scored(text)[:3]
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """doc_id; n_words; n_base, first_word, last_word: number, least and largest start of the phrases' places (null where
-    there is none); base_labels: labels of the phrases found; labels: these and those of templates covered to MIN_COVER
-    or more, both distinct, sorted, joined by commas; score: 1 with a phrase, else the largest share covered; spans: of the
-    templates that gave a label."""
+    there is none); base_labels: labels of the phrases found; labels: these and those of spans, both distinct, sorted,
+    joined by commas; score: 1 with a phrase, else the largest share of a chain; spans: all that gave a label."""
 
     def make():
         scanner = Scanner(phrases, templates)
@@ -191,11 +218,10 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def work(ids: list, texts: list[bytes]) -> dict:
             rows = []
             for doc_id, text in zip(ids, texts, strict=True):
-                n, places, spans = scanner.scan(text)
+                n, places, sure, best = scanner.scan_scored(text)
                 base = {scanner.labels[k] for _, k in places}
-                sure = [x for x in spans if x[3] >= scanner.min_cover]
                 starts = [s for s, _ in places]
-                score = 1.0 if places else min(1.0, max([x[3] for x in spans], default=0.0))
+                score = 1.0 if places else min(1.0, best)
                 rows.append((doc_id, n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[2] for x in sure})), score, [{"start": a, "end": b, "label": y, "cover": c} for a, b, y, c in sorted(sure)]))
             names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
             return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {x: [] for x in names}

@@ -10,7 +10,7 @@ from 3/4 on. Pairs that no pivot links are found by the exact second step of ``n
 shared prefix tokens, of other components alone. Components of the links are clusters, those of all pairs of different lines.
 Of a cluster the occurrence with the least id and place stays.
 
-A window is held against the first and the second place of its class. Windows of one document that lie equally far from such places
+A window that doesn't stand in a line to be removed is held against the first and the second place of its class. Windows of one document that lie equally far from such places
 in one other document are one run as far as they adjoin. A run is then widened to both sides over at most ``REACH`` words
 that its first place has too: to where matches less ``MISS`` for each other word add up to most, so a changed word inside a
 passage doesn't end it while four fifths of what is added agree at least. Runs of ``MIN_RUN`` words or more count.
@@ -76,14 +76,15 @@ _BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659F
 
 
 def window_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """128-bit digests of the windows at ``at``, two integers each, from sums of powers that are taken once."""
-    out = np.empty((len(at), len(_BASES)), np.uint64)
+    """64-bit digests of the windows at ``at``, from sums of powers that are taken once. Should two windows share one by chance, they
+    don't go on alike, so what they give is too short to count."""
+    out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k, (b, inverse) in enumerate(_BASES):
             power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), b, np.uint64)]), dtype=np.uint64)
             back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), inverse, np.uint64)]), dtype=np.uint64)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words + np.uint64(k)) * power[:-1], dtype=np.uint64)])
-            out[:, k] = mixed((sums[at + SPAN] - sums[at]) * back[at])
+            out = mixed(out + (sums[at + SPAN] - sums[at]) * back[at])
     return out
 
 
@@ -101,9 +102,11 @@ def lines_of(text: bytes) -> list[list[bytes]]:
 
 
 def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(doc_id, start, n, whole, key, size, prefix, least, b0 ...): place and number of words, whether it is a line, digest of
-    the words, and a line's number of different shingles, prefix of them (those in ``heavy`` come last), least minimum and band
-    keys (null for windows)."""
+    """(doc_id, start, n, whole, window, line, key, size, prefix, least, b0 ...): place and number of words, whether it is a line. Of a
+    window: its digest and the start of the line that it lies in wholly (-1: none that counts). Of a line: digest of its words, number
+    of different shingles, prefix of them (those in ``heavy`` come last), least minimum and band keys. The other kind's are null.
+
+    Hashes are taken over all texts of a batch at once."""
     names = ["least", *(f"b{k}" for k in range(BANDS))]
     order = np.argsort(heavy, kind="stable")
     shared = texts.sparkSession.sparkContext.broadcast((heavy[order], order))
@@ -113,65 +116,66 @@ def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
         common, ranks = shared.value
 
         def work(ids: list, texts: list[bytes]) -> dict:
-            doc, start, size, key, different, first_tokens = [], [], [], [], [], []
-            hashes, cuts = [], []
-            docs, starts, keys = [], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
-            for doc_id, text in zip(ids, texts, strict=True):
-                words = shingle.words(text)
-                raw, grams, at = words.tobytes(), None, 0
-                for n in map(len, lines_of(text)):
-                    if n >= MIN_WORDS:
-                        if grams is None:
-                            grams = shingles(words)
-                        doc.append(doc_id)
-                        start.append(at)
-                        size.append(n)
-                        key.append(xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + n)]))
-                        cuts.append(n - WORDS + 1)
-                        hashes.append(grams[at : at + n - WORDS + 1])
-                        tokens = np.unique(hashes[-1])
-                        different.append(len(tokens))
-                        first_tokens.append(prefix(tokens, common, ranks).tobytes())
-                    at += n
-                at = places(words)
-                docs.append(len(at))
-                starts.append(at)
-                keys.append(window_keys(words, at) if len(at) else keys[0])
-            bands = np.zeros((1 + BANDS, len(cuts)), np.int64)
-            if cuts:
-                every = np.concatenate(hashes)
-                first = np.cumsum([0, *cuts[:-1]])
+            each = [shingle.words(t) for t in texts]
+            size = np.array(list(map(len, each)), np.int64)
+            words, base = np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(size) - size
+            at = [b + places(w) for b, w in zip(base.tolist(), each, strict=True)]
+            many = list(map(len, at))
+            at = np.concatenate([*at, np.zeros(0, np.int64)])
+            # lines of all texts, by their places among all words
+            cut = [list(map(len, lines_of(t))) for t in texts]
+            length = np.array([n for c in cut for n in c], np.int64)
+            start = np.cumsum(length) - length
+            of = np.repeat(np.arange(len(texts)), list(map(len, cut)))
+            counts = length >= MIN_WORDS
+            held = np.searchsorted(start, at, "right") - 1 if len(start) else np.zeros(0, np.int64)
+            inside = counts[held] & (at + SPAN <= start[held] + length[held])
+            text_of = np.repeat(np.arange(len(texts)), many)
+            line = np.where(inside, start[held] - base[text_of], -1)
+            start, length, of = start[counts], length[counts], of[counts]
+            grams, raw = shingles(words), words.tobytes()
+            keys, different, first_tokens, hashes = [], [], [], []
+            for a, n in zip(start.tolist(), length.tolist(), strict=True):
+                keys.append(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + n)]))
+                hashes.append(grams[a : a + n - WORDS + 1])
+                tokens = np.unique(hashes[-1])
+                different.append(len(tokens))
+                first_tokens.append(prefix(tokens, common, ranks).tobytes())
+            bands = np.zeros((1 + BANDS, len(start)), np.int64)
+            if len(start):
+                every, sizes = np.concatenate(hashes), length - WORDS + 1
+                first = np.cumsum(sizes) - sizes
                 with np.errstate(over="ignore"):
                     for b in range(BANDS):
-                        sig = np.full(len(cuts), b, np.uint64)
+                        sig = np.full(len(start), b, np.uint64)
                         for r in range(ROWS):
                             least = np.minimum.reduceat(every * _A[b * ROWS + r], first)
                             if b == r == 0:
                                 bands[0] = least.view(np.int64)
                             sig = mixed(sig * np.uint64(0x9E3779B97F4A7C15) + least)
                         bands[1 + b] = sig.view(np.int64)
-            places_, windows = np.concatenate(starts), np.concatenate(keys)
-            none, many = len(windows), len(doc)
-            of = np.repeat(np.array(ids, np.int64), docs)
-            digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), none, [None, pa.py_buffer(windows.tobytes())]).cast(pa.binary())
-            joined = lambda a, kind, b: pa.concat_arrays([pa.array(a, kind), b])
-            void = lambda kind: pa.nulls(none, kind)
+            doc, m, w = np.array(ids, np.int64), len(start), len(at)
+            both = lambda x, y: pa.array(np.concatenate([x, y]))
+            lines = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(w, kind)])
+            windows = lambda x: pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(x)])
             out: dict = {
-                "doc_id": joined(doc, pa.int64(), pa.array(of)),
-                "start": joined(start, pa.int64(), pa.array(places_)),
-                "n": joined(size, pa.int64(), pa.array(np.full(none, SPAN))),
-                "whole": joined([True] * many, pa.bool_(), pa.array(np.zeros(none, bool))),
-                "key": joined(key, pa.binary(), digests),
-                "size": joined(different, pa.int64(), void(pa.int64())),
-                "prefix": joined(first_tokens, pa.binary(), void(pa.binary())),
+                "doc_id": both(doc[of], doc[text_of]),
+                "start": both(start - base[of], at - base[text_of]),
+                "n": both(length, np.full(w, SPAN, np.int64)),
+                "whole": both(np.ones(m, bool), np.zeros(w, bool)),
+                "window": windows(window_keys(words, at).view(np.int64)),
+                "line": windows(line),
+                "key": lines(keys, pa.binary()),
+                "size": lines(different, pa.int64()),
+                "prefix": lines(first_tokens, pa.binary()),
             }
             for b, name in enumerate(names):
-                out[name] = joined(bands[b], pa.int64(), void(pa.int64()))
+                out[name] = lines(bands[b], pa.int64())
             return out
 
         return work
 
-    return map_texts(texts, "doc_id long, start long, n long, whole boolean, key binary, size long, prefix binary, " + ", ".join(f"{b} long" for b in names), make)
+    return map_texts(texts, "doc_id long, start long, n long, whole boolean, window long, line long, key binary, size long, prefix binary, " + ", ".join(f"{b} long" for b in names), make)
 
 
 def line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,14 +214,16 @@ def prefix_tokens(lines: DataFrame) -> DataFrame:
     return lines.select("node", "size", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
 
 
-def runs_of(texts: DataFrame, windows: DataFrame) -> DataFrame:
+def runs_of(texts: DataFrame, windows: DataFrame, removed: DataFrame) -> DataFrame:
     """(doc_id, start, end, fdoc, fstart, class): runs of words and the first places that have them too, from the windows
-    (doc_id, start, key) of all texts."""
+    (doc_id, start, key, line) of all texts. Windows inside the lines ``removed`` (doc_id, start) go with these and ask no more."""
     place = F.struct("doc_id", "start")
     seen = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     seen = staged(seen.select("key", F.col("first.doc_id").alias("fdoc"), F.col("first.start").alias("fstart")), "windows-seen")
     other = lambda df: df.where("doc_id <> fdoc OR start <> fstart")
     hits = staged(other(windows.join(small(seen, SMALL), "key")), "windows-hits")
+    free = hits.join(small(removed.select("doc_id", F.col("start").alias("line")), SMALL), ["doc_id", "line"], "left_anti").drop("line")
+    hits = staged(free, "windows-free")
     # a copy may go on where the first place doesn't but the second does
     second = staged(hits.groupBy("key").agg(F.min(place).alias("second")).select("key", F.col("second.doc_id").alias("fdoc"), F.col("second.start").alias("fstart")), "windows-second")
     hits = hits.unionByName(other(hits.drop("fdoc", "fstart").join(small(second, SMALL), "key")))
@@ -354,7 +360,6 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     units = staged(paragraphs(texts, heavy_tokens(texts, texts.count())), "paragraphs")
     place = F.xxhash64("doc_id", "start")
     elsewhere = F.min(place) != F.max(place)
-    runs = runs_of(texts, units.where("NOT whole").select("doc_id", "start", "key"))
     # one row for each different line; its place is any one occurrence's, to read its words again
     whole = units.where("whole")
     kinds = whole.groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in ("doc_id", "start", "n", "size", "prefix", "least")])
@@ -363,9 +368,11 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = staged(near_lines(texts, kinds, buckets), "lines-near")
     lines = kinds.join(near, "node", "left").where("repeats OR component IS NOT NULL").select("key", F.coalesce("component", "node").alias("class"))
     found = staged(whole.select("doc_id", "start", "n", "key").join(small(lines, SMALL), "key").select("doc_id", "start", "n", "class").distinct(), "paragraphs-found")
-    dropped(units)
     first = staged(found.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first")), "paragraphs-first")
     marked = found.join(small(first, SMALL), "class").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "class", (F.struct("doc_id", "start") != F.col("first")).alias("removed"))
+    marked = staged(marked, "paragraphs-marked")
+    runs = runs_of(texts, units.where("NOT whole").select("doc_id", "start", F.col("window").alias("key"), "line"), marked.where("removed"))
+    dropped(units)
     copies = runs.select("doc_id", "start", "end", "class", F.lit(True).alias("removed"))
     stay = runs.groupBy(F.col("fdoc").alias("doc_id"), F.col("fstart").alias("start"), (F.col("fstart") + F.col("end") - F.col("start")).alias("end")).agg(F.min("class").alias("class")).withColumn("removed", F.lit(False))
     marked = marked.unionByName(copies).unionByName(stay)

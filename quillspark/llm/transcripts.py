@@ -9,8 +9,14 @@ No conversation has to fit into a task: rows are sorted by range, so a long one
 pieces the best scores from any state before to any state at its end form a small matrix; these are chained in max-plus
 algebra (as many rows as partitions), which fixes the states at the pieces' ends, and each piece is decoded between them.
 
-A null id is a conversation like any other; null turns come first, equal turns by hash and text. Null and empty texts are
-blocks without features and are rendered empty. Rows that repeat are blocks each. An empty table gives an empty one.
+Blocks of one role that follow each other are one turn: its first block opens it, its last closes it, and what the blocks of a
+conversation render to is, put together in order, the conversation in its canonical form. ``turns`` does that. Where roles are
+given, two models are trained, each on the conversations of one half by hash, and each half is read by the other's, so no
+conversation is read by what its own labels taught.
+
+A null id is a conversation of its own; null turns come first, equal turns by hash and text. Null and empty texts are
+blocks without features and are rendered empty. Rows that repeat are blocks each. Very long blocks are observed by their ends,
+size and line breaks and rendered whole. Extra columns of any name take no part. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import field, small, small_batches, staged
@@ -123,12 +129,14 @@ def fit(rows: list[tuple]) -> Model:
 def ordered(df: DataFrame, conv_col: str, turn_col: str, text_col: str, role_col: str | None) -> DataFrame:
     role = field(role_col).cast("string") if role_col else F.lit(None).cast("string")
     out = df.select(field(conv_col).alias("conv"), field(turn_col).alias("turn"), field(text_col).cast("string").alias("text"), role.alias("given"))
-    return out.withColumns({"key": F.coalesce(F.col("conv").cast("string"), F.lit("")), "tie": F.xxhash64("text")})
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))
+    return out.withColumns({"key": key, "tie": F.xxhash64("text"), "half": F.pmod(F.xxhash64(F.lit(TRAIN_SEED + 1), key), F.lit(2)).cast("int")})
 
 
-def train(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> Model:
-    """From whole conversations of a bounded sample by hash, the first TRAIN_ROWS of its rows."""
+def train(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role", half: int | None = None) -> Model:
+    """From whole conversations (of one ``half``) of a bounded sample by hash, the first TRAIN_ROWS of its rows."""
     rows = ordered(df, conv_col, turn_col, text_col, role_col).where("given IS NOT NULL")
+    rows = rows if half is None else rows.where(F.col("half") == half)
     step = max(1, rows.count() // TRAIN_ROWS)
     picked = rows.withColumn("draw", F.xxhash64(F.lit(TRAIN_SEED), "key")).where(F.pmod("draw", F.lit(step)) == 0)
     # what a block shows is in its first and last characters, its size and line breaks; long texts stay with the executors
@@ -152,8 +160,9 @@ def body_of(text: str | None) -> str:
     return (text[found.end() :] if found else text).strip()
 
 
-def rendered(role: str, text: str | None) -> str:
-    return f"<|{role}|>\n{body_of(text)}\n<|end|>\n"
+def rendered(role: str, text: str | None, opens: bool = True, closes: bool = True) -> str:
+    """A block as a part of its turn."""
+    return (f"<|{role}|>\n" if opens else "") + f"{body_of(text)}\n" + ("<|end|>\n" if closes else "")
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -172,19 +181,25 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict
 
 def parse_transcripts(df: DataFrame, model: Model | None = None, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
     """One row for each row of ``df``: conv_col, turn_col, given (its label, if there is a ``role_col``), role (recovered
-    without looking at labels), opens (whether the role differs from that of the block before) and rendered. ``model``: by
-    default trained on the labels of ``df``, or the prior without them."""
-    if model is None:
-        model = train(df, conv_col, turn_col, text_col, role_col) if role_col else Model(*prior())
+    without looking at labels), opens and closes (whether the block is the first, the last of a turn), rendered (the block as a
+    part of its turn) and nth (its place in the conversation, from 0). ``model``: by default trained on the labels of the other
+    half of ``df``, or the prior without them."""
+    if model is not None or not role_col:
+        models = [model or Model(*prior())] * 2
+    else:
+        models = [train(df, conv_col, turn_col, text_col, role_col, half=1 - h) for h in (0, 1)]
     small_batches(df.sparkSession)
     rows = ordered(df, conv_col, turn_col, text_col, role_col)
     order = ["key", F.asc_nulls_first("turn"), "tie", "text", "given"]
     rows = staged(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "transcripts")
-    long_ones = staged(rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"), "transcripts-long")
+    sizes = staged(rows.groupBy("key", "part").agg(F.count("*").alias("n")), "transcripts-sizes")
+    long_ones = staged(sizes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "transcripts-long")
+    in_order = lambda x: x.repartition("key", "part").sortWithinPartitions("key", "part", *order[1:])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, part), block in pieces(batches):
-            m = model.matrix(model.scores([observed(r["text"]) for r in block]))
+            own = models[block[0]["half"]]
+            m = own.matrix(own.scores([observed(r["text"]) for r in block]))
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([m.ravel().tolist()])], names=["key", "part", "m"])
 
     def chained(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,25 +216,50 @@ def parse_transcripts(df: DataFrame, model: Model | None = None, conv_col: str =
         leave = leave[::-1]
         return pd.DataFrame({"key": pdf["key"], "part": pdf["part"], "entry": [-1, *leave[:-1]], "leave": leave})
 
-    by_piece = rows.join(small(long_ones, SMALL), "key", "left_semi").repartition("key", "part").sortWithinPartitions("key", "part", *order[1:])
-    bounds = by_piece.select("key", "part", "text").mapInArrow(matrices, "key string, part int, m array<double>").groupBy("key").applyInPandas(chained, "key string, part int, entry int, leave int")
+    def decode(block: list[dict]) -> list[int]:
+        entry, leave = (None if block[0][c] is None or block[0][c] < 0 else block[0][c] for c in ("entry", "leave"))
+        own = models[block[0]["half"]]
+        return own.decode(own.scores([observed(r["text"]) for r in block]), entry, leave)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, part), block in pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([decode(block)[0]], pa.int32())], names=["key", "part", "first"])
+
+    by_piece = rows.join(small(long_ones, SMALL), "key", "left_semi")
+    bounds = in_order(by_piece).select("key", "part", "half", "text").mapInArrow(matrices, "key string, part int, m array<double>").groupBy("key").applyInPandas(chained, "key string, part int, entry int, leave int")
     bounds = staged(bounds, "transcripts-bounds")
+    # the state that a piece's successor starts with tells whether its last turn goes on there
+    started = in_order(by_piece.join(small(bounds, SMALL), ["key", "part"])).select("key", "part", "half", "text", "entry", "leave").mapInArrow(firsts, "key string, part int, first int")
+    by_part = Window.partitionBy("key").orderBy("part")
+    known = started.join(bounds, ["key", "part"]).join(sizes, ["key", "part"])
+    known = known.select("key", "part", "entry", "leave", F.lead("first").over(by_part).alias("after"), F.coalesce(F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    known = staged(known, "transcripts-known")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in pieces(batches):
-            entry, leave = (None if block[0][c] is None or block[0][c] < 0 else block[0][c] for c in ("entry", "leave"))
-            path = model.decode(model.scores([observed(r["text"]) for r in block]), entry, leave)
+            path, entry, after = decode(block), block[0]["entry"], block[0]["after"]
             opens = [now != before for before, now in zip([-1 if entry is None else entry, *path[:-1]], path, strict=True)]
-            roles = [ROLES[s] for s in path]
+            closes = [*opens[1:], after is None or after != path[-1]]
+            roles, start = [ROLES[s] for s in path], block[0]["offset"] or 0
+            shown = [rendered(x, r["text"], o, c) for x, r, o, c in zip(roles, block, opens, closes, strict=True)]
             columns = [pa.array([r[c] for r in block], t) for c, t in (("conv", kinds[0]), ("turn", kinds[1]), ("given", pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(roles), pa.array(opens), pa.array([rendered(x, r["text"]) for x, r in zip(roles, block, strict=True)])], names=[conv_col, turn_col, "given", "role", "opens", "rendered"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(roles), pa.array(opens), pa.array(closes), pa.array(shown), pa.array(range(start, start + len(block)), pa.int64())], names=[conv_col, turn_col, "given", "role", "opens", "closes", "rendered", "nth"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(rows.schema[c].dataType) for c in ("conv", "turn")]
-    schema = f"`{conv_col}` {rows.schema['conv'].dataType.simpleString()}, `{turn_col}` {rows.schema['turn'].dataType.simpleString()}, given string, role string, opens boolean, rendered string"
-    whole = rows.join(small(bounds, SMALL), ["key", "part"], "left").repartition("key", "part").sortWithinPartitions("key", "part", *order[1:])
-    return whole.select("key", "part", "conv", "turn", "text", "given", "entry", "leave").mapInArrow(decoded, schema)
+    schema = f"`{conv_col}` {rows.schema['conv'].dataType.simpleString()}, `{turn_col}` {rows.schema['turn'].dataType.simpleString()}, given string, role string, opens boolean, closes boolean, rendered string, nth long"
+    whole = in_order(rows.join(small(known, SMALL), ["key", "part"], "left"))
+    return whole.select("key", "part", "half", "conv", "turn", "text", "given", "entry", "leave", "after", "offset").mapInArrow(decoded, schema)
+
+
+def turns(parsed: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """(conv_col, turn_no, role, n_blocks, rendered): the canonical turns of what parse_transcripts gives, in the order of their
+    blocks. A turn is one row, as long as its blocks are together."""
+    so_far = Window.partitionBy(conv_col).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = parsed.withColumn("turn_no", F.sum(F.col("opens").cast("long")).over(so_far) - 1)
+    listed = numbered.groupBy(conv_col, "turn_no", "role").agg(F.count("*").alias("n_blocks"), F.array_sort(F.collect_list(F.struct("nth", "rendered"))).alias("parts"))
+    return listed.select(conv_col, "turn_no", "role", "n_blocks", F.array_join("parts.rendered", "").alias("rendered"))
 
 
 def transcript_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

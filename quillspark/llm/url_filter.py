@@ -1,25 +1,28 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
-Trees are trained from labelled URLs, by default ``seed_urls`` (made from word lists by rule, since what rules decide is policy
-by place and language and says little of other URLs), on a bounded sample (``TRAIN_ROWS`` different URLs, those of least hash). Features: lengths, depth, digit ratios, entropies, counts of parameters and hyphens, and
-statistics of host suffixes over the whole table: how many rows share the host and its last two labels, and the share of
-blocked URLs among labelled ones of the same suffix whose hosts fall in other folds. All expressions and the trees run in
-the JVM; suffix tables are broadcast only if they are short and else joined by a shuffle, which splits hot hosts.
-
-Null URLs and those without ``://`` have an empty host and path and, if no rule decides, are allowed. Repeated rows are judged
-each for itself and alike. Without labelled URLs of both kinds the method allows whatever no rule decides; an empty table
+Labels are what the rules say of the URLs that they decide, and those of a labelled table, if one is given. What rules speak of
+(a host's last label and labels that rules name, and the first step of a path) is left out of every feature, so the trees can't repeat the rules;
+they learn what else the decided URLs have in common. Trees are fit on a bounded sample (``TRAIN_ROWS`` different URLs, those of
+least hash). Features: lengths, depth, digit ratios, entropies, counts of parameters and hyphens, and statistics of suffixes: how
+many rows share the host, how many the last label of its own part, and the share of blocked URLs among labelled ones of that
+label whose hosts fall in other folds. Training and served rows get them from the same tables, in one pass. All expressions
+and the trees run in the JVM; suffix tables are broadcast only behind a check of their size and else joined by a shuffle, of which
+Spark splits large partitions. ``held_out_errors`` gives the errors on hosts of a fold that the trees haven't seen.
+
+Null URLs and those without ``://`` have an empty host and path and, if no rule decides, are allowed. Of equally long rules that fit,
+the greatest by text and verdict wins. Very long URLs are read whole. Extra columns of any name take no part. Repeated rows are
+judged each for itself and alike. Without labelled URLs of both kinds the method allows whatever no rule decides; an empty table
 gives an empty one.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import field, small, staged
@@ -32,45 +35,9 @@ BLOCK_FROM = 0.8
 FOLDS = 5
 SMALL = 50_000
 
-#: Words of the hosts in seed_urls.
-ORDINARY = "garden river stone market school music letter winter bridge harbor forest cloud paper kitchen museum travel science island village history".split()
-PUSHED = "casino bets win free spam farm cheap pills loan click bonus poker jackpot adult replica deal prize forex slots cash".split()
-SEEDS = 4000
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def seed_urls(spark: SparkSession, n: int = SEEDS, seed: int = SEED) -> DataFrame:
-    """(url, verdict) of ``n`` made URLs. Allowed: ordinary words, sometimes a hyphen, short paths. Blocked: pushed words joined by
-    hyphens or padded with digits, addresses as hosts, random hosts, deep paths and long queries. Top-level names, schemes,
-    languages and endings are dealt alike, so that none of these tells the two apart."""
-    rng = random.Random(seed)
-    rows = []
-    for _ in range(n // 2):
-        for bad in (False, True):
-            words = rng.sample(PUSHED if bad else ORDINARY, 2)
-            kind = rng.random()
-            if not bad:
-                host = ("-" if kind < 0.05 else "").join(words[: rng.choice((1, 1, 2))]) + (str(rng.randrange(100)) if kind > 0.97 else "")
-            elif kind < 0.6:
-                host = "-".join(words)
-            elif kind < 0.8:
-                host = "-".join(words) + str(rng.randrange(10, 9999))
-            elif kind < 0.9:
-                host = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randrange(14, 28)))
-            else:
-                host = ".".join(str(rng.randrange(256)) for _ in range(4))
-            host = rng.choice(("", "", "www.", "blog.", "m.")) + host + rng.choice((".com", ".net", ".org", ".example.com", ".example.net", ".example.org"))
-            path = f"/{rng.choice(('en', 'de', 'fr', 'es'))}/{rng.randrange(50_000)}"
-            if bad and rng.random() < 0.2:
-                path += "".join(f"/{rng.choice(PUSHED)}{rng.randrange(999)}" for _ in range(rng.randrange(2, 6)))
-            end = rng.choice(("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"))
-            if bad and rng.random() < 0.2:
-                end = "?" + "&".join(f"{rng.choice('abcdefgh')}{k}={rng.getrandbits(48):x}" for k in range(rng.randrange(4, 9)))
-            rows.append((f"{rng.choice(('http', 'https'))}://{host}{path}{end}", "block" if bad else "allow"))
-    return spark.createDataFrame(rows, "url string, verdict string")
-
-
 def host_of(url: Column) -> Column:
     """What stands after the first :// up to /, ?, # or the end, A-Z lower-cased."""
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3))
@@ -105,18 +72,28 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
+def own_host(host: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """A host without its last label and without any label that a rule's host has; the first label if that leaves none."""
+    spoken = sorted({x for _, rule in rules for x in rule[: rule.index("/")].split(".")})
+    labels = F.split(host, r"\.")
+    kept = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))
+    if spoken:
+        kept = F.filter(kept, lambda x: ~x.isin(*spoken))
+    return F.when(F.size(kept) > 0, F.array_join(kept, ".")).otherwise(F.get(labels, F.lit(0)))
+
+
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "hyphens", "host_digits", "path_digits", "host_entropy", "path_entropy", "parameters", "fragment", "secure", "longest_label", "host_rows", "suffix_rows", "suffix_blocked")
 
 
-def with_features(df: DataFrame, table: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds FEATURES to (url, host, path). ``table``: (host) of all rows to count; ``labels``: (host, blocked) of labelled URLs."""
+def with_features(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """Adds FEATURES to (url, host, path, blocked: 1, 0 or null without a label, served: whether the row counts in statistics of rows)."""
     count = lambda c, x: F.regexp_count(c, F.lit(x)).cast("double")
-    url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
-    suffix = lambda c: F.substring_index(c, ".", -2)
-    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(FOLDS))
-    out = df.withColumns(
+    url = F.coalesce("url", F.lit(""))
+    out = df.withColumns({"_host": own_host(F.col("host"), rules), "_path": F.regexp_replace("path", "^/[^/]*", ""), "_rest": F.regexp_extract(url, r"[?#].*$", 0)})
+    host, path = F.col("_host"), F.col("_path")
+    out = out.withColumns(
         {
-            "length": F.length(url).cast("double"),
+            "length": (F.length(host) + F.length(path) + F.length("_rest")).cast("double"),
             "host_length": F.length(host).cast("double"),
             "path_length": F.length(path).cast("double"),
             "depth": count(path, "/[^/]+"),
@@ -126,25 +103,24 @@ def with_features(df: DataFrame, table: DataFrame, labels: DataFrame) -> DataFra
             "path_digits": ratio(count(path, "[0-9]"), F.length(path)),
             "host_entropy": entropy(host),
             "path_entropy": entropy(path),
-            "parameters": count(F.regexp_extract(url, r"\?([^#]*)", 1), "[^&=]+="),
-            "fragment": F.contains(url, F.lit("#")).cast("double"),
+            "parameters": count(F.regexp_extract("_rest", r"^\?([^#]*)", 1), "[^&=]+="),
+            "fragment": F.contains(F.col("_rest"), F.lit("#")).cast("double"),
             "secure": url.startswith("https://").cast("double"),
             "longest_label": F.array_max(F.transform(F.split(host, r"\."), F.length)).cast("double"),
-            "_suffix": suffix(host),
-            "_fold": fold(host),
+            "_suffix": F.substring_index(host, ".", -1),
+            "_fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)),
         }
     )
-    hosts = staged(table.groupBy("host").agg(F.count("*").alias("n")), "url-hosts")
-    rows = hosts.select("host", F.log1p("n").alias("host_rows"))
-    suffixes = hosts.groupBy(suffix("host").alias("_suffix")).agg(F.log1p(F.sum("n")).alias("suffix_rows"))
-    marks = labels.groupBy(suffix("host").alias("_suffix"), fold("host").alias("_f")).agg(F.sum("blocked").alias("b"), F.count("*").alias("m"))
-    totals = marks.groupBy("_suffix").agg(F.sum("b").alias("b"), F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("_f", F.struct("b", "m")))).alias("by_fold"))
-    suffixes = staged(suffixes.join(totals, "_suffix", "full"), "url-suffixes")
-    out = out.join(small(rows, SMALL), "host", "left").join(small(suffixes, SMALL), "_suffix", "left").fillna(0.0, ["host_rows", "suffix_rows"])
+    out = staged(out.drop("_host", "_path", "_rest"), "url-features")
+    hosts = out.groupBy("host").agg(F.log1p(F.sum(F.col("served").cast("int"))).alias("host_rows"))
+    cells = staged(out.groupBy("_suffix", F.col("_fold").alias("f")).agg(F.sum(F.col("served").cast("int")).alias("n"), F.sum("blocked").alias("b"), F.count("blocked").alias("m")), "url-cells")
+    by_fold = F.map_from_entries(F.collect_list(F.struct("f", F.struct("b", "m"))))
+    suffixes = cells.groupBy("_suffix").agg(F.log1p(F.sum("n")).alias("suffix_rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.sum("m").alias("m"), by_fold.alias("by_fold"))
+    out = out.join(small(hosts, SMALL), "host").join(small(suffixes, SMALL), "_suffix")
     own = F.try_element_at("by_fold", F.col("_fold"))
-    seen, blocked = F.coalesce(F.col("m") - F.coalesce(own["m"], F.lit(0)), F.lit(0)), F.coalesce(F.col("b") - F.coalesce(own["b"], F.lit(0)), F.lit(0))
+    seen, blocked = F.col("m") - F.coalesce(own["m"], F.lit(0)), F.col("b") - F.coalesce(own["b"], F.lit(0))
     # without labels of the suffix a half, to which few labels are drawn
-    return out.withColumn("suffix_blocked", (blocked + 5.0) / (seen + 10.0)).drop("_suffix", "_fold", "b", "m", "by_fold")
+    return out.withColumn("suffix_blocked", (blocked + 5.0) / (seen + 10.0)).drop("_suffix", "b", "m", "by_fold")
 
 
 def train(labelled: DataFrame) -> GBTClassificationModel | None:
@@ -157,22 +133,44 @@ def train(labelled: DataFrame) -> GBTClassificationModel | None:
     return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED).fit(data)
 
 
-def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id_col, host, path, rule, verdict) for each row: the longest rule's verdict, else the trees'. ``labelled``: (url,
-    verdict) to train from, by default seed_urls."""
-    parsed = df.select(field(id_col).alias("id"), field(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    parsed = staged(parsed.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)), "url-parsed")
-    labelled = seed_urls(df.sparkSession) if labelled is None else labelled
-    marked = labelled.where("url IS NOT NULL").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), (F.col("verdict") == "block").cast("int").alias("blocked")).distinct()
-    marked = staged(marked, "url-labelled")
-    features = with_features(parsed, parsed, marked)
-    training = with_features(marked, parsed, marked)
-    model = train(training)
+def probabilities(features: DataFrame, model: GBTClassificationModel | None) -> DataFrame:
+    """Adds p, the trees' chance that a URL is to be blocked; 0 without trees."""
     if model is None:
-        method = features.withColumn("p", F.lit(0.0))
-    else:
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
-        method = model.transform(vectors).withColumn("p", vector_to_array("probability")[1])
+        return features.withColumn("p", F.lit(0.0))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
+    return model.transform(vectors).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def featured(df: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame | None, id_col: str, url_col: str) -> DataFrame:
+    """The rows of ``df`` (served) and of ``labelled`` with their parts, labels and FEATURES."""
+    rows = df.select(field(id_col).alias("id"), field(url_col).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = rows.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumns({"blocked": F.when(F.col("r").isNotNull(), (F.col("r.verdict") == "block").cast("int")), "served": F.lit(True)})
+    if labelled is not None:
+        more = labelled.where("url IS NOT NULL").select("url", "verdict").distinct()
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "r")]
+        more = more.select(none[0], "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), none[1], (F.col("verdict") == "block").cast("int").alias("blocked"), F.lit(False).alias("served"))
+        rows = rows.unionByName(more)
+    return with_features(rows, rules)
+
+
+def held_out_errors(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(fold, n, blocked, wrong_blocks, missed) over the labelled rows: how the trees, fit on the hosts of all other folds, judge
+    those of each fold."""
+    known = staged(featured(df, rules, labelled, id_col, url_col).where("blocked IS NOT NULL"), "url-known")
+    out = None
+    for k in range(FOLDS):
+        judged = probabilities(known.where(F.col("_fold") == k), train(known.where(F.col("_fold") != k))).withColumn("says", F.col("p") >= BLOCK_FROM)
+        one = judged.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.count_if(F.col("blocked") == 1).alias("blocked"), F.count_if((F.col("blocked") == 0) & F.col("says")).alias("wrong_blocks"), F.count_if((F.col("blocked") == 1) & ~F.col("says")).alias("missed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id_col, host, path, rule, verdict, p) for each row: the longest rule's verdict, else the trees'; p is the trees' chance for
+    blocking. ``labelled``: (url, verdict) to train from beside what the rules decide."""
+    features = staged(featured(df, rules, labelled, id_col, url_col), "url-rows")
+    method = probabilities(features.where("served"), train(features.where("blocked IS NOT NULL")))
     blocked = (F.col("p") >= BLOCK_FROM) & (F.col("host") != "")
     verdict = F.coalesce(F.col("r.verdict"), F.when(blocked, "block").otherwise("allow"))
-    return method.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
+    return method.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.round("p", 6).alias("p"))

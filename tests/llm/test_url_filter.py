@@ -1,7 +1,43 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quillspark.llm import url_filter as uf
 
+ORDINARY = "garden river stone market school music letter winter bridge harbor forest cloud paper kitchen museum travel science island village history".split()
+PUSHED = "casino bets win free spam farm cheap pills loan click bonus poker jackpot adult replica deal prize forex slots cash".split()
+
+
+def made_urls(spark, n, seed):
+    """(url, verdict) of ``n`` made URLs. Allowed: ordinary words, sometimes a hyphen, short paths. Blocked: pushed words joined by
+    hyphens or padded with digits, addresses as hosts, random hosts, deep paths and long queries. Top-level names, schemes,
+    languages and endings are dealt alike, so that none of these tells the two apart."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n // 2):
+        for bad in (False, True):
+            words = rng.sample(PUSHED if bad else ORDINARY, 2)
+            kind = rng.random()
+            if not bad:
+                host = ("-" if kind < 0.05 else "").join(words[: rng.choice((1, 1, 2))]) + (str(rng.randrange(100)) if kind > 0.97 else "")
+            elif kind < 0.6:
+                host = "-".join(words)
+            elif kind < 0.8:
+                host = "-".join(words) + str(rng.randrange(10, 9999))
+            elif kind < 0.9:
+                host = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randrange(14, 28)))
+            else:
+                host = ".".join(str(rng.randrange(256)) for _ in range(4))
+            host = rng.choice(("", "", "www.", "blog.", "m.")) + host + rng.choice((".com", ".net", ".org", ".example.com", ".example.net", ".example.org"))
+            path = f"/{rng.choice(('en', 'de', 'fr', 'es'))}/{rng.randrange(50_000)}"
+            if bad and rng.random() < 0.2:
+                path += "".join(f"/{rng.choice(PUSHED)}{rng.randrange(999)}" for _ in range(rng.randrange(2, 6)))
+            end = rng.choice(("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"))
+            if bad and rng.random() < 0.2:
+                end = "?" + "&".join(f"{rng.choice('abcdefgh')}{k}={rng.getrandbits(48):x}" for k in range(rng.randrange(4, 9)))
+            rows.append((f"{rng.choice(('http', 'https'))}://{host}{path}{end}", "block" if bad else "allow"))
+    return spark.createDataFrame(rows, "url string, verdict string")
+
 URLS = [
     None, "", "no scheme.com/en/", "http://", "https://Example.COM/en/", "http://a.example.com/en/1?x=1", "http://www.example.com/en/2", "http://wwwexample.com/en/", "http://x.net/es/", "http://x.net/es",
     "http://net/fr/1#a", "ftp://com/", "http://com", "http://com?a/", "http://x.org/a://b", "http://é.COM/É?q", "http://x.example.com/EN/", "http://b.www.example.com/en/#", "http://x.com/en\n/1", "://com/a",
@@ -42,8 +78,8 @@ def test_hosts_paths_and_rules(spark, sf):
 
 
 def test_held_out_accuracy(spark):
-    made = uf.seed_urls(spark, 3000, seed=1)
-    held = uf.seed_urls(spark, 1000, seed=2).withColumn("page_id", F.monotonically_increasing_id())
+    made = made_urls(spark, 3000, 1)
+    held = made_urls(spark, 1000, 2).withColumn("page_id", F.monotonically_increasing_id())
     got = uf.judge_urls(held, rules=(), labelled=made).alias("g").join(held.alias("h"), "page_id").select(F.col("g.verdict").alias("got"), F.col("h.verdict").alias("want")).collect()
     right = sum(r["got"] == r["want"] for r in got) / len(got)
     wrong = sum(r["got"] == "block" and r["want"] == "allow" for r in got) / len(got)
@@ -58,5 +94,28 @@ def test_entropy(spark):
 def test_no_labels_and_empty(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     none = spark.createDataFrame([], "url string, verdict string")
-    assert {r["verdict"] for r in uf.judge_urls(df, labelled=none).where("rule IS NULL").collect()} == {"allow"}
+    assert {r["verdict"] for r in uf.judge_urls(df, rules=(), labelled=none).collect()} == {"allow"}
+    assert {r["verdict"] for r in uf.judge_urls(df, rules=(("allow", "com/"),)).collect()} == {"allow"}
     assert uf.judge_urls(df.where("false")).count() == 0
+
+
+def test_trees_learn_from_rules_what_rules_do_not_say(spark):
+    """Hosts of pushed words are blocked by place under one ending; under another, where no rule holds, the trees find them."""
+    made = made_urls(spark, 2000, 3).select(F.regexp_replace("url", r"\.(com|net|org)/", F.when(F.col("verdict") == "block", ".bad/").otherwise(".good/")).alias("url"))
+    held = made_urls(spark, 600, 4).select(F.regexp_replace("url", r"\.(com|net|org)/", ".new/").alias("url"), "verdict")
+    rows = made.unionByName(held.select("url")).withColumn("page_id", F.monotonically_increasing_id())
+    got = uf.judge_urls(rows, rules=(("block", "bad/"), ("allow", "good/"))).where("rule IS NULL").select("host", "path", "verdict").distinct()
+    want = held.select(uf.host_of(F.col("url")).alias("host"), uf.path_of(F.col("url")).alias("path"), F.col("verdict").alias("want")).distinct()
+    both = got.join(want, ["host", "path"]).collect()
+    assert len(both) > 500 and sum(r["verdict"] == r["want"] for r in both) > 0.9 * len(both)
+
+
+def test_features_leave_out_what_rules_speak_of(spark):
+    df = spark.createDataFrame([(1, "http://a.b.example.com/en/1?x=1"), (2, "http://a.b.example.org/fr/1?x=1")], "page_id long, url string")
+    got = uf.featured(df, (), None, "page_id", "url").collect()
+    assert all(got[0][c] == got[1][c] for c in uf.FEATURES if c not in ("host_rows",))
+
+
+def test_held_out_errors_by_host(spark, sf):
+    got = uf.held_out_errors(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    assert len(got) == uf.FOLDS and all(0 <= r["wrong_blocks"] + r["missed"] <= r["n"] for r in got)
