@@ -1,4 +1,4 @@
-"""Operators that carry something from row to row, in batch form. ``streaming`` has their continuous twins."""
+"""Operators that carry something from row to row, in batch form; ``streaming.twins`` has the continuous ones."""
 
 from __future__ import annotations
 
@@ -20,20 +20,22 @@ DAY_MICROS = 86_400_000_000
 
 def sum_before(df: DataFrame, by: str, ts: str, tie: str, value: str, seconds: int = 60) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the earlier rows of the group. Sums of time slices add up first, so that a
-    group of any size is spread over as many tasks as it has slices."""
+    group of any size is spread over as many tasks as it has slices. A null group is a group, rows without a time come first."""
     cut = df.withColumn("_slice", F.floor(F.unix_timestamp(ts) / seconds))
     sums = cut.groupBy(by, "_slice").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(by, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(by, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(starts, [by, "_slice"])
-    return out.withColumn("before", F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_slice", "_start")
+    starts = starts.select(F.col(by).alias("_by"), F.col("_slice").alias("_at"), "_start")
+    out = cut.join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_slice").eqNullSafe(F.col("_at")))
+    return out.withColumn("before", F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_slice", "_start", "_by", "_at")
 
 
 def within_daily_budget(requests: DataFrame, ts: str, tie: str, units: str, limit: int = int(DAILY * SHARE)) -> DataFrame:
     """Adds day, before (units reserved earlier that UTC day) and allowed. A refused request adds nothing, and as units are
-    never negative all later ones are refused too, so the sum over all earlier rows decides."""
-    dated = requests.withColumn("day", F.to_date(ts))
+    never negative all later ones are refused too, so the sum over all earlier rows decides. Negative units are an error."""
+    fine = F.when(F.col(units) < 0, F.raise_error(F.lit("units must not be negative"))).otherwise(F.col(units))
+    dated = requests.withColumn("day", F.to_date(ts)).withColumn(units, fine)
     return sum_before(dated, "day", ts, tie, units).withColumn("allowed", F.col("before") < limit)
 
 
@@ -100,14 +102,40 @@ def latest(rows: DataFrame, key: str, generation: str) -> DataFrame:
 
 def reachable(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): what the entries (node) reach over the edges (src, dst), themselves included. A round for each step of the
-    longest way; each frontier is a table in the shared folder."""
+    longest way; each frontier is a table in the shared folder, and every eighth round so is all that is seen, so plans stay
+    short."""
     seen = frontier = staged(entries.select("node").distinct(), "reach")
+    rounds = 0
     while True:
         ahead = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = staged(ahead.join(seen, "node", "left_anti"), "reach")
         if frontier.isEmpty():
             return seen
+        rounds += 1
         seen = seen.unionByName(frontier)
+        seen = staged(seen, "reach-seen") if rounds % 8 == 0 else seen
+
+
+def split_by_reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, reached) of the nodes (node, entry, file): whether a file is reached from an entry over the edges (src, dst); a file that
+    several nodes have is reached if one is. Raises for an edge whose target isn't a node."""
+    lost = missing_targets(nodes, edges).limit(1).count()
+    if lost:
+        raise ValueError("an edge leads to no node")
+    found = reachable(nodes.where("entry").select("node"), edges).withColumn("_hit", F.lit(1))
+    return nodes.join(found, "node", "left").groupBy("file").agg(F.coalesce(F.max("_hit"), F.lit(0)).cast("boolean").alias("reached"))
+
+
+def written(state: DataFrame, writes: DataFrame) -> DataFrame:
+    """Optimistic writes: (key, generation, value, conflict) from the state (key, generation, value) and writes (key, generation, value),
+    at most one taken for each key: a write counts if its generation is the state's (0 for a new key), of several the least
+    value; then the generation goes up by one. conflict tells whether a write of the key came too late or lost."""
+    now = state.select("key", F.col("generation").alias("_g"), F.col("value").alias("_v"))
+    joined = writes.join(now, "key", "full")
+    fits = F.col("generation") == F.coalesce("_g", F.lit(0))
+    out = joined.groupBy("key").agg(F.max("_g").alias("_g"), F.max("_v").alias("_v"), F.min(F.when(fits, F.col("value"))).alias("_new"), F.count_if(F.col("generation").isNotNull()).alias("_n"), F.count_if(fits).alias("_ok"))
+    taken = F.col("_ok") > 0
+    return out.select("key", (F.coalesce("_g", F.lit(0)) + taken.cast("int")).cast("long").alias("generation"), F.when(taken, F.col("_new")).otherwise(F.col("_v")).alias("value"), (F.col("_n") > taken.cast("int")).alias("conflict"))
 
 
 def missing_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,18 +6,25 @@ that a person hasn't given; a null path hides what is for listed paths alone and
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.decisions import alarm_trigger
+from ..functions.text import calendar_escaped
+
 #: Days left at which a firm task counts as closing. Fixed values, like those below.
 CLOSING = 30
 #: Days for which a task that closed, or that opened, is news.
 NEWS = 14
 #: Starts of all phases but the first, in days from the anchor.
 PHASES = (-540, -365, -180, -90, 0)
+LAST_PHASE_END = 730
+#: Seconds of 2000-01-01, from which versions of calendars count.
+VERSION_EPOCH = 946_684_800
 FIRM_ALARMS, SOFT_ALARMS = (30, 7, 1), (7,)
 GROUPS = ("late", "closing", "after", "closed", "opened")
 DEFINITION = ("ord long", "task string", "kind string", "from_leaving boolean", "finish_before string", "first int", "last int", "aim int", "final int", "only array<string>", "never array<string>", "path string", "path_last int")
@@ -83,6 +90,47 @@ def with_status(rows: DataFrame, today: Column) -> DataFrame:
     return rows.withColumns({"status": status, "phase": phase})
 
 
+def shown_end(today: Column) -> Column:
+    """The last day that is shown: once the anchor is past, the official one of what didn't fit."""
+    return F.when(F.col("cannot_fit") & (today > F.col("anchor")), F.col("official_end")).otherwise(F.col("end"))
+
+
+def with_countdown(rows: DataFrame, today: Column) -> DataFrame:
+    """Adds what goes with a status: shown_last, days_left to the next firm edge, closed_on, aim (soft tasks), left and left_opened
+    (what had to wait and is past), aim_lapsed, until_shown (a snooze ends with a pulled-in window) and snooze_closed."""
+    s, soft, last = F.col("status"), F.col("kind") == "soft", shown_end(today)
+    fits = F.col("fitted") & ~F.col("cannot_fit")
+    left = (s == "after-you-leave") & (today > F.col("end"))
+    return rows.withColumns(
+        {
+            "shown_last": last,
+            "days_left": F.when(s == "closing-soon", F.date_diff(last, today)).when(s == "changed", F.date_diff("final_end", today)),
+            "closed_on": F.when((s == "closed") & (F.col("kind") == "required"), F.col("anchor")),
+            "aim": F.when(soft, F.when(F.col("target") >= today, F.col("target")).otherwise(last)),
+            "left": left,
+            "left_opened": left & (today >= F.col("start")),
+            "aim_lapsed": (s == "still-to-do") & (today > F.col("anchor")) & (last <= F.col("anchor")),
+            "until_shown": F.when(s == "snoozed", F.when(fits, F.least("until", "end")).otherwise(F.col("until"))),
+            "snooze_closed": F.coalesce((F.col("stored") == "snoozed") & (F.col("until") > today) & fits & (today >= F.col("end")) & ~s.isin("done", "skipped"), F.lit(False)),
+        }
+    )
+
+
+def phase_summary(rows: DataFrame, person: str, today: Column) -> DataFrame:
+    """(person, phase, done, skipped, snoozed, closed, to_do, collapsible, marker) for each phase that has tasks: collapsible if nothing
+    in it is left to act on or just closed; marker is where today stands among the person's phases, counted from 0."""
+    s = F.col("status")
+    over = F.when(F.col("kind") == "required", F.col("anchor")).otherwise(F.coalesce("final_end", shown_end(today)))
+    news = (s == "closed") & (F.date_diff(today, over) <= NEWS)
+    kinds = ("done", "skipped", "snoozed", "closed")
+    counts = [F.count_if(s == k).alias(k) for k in kinds]
+    out = rows.groupBy(person, "phase").agg(*counts, F.count_if(~s.isin(*kinds)).alias("to_do"), F.count_if(news).alias("_news"), F.min("anchor").alias("_anchor"))
+    ends = F.element_at(F.array(*[F.lit(x) for x in (*PHASES, LAST_PHASE_END)]), (F.col("phase") + 1).cast("int"))
+    past = (ends <= F.date_diff(today, "_anchor")).cast("long")
+    out = out.withColumn("collapsible", (F.col("to_do") == 0) & (F.col("snoozed") == 0) & (F.col("_news") == 0))
+    return out.withColumn("marker", F.sum(past).over(Window.partitionBy(person))).drop("_news", "_anchor")
+
+
 def tally(rows: DataFrame, person: str) -> DataFrame:
     """How many tasks of each person are done, skipped, snoozed, closed and to do."""
     kinds = {"done": "done", "skipped": "skipped", "snoozed": "snoozed", "closed": "closed"}
@@ -91,9 +139,11 @@ def tally(rows: DataFrame, person: str) -> DataFrame:
 
 
 def needs_now(rows: DataFrame, person: str, today: Column) -> DataFrame:
-    """The tasks that want attention, each once: group (see GROUPS) and nth within the person, by group, target and order."""
+    """The tasks that want attention, each once: group (see GROUPS) and nth within the person, by group (of what must wait until
+    after leaving, first what isn't past), target and order."""
     s, soft = F.col("status"), F.col("kind") == "soft"
-    over = F.coalesce("final_end", F.when(F.col("cannot_fit"), F.col("official_end")).otherwise(F.col("end")))
+    over = F.when(F.col("kind") == "required", F.col("anchor")).otherwise(F.coalesce("final_end", shown_end(today)))
+    left = (s == "after-you-leave") & (today > F.col("end"))
     group = (
         F.when(s == "late", 0)
         .when(s == "closing-soon", 1)
@@ -103,7 +153,7 @@ def needs_now(rows: DataFrame, person: str, today: Column) -> DataFrame:
         .when((s == "start-now") & (F.date_diff(today, "start") < NEWS), 4)
     )
     out = rows.withColumn("_g", group).where("_g IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy(person).orderBy("_g", "target", "ord")).cast("long")
+    nth = F.row_number().over(Window.partitionBy(person).orderBy("_g", left.cast("int"), "target", "ord")).cast("long")
     return out.withColumn("nth", nth).withColumn("group", F.element_at(F.array(*map(F.lit, GROUPS)), F.col("_g") + 1)).drop("_g")
 
 
@@ -116,20 +166,29 @@ def next_task(rows: DataFrame, person: str) -> DataFrame:
     return rows.where(rank.isNotNull()).groupBy(person).agg(F.min(F.struct(rank.alias("rank"), when.alias("when"), "ord", "task", "status")).alias("n")).select(person, "n.task", "n.status", "n.when")
 
 
-def desired_events(rows: DataFrame, today: Column) -> DataFrame:
-    """Rows times their events: moment, date and alarms (days before), on or after today; alarms that are still ahead."""
+#: What stands before a task in the title of its event. Fixed values.
+TITLES = {"opens": "Start: ", "changes": "Changes: ", "last": "Last day: ", "aim": "Aim for: ", "leave": "Before you leave: "}
+
+
+def desired_events(rows: DataFrame, today: Column, excluded: Column | None = None) -> DataFrame:
+    """Rows times their events: moment, title, date and alarms (days before), on or after today; alarms that are still ahead. Done and
+    skipped tasks have none, nor have those that are ``excluded`` (an expression: by task, by category, or kept off calendars)."""
     firm, soft = F.array(*map(F.lit, FIRM_ALARMS)), F.array(*map(F.lit, SOFT_ALARMS))
-    is_soft, away = F.col("kind") == "soft", F.col("status") == "after-you-leave"
-    event = lambda moment, date, alarms: F.struct(F.lit(moment).alias("moment"), date.alias("date"), alarms.alias("alarms"))
+    is_soft, away, last = F.col("kind") == "soft", F.col("status") == "after-you-leave", shown_end(today)
+    event = lambda moment, date, alarms: F.struct(F.lit(moment).alias("moment"), F.concat(F.lit(TITLES[moment]), "task").alias("title"), date.alias("date"), alarms.alias("alarms"))
     none = F.array().cast("array<int>")
+    aim = F.when(F.col("target") >= today, F.col("target")).otherwise(last)
+    asleep = F.when(F.col("fitted") & ~F.col("cannot_fit"), F.least("until", "end")).otherwise(F.col("until"))
     events = F.array(
-        F.when(away, event("leave", F.col("end"), F.when(is_soft, soft).otherwise(firm))),
-        F.when(~away & is_soft, event("aim", F.when(F.col("status") == "snoozed", F.col("until")).otherwise(F.col("target")), soft)),
+        F.when(away, event("leave", last, F.when(is_soft, soft).otherwise(firm))),
+        F.when(~away & is_soft, event("aim", F.when(F.col("status") == "snoozed", asleep).otherwise(aim), soft)),
         F.when(~away & ~is_soft & (F.col("start") > today), event("opens", F.col("start"), none)),
-        F.when(~away & ~is_soft & F.col("final_end").isNotNull(), event("changes", F.col("end"), firm)),
-        F.when(~away & ~is_soft, event("last", F.coalesce("final_end", "end"), firm)),
+        F.when(~away & ~is_soft & F.col("final_end").isNotNull(), event("changes", last, firm)),
+        F.when(~away & ~is_soft, event("last", F.coalesce(F.col("final_end"), last), firm)),
     )
-    out = rows.where(~F.col("status").isin("done", "skipped")).withColumn("_e", F.explode(F.array_compact(events))).select("*", "_e.*").drop("_e")
+    wanted = rows.where(~F.col("status").isin("done", "skipped"))
+    wanted = wanted if excluded is None else wanted.where(~F.coalesce(excluded, F.lit(False)))
+    out = wanted.withColumn("_e", F.explode(F.array_compact(events))).select("*", "_e.*").drop("_e")
     ahead = F.filter("alarms", lambda d: F.date_sub(F.col("date"), d) > today)
     return out.where(F.col("date") >= today).withColumn("alarms", ahead)
 
@@ -173,8 +232,10 @@ def shown_day(day: Column) -> Column:
     return F.date_format(day, "MMM d, yyyy")
 
 
-def event_uid(task: Column, host: str = "plan.example") -> Column:
-    return F.concat(F.sha2(task, 256), F.lit(f"@{host}"))
+def event_uid(task: Column, moment: Column, host: str = "plan.example") -> Column:
+    """A calendar's name for an event: the task's for its last day, aim or leave, else of task and moment."""
+    key = F.when(moment.isin("last", "aim", "leave"), task).otherwise(F.concat(task, F.lit(":"), moment))
+    return F.concat(F.sha2(key, 256), F.lit(f"@{host}"))
 
 
 def folded_line(line: Column, octets: int = 75) -> Column:
@@ -198,10 +259,20 @@ def folded_line(line: Column, octets: int = 75) -> Column:
     return F.pandas_udf(fold, "string")(line)
 
 
-def calendar(events: DataFrame, person: str) -> DataFrame:
-    """(person, text): an iCalendar text of the person's events in the order of date, task and moment; lines unfolded."""
-    stamp = F.date_format("date", "yyyyMMdd")
-    alarms = F.array_join(F.transform("alarms", lambda d: F.concat(F.lit("BEGIN:VALARM\r\nTRIGGER:-P"), d.cast("string"), F.lit("D\r\nACTION:DISPLAY\r\nEND:VALARM\r\n"))), "")
-    body = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), F.substring(F.sha2(F.concat_ws("/", "task", "moment"), 256), 1, 32), F.lit("\r\nDTSTART;VALUE=DATE:"), stamp, F.lit("\r\nSUMMARY:"), F.col("task"), F.lit(" ("), F.col("moment"), F.lit(")\r\n"), alarms, F.lit("END:VEVENT\r\n"))
-    listed = events.select(person, F.struct("date", "task", "moment", body.alias("body")).alias("e")).groupBy(person).agg(F.array_sort(F.collect_list("e")).alias("e"))
-    return listed.select(person, F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), F.array_join("e.body", ""), F.lit("END:VCALENDAR\r\n")).alias("text"))
+def calendar(events: DataFrame, person: str, now: dt.datetime, product: str = "-//Quillspark//Plans//EN") -> DataFrame:
+    """(person, text): an iCalendar text of the person's events (task, moment, title, date, alarms) in the order of date, task and
+    moment, made at ``now`` (UTC); alarms at nine o'clock, lines folded, values escaped. A calendar is one row, as a plan has few
+    events."""
+    sequence = int(now.replace(tzinfo=dt.UTC).timestamp()) - VERSION_EPOCH
+    title = calendar_escaped(F.col("title"))
+    line = lambda name, value: folded_line(F.concat(F.lit(f"{name}:"), value))
+    lined = events.select(person, "date", "task", "moment", "alarms", line("UID", event_uid(F.col("task"), F.col("moment"))).alias("uid"), line("SUMMARY", title).alias("summary"), line("DESCRIPTION", title).alias("description"))
+    end = "\r\n"
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    alarm = lambda d: F.concat(F.lit(f"BEGIN:VALARM{end}ACTION:DISPLAY{end}"), F.col("description"), F.lit(f"{end}TRIGGER:"), alarm_trigger(d), F.lit(f"{end}END:VALARM{end}"))
+    body = F.concat(
+        F.lit(f"BEGIN:VEVENT{end}"), F.col("uid"), F.lit(f"{end}DTSTAMP:{now:%Y%m%dT%H%M%SZ}{end}SEQUENCE:{sequence}{end}DTSTART;VALUE=DATE:"), day("date"),
+        F.lit(f"{end}DTEND;VALUE=DATE:"), day(F.date_add("date", 1)), F.lit(end), F.col("summary"), F.lit(end), F.array_join(F.transform("alarms", alarm), ""), F.lit(f"END:VEVENT{end}"),
+    )
+    listed = lined.select(person, F.struct("date", "task", "moment", body.alias("body")).alias("e")).groupBy(person).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return listed.select(person, F.concat(F.lit(f"BEGIN:VCALENDAR{end}VERSION:2.0{end}PRODID:{product}{end}CALSCALE:GREGORIAN{end}"), F.array_join("e.body", ""), F.lit(f"END:VCALENDAR{end}")).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +73,8 @@ def next_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str, today: str = TODAY) -> DataFrame:
-    return T.desired_events(_plans(spark, sf_dir, today), F.lit(today).cast("date")).select("person", "task", "moment", "date", "alarms")
+    excluded = (F.col("task") == "insure the house") & (F.col("person") % 8 == 0)
+    return T.desired_events(_plans(spark, sf_dir, today), F.lit(today).cast("date"), excluded).select("person", "task", "moment", "title", "date", "alarms")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +90,21 @@ def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record of a hundred days before, brought up to today."""
     day = F.lit(TODAY).cast("date")
-    old = _events(spark, sf_dir, "2000-02-22").drop("alarms").withColumn("added_on", F.lit("2000-02-22").cast("date"))
-    return T.merged_record(old, _events(spark, sf_dir).drop("alarms"), day, day)
+    old = _events(spark, sf_dir, "2000-02-22").drop("alarms", "title").withColumn("added_on", F.lit("2000-02-22").cast("date"))
+    return T.merged_record(old, _events(spark, sf_dir).drop("alarms", "title"), day, day)
 
 
 def calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.calendar(_events(spark, sf_dir), "person").select("person", F.sha2("text", 256).alias("digest"))
+    return T.calendar(_events(spark, sf_dir), "person", dt.datetime(2000, 6, 1, 12)).select("person", F.sha2("text", 256).alias("digest"))
+
+
+def countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.with_countdown(_plans(spark, sf_dir), F.lit(TODAY).cast("date"))
+    return rows.select("person", "task", "shown_last", F.col("days_left").cast("long").alias("days_left"), "closed_on", "aim", "left", "left_opened", "aim_lapsed", "until_shown", "snooze_closed")
+
+
+def phase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.phase_summary(_plans(spark, sf_dir), "person", F.lit(TODAY).cast("date"))
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +114,7 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", T.strict_day(F.col("text")).alias("day"), T.day_fault(F.col("text")).alias("fault"), T.shown_day(T.strict_day(F.col("text"))).alias("shown"))
 
 
-QUERIES = {f"timeline_{f.__name__}": f for f in (projection, persona, tallies, phases, needs_now, next_task, events, stale, record, calendars, days)}
+QUERIES = {f"timeline_{f.__name__}": f for f in (projection, persona, tallies, phases, needs_now, next_task, events, stale, record, calendars, countdown, phase_summary, days)}
 
 
 def _value(v) -> str:
@@ -134,25 +146,30 @@ plans{suffix} AS (SELECT *, CASE WHEN k = 0 THEN 'done' WHEN k = 1 THEN 'skipped
 def _events_sql(today: str, suffix: str = "") -> str:
     day = f"DATE '{today}'"
     return f"""{_plan_sql(today, suffix)},
-ev{suffix} AS (SELECT person, task, 'leave' AS moment, end_ AS date, CASE WHEN kind = 'soft' THEN [7] ELSE [30, 7, 1] END AS al FROM plans{suffix} WHERE status = 'after-you-leave'
-  UNION ALL SELECT person, task, 'aim', CASE WHEN status = 'snoozed' THEN until ELSE target END, [7] FROM plans{suffix} WHERE kind = 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave')
-  UNION ALL SELECT person, task, 'opens', start, [] FROM plans{suffix} WHERE kind <> 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave') AND start > {day}
-  UNION ALL SELECT person, task, 'changes', end_, [30, 7, 1] FROM plans{suffix} WHERE kind <> 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave') AND final_end IS NOT NULL
-  UNION ALL SELECT person, task, 'last', coalesce(final_end, end_), [30, 7, 1] FROM plans{suffix} WHERE kind <> 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave')),
+pl{suffix} AS (SELECT *, CASE WHEN cannot_fit AND {day} > anchor THEN official_end ELSE end_ END AS shown FROM plans{suffix} WHERE NOT (task = 'insure the house' AND person % 8 = 0)),
+ev{suffix} AS (SELECT person, task, 'leave' AS moment, shown AS date, CASE WHEN kind = 'soft' THEN [7] ELSE [30, 7, 1] END AS al FROM pl{suffix} WHERE status = 'after-you-leave'
+  UNION ALL SELECT person, task, 'aim', CASE WHEN status = 'snoozed' THEN CASE WHEN fitted AND NOT cannot_fit THEN least(until, end_) ELSE until END WHEN target >= {day} THEN target ELSE shown END, [7] FROM pl{suffix} WHERE kind = 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave')
+  UNION ALL SELECT person, task, 'opens', start, [] FROM pl{suffix} WHERE kind <> 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave') AND start > {day}
+  UNION ALL SELECT person, task, 'changes', shown, [30, 7, 1] FROM pl{suffix} WHERE kind <> 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave') AND final_end IS NOT NULL
+  UNION ALL SELECT person, task, 'last', coalesce(final_end, shown), [30, 7, 1] FROM pl{suffix} WHERE kind <> 'soft' AND status NOT IN ('done', 'skipped', 'after-you-leave')),
 events_of{suffix} AS (SELECT person, task, moment, date, list_filter(al, lambda x: date - x > {day}) AS alarms FROM ev{suffix} WHERE date >= {day})"""
 
 
 _PLANS, _NOW, _OLD = f"WITH {_PEOPLE}, {_plan_sql(TODAY)}", f"WITH {_PEOPLE}, {_events_sql(TODAY)}", _events_sql("2000-02-22", "_old")
+_TITLE = "CASE moment " + " ".join(f"WHEN '{m}' THEN '{t}'" for m, t in T.TITLES.items()) + " END || task"
+_END = "chr(13), chr(10)"
 ORACLES = {
     "timeline_projection": f'{_PLANS} SELECT person, task, start, end_ AS "end", target, fitted, cannot_fit, by_date, status, phase, off AS "offset" FROM plans',
     "timeline_persona": f"WITH {_PEOPLE} SELECT person, way, anchor, terminal, placement, unused FROM people",
     "timeline_tallies": f"{_PLANS} SELECT person, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'snoozed') AS snoozed, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status NOT IN ('done', 'skipped', 'snoozed', 'closed')) AS to_do FROM plans GROUP BY person",
     "timeline_phases": f"{_PLANS} SELECT phase, status, count(*) AS n FROM plans GROUP BY phase, status",
-    "timeline_needs_now": f"{_PLANS}, n AS (SELECT *, CASE WHEN status = 'late' THEN 'late' WHEN status = 'closing-soon' OR status = 'changed' AND final_end - DATE '{TODAY}' <= 30 THEN 'closing' WHEN status = 'after-you-leave' AND kind <> 'soft' THEN 'after' WHEN status = 'closed' AND DATE '{TODAY}' - coalesce(final_end, judged) <= 14 THEN 'closed' WHEN status = 'start-now' AND DATE '{TODAY}' - start < 14 THEN 'opened' END AS g FROM plans) SELECT person, row_number() OVER (PARTITION BY person ORDER BY list_position(['late', 'closing', 'after', 'closed', 'opened'], g), target, ord) AS nth, g AS \"group\", task FROM n WHERE g IS NOT NULL",
+    "timeline_needs_now": f"{_PLANS}, n AS (SELECT *, CASE WHEN status = 'late' THEN 'late' WHEN status = 'closing-soon' OR status = 'changed' AND final_end - DATE '{TODAY}' <= 30 THEN 'closing' WHEN status = 'after-you-leave' AND kind <> 'soft' THEN 'after' WHEN status = 'closed' AND DATE '{TODAY}' - CASE WHEN kind = 'required' THEN anchor ELSE coalesce(final_end, judged) END <= 14 THEN 'closed' WHEN status = 'start-now' AND DATE '{TODAY}' - start < 14 THEN 'opened' END AS g FROM plans) SELECT person, row_number() OVER (PARTITION BY person ORDER BY list_position(['late', 'closing', 'after', 'closed', 'opened'], g), status = 'after-you-leave' AND DATE '{TODAY}' > end_, target, ord) AS nth, g AS \"group\", task FROM n WHERE g IS NOT NULL",
     "timeline_next_task": f"{_PLANS}, n AS (SELECT *, CASE WHEN status IN ('late', 'closing-soon', 'changed', 'start-now') THEN 0 WHEN status = 'still-to-do' THEN 1 WHEN status = 'upcoming' THEN 2 WHEN status = 'snoozed' THEN 3 END AS x FROM plans), m AS (SELECT *, CASE WHEN x = 2 THEN start ELSE target END AS w FROM n WHERE x IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY x, w, ord) AS i FROM m) SELECT person, task, status, w AS \"when\" FROM o WHERE i = 1",
-    "timeline_events": f"{_NOW} SELECT person, task, moment, date, array_to_string(alarms, ',') AS alarms FROM events_of",
+    "timeline_events": f"{_NOW} SELECT person, task, moment, {_TITLE} AS title, date, array_to_string(alarms, ',') AS alarms FROM events_of",
     "timeline_stale": f"{_NOW}, {_OLD}, o AS (SELECT person, task, moment, date + (person % 5 = 0)::INT AS date FROM events_of_old) SELECT person, task, moment, date FROM o WHERE date > DATE '{TODAY}' AND NOT EXISTS (SELECT 1 FROM events_of e WHERE (e.person, e.task, e.moment, e.date) = (o.person, o.task, o.moment, o.date))",
     "timeline_record": f"{_NOW}, {_OLD} SELECT person, task, moment, date, DATE '2000-02-22' AS added_on FROM events_of_old WHERE date >= DATE '{TODAY}' UNION ALL SELECT person, task, moment, date, DATE '{TODAY}' FROM events_of e WHERE NOT EXISTS (SELECT 1 FROM events_of_old o WHERE (e.person, e.task, e.moment, e.date) = (o.person, o.task, o.moment, o.date))",
-    "timeline_calendars": f"{_NOW}, t AS (SELECT person, date, task, moment, concat('BEGIN:VEVENT', chr(13), chr(10), 'UID:', left(sha256(task || '/' || moment), 32), chr(13), chr(10), 'DTSTART;VALUE=DATE:', strftime(date, '%Y%m%d'), chr(13), chr(10), 'SUMMARY:', task, ' (', moment, ')', chr(13), chr(10), array_to_string(list_transform(alarms, lambda d: concat('BEGIN:VALARM', chr(13), chr(10), 'TRIGGER:-P', d, 'D', chr(13), chr(10), 'ACTION:DISPLAY', chr(13), chr(10), 'END:VALARM', chr(13), chr(10))), ''), 'END:VEVENT', chr(13), chr(10)) AS body FROM events_of) SELECT person, sha256(concat('BEGIN:VCALENDAR', chr(13), chr(10), 'VERSION:2.0', chr(13), chr(10), string_agg(body, '' ORDER BY date, task, moment), 'END:VCALENDAR', chr(13), chr(10))) AS digest FROM t GROUP BY person",
+    "timeline_calendars": f"{_NOW}, k AS (SELECT *, {_TITLE} AS title, 'UID:' || sha256(CASE WHEN moment IN ('last', 'aim', 'leave') THEN task ELSE task || ':' || moment END) || '@plan.example' AS u FROM events_of), t AS (SELECT person, date, task, moment, concat('BEGIN:VEVENT', {_END}, left(u, 75), {_END}, ' ', substr(u, 76), {_END}, 'DTSTAMP:20000601T120000Z', {_END}, 'SEQUENCE:13176000', {_END}, 'DTSTART;VALUE=DATE:', strftime(date, '%Y%m%d'), {_END}, 'DTEND;VALUE=DATE:', strftime(date + 1, '%Y%m%d'), {_END}, 'SUMMARY:', title, {_END}, array_to_string(list_transform(alarms, lambda d: concat('BEGIN:VALARM', {_END}, 'ACTION:DISPLAY', {_END}, 'DESCRIPTION:', title, {_END}, 'TRIGGER:', CASE WHEN d = 1 THEN '-PT15H' ELSE '-P' || (d - 1) || 'DT15H' END, {_END}, 'END:VALARM', {_END})), ''), 'END:VEVENT', {_END}) AS body FROM k) SELECT person, sha256(concat('BEGIN:VCALENDAR', {_END}, 'VERSION:2.0', {_END}, 'PRODID:-//Quillspark//Plans//EN', {_END}, 'CALSCALE:GREGORIAN', {_END}, string_agg(body, '' ORDER BY date, task, moment), 'END:VCALENDAR', {_END})) AS digest FROM t GROUP BY person",
+    "timeline_countdown": f"{_PLANS}, cd AS (SELECT *, CASE WHEN cannot_fit AND DATE '{TODAY}' > anchor THEN official_end ELSE end_ END AS shown, status = 'after-you-leave' AND DATE '{TODAY}' > end_ AS gone FROM plans) SELECT person, task, shown AS shown_last, CASE status WHEN 'closing-soon' THEN shown - DATE '{TODAY}' WHEN 'changed' THEN final_end - DATE '{TODAY}' END AS days_left, CASE WHEN status = 'closed' AND kind = 'required' THEN anchor END AS closed_on, CASE WHEN kind = 'soft' THEN CASE WHEN target >= DATE '{TODAY}' THEN target ELSE shown END END AS aim, gone AS \"left\", gone AND DATE '{TODAY}' >= start AS left_opened, status = 'still-to-do' AND DATE '{TODAY}' > anchor AND shown <= anchor AS aim_lapsed, CASE WHEN status = 'snoozed' THEN CASE WHEN fitted AND NOT cannot_fit THEN least(until, end_) ELSE until END END AS until_shown, k = 2 AND until > DATE '{TODAY}' AND fitted AND NOT cannot_fit AND DATE '{TODAY}' >= end_ AS snooze_closed FROM cd",
+    "timeline_phase_summary": f"{_PLANS}, p AS (SELECT person, phase, min(anchor) AS anchor, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'snoozed') AS snoozed, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status NOT IN ('done', 'skipped', 'snoozed', 'closed')) AS to_do, count(*) FILTER (status = 'closed' AND DATE '{TODAY}' - CASE WHEN kind = 'required' THEN anchor ELSE coalesce(final_end, judged) END <= 14) AS news FROM plans GROUP BY person, phase) SELECT person, phase, done, skipped, snoozed, closed, to_do, to_do = 0 AND snoozed = 0 AND news = 0 AS collapsible, (sum(([-540, -365, -180, -90, 0, 730][phase + 1] <= DATE '{TODAY}' - anchor)::INT) OVER (PARTITION BY person))::BIGINT AS marker FROM p",
     "timeline_days": "WITH t AS (SELECT o_orderkey, concat_ws('-', (o_orderkey % 400 + 1850)::VARCHAR, lpad((o_orderkey % 14)::VARCHAR, 2, '0'), CASE WHEN o_orderkey % 50 = 0 THEN (o_orderkey % 33)::VARCHAR ELSE lpad((o_orderkey % 33)::VARCHAR, 2, '0') END) AS text FROM orders), f AS (SELECT *, CASE WHEN NOT regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'format' WHEN left(text, 4)::INT NOT BETWEEN 1900 AND 2200 THEN 'year' WHEN text[6:7]::INT NOT BETWEEN 1 AND 12 THEN 'month' WHEN try_cast(text AS DATE) IS NULL THEN 'day' END AS fault FROM t) SELECT o_orderkey, CASE WHEN fault IS NULL THEN text::DATE END AS day, fault, CASE WHEN fault IS NULL THEN strftime(text::DATE, '%b %-d, %Y') END AS shown FROM f",
 }
