@@ -10,7 +10,8 @@ from 3/4 on. Pairs that no pivot links are found by the exact second step of ``n
 shared prefix tokens, of other components alone. Components of the links are clusters, those of all pairs of different lines.
 Of a cluster the occurrence with the least id and place stays.
 
-A window that doesn't stand in a line to be removed is held against the first and the second place of its class. Windows of one document that lie equally far from such places
+A window that doesn't stand in a line to be removed is held against the place before it in its document, or else the first and the
+second place of its class. Windows of one document that lie equally far from such places
 in one other document are one run as far as they adjoin. A run is then widened to both sides over at most ``REACH`` words
 that its first place has too: to where matches less ``MISS`` for each other word add up to most, so a changed word inside a
 passage doesn't end it while four fifths of what is added agree at least. Runs of ``MIN_RUN`` words or more count.
@@ -223,10 +224,14 @@ def runs_of(texts: DataFrame, windows: DataFrame, removed: DataFrame) -> DataFra
     other = lambda df: df.where("doc_id <> fdoc OR start <> fstart")
     hits = staged(other(windows.join(small(seen, SMALL), "key")), "windows-hits")
     free = hits.join(small(removed.select("doc_id", F.col("start").alias("line")), SMALL), ["doc_id", "line"], "left_anti").drop("line")
-    hits = staged(free, "windows-free")
-    # a copy may go on where the first place doesn't but the second does
+    # a window that its document has before is held against that place, so that what repeats at one distance is one run however
+    # often it does; the first of a document against the first and the second place of all: a copy may go on where one of them doesn't
+    before = F.lag("start").over(Window.partitionBy("doc_id", "key").orderBy("start"))
+    hits = staged(free.distinct().withColumn("before", before), "windows-free")
+    own = hits.where("before IS NOT NULL").select("doc_id", "start", "key", F.col("doc_id").alias("fdoc"), F.col("before").alias("fstart"))
+    alone = hits.where("before IS NULL").drop("before")
     second = staged(hits.groupBy("key").agg(F.min(place).alias("second")).select("key", F.col("second.doc_id").alias("fdoc"), F.col("second.start").alias("fstart")), "windows-second")
-    hits = hits.unionByName(other(hits.drop("fdoc", "fstart").join(small(second, SMALL), "key")))
+    hits = own.unionByName(alone).unionByName(other(alone.drop("fdoc", "fstart").join(small(second, SMALL), "key").select(*alone.columns)))
     # windows on one diagonal (a document, another, how far apart): a document has no more of them than words
     lines = hits.groupBy("doc_id", "fdoc", (F.col("start") - F.col("fstart")).alias("apart")).agg(F.sort_array(F.collect_set(F.struct("start", F.xxhash64("key").alias("class")))).alias("w"))
     small_batches(texts.sparkSession)
