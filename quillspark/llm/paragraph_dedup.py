@@ -215,23 +215,30 @@ def prefix_tokens(lines: DataFrame) -> DataFrame:
     return lines.select("node", "size", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
 
 
-def runs_of(texts: DataFrame, windows: DataFrame, removed: DataFrame) -> DataFrame:
-    """(doc_id, start, end, fdoc, fstart, class): runs of words and the first places that have them too, from the windows
-    (doc_id, start, key, line) of all texts. Windows inside the lines ``removed`` (doc_id, start) go with these and ask no more."""
+def repeated_windows(windows: DataFrame, removed: DataFrame) -> DataFrame:
+    """(doc_id, start, key, fdoc, fstart): windows (doc_id, start, key, line) of all texts that stand elsewhere too, beside earlier places.
+    Those inside the lines ``removed`` (doc_id, start) go with these and ask no more."""
     place = F.struct("doc_id", "start")
     seen = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     seen = staged(seen.select("key", F.col("first.doc_id").alias("fdoc"), F.col("first.start").alias("fstart")), "windows-seen")
     other = lambda df: df.where("doc_id <> fdoc OR start <> fstart")
     hits = staged(other(windows.join(small(seen, SMALL), "key")), "windows-hits")
+    every = hits
     free = hits.join(small(removed.select("doc_id", F.col("start").alias("line")), SMALL), ["doc_id", "line"], "left_anti").drop("line")
     # a window that its document has before is held against that place, so that what repeats at one distance is one run however
     # often it does; the first of a document against the first and the second place of all: a copy may go on where one of them doesn't
     before = F.lag("start").over(Window.partitionBy("doc_id", "key").orderBy("start"))
     hits = staged(free.distinct().withColumn("before", before), "windows-free")
+    dropped(every)
     own = hits.where("before IS NOT NULL").select("doc_id", "start", "key", F.col("doc_id").alias("fdoc"), F.col("before").alias("fstart"))
     alone = hits.where("before IS NULL").drop("before")
     second = staged(hits.groupBy("key").agg(F.min(place).alias("second")).select("key", F.col("second.doc_id").alias("fdoc"), F.col("second.start").alias("fstart")), "windows-second")
-    hits = own.unionByName(alone).unionByName(other(alone.drop("fdoc", "fstart").join(small(second, SMALL), "key").select(*alone.columns)))
+    dropped(seen)
+    return own.unionByName(alone).unionByName(other(alone.drop("fdoc", "fstart").join(small(second, SMALL), "key").select(*alone.columns)))
+
+
+def runs_of(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, start, end, fdoc, fstart, class): runs of words and the earlier places that have them too, from repeated_windows."""
     # windows on one diagonal (a document, another, how far apart): a document has no more of them than words
     lines = hits.groupBy("doc_id", "fdoc", (F.col("start") - F.col("fstart")).alias("apart")).agg(F.sort_array(F.collect_set(F.struct("start", F.xxhash64("key").alias("class")))).alias("w"))
     small_batches(texts.sparkSession)
@@ -252,7 +259,6 @@ def runs_of(texts: DataFrame, windows: DataFrame, removed: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, start[at], start[last] + SPAN, fdoc, start[at] - apart, np.minimum.reduceat(kind, at))], names=["doc_id", "start", "end", "fdoc", "fstart", "class"])
 
     found = staged(lines.mapInArrow(chained, "doc_id long, start long, end long, fdoc long, fstart long, class long"), "windows-runs")
-    dropped(seen)
     return widened(texts, found)
 
 
@@ -376,8 +382,11 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = staged(found.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first")), "paragraphs-first")
     marked = found.join(small(first, SMALL), "class").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "class", (F.struct("doc_id", "start") != F.col("first")).alias("removed"))
     marked = staged(marked, "paragraphs-marked")
-    runs = runs_of(texts, units.where("NOT whole").select("doc_id", "start", F.col("window").alias("key"), "line"), marked.where("removed"))
-    dropped(units)
+    for x in (kinds, near, found):
+        dropped(x)
+    hits = staged(repeated_windows(units.where("NOT whole").select("doc_id", "start", F.col("window").alias("key"), "line"), marked.where("removed")), "windows-repeated")
+    dropped(units)  # before texts are dealt for what is left
+    runs = runs_of(texts, hits)
     copies = runs.select("doc_id", "start", "end", "class", F.lit(True).alias("removed"))
     stay = runs.groupBy(F.col("fdoc").alias("doc_id"), F.col("fstart").alias("start"), (F.col("fstart") + F.col("end") - F.col("start")).alias("end")).agg(F.min("class").alias("class")).withColumn("removed", F.lit(False))
     marked = marked.unionByName(copies).unionByName(stay)
