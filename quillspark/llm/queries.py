@@ -83,7 +83,13 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_quality_rules, op5_pii_spans, op6_transcript_roles, op7_bpe_codec, op8_paragraph_dedup, op9_ngram_join, op10_media_columns, op11_filter_audit, op12_ball_kmeans)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_url_filter, op4_quality_rules, op5_pii_spans, op6_transcript_roles, op7_bpe_codec, op8_paragraph_dedup, op9_ngram_join, op10_media_columns, op11_filter_audit, op12_ball_kmeans, op13_html_text)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {"op9_ngram_join": ngram_join.ORACLE, "op4_quality_rules": quality.oracle(), "op11_filter_audit": filter_audit.ORACLE, "op12_ball_kmeans": ball_kmeans.oracle()}
