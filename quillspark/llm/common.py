@@ -17,6 +17,8 @@ BATCH_ROWS = 1024
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+#: Least neighbours of at most so many nodes are broadcast in components.
+HUBS = 500_000
 
 _local_root: str | None = None
 
@@ -137,11 +139,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (node, component): the smallest node of each component, for
     every node that stands in an edge of two different nodes. Alternates the large-star and small-star steps (each joins the
     edges with the least neighbour of a node, an aggregate that combines before the shuffle), in a number of rounds that
-    grows with the logarithm of the longest chain; each round is a table in the shared folder."""
-    spark = edges.sparkSession
+    grows with the logarithm of the longest chain; each round is a table in the shared folder. The least neighbours are a table
+    of their own too, broadcast if it is small; else both sides of the join are dealt anew, so that Spark can split a hub's edges."""
 
     def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        return staged(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), label)
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -151,12 +153,16 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nearest = least(both)
+        large = both.join(small(nearest, HUBS), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = staged(large.where("a <> b").distinct(), label)
+        dropped(nearest)
         # small star: a > b holds for every edge here, so b stands for the neighbours at most a
-        near = large.join(least(large), "a")
+        nearest = least(large)
+        near = large.join(small(nearest, HUBS), "a")
         tight = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         nxt = staged(tight.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+        dropped(nearest)
         dropped(large)
         dropped(now)
         now, after = nxt, mark(nxt)
