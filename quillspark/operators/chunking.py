@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,8 +52,42 @@ def words_in(text: str) -> int:
 # ---- passages --------------------------------------------------------------------------------------------------------
 
 _ENDS = re.compile(r"[.!?]+[\"')\]]*[" + SPACES + r"]+(?=[A-Z0-9])")
-_MARKS, _TOKEN = re.compile(_LIST), re.compile(f"[^{SPACES}]+")
-_RESOLVES, _OPEN = re.compile(r"(?:TRUE|FALSE)[" + SPACES + r"]*:", re.I), re.compile(r"(?:,[" + SPACES + r"]*(?:and|or)|:)$", re.I)
+_MARKS, _WORD = re.compile(_LIST), re.compile(r"\S+")
+_RESOLVES = re.compile(rf"[{SPACES}]*(?:TRUE|FALSE)[{SPACES}]*:", re.I)
+
+
+class Words:
+    """Where the words of a text start and end: how many a stretch holds takes two searches, however long it is."""
+
+    def __init__(self, text: str) -> None:
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    def first(self, start: int) -> int:
+        """Number of the first word that ends after ``start``."""
+        return bisect_right(self.ends, start)
+
+    def held(self, start: int, end: int) -> int:
+        return max(0, bisect_left(self.starts, end) - self.first(start))
+
+    def windows(self, start: int, end: int, target: int) -> list[tuple[int, int]]:
+        """The stretch cut behind each ``target``-th of its words, but the last."""
+        first = self.first(start)
+        cuts = [self.ends[k] for k in range(first + target - 1, first + self.held(start, end) - 1, target)]
+        return list(zip([start, *cuts], [*cuts, end], strict=True))
+
+
+def _left_open(text: str, start: int, end: int) -> bool:
+    """Whether a stretch ends with a colon, or with a comma and the word and or or."""
+    while end > start and _SPACE.match(text[end - 1]):
+        end -= 1
+    for word in ("and", "or"):
+        at = end - len(word)
+        if at >= start and text[at:end].lower() == word:
+            while at > start and _SPACE.match(text[at - 1]):
+                at -= 1
+            return at > start and text[at - 1] == ","
+    return end > start and text[end - 1] == ":"
 
 
 def _cuts(text: str, start: int, end: int, ends: bool) -> list[tuple[int, int]]:
@@ -71,58 +106,36 @@ def _cuts(text: str, start: int, end: int, ends: bool) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(at, [*at[1:], end], strict=True) if a < b]
 
 
-def _windows(text: str, start: int, end: int, target: int, count: Callable[[str], int]) -> list[tuple[int, int, bool]]:
-    """Runs of whole words that hold ``target`` at most; a word that alone holds more stands alone."""
-    out, at, fit = [], start, start
-    for m in _TOKEN.finditer(text, start, end):
-        if count(text[at : m.end()]) > target:
-            if fit > at:
-                out.append((at, fit, True))
-                at = fit
-            if count(text[at : m.end()]) > target:
-                out.append((at, m.end(), True))
-                at = m.end()
-        fit = m.end()
-    return [*out, (at, end, True)] if at < end else out
-
-
-def _units(text: str, start: int, end: int, target: int, count: Callable[[str], int]) -> list[tuple[int, int, bool]]:
+def _units(text: str, start: int, end: int, target: int, words: Words) -> list[tuple[int, int, bool]]:
     """(start, end, inside a sentence) of pieces that hold ``target`` at most: the stretch, its sentences, list pieces, or words."""
-    out, todo = [], [(start, end)]
-    while todo:
-        a, b = todo.pop()
-        if count(text[a:b]) <= target:
-            out.append((a, b, False))
-            continue
-        for ends in (True, False):
-            parts = _cuts(text, a, b, ends)
-            if len(parts) > 1:
-                todo += reversed(parts)
-                break
-        else:
-            out += _windows(text, a, b, target, count)
-    return out
+    if words.held(start, end) <= target:
+        return [(start, end, False)]
+    for ends in (True, False):
+        parts = _cuts(text, start, end, ends)
+        if len(parts) > 1:
+            return [unit for a, b in parts for unit in _units(text, a, b, target, words)]
+    return [(a, b, True) for a, b in words.windows(start, end, target)]
 
 
-def passages_of(text: str, blocks: list[tuple[str, str | None, int | None]], target: int = TARGET, count: Callable[[str], int] = words_in) -> list[tuple[int, int, str | None, int | None, bool]]:
+def passages_of(text: str, blocks: list[tuple[str, str | None, int | None]], target: int = TARGET) -> list[tuple[int, int, str | None, int | None, bool]]:
     """(start, end, section, page, cut inside a sentence) of passages that follow each other in ``text``, from its blocks (text,
     section, page). A unit that settles the one before, or follows one that leaves its clause open, stays with it; units of one
-    section are put together as long as their joint stretch holds ``target``. Raises ValueError for a block that isn't there."""
-    units, at = [], 0
+    section are put together as long as their joint stretch holds ``target`` words. Raises ValueError for a block that isn't there."""
+    words, units, at = Words(text), [], 0
     for block, section, page in blocks:
         found = text.find(block, at)
         if found < 0:
             raise ValueError("a block isn't in the text")
         at = found + len(block)
-        for a, b, broken in _units(text, found, at, target, count):
+        for a, b, broken in _units(text, found, at, target, words):
             last = units[-1] if units else None
-            if last and last[2] == section and (_RESOLVES.match(text[a:b].strip()) or _OPEN.search(text[last[0] : last[1]].strip())):
+            if last and last[2] == section and (_RESOLVES.match(text, a, b) or _left_open(text, last[0], last[1])):
                 units[-1] = (last[0], b, section, last[3], last[4] or broken)
             else:
                 units.append((a, b, section, page, broken))
     out = []
     for a, b, section, page, broken in units:
-        if out and out[-1][2] == section and count(text[out[-1][0] : b]) <= target:
+        if out and out[-1][2] == section and words.held(out[-1][0], b) <= target:
             out[-1] = (out[-1][0], b, section, out[-1][3], out[-1][4] or broken)
         else:
             out.append((a, b, section, page, broken))
@@ -177,11 +190,21 @@ def _tidy(text: str) -> str:
 
 def anchor_of(text: str, start: int, end: int, bound: int = BESIDE) -> tuple[str, str, str] | None:
     """(before, exact, after): the passage and the fewest characters beside it, as many on either side, by which it stands in the
-    text once; None if ``bound`` aren't enough."""
-    exact = text[start:end]
+    text once; None if ``bound`` aren't enough. The text is searched for the passage alone; only where it stands are the characters
+    beside it compared."""
+    exact, wanted = text[start:end], _tidy(text[start:end])
+    core = end - len(exact.lstrip(" "))
+    places, at = [], text.find(wanted)
+    while wanted and at >= 0:
+        places.append(at)
+        at = text.find(wanted, at + 1)
     for n in range(bound + 1):
         low, high = max(0, start - n), min(len(text), end + n)
-        if occurrences(text, _tidy(text[low:high]), 2) == 1:
+        wide = _tidy(text[low:high])
+        if wanted:
+            back = core - high + len(text[low:high].lstrip(" "))
+            places = [p for p in places if p >= back and text.startswith(wide, p - back)]
+        if (len(places) if wanted else occurrences(text, wide, 2)) == 1:
             return text[low:start], exact, text[end:high]
         if low == 0 and high == len(text):
             break
@@ -209,8 +232,7 @@ def anchors(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 # ---- finding a passage again. Fixed values ---------------------------------------------------------------------------
 
-COVERAGE, LARGEST_GAP, PROBE, SMALLEST = 0.6, 400, 40, 12
-STARTS = (0, 0.1, 0.2, 0.35, 0.5)
+COVERAGE, LARGEST_GAP, SMALLEST = 0.6, 400, 12
 AROUND = ((0, 0), (0, 1), (1, 2))
 
 
@@ -225,43 +247,87 @@ def folded(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def _longest(fits: Callable[[int], bool], most: int) -> int:
-    """The greatest length up to ``most`` that fits, where shorter ones fit too."""
-    low, high = 0, most
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if fits(mid) else (low, mid - 1)
-    return low
+class Repeats:
+    """A suffix automaton: every substring of a text is a way through it. Reads another text once and gives the matches that can't be
+    made longer."""
+
+    def __init__(self, text: str) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size, self.end = [-1], [0], [0]
+        last = 0
+        for i, c in enumerate(text):
+            new = self._state({}, self.size[last] + 1, i + 1)
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if self.size[q] == self.size[p] + 1:
+                    self.link[new] = q
+                else:
+                    short = self._state(dict(self.next[q]), self.size[p] + 1, self.end[q])
+                    self.link[short], self.link[q], self.link[new] = self.link[q], short, short
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = short
+                        p = self.link[p]
+            else:
+                self.link[new] = 0
+            last = new
+
+    def _state(self, ways: dict[str, int], size: int, end: int) -> int:
+        self.next.append(ways)
+        self.link.append(0)
+        self.size.append(size)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def matches(self, other: str, least: int) -> list[tuple[int, int, int]]:
+        """(start in the other text, start in this one, length) of the matches of ``least`` letters or more that no next letter goes
+        on; in this text at their first place."""
+        out, state, n = [], 0, 0
+        for i, c in enumerate(other):
+            if c not in self.next[state] and n >= least:
+                out.append((i - n, self.end[state] - n, n))
+            while state > 0 and c not in self.next[state]:
+                state = self.link[state]
+                n = self.size[state]
+            if c in self.next[state]:
+                state, n = self.next[state][c], n + 1
+            else:
+                n = 0
+        if n >= least:
+            out.append((len(other) - n, self.end[state] - n, n))
+        return out
 
 
 def located(text: str, passage: str) -> tuple[int, int, float] | None:
-    """(start, end, coverage) of where a passage stands in a text that may break it by up to LARGEST_GAP letters at a time: its
-    longest run from one of STARTS, grown forwards and backwards by probes; None if that covers too little."""
+    """(start, end, coverage) of where a passage stands in a text that may break it by up to LARGEST_GAP letters at a time: of the
+    chains of matches that follow each other in both, the one that covers most of the passage, the first of such; None if that is
+    too little."""
     hay, places = folded(text)
     needle, _ = folded(passage)
-    best = (0, -1, 0)  # length, place, start in the passage
-    for part in STARTS:
-        start = int(len(needle) * part)
-        n = _longest(lambda k, s=start: needle[s : s + k] in hay, len(needle) - start)
-        if n > best[0]:
-            best = (n, hay.find(needle[start : start + n]), start)
-    length, at, start = best
-    if not length:
+    if not needle:
         return None
-    covered, stop, end = length, start + length, at + length
-    while len(probe := needle[stop : stop + PROBE]) >= SMALLEST:
-        there = hay.find(probe, end)
-        if there < 0 or there - end > LARGEST_GAP:
-            break
-        n = _longest(lambda k, s=stop, h=there: hay.startswith(needle[s : s + k], h), min(len(needle) - stop, len(hay) - there))
-        covered, stop, end = covered + n, stop + n, there + n
-    while (take := min(PROBE, start)) >= SMALLEST:
-        there = hay.rfind(needle[start - take : start], 0, max(0, at))
-        if there < 0 or at - (there + take) > LARGEST_GAP:
-            break
-        covered, start, at = covered + take, start - take, there
-    coverage = covered / len(needle)
-    return (places[at], places[end - 1] + 1, coverage) if coverage >= COVERAGE else None
+    found = Repeats(needle).matches(hay, min(SMALLEST, len(needle)))
+    chains: list[tuple[int, int, int]] = []  # covered, start of the chain, end in the text
+    best = (0, 0, 0)
+    for k, (at, part, n) in enumerate(found):
+        own = (n, at, at + n)
+        for j in range(k - 1, -1, -1):
+            before, there, m = found[j]
+            if before + m + LARGEST_GAP < at:  # matches come by where they end
+                break
+            # nothing of the passage may be missing between two matches; where they overlap, by letters that a break and the
+            # passage share, they count once
+            twice = max(there + m - part, before + m - at)
+            if there < part <= there + m < part + n and chains[j][0] + n - twice > own[0]:
+                own = (chains[j][0] + n - twice, chains[j][1], at + n)
+        chains.append(own)
+        if own[0] > best[0]:
+            best = own
+    coverage = best[0] / len(needle)
+    return (places[best[1]], places[best[2] - 1] + 1, coverage) if coverage >= COVERAGE else None
 
 
 def pages_around(cited: Column, n_pages: Column) -> Column:

@@ -1,6 +1,6 @@
 """Cleaning of extracted blocks: what kind each is, headers and footers that a document repeats, what goes and what stays.
 
-Kinds and scores are expressions. A running header is learned from all blocks of a document, letter by letter, which reads them
+Kinds and scores are expressions. A running header is what most blocks of a document share at their ends, which reads them
 together; that runs as Arrow batches of whole documents. Numbers and patterns that decide are fixed values.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,26 +90,22 @@ def _page_run(text: str, at: int) -> int:
 
 
 def segments(texts: list[str], total: int) -> list[str]:
-    """What most texts start with, piece by piece with page numbers between: a piece grows by the letter that most of its texts
-    have next as long as as many have it as had the first one."""
-    live, out = [(t, _page_run(t, 0)) for t in texts], []
-    while live and len(out) < MOST_SEGMENTS:
-        piece, held, n = [], live, None
-        while True:
-            counts = Counter(t[at + len(piece)] for t, at in held if at + len(piece) < len(t))
-            if not counts:
-                break
-            letter, k = counts.most_common(1)[0]
-            if k / total < MAJORITY if n is None else k < n:
-                break
-            n = n or k
-            held = [(t, at) for t, at in held if t[at + len(piece) : at + len(piece) + 1] == letter]
-            piece.append(letter)
-        whole = "".join(piece).strip()
+    """What most texts start with, piece by piece with page numbers between. A piece is the common prefix of the texts that share
+    the most frequent first letter, if they are a majority; the least and the greatest of them tell it."""
+    out = []
+    rest = [t[_page_run(t, 0) :] for t in texts]
+    while len(out) < MOST_SEGMENTS:
+        first = Counter(t[0] for t in rest if t)
+        letter, n = first.most_common(1)[0] if first else ("", 0)
+        if not n or n < MAJORITY * total:
+            break
+        rest = [t for t in rest if t[:1] == letter]
+        piece = commonprefix([min(rest), max(rest)])
+        whole = piece.strip()
         if len(whole) < SHORTEST_SEGMENT or not re.search("[A-Za-z]", whole):
             break
         out.append(whole)
-        live = [(t, _page_run(t, at + len(piece))) for t, at in held]
+        rest = [t[_page_run(t, len(piece)) :] for t in rest]
     return out
 
 
@@ -148,23 +146,29 @@ def without_running(text: str, prefix: list[str], suffix: list[str]) -> str:
 
 
 def affixes(blocks: DataFrame) -> DataFrame:
-    """Adds stripped: each block without its document's running pieces and other furniture, from (id, ord, text, ...)."""
-    kind = dict(blocks.dtypes)["id"]
-    listed = blocks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("b"))
+    """Adds stripped, prefix and suffix: each block without its document's running pieces and other furniture, and those pieces, from
+    (id, ord, text, ...). Blocks are shuffled once, with all they carry, and leave as they came."""
+    columns = [c for c in blocks.columns if c != "id"]
+    block = F.struct(F.col("ord").cast("long").alias("ord"), *[F.col(c) for c in columns if c != "ord"])
+    listed = blocks.groupBy("id").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    kinds = dict(listed.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, b in zip(batch.column("id").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                texts = [x["text"] or "" for x in b]
-                prefix, suffix = running_affix(texts)
-                rows += [(i, x["ord"], without_running(t, prefix, suffix), prefix, suffix) for x, t in zip(b, texts, strict=True)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (batch.column("id").type, pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "ord", "stripped", "prefix", "suffix"])
-
-    found = listed.mapInArrow(run, f"id {kind}, ord long, stripped string, prefix array<string>, suffix array<string>")
-    return blocks.withColumn("ord", F.col("ord").cast("long")).join(found, ["id", "ord"])
+            held = batch.column("b")
+            texts, many = held.flatten().field("text").to_pylist(), pa.compute.list_value_length(held).to_pylist()
+            at, stripped, pieces = 0, [], []
+            for n in many:
+                own = [t or "" for t in texts[at : at + n]]
+                at += n
+                pieces.append(running_affix(own))
+                stripped.append([without_running(t, *pieces[-1]) for t in own])
+            out = [pa.array(x, pa.list_(pa.string())) for x in (stripped, [p for p, _ in pieces], [s for _, s in pieces])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), held, *out], names=["id", "b", "stripped", "prefix", "suffix"])
+
+    found = listed.mapInArrow(run, f"id {kinds['id']}, b {kinds['b']}, stripped array<string>, prefix array<string>, suffix array<string>")
+    each = found.select("id", F.explode(F.arrays_zip("b", "stripped")).alias("x"), "prefix", "suffix")
+    return each.select("id", *[F.col("x.b").getField(c).alias(c) for c in columns], "x.stripped", "prefix", "suffix")
 
 
 def without_exercise(text: Column) -> Column:

@@ -252,14 +252,15 @@ def component_text(tag: Column, contact: Column, extension: Column) -> Column:
 def paced(requests: DataFrame, group: str, tie: str, at: str, least: int) -> DataFrame:
     """Adds wait: how long each request (by time, then ``tie``) waits so that those of a group start ``least`` apart. A start is the
     greatest, over the requests up to it, of their time and ``least`` for each one since; so no step needs the one before it,
-    and groups of any size are summed by slices of a minute first."""
+    and groups of any size are summed by slices of a minute first. Requests without a group are a group; one without a time comes
+    first in its group, waits null and takes no turn."""
     order = Window.partitionBy(group, "_slice").orderBy(at, tie)
-    cut = requests.withColumn("_slice", F.floor(F.col(at) / 60_000)).withColumn("_n", F.row_number().over(order).cast("long"))
-    slices = cut.groupBy(group, "_slice").agg(F.count("*").alias("_many"), F.max(F.col(at) - F.col("_n") * least).alias("_top"))
+    cut = requests.withColumn("_slice", F.floor(F.col(at) / 60_000)).withColumn("_n", F.when(F.col(at).isNotNull(), F.row_number().over(order)).cast("long"))
+    slices = cut.groupBy(group, "_slice").agg(F.count("_n").alias("_many"), F.max(F.col(at) - F.col("_n") * least).alias("_top"))
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_first", F.coalesce(F.sum("_many").over(before), F.lit(0)))
-    slices = slices.select(group, "_slice", "_first", F.max(F.col("_top") - F.col("_first") * least).over(before).alias("_held"))
-    out = cut.join(slices, [group, "_slice"])
+    slices = slices.select(F.col(group).alias("_group"), F.col("_slice").alias("_its"), "_first", F.max(F.col("_top") - F.col("_first") * least).over(before).alias("_held"))
+    out = cut.join(slices, F.col(group).eqNullSafe(F.col("_group")) & F.col("_slice").eqNullSafe(F.col("_its"))).drop("_group", "_its")
     nth = F.col("_first") + F.col("_n")
     own = F.max(F.col(at) - nth * least).over(order.rowsBetween(Window.unboundedPreceding, 0))
     start = F.greatest(own, F.col("_held")) + nth * least

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import cleaning as L
 from ..operators import registry as G
-from ..operators.common import table
+from ..operators.common import staged, table
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,14 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What passages leave out or take twice of their texts: nothing, so no rows but those of texts that can't be cut."""
+    """Whether the passages of each text cover it: how many there are, and the first fault; a text that can't be cut has uncut."""
     docs = _documents(spark, sf_dir)
-    spans = C.passages(docs)
-    faults = G.span_faults(spans.where("nth >= 0"), docs.join(spans.where("nth < 0").select("id"), "id", "left_anti"), "id")
-    return faults.select(F.col("id").alias("doc_id"), "fault", F.col("at").cast("long").alias("at"))
+    spans = staged(C.passages(docs), "coverage-spans")
+    counts = spans.groupBy("id").agg(F.sum((F.col("nth") >= 0).cast("long")).alias("n"), F.max(F.col("nth") < 0).alias("uncut"))
+    faults = G.span_faults(spans.where("nth >= 0").select("id", "start", "end"), docs.select("id", "text"), "id")
+    rows = docs.select("id").join(counts, "id", "left").join(faults, "id", "left")
+    fault = F.when(F.col("uncut"), "uncut").otherwise(F.col("fault"))
+    return rows.select(F.col("id").alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("passages"), fault.alias("fault"), F.when(~F.coalesce("uncut", F.lit(False)), F.col("at")).cast("long").alias("at"))
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +131,5 @@ _MIXED = f"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, genera
 ORACLES = {
     "passages_sentences": f"WITH t AS (SELECT doc_id, 'See No. 5 or fig. 2 by Dr. Ito vs. 7. The U.S. Army (e.g. \"Corps.\") Xi! ' || text AS t FROM documents), a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[{_S}])((?i:{_ABBREVIATED}))([.!?])', '\\1\\2' || {_MARK} || '\\3', 'g'), '(^|[{_S}])((?i:{_ABBREVIATED}))([.!?])', '\\1\\2' || {_MARK} || '\\3', 'g') AS t FROM t), c AS (SELECT doc_id, string_split(replace(regexp_replace(regexp_replace(t, {_BOUNDARY}), {_BOUNDARY}), {_MARK}, ''), {_CUT}) AS s FROM a) SELECT doc_id, len(s)::BIGINT AS n, sha256(array_to_string(list_transform(s, lambda x: length(x)::VARCHAR), ',')) AS lengths FROM c",
     "passages_list_pieces": f"WITH t AS (SELECT doc_id, regexp_replace(text, '[,.] ', ' • ', 'g') AS t FROM documents) SELECT doc_id, len(list_filter(string_split(regexp_replace(t, '([^•{_S}])([{_S}]*[{C.MARKERS}]+[{_S}]*)', '\\1' || {_CUT} || '\\2', 'g'), {_CUT}), lambda x: x <> ''))::BIGINT AS n, sha256(array_to_string(list_filter(string_split(regexp_replace(t, '([^•{_S}])([{_S}]*[{C.MARKERS}]+[{_S}]*)', '\\1' || {_CUT} || '\\2', 'g'), {_CUT}), lambda x: x <> ''), '|')) AS digest FROM t",
-    "passages_passage_coverage": "SELECT doc_id, '' AS fault, 0::BIGINT AS at FROM documents WHERE false",
     "passages_block_kinds": f"WITH {_MIXED}, {_KINDS} SELECT doc_id, o AS ord, CASE WHEN lower(trim(x)) IN ('was this page helpful?', 'related articles', 'related information', 'related benefits & services', 'browse by topic') THEN 'chrome' WHEN best < 0.5 THEN 'content' WHEN best = ex THEN 'exercise' WHEN best = toc THEN 'toc' WHEN best = dis THEN 'disclaimer' ELSE 'frontmatter' END AS kind, round(CASE WHEN lower(trim(x)) IN ('was this page helpful?', 'related articles', 'related information', 'related benefits & services', 'browse by topic') THEN 1 WHEN best < 0.5 THEN 1 - best ELSE best END, 6)::DOUBLE AS confidence FROM k",
 }

@@ -179,3 +179,12 @@ def test_personal_claims(spark):
     claims = ["You will be approved", "you\u2019re eligible", "ask whether your request is approved", "your request was approved", "who will approve your leave", "They will approve your leave", "The rate is set by law", "you have 30 days"]
     got = [one(spark, D.claims_personally(F.lit(x))) for x in claims]
     assert got == [True, True, False, True, False, True, False, True]
+
+
+def test_paced_keeps_rows_without_group_or_time(spark):
+    """A null group is a group; a request without a time waits null and takes no turn."""
+    from quillspark.operators import sources as S
+
+    rows = [("a", 1, 0), ("a", 2, 10), ("a", 3, None), (None, 4, 0), (None, 5, 5), (None, 6, None), ("a", 7, 61_000), ("a", 8, 61_000), ("b", 9, None)]
+    got = {r["id"]: r["wait"] for r in S.paced(spark.createDataFrame(rows, "host string, id int, at long"), "host", "id", "at", 100).collect()}
+    assert got == {1: 0, 2: 90, 3: None, 4: 0, 5: 95, 6: None, 7: 0, 8: 100, 9: None}

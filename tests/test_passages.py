@@ -1,6 +1,7 @@
 """Pages, sentences, passages, cleaning and places: literal cases and properties."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from quillspark.operators import html as H
 from quillspark.operators import registry as G
 from quillspark.operators import rules as R
 from quillspark.operators import sources as S
+from quillspark.plans import passages as P
 
 
 def one(spark, column):
@@ -74,6 +76,53 @@ def test_passages_cover_their_text():
         assert all(C.words_in(text[a:b]) <= 20 or ":" in text[a:b] or "," in text[a:b] for a, b, *_ in got)
 
 
+def plain_passages(text, blocks, target):
+    """Passages by looking at all words of all stretches; blocks without sentence ends, list signs or open clauses."""
+    units, at = [], 0
+    for block, section, page in blocks:
+        at = text.index(block, at)
+        ends = [i + 1 for i, c in enumerate(block) if c != " " and (i + 1 == len(block) or block[i + 1] == " ")]
+        cuts = [0, *ends[target - 1 : -1 : target], len(block)]
+        units += [[at + a, at + b, section, page, len(cuts) > 2] for a, b in zip(cuts, cuts[1:], strict=False)]
+        at += len(block)
+    out = []
+    for u in units:
+        if out and out[-1][2] == u[2] and len(text[out[-1][0] : u[1]].split()) <= target:
+            out[-1] = [out[-1][0], u[1], u[2], out[-1][3], out[-1][4] or u[4]]
+        else:
+            out.append(u)
+    return [(b - len(text[a:b].lstrip()), b, *rest) for a, b, *rest in out]
+
+
+def test_passages_against_plain_counts():
+    rng = random.Random(4)
+    for _ in range(200):
+        blocks = [(" ".join(rng.choice("abc") * rng.randrange(1, 9) for _ in range(rng.randrange(1, 40))), rng.choice("st"), k) for k in range(rng.randrange(1, 6))]
+        text = " ".join(b for b, _, _ in blocks)
+        target = rng.randrange(1, 12)
+        assert C.passages_of(text, blocks, target) == plain_passages(text, blocks, target)
+
+
+def test_passages_take_linear_time():
+    took = []
+    for k in (4000, 16_000):
+        blocks = [(f"w{i}, and", None, 1) for i in range(k)]
+        start = time.perf_counter()
+        assert len(C.passages_of(" ".join(b for b, _, _ in blocks), blocks)) == 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 0.2
+
+
+def test_coverage_tells_of_texts_that_cant_be_cut(spark, sf, monkeypatch):
+    """Every text has a row; one whose blocks aren't in it is uncut."""
+    real = P._documents
+    monkeypatch.setattr(P, "_documents", lambda s, d: real(s, d).withColumn("text", F.when(F.col("id") % 7 == 3, "x").otherwise(F.col("text"))))
+    got = P.passage_coverage(spark, sf).collect()
+    docs = real(spark, sf).count()
+    assert len(got) == docs and {r["fault"] for r in got if r["doc_id"] % 7 == 3} == {"uncut"}
+    assert {r["fault"] for r in got if r["doc_id"] % 7 != 3} == {None} and all(r["passages"] > 0 for r in got if r["doc_id"] % 7 != 3)
+
+
 def test_passages_stay_within_sections_and_join_what_belongs_together():
     text = "One two. Three four. Claim here. TRUE: so. Next, and more follows"
     blocks = [("One two. Three four.", "a", 1), ("Claim here.", "b", 2), ("TRUE: so.", "b", 2), ("Next, and", "c", 3), ("more follows", "c", 3)]
@@ -110,6 +159,19 @@ def test_passages_found_again():
     assert [p for p, *_ in C.located_in_pages(pages, 2, body)] == [2, 3] and C.located_in_pages(pages, 9, body) == []
 
 
+def test_matches_of_an_automaton_against_all_substrings():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("ab", k=rng.randrange(0, 25))) for _ in range(2))
+        want = []
+        for end in range(1, len(b) + 1):
+            n = max((k for k in range(end + 1) if b[end - k : end] in a), default=0)
+            longer = end < len(b) and b[end - n : end + 1] in a
+            if n >= 2 and not longer:
+                want.append((end - n, a.index(b[end - n : end]), n))
+        assert C.Repeats(a).matches(b, 2) == want
+
+
 def test_pages_around(spark):
     assert [one(spark, C.pages_around(F.lit(p), F.lit(5))) for p in (0, 1, 4, 6)] == [[], [1, 2, 3], [3, 4, 5], []]
 
@@ -139,6 +201,29 @@ def test_block_kinds(spark):
     assert {r["id"]: r["kind"] for r in got} == {i: k for i, (_, _, k) in enumerate(rows)}
 
 
+def test_prefixes_letter_by_letter():
+    """The pieces that grow by the letter that most have next are the common prefixes of those that share the first letter."""
+    rng = random.Random(6)
+    for _ in range(200):
+        heads = ["".join(rng.choices("ab c", k=rng.randrange(4, 12))) for _ in range(2)]
+        texts = [rng.choice(heads) + rng.choice(["1 ", " 22", ""]) + rng.choice(heads) + "".join(rng.choices("xyz", k=4)) for _ in range(12)]
+        out, live = [], [(t, L._page_run(t, 0)) for t in texts]
+        while live and len(out) < L.MOST_SEGMENTS:
+            letters = [t[at] for t, at in live if at < len(t)]
+            top = max(letters, key=letters.count, default=None)
+            if top is None or letters.count(top) * 2 < len(texts):
+                break
+            live, n = [(t, at) for t, at in live if t[at : at + 1] == top], 0
+            while len({t[at : at + n + 1] for t, at in live}) == 1 and all(at + n < len(t) for t, at in live):
+                n += 1
+            piece = live[0][0][live[0][1] : live[0][1] + n]
+            if len(piece.strip()) < L.SHORTEST_SEGMENT:
+                break
+            out.append(piece.strip())
+            live = [(t, L._page_run(t, at + n)) for t, at in live]
+        assert L.segments(texts, len(texts)) == out
+
+
 def test_running_affix():
     texts = [f"{k} VA Guide Spring {k} Real text number {k * 7} that differs. Version {'A' if k == 3 else 'B'} 2024 end" for k in range(1, 15)]
     prefix, suffix = L.running_affix(texts)
