@@ -20,11 +20,16 @@ def violations(rows: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -
 
 
 def change(old_hash: Column, old_date: Column, new_hash: Column, new_date: Column, unfetchable: Column) -> Column:
-    """manual, changed or unchanged: what can't be fetched is for people; another hash or a later date is a change; a missing
-    new hash or a date missing on either side never is."""
+    """(verdict, reason): manual, changed or unchanged. What can't be fetched is for people; another hash or a later date is a change,
+    and the hash is its reason where both are; a missing new hash or a date missing on either side never is. The reason is null where
+    nothing has changed."""
     other = F.coalesce(new_hash != F.coalesce(old_hash, F.lit("")), F.lit(False))
     later = F.coalesce(new_date > old_date, F.lit(False))
-    return F.when(F.coalesce(unfetchable, F.lit(False)), "manual").when(other | later, "changed").otherwise("unchanged")
+    by_hand = F.coalesce(unfetchable, F.lit(False))
+    return F.struct(
+        F.when(by_hand, "manual").when(other | later, "changed").otherwise("unchanged").alias("verdict"),
+        F.when(by_hand, "unfetchable").when(other, "hash").when(later, "date").alias("reason"),
+    )
 
 
 def stages(extracted: Column, cleaned_from: Column, pending: Column, chunked: Column) -> dict[str, Column]:
@@ -39,6 +44,28 @@ def embedding_stage(chunks_hash: Column, corpus_hash: Column) -> Column:
     return F.when(F.coalesce(chunks_hash == corpus_hash, F.lit(False)), "skip").otherwise("run")
 
 
+def source_fingerprints(sources: DataFrame, extracted: DataFrame, approvals: DataFrame, chunked: DataFrame, key: str = "source") -> DataFrame:
+    """(source, extracted, cleaned_from, pending, chunked): what is known of each registered source, from extractions (source, hash),
+    approvals (source, hash, decision) and sources that have passages; decisions other than approved and pending count for none. Rows
+    that repeat a source count once, the greatest hash."""
+    one = lambda df, *more: df.groupBy(key).agg(F.max("hash").alias(more[0]), *more[1:])
+    decision = F.max(F.when(F.col("decision").isin("approved", "pending"), F.struct("hash", "decision")))["decision"]
+    rows = sources.select(key).distinct().join(one(extracted, "extracted"), key, "left").join(one(approvals, "cleaned_from", decision.alias("decision")), key, "left")
+    rows = rows.join(chunked.select(key).distinct().withColumn("chunked", F.lit(True)), key, "left")
+    return rows.select(key, "extracted", "cleaned_from", F.coalesce(F.col("decision") == "pending", F.lit(False)).alias("pending"), F.coalesce("chunked", F.lit(False)).alias("chunked"))
+
+
+def chain_state(fingerprints: DataFrame, chunks_hash: str | None, corpus_hash: str | None, key: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(source, ingest, clean, chunk) of each source, and one row (embed, sources, n_pending, pending): what happens to the vectors of the
+    whole corpus, and how many sources wait for a decision; up to a hundred of them are named, the first by name."""
+    each = fingerprints.select(key, *[c.alias(n) for n, c in stages(F.col("extracted"), F.col("cleaned_from"), F.col("pending"), F.col("chunked")).items()])
+    waits = each.where("clean = 'gate-pending'")
+    named = waits.orderBy(key).limit(100).agg(F.array_sort(F.collect_list(key)).alias("pending"))
+    counts = each.agg(F.count("*").alias("sources"), F.count_if(F.col("clean") == "gate-pending").alias("n_pending"))
+    whole = counts.unionByName(named, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("sources", "n_pending", "pending")])
+    return each, whole.select(embedding_stage(F.lit(chunks_hash).cast("string"), F.lit(corpus_hash).cast("string")).alias("embed"), "sources", "n_pending", "pending")
+
+
 def capture_stamp(old_hash: Column, old_at: Column, new_hash: Column, now: Column) -> Column:
     """The old time of capture if the hash is the same, else now."""
     return F.when(old_hash.eqNullSafe(new_hash) & old_at.isNotNull(), old_at).otherwise(now)
@@ -68,14 +95,6 @@ def path_allowed(paths: DataFrame, rules: DataFrame, path: str = "path", host: s
     return paths.join(best, [host, path], "left").withColumn("allowed", F.coalesce("_best", F.lit(True))).drop("_best")
 
 
-def content_revision(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(revision, n): a fingerprint that doesn't depend on the order of rows: SHA-256 over the sorted digests of buckets, each
-    over its sorted row digests, so that no task sees all rows."""
-    row = F.sha2(F.to_json(F.array(F.col(id_col).cast("string"), F.col(text_col))), 256)
-    buckets = chunks.select(row.alias("r")).groupBy(F.substring("r", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("r")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("revision"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-
-
 def unique_ids(spans: DataFrame, base: str, order: Sequence[str]) -> DataFrame:
     """Adds id: ``base`` for the first of its kind, then base-1, base-2 and so on."""
     nth = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
