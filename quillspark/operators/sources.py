@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical, straight_quotes
 from ..functions.urls import government_url, safe_url
 from .common import small_side
+from .containment import containing
 from .timeline import shown_day
 
 #: What a row of the registry must have, and the words that it may use. Fixed values.
@@ -96,10 +97,10 @@ def folded_for_match(text: Column) -> Column:
 
 
 def expected_ids(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query, id) of the passages (id, source, text) of a question's source in whose folded text its folded snippet stands."""
-    asked = questions.select("query", "source", folded_for_match(F.col("snippet")).alias("snippet"))
+    """(query, id) of the passages (id, source, text) of a question's source in whose folded text its folded snippet stands, once each."""
+    asked = questions.select(F.col("query").alias("key"), "source", folded_for_match(F.col("snippet")).alias("snippet"))
     held = passages.select("id", "source", folded_for_match(F.col("text")).alias("text"))
-    return held.join(small_side(asked), "source").where(F.contains("text", "snippet")).select("query", "id")
+    return containing(held, asked).withColumnRenamed("key", "query")
 
 
 def image_mismatches(kept: DataFrame, painted: DataFrame) -> DataFrame:

@@ -79,9 +79,10 @@ def lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source in which a snippet of every twentieth document of that source stands."""
+    """Documents of a source in which a snippet stands that comes from any place of every twentieth document of that source."""
     d = table(spark, sf_dir, "documents")
-    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "source", F.translate(F.substr("text", F.lit(1), F.lit(30)), "'", "’").alias("snippet"))
+    place = (F.col("doc_id") * 7919 % F.greatest(F.length("text") - 30, F.lit(1)) + 1).cast("int")
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "source", F.translate(F.substr("text", place, F.lit(30)), "'", "’").alias("snippet"))
     return S.expected_ids(q, d.select(F.col("doc_id").alias("id"), "source", "text"))
 
 
@@ -190,7 +191,7 @@ ORACLES = {
     "sources_library": "SELECT p_partkey AS source, '/docs/' || p_partkey AS path, p_name AS title, p_size::BIGINT AS bytes, CASE WHEN p_partkey % 4 = 0 THEN 'saved' ELSE 'unsaved' END AS state FROM part WHERE p_partkey % 6 = 0 AND p_partkey % 5 <> 0",
     "sources_categories": "SELECT p_brand, p_partkey, row_number() OVER w AS nth, min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)",
     "sources_lacking": "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)",
-    "sources_expected": f"WITH d AS (SELECT doc_id, source, translate({_canonical_sql('text')}, '‘’“”', '''''\"\"') AS t FROM documents), q AS (SELECT doc_id AS query, source, translate({_canonical_sql('substr(text, 1, 30)')}, '‘’“”', '''''\"\"') AS s FROM documents WHERE doc_id % 20 = 0) SELECT query, doc_id AS id FROM q JOIN d USING (source) WHERE contains(t, s)",
+    "sources_expected": f"WITH d AS (SELECT doc_id, source, translate({_canonical_sql('text')}, '‘’“”', '''''\"\"') AS t FROM documents), q AS (SELECT doc_id AS query, source, translate({_canonical_sql('substr(text, (doc_id * 7919 % greatest(length(text) - 30, 1) + 1)::INT, 30)')}, '‘’“”', '''''\"\"') AS s FROM documents WHERE doc_id % 20 = 0) SELECT query, doc_id AS id FROM q JOIN d USING (source) WHERE contains(t, s)",
     "sources_image_counts": "WITH e AS (SELECT l_orderkey % 200 AS doc, l_linenumber::BIGINT AS page, l_quantity AS q FROM lineitem), k AS (SELECT doc, page, count(*) AS n FROM e WHERE q > 10 GROUP BY ALL), p AS (SELECT doc, page, count(*) AS n FROM e WHERE q > 11 AND page < 7 GROUP BY ALL) SELECT doc, page, coalesce(k.n, 0) AS expected, coalesce(p.n, 0) AS actual FROM k FULL JOIN p USING (doc, page) WHERE coalesce(k.n, 0) <> coalesce(p.n, 0)",
     "sources_manifest": "SELECT p_partkey, p_partkey % 3 <> 0 AND p_partkey % 2 = 0 AS served, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 AND p_partkey % 5 <> 0 THEN '/docs/x' END AS served_path FROM part",
     "sources_public_index": f"WITH {_C} SELECT 't' || k AS title, CASE WHEN k % 3 <> 0 THEN 'https://x.gov/' || k END AS url, ['VA', 'DoD', 'TSP', 'DOL', 'DoD'][1 + k % 5] AS publisher, CASE WHEN k % 3 = 0 THEN 'guide' ELSE 'agency' END AS kind FROM c UNION ALL SELECT strftime(min(at_[1:10])::DATE, '%b %-d, %Y'), 'https://lib.gov', strftime(max(at_[1:10])::DATE, '%b %-d, %Y'), 'all' FROM c",
