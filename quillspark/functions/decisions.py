@@ -232,6 +232,14 @@ def retrieval_status(method: Column, allowed: Column, query: Column, limited: Co
     )
 
 
+def handshake(status: Column, version: Column, accepted: str, has_results: Column) -> Column:
+    """What a reply of the service counts as: results and empty only with the accepted version (and results with a list of them),
+    high_demand as it is, all else, null too, as error."""
+    fits = version.eqNullSafe(F.lit(accepted))
+    whole = (status == "results") & fits & F.coalesce(has_results, F.lit(False))
+    return F.when(F.coalesce(whole, F.lit(False)) | F.coalesce((status == "empty") & fits, F.lit(False)) | F.coalesce(status == "high_demand", F.lit(False)), status).otherwise("error")
+
+
 def client_action(status: Column) -> Column:
     return F.when(status == "results", "render").when(status == "empty", "no_source").when(status == "high_demand", "degrade").otherwise("service_unavailable")
 
@@ -305,6 +313,11 @@ def local_day(at: Column, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(at, zone))
 
 
+def snoozed_until(today: Column, days: Column | int) -> Column:
+    """The day to which a snooze of so many days puts something off; presets are SNOOZES."""
+    return F.date_add(today, days if isinstance(days, Column) else F.lit(days))
+
+
 def days_left(anchor: Column, today: Column) -> Column:
     return F.date_diff(anchor, today)
 

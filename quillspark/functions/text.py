@@ -151,6 +151,12 @@ def without_citations(text: Column, printed: Column | None = None) -> Column:
     return trimmed(F.regexp_replace(out, "[ \\t]+([.,;:!?])", "$1"))
 
 
+def occurrences(text: Column, part: Column) -> Column:
+    """How often ``part`` stands in a text, overlaps counted; none for an empty part."""
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.when(part == "", 0).otherwise(F.regexp_count(text, quoted)).cast("long")
+
+
 def calendar_escaped(text: Column) -> Column:
     """For iCalendar values: backslash, semicolon, comma and line end."""
     for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\r", "\\n"), ("\n", "\\n")):

@@ -15,14 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """Marked for broadcast behind a check of its size; beyond ``rows`` the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the folder of spark.checkpoint.dir (in local mode a temporary one where it is unset, as in tests) and reads it again."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (in local mode a temporary one where it is unset, as in tests); what is written
+    there goes when the application ends."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -30,7 +25,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         global _local_root
         root = _local_root = _local_root or tempfile.mkdtemp(prefix="quillspark-")
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to a scratch path and reads it again: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillspark_path = path
+    return out
+
+
+def small_side(df: DataFrame, rows: int = 10_000, size: int = 16 << 20) -> DataFrame:
+    """``df`` as a table in the shared folder, marked for broadcast if it has at most ``rows`` rows and ``size`` bytes there; else for a
+    shuffled join, both sides of which are dealt anew. Its plan runs once."""
+    if getattr(df, "_quillspark_path", None) is None:
+        df = staged(df, "side")
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quillspark_path)
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if held <= size and df.limit(rows + 1).count() <= rows else df

@@ -23,6 +23,12 @@ def lacking(rows: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame
     return rows.join(other.select(on).distinct(), on, "left_anti")
 
 
+def placement(rows: DataFrame, other: DataFrame, on: str) -> DataFrame:
+    """One row (ok, missing, first): whether each row has an equal key in ``other``, how many keys haven't, and the least of them."""
+    gone = lacking(rows, other, on).select(on).distinct()
+    return gone.agg((F.count("*") == 0).alias("ok"), F.count("*").alias("missing"), F.min(on).alias("first"))
+
+
 def limit_plan(lines: DataFrame, group: str | None = None) -> DataFrame:
     """From (line, counted, base, limit, raised, measured, current): what a limit becomes. ``counted`` lines need no margin. A
     line that measures more than is allowed is refused with what it would need; one refusal refuses all changes (of its group)."""

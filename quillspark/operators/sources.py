@@ -228,6 +228,25 @@ def review_lines(changes: DataFrame) -> DataFrame:
     return changes.select("source", "status", F.lit("pending").alias("decision"), line.alias("line"))
 
 
+def review_counts(changes: DataFrame, statuses: Sequence[str] = ("changed", "manual-check-required", "unchanged")) -> DataFrame:
+    """(status, n, shown) of a refresh: how many sources have each status, and whether the report has lines for them. A clean run, in
+    which all are unchanged, has counts alone."""
+    tally = changes.agg(F.count("*").alias("all"), *[F.count_if(F.col("status") == s).alias(s) for s in statuses])
+    rows = F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n"), (F.lit(s != "unchanged") & (F.col(s) > 0)).alias("shown")) for s in statuses])
+    return tally.select(F.inline(rows))
+
+
+def review_report(changes: DataFrame, title: str, statuses: Sequence[str] = ("changed", "manual-check-required", "unchanged")) -> DataFrame:
+    """(ord, source, line) of the whole report: a heading, counts by status, then the lines of what isn't unchanged by source; null
+    sources for what is of the run as a whole. Lines stay rows, so a report of any length is no single text."""
+    counts = review_counts(changes, statuses)
+    told = counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat("status", F.lit(": "), F.col("n").cast("string")))), ", ").alias("counts"), F.max("shown").alias("any"))
+    line = lambda ord_, text: F.struct(F.lit(ord_).alias("ord"), text.alias("line"))
+    head = told.select(F.inline(F.array(line(0, F.lit(f"# {title}")), line(1, F.col("counts")), line(2, F.when(F.col("any"), F.lit("")).otherwise("nothing to review")))))
+    lines = review_lines(changes.where("status <> 'unchanged'")).select(F.lit(3).alias("ord"), "source", "line")
+    return head.where("line <> ''").select("ord", F.lit(None).cast(dict(lines.dtypes)["source"]).alias("source"), "line").unionByName(lines)
+
+
 def approved_ids(pending: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Pending rows (source, decision) with the listed ones approved; raises for an id that isn't there."""
     known = pending.where(F.col("source").isin(*ids)).select("source").distinct().count()
@@ -243,6 +262,23 @@ def escaped_html(text: Column) -> Column:
     return text
 
 
+#: What a page's operators are that paint images, and those that merge several. Fixed values.
+PAINTS, MERGED_PAINTS = ("paintImageXObject", "paintInlineImageXObject", "paintImageMaskXObject"), ("paintImageXObjectRepeat", "paintInlineImageXObjectGroup", "paintImageMaskXObjectGroup", "paintImageMaskXObjectRepeat")
+
+
+def image_paints(operators: Column, widths: Column, heights: Column) -> Column:
+    """How many images of more than one pixel a page's operators (parallel arrays) paint; an operator that merges several is an error."""
+    rows = F.arrays_zip(operators.alias("op"), widths.alias("w"), heights.alias("h"))
+    merged = F.arrays_overlap(operators, F.array(*map(F.lit, MERGED_PAINTS)))
+    painted = F.size(F.filter(rows, lambda x: x["op"].isin(*PAINTS) & (x["w"] * x["h"] > 1))).cast("long")
+    return F.when(F.coalesce(merged, F.lit(False)), F.raise_error(F.lit("a merged image operator"))).otherwise(painted)
+
+
+def with_pictures(manifest: DataFrame) -> DataFrame:
+    """(source) of the served documents of which pictures were kept, each once."""
+    return manifest.where("kept > 0").select("source").distinct()
+
+
 def component_text(tag: Column, contact: Column, extension: Column) -> Column:
     """What a telephone element shows, which only its attributes tell; null for other elements or without a number."""
     number, more = F.trim(F.coalesce(contact, F.lit(""))), F.trim(F.coalesce(extension, F.lit("")))

@@ -55,6 +55,17 @@ def sessions(events: DataFrame, who: str, ts: str, tie: str, minutes: float = 15
     return numbered.groupBy(who, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"))
 
 
+def idle_spells(events: DataFrame, who: str, ts: str, minutes: float = 15, until: int | None = None) -> DataFrame:
+    """(who, since, fired) in microseconds: each pause of ``minutes`` or longer after an activity, once; the one after the last activity if it
+    lasts up to ``until`` (microseconds; without it, for ever)."""
+    pause = int(minutes * 60_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.select(F.col(who).alias("who"), at.alias("since")).where("since IS NOT NULL").distinct()
+    following = F.lead("since").over(Window.partitionBy("who").orderBy("since"))
+    ends = F.coalesce(following, F.lit(until).cast("long"), F.lit((1 << 63) - 1))
+    return rows.withColumn("_next", ends).where(F.col("_next") - F.col("since") >= pause).select(F.col("who").alias(who), "since", (F.col("since") + pause).alias("fired"))
+
+
 def marks(readings: DataFrame, who: str, order: str, ts: str, cap_days: float = 365, late_hours: float = 24) -> DataFrame:
     """(who, order, mark, late): the mark that never goes back and goes forward by ``cap_days`` a step at most, and whether
     the reading is more than ``late_hours`` behind it. Each step needs the one before; rows stream through in order, so a
@@ -138,6 +149,89 @@ def written(state: DataFrame, writes: DataFrame) -> DataFrame:
     return out.select("key", (F.coalesce("_g", F.lit(0)) + taken.cast("int")).cast("long").alias("generation"), F.when(taken, F.col("_new")).otherwise(F.col("_v")).alias("value"), (F.col("_n") > taken.cast("int")).alias("conflict"))
 
 
+def merged_writes(writes: DataFrame, state: DataFrame, width: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Replays optimistic writes (key, tie, generation, task, field, value) to the records (key, generation) in the order of ``tie`` within
+    a key: a write is taken if its generation is the record's (0 for a new key), which then goes up by one. Gives (key, tie, taken, after) for each
+    write, and (key, generation, task, field, value) of what the taken writes leave: of each field the last one, nothing for a null.
+
+    A stretch of ``width`` ties of a key is a map from the generation before it to the one after it, which leaves all generations but
+    its writes' own as they are. Such maps are composed pair by pair up a tree; from its top the generation before each stretch comes
+    down again. So no task has more of a key than one stretch, and the tree's depth is the logarithm of the stretches."""
+    types = dict(writes.dtypes)
+    cut = staged(writes.withColumn("_s", F.floor(F.col("tie") / width)), "writes")
+    known = state.groupBy("key").agg(F.max("generation").alias("_g"))
+
+    def by_stretch(work, more: str = ""):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, rows = None, []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if (row["key"], row["_s"]) != at and rows:
+                        yield work(rows)
+                        rows = []
+                    at = (row["key"], row["_s"])
+                    rows.append(row)
+            if rows:
+                yield work(rows)
+
+        return run
+
+    def as_map(rows: list[dict]) -> pa.RecordBatch:
+        after: dict[int, int] = {}
+        for row in reversed(rows):
+            if row["generation"] is not None:
+                after[row["generation"]] = after.get(row["generation"] + 1, row["generation"] + 1)
+        n = len(after)
+        return pa.RecordBatch.from_arrays([pa.array([rows[0]["key"]] * n, key_type), pa.array([rows[0]["_s"]] * n, pa.int64()), pa.array(list(after), pa.int64()), pa.array(list(after.values()), pa.int64())], names=["key", "node", "g", "h"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_type = to_arrow_type(writes.schema["key"].dataType)
+    dealt = cut.select("key", "_s", "tie", "generation").repartition("key", "_s").sortWithinPartitions("key", "_s", "tie")
+    levels = [staged(dealt.mapInArrow(by_stretch(as_map), f"key {types['key']}, node long, g long, h long"), "writes-maps")]
+    bounds = cut.agg(F.min("_s").alias("low"), F.max("_s").alias("high")).first()
+    low, high = bounds["low"] or 0, bounds["high"] or 0
+    while low != high:
+        below = levels[-1].withColumn("up", F.floor(F.col("node") / 2))
+        left, right = below.where("pmod(node, 2) = 0"), below.where("pmod(node, 2) = 1")
+        go_on = right.select(F.col("key").alias("k"), F.col("up").alias("u"), F.col("g").alias("h"), F.col("h").alias("then"))
+        through = left.join(go_on, (left["key"].eqNullSafe(go_on["k"])) & (left["up"] == go_on["u"]) & (left["h"] == go_on["h"]), "left").select(left["key"], left["up"], left["g"], F.coalesce("then", left["h"]).alias("h"))
+        first = left.select(F.col("key").alias("k"), F.col("up").alias("u"), F.col("g").alias("g2"))
+        alone = right.join(first, right["key"].eqNullSafe(first["k"]) & (right["up"] == first["u"]) & (right["g"] == first["g2"]), "left_anti").select("key", "up", "g", "h")
+        levels.append(staged(through.unionByName(alone).withColumnRenamed("up", "node"), "writes-maps"))
+        low, high = low // 2, high // 2
+    # the generation before each stretch, from the top down
+    nodes = cut.select("key", F.col("_s").alias("node")).distinct()
+    tops = nodes.select("key").distinct().join(known.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "left").select("key", F.lit(low).cast("long").alias("node"), F.coalesce("_g", F.lit(0)).alias("start"))
+    start = staged(tops, "writes-starts")
+    for d in range(len(levels) - 2, -1, -1):
+        here = staged(nodes.select("key", F.floor(F.col("node") / (1 << d)).alias("node")).distinct(), "writes-nodes") if d else nodes
+        parent = start.select(F.col("key").alias("k"), F.col("node").alias("u"), "start")
+        own = here.join(parent, here["key"].eqNullSafe(parent["k"]) & (F.floor(here["node"] / 2) == parent["u"])).select("key", "node", "start")
+        lefts = levels[d].where("pmod(node, 2) = 0").select(F.col("key").alias("k"), (F.col("node") + 1).alias("n"), F.col("g").alias("s"), "h")
+        start = own.join(lefts, own["key"].eqNullSafe(lefts["k"]) & (own["node"] == lefts["n"]) & (own["start"] == lefts["s"]), "left").select("key", "node", F.coalesce("h", "start").alias("start"))
+        start = staged(start, "writes-starts")
+
+    def verdicts(rows: list[dict]) -> pa.RecordBatch:
+        now, taken, after = rows[0]["_start"], [], []
+        for row in rows:
+            taken.append(row["generation"] == now)
+            now += taken[-1]
+            after.append(now)
+        return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows], key_type), pa.array([r["tie"] for r in rows], pa.int64()), pa.array(taken), pa.array(after, pa.int64())], names=["key", "tie", "taken", "after"])
+
+    begun = start.select(F.col("key").alias("k"), F.col("node").alias("n"), F.col("start").alias("_start"))
+    rows = cut.select("key", "_s", F.col("tie").cast("long").alias("tie"), "generation")
+    rows = rows.join(begun, rows["key"].eqNullSafe(begun["k"]) & (rows["_s"] == begun["n"])).select("key", "_s", "tie", "generation", "_start")
+    told = staged(rows.repartition("key", "_s").sortWithinPartitions("key", "_s", "tie").mapInArrow(by_stretch(verdicts), f"key {types['key']}, tie long, taken boolean, after long"), "writes-verdicts")
+    ends = told.groupBy("key").agg(F.max("after").alias("_end"))
+    ends = known.join(ends.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "full").select(F.coalesce("key", "k").alias("key"), F.coalesce("_end", "_g").alias("generation"))
+    taken = told.where("taken").select(F.col("key").alias("k"), F.col("tie").alias("t"), "after")
+    fields = cut.join(taken, cut["key"].eqNullSafe(taken["k"]) & (cut["tie"] == taken["t"])).groupBy("key", "task", "field").agg(F.max_by("value", "after").alias("value")).where("value IS NOT NULL")
+    ended = ends.withColumnRenamed("key", "k")
+    return told, fields.join(ended, fields["key"].eqNullSafe(ended["k"])).select("key", "generation", "task", "field", "value")
+
+
 def missing_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose target isn't a node."""
     return edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")

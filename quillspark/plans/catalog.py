@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("text", "retrieval", "registry", "timeline", "stateful", "rules", "pages", "passages", "sources", "records", "binaries", "answers")
+FAMILIES = ("text", "retrieval", "registry", "timeline", "stateful", "rules", "pages", "passages", "sources", "records", "binaries", "answers", "artifacts")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

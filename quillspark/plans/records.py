@@ -94,7 +94,19 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(T.straight_quotes(F.col("t")), 256).alias("digest"))
 
 
-QUERIES = {f"records_{f.__name__}": f for f in (signatures, encryption, lists, states, approvals, paged_texts, writes, files_by_reach, misses, folded)}
+def backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a backup made of each customer is turned away: keys, versions, days, tasks and lists that fit or don't by turns."""
+    k = F.col("c_custkey")
+    some = lambda n, r, yes, no: F.when(k % n == r, yes).otherwise(no)
+    text = F.concat(
+        F.lit('{"backupSchema": '), some(17, 3, "2", "1"), F.lit(', "appVersion": "'), some(13, 5, "1.02.0", "1.2.0"), F.lit('", "createdAt": '), some(19, 4, "-1", "5"), some(23, 6, ', "more": 1', ""),
+        F.lit(', "stores": {"profile": {"eaos": "'), some(11, 2, "2027-02-29", "2027-02-28"), F.lit('"}, "timeline-state": {"schemaVersion": 1, "tasks": {"'), some(7, 1, "z", "a"), F.lit('": {"status": "done"}}}, "calendar-sync": '),
+        some(3, 0, "null", '{"schemaVersion": 1, "exclusions": {"taskIds": ["a"], "categories": []}}'), F.lit("}"), some(29, 8, "", "}"),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", J.backup_fault(text, "9.0.0", ["a", "b"], ["c"]).alias("fault"))
+
+
+QUERIES = {f"records_{f.__name__}": f for f in (signatures, encryption, lists, states, approvals, paged_texts, writes, files_by_reach, misses, folded, backups)}
 
 from .retrieval import _LISTS  # noqa: E402
 from .text import _canonical_sql  # noqa: E402
@@ -109,4 +121,5 @@ ORACLES = {
     "records_files_by_reach": "WITH RECURSIVE m AS (SELECT min(c_custkey) AS m FROM customer), r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 50 = 0 UNION SELECT greatest(node // 2, m) FROM r, m WHERE node > m) SELECT c_custkey % 37 AS file, bool_or(c_custkey IN (SELECT node FROM r)) AS reached FROM customer GROUP BY 1",
     "records_misses": f"WITH {_LISTS}, q AS (SELECT query_id, min(rank) FILTER (label = wanted) AS rank FROM l GROUP BY query_id) SELECT query_id, rank, CASE WHEN rank <= 1 THEN 'HIT' WHEN rank <= 5 THEN 'SRC' ELSE 'MISS' END AS reads FROM q",
     "records_folded": "SELECT doc_id, sha256(translate(translate(text, '''\"', '’“'), '‘’“”', '''''\"\"')) AS digest FROM documents",
+    "records_backups": "SELECT c_custkey, CASE WHEN c_custkey % 29 = 8 THEN 'invalid' WHEN c_custkey % 17 = 3 THEN 'newer' WHEN c_custkey % 13 = 5 OR c_custkey % 19 = 4 OR c_custkey % 23 = 6 THEN 'invalid' WHEN c_custkey % 11 = 2 THEN 'profile' WHEN c_custkey % 7 = 1 THEN 'timeline' END AS fault FROM customer",
 }

@@ -173,7 +173,38 @@ def replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.superseded(held, shipped, ("/docs/", "/models/", "/none/"), ("/docs/",))
 
 
-QUERIES = {f"rules_{f.__name__}": f for f in (questions, answers, outcomes, requests, feedback, phrases, plan_answers, served_files, limits, greatest_limits, word_list, word_lines, removal_lines, replaced_files)}
+def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day of each event five hours west, and to where the three snoozes of that day reach."""
+    e = table(spark, sf_dir, "events").select("event_id", D.local_day(F.col("ts").cast("timestamp"), "-05:00").alias("day"))
+    return e.select("event_id", "day", *[D.snoozed_until(F.col("day"), n).alias(f"until_{n}") for n in D.SNOOZES])
+
+
+#: Lines as they are shown beside tasks: what makes a claim about the reader, and what doesn't.
+CLAIMS = ("You may qualify for it.", "You’ll get a letter.", "You have up to 30 more days.", "it is guaranteed", "You will likely be approved.", "Your command may approve it.", "Who will approve your leave?", "Ask whether your request is approved.", "Members get it.", "You apply.")
+
+
+def personal_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which turns make a claim about their reader: each with a line put behind it by turns."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.get(F.array(*map(F.lit, CLAIMS)), ((F.col("conv_id") + F.col("turn")) % len(CLAIMS)).cast("int"))
+    return c.select("conv_id", "turn", D.claims_personally(F.concat("text", F.lit(". "), line)).alias("claims"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replies of the service count as: documents as replies, their language as status for some."""
+    k = F.col("doc_id")
+    status = F.when(k % 5 == 0, "results").when(k % 5 == 1, "empty").when(k % 5 == 2, "high_demand").when(k % 5 == 3, F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", D.handshake(status, F.when(k % 7 != 6, F.when(k % 3 == 0, "2").otherwise("1")), "1", F.when(k % 11 != 0, F.length("text") > 500)).alias("reply"))
+
+
+def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all customers have an order, and all orders a customer."""
+    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    both = [R.placement(c, o, "key").withColumn("of", F.lit("customers")), R.placement(o, c, "key").withColumn("of", F.lit("orders"))]
+    return both[0].unionByName(both[1])
+
+
+QUERIES = {f"rules_{f.__name__}": f for f in (questions, answers, outcomes, requests, feedback, phrases, plan_answers, served_files, limits, greatest_limits, word_list, word_lines, removal_lines, replaced_files, local_days, personal_claims, replies, placements)}
 
 _S = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
@@ -231,4 +262,8 @@ ORACLES = {
     "rules_word_lines": "WITH c AS (SELECT c_custkey, 'word' || (c_custkey % 1001) AS w, c_custkey % 9 = 0 OR c_custkey % 14 = 0 AS odd FROM customer), n AS (SELECT w, count(*) AS n FROM c WHERE NOT odd GROUP BY w) SELECT c_custkey, CASE WHEN odd THEN 'shape' WHEN n > 1 THEN 'repeat' END AS fault FROM c LEFT JOIN n USING (w)",
     "rules_removal_lines": "WITH c AS (SELECT c_custkey, 'w' || (c_custkey % 1201) AS w, count(*) OVER (PARTITION BY c_custkey % 1201) AS n FROM customer), k AS (SELECT DISTINCT 'w' || (s_suppkey * 13 % 1201) AS w FROM supplier) SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'reason' WHEN k.w IS NULL THEN 'unknown_word' WHEN n > 1 THEN 'duplicate' END AS fault FROM c LEFT JOIN k USING (w)",
     "rules_replaced_files": "WITH h AS (SELECT CASE c_custkey % 3 WHEN 0 THEN '/docs/d' || (c_custkey % 40) || '.' || left(sha256(c_custkey::VARCHAR), 16) || '.pdf' WHEN 1 THEN '/models/m' || (c_custkey % 50) ELSE '/else/' || c_custkey END AS path, CASE c_custkey % 3 WHEN 0 THEN '/docs/d' || (c_custkey % 40) WHEN 1 THEN '/models/m' || (c_custkey % 50) END AS key, c_custkey % 3 AS s FROM customer), n AS (SELECT CASE s_suppkey % 2 WHEN 0 THEN '/docs/d' || (s_suppkey % 30) ELSE '/models/m' || (s_suppkey % 20) END AS key FROM supplier) SELECT path FROM h WHERE s < 2 AND key NOT IN (SELECT key FROM n)",
+    "rules_local_days": "WITH d AS (SELECT event_id, (ts - INTERVAL 5 HOUR)::DATE AS day FROM events) SELECT event_id, day, (day + 7)::DATE AS until_7, (day + 30)::DATE AS until_30, (day + 90)::DATE AS until_90 FROM d",
+    "rules_personal_claims": "SELECT conv_id, turn, (conv_id + turn) % 10 IN (0, 1, 2, 3, 4, 5) OR regexp_matches(text, '(?i)\\byou(''re| are| may| might| could| will| would)?( be)? (qualif\\w*|eligible|entitled)\\b|\\byou(''ll| will| can)? (get|receive)\\b|\\bguarantee') AS claims FROM conversations",
+    "rules_replies": "WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'results' WHEN 1 THEN 'empty' WHEN 2 THEN 'high_demand' WHEN 3 THEN lang END AS s, CASE WHEN doc_id % 7 <> 6 THEN doc_id % 3 <> 0 ELSE false END AS fits, doc_id % 11 <> 0 AND length(text) > 500 AS has FROM documents) SELECT doc_id, CASE WHEN s = 'results' AND fits AND has OR s = 'empty' AND fits OR s = 'high_demand' THEN s ELSE 'error' END AS reply FROM r",
+    "rules_placements": "WITH g AS (SELECT 'customers' AS of, c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION SELECT 'orders', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) SELECT o.of, count(k) = 0 AS ok, count(k) AS missing, min(k) AS first FROM (VALUES ('customers'), ('orders')) AS o(of) LEFT JOIN g USING (of) GROUP BY o.of",
 }

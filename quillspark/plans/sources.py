@@ -170,7 +170,33 @@ def held_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(stray)
 
 
-QUERIES = {f"sources_{f.__name__}": f for f in (registry_faults, passage_faults, listed_items, after_links, library, categories, lacking, expected, image_counts, manifest, public_index, cited_urls, population, narrowed, acronyms, stamped, review, held_bytes)}
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    status = F.when(k % 10 == 0, "changed").when(k % 10 == 1, "manual-check-required").otherwise("unchanged")
+    return d.select(F.col("doc_id").alias("source"), status.alias("status"), F.concat(F.lit("because "), "lang").alias("reason"), F.sha2("text", 256).alias("old_hash"), F.when(k % 10 != 1, F.sha2("lang", 256)).alias("new_hash"))
+
+
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of a refresh of the documents: heading, counts, lines."""
+    return S.review_report(_changes(spark, sf_dir), "Refresh")
+
+
+def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a refresh in which nothing has changed."""
+    return S.review_report(_changes(spark, sf_dir).withColumn("status", F.lit("unchanged")), "Refresh")
+
+
+def image_paints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that pages paint: order lines as operators, and the orders that kept any as documents with pictures."""
+    at = F.array(*map(F.lit, (*S.PAINTS, "fill", "save")))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.get(at, (F.col("l_partkey") % 5).cast("int")).alias("op"), (F.col("l_quantity") % 3).alias("w"), (F.col("l_suppkey") % 2 + 1).alias("h"))
+    pages = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source")).agg(F.array_sort(F.collect_list(item)).alias("i"))
+    kept = pages.select("source", S.image_paints(F.col("i.op"), F.col("i.w"), F.col("i.h")).alias("kept"))
+    return kept.join(S.with_pictures(kept).withColumn("listed", F.lit(True)), "source", "left").na.fill(False, ["listed"])
+
+
+QUERIES = {f"sources_{f.__name__}": f for f in (registry_faults, passage_faults, listed_items, after_links, library, categories, lacking, expected, image_counts, manifest, public_index, cited_urls, population, narrowed, acronyms, stamped, review, held_bytes, review_report, clean_report, image_paints)}
 
 from .text import _canonical_sql  # noqa: E402
 
@@ -202,4 +228,7 @@ ORACLES = {
     "sources_stamped": f"WITH {_C} SELECT k::VARCHAR AS source_id, CASE WHEN k % 4 <> 0 AND k % 3 = 0 THEN 'ffff' ELSE h END AS content_hash, CASE WHEN k % 4 <> 0 THEN 'captures/' || CASE WHEN k % 3 = 0 THEN 'ffff.pdf' ELSE h || '.html' END ELSE 'captures/old' END AS captured_path, CASE WHEN k % 4 <> 0 AND k % 3 = 0 THEN '2025-01-01T00:00:00Z' ELSE at_ END AS captured_at, CASE WHEN k % 4 <> 0 AND k % 5 = 0 THEN '2024-05-05' ELSE '2023-01-01' END AS source_updated_date FROM c",
     "sources_review": f"WITH {_C}, s AS (SELECT *, CASE k % 3 WHEN 0 THEN 'changed' WHEN 1 THEN 'manual-check-required' ELSE 'unchanged' END AS status FROM c) SELECT k::VARCHAR AS source, status, CASE WHEN k IN (3, 6) THEN 'approved' ELSE 'pending' END AS decision, '## ' || k || ' (' || status || ')' || chr(10) || 'reason &lt;' || k || '&gt; &amp; &#39;more&#39;.' || chr(10) || 'hash: ' || h || ' -&gt; ' || CASE WHEN k % 3 = 1 THEN '(unfetched)' ELSE 'abcd' END AS line FROM s",
     "sources_held_bytes": "SELECT 'held' AS what, sum(p_size)::BIGINT AS n FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'stray', count(*) FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0",
+    "sources_review_report": "WITH c AS (SELECT doc_id AS source, CASE doc_id % 10 WHEN 0 THEN 'changed' WHEN 1 THEN 'manual-check-required' ELSE 'unchanged' END AS status, lang, sha256(text) AS o, CASE WHEN doc_id % 10 <> 1 THEN sha256(lang) END AS n FROM documents) SELECT 0 AS ord, NULL::BIGINT AS source, '# Refresh' AS line UNION ALL SELECT 1, NULL, 'changed: ' || count(*) FILTER (status = 'changed') || ', manual-check-required: ' || count(*) FILTER (status = 'manual-check-required') || ', unchanged: ' || count(*) FILTER (status = 'unchanged') FROM c UNION ALL SELECT 3, source, '## ' || source || ' (' || status || ')' || chr(10) || 'because ' || lang || '.' || chr(10) || 'hash: ' || o || ' -> ' || coalesce(n, '(unfetched)') FROM c WHERE status <> 'unchanged'",
+    "sources_clean_report": "SELECT 0 AS ord, NULL::BIGINT AS source, '# Refresh' AS line UNION ALL SELECT 1, NULL, 'changed: 0, manual-check-required: 0, unchanged: ' || count(*) FROM documents UNION ALL SELECT 2, NULL, 'nothing to review'",
+    "sources_image_paints": "SELECT l_orderkey AS source, count(*) FILTER (l_partkey % 5 < 3 AND l_quantity % 3 * (l_suppkey % 2 + 1) > 1) AS kept, count(*) FILTER (l_partkey % 5 < 3 AND l_quantity % 3 * (l_suppkey % 2 + 1) > 1) > 0 AS listed FROM lineitem GROUP BY 1",
 }

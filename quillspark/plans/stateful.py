@@ -50,8 +50,38 @@ def lost_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.missing_targets(nodes, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 100).alias("dst")))
 
 
-QUERIES = {f"state_{f.__name__}": f for f in (daily_budget, rate_limit, activity_sessions, last_seen, back_off, latest_state, reached, lost_targets)}
+def idle_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pause of ten hours or longer after an event of a user, once."""
+    return S.idle_spells(table(spark, sf_dir, "events"), "user_id", "ts", 600, 1_706_745_600_000_000)
 
+
+def _writes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as writes to records of fifty groups of customers, one of which has a third of them; every second record is there already."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(
+        F.when(k % 3 == 0, 0).otherwise(F.col("o_custkey") % 50).cast("long").alias("key"), k.alias("tie"), (k % 37 % 11).alias("generation"),
+        F.concat(F.lit("t"), (k % 4).cast("string")).alias("task"), F.when(k % 2 == 0, "status").otherwise("note").alias("field"), F.when(k % 5 != 0, F.col("o_orderpriority")).alias("value"),
+    )
+    state = spark.range(0, 50, 2).select(F.col("id").alias("key"), (F.col("id") % 3).alias("generation"))
+    return o, state
+
+
+def merged_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which optimistic writes count, and the generation after each."""
+    return S.merged_writes(*_writes(spark, sf_dir), width=1000)[0]
+
+
+def merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What those writes leave of each record's tasks."""
+    return S.merged_writes(*_writes(spark, sf_dir), width=1000)[1]
+
+
+QUERIES = {f"state_{f.__name__}": f for f in (daily_budget, rate_limit, activity_sessions, last_seen, back_off, latest_state, reached, lost_targets, idle_spells, merged_writes, merged_fields)}
+
+_WRITES = """o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 50 END AS key, o_orderkey AS tie, o_orderkey % 37 % 11 AS g, 't' || (o_orderkey % 4) AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'status' ELSE 'note' END AS field, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS value FROM orders),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tie) AS i FROM o), s AS (SELECT range AS key, range % 3 AS g FROM range(0, 50, 2)),
+r AS (SELECT n.key, i, tie, n.g = coalesce(s.g, 0) AS taken, coalesce(s.g, 0) + (n.g = coalesce(s.g, 0))::INT AS after FROM n LEFT JOIN s USING (key) WHERE i = 1
+  UNION ALL SELECT n.key, n.i, n.tie, n.g = r.after, r.after + (n.g = r.after)::INT FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)"""
 ORACLES = {
     "state_daily_budget": "SELECT event_id, units, coalesce(b, 0)::BIGINT AS before, coalesce(b, 0) < 6500 AS allowed FROM (SELECT event_id, ceil(value)::BIGINT AS units, sum(ceil(value)::BIGINT) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events)",
     "state_rate_limit": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 43200000000 ORDER BY ts, event_id) <= 2 AS allowed FROM events",
@@ -61,4 +91,7 @@ ORACLES = {
     "state_latest_state": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
     "state_reached": "WITH RECURSIVE e AS (SELECT c_custkey AS src, CASE WHEN c_custkey = 1 THEN 7 ELSE c_custkey // 3 END AS dst FROM customer), r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 100 = 0 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node::BIGINT AS node FROM r",
     "state_lost_targets": "SELECT o_orderkey AS src, o_custkey + 100 AS dst FROM orders WHERE o_custkey + 100 NOT IN (SELECT c_custkey FROM customer)",
+    "state_idle_spells": "WITH t AS (SELECT DISTINCT user_id, epoch_us(ts) AS since FROM events), n AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY user_id ORDER BY since), 1706745600000000) AS nxt FROM t) SELECT user_id, since, since + 36000000000 AS fired FROM n WHERE nxt - since >= 36000000000",
+    "state_merged_writes": f"WITH RECURSIVE {_WRITES} SELECT key, tie, taken, after::BIGINT AS after FROM r",
+    "state_merged_fields": f"WITH RECURSIVE {_WRITES}, e AS (SELECT key, max(after) AS generation FROM r GROUP BY key) SELECT key, generation::BIGINT AS generation, task, field, value FROM (SELECT key, task, field, value, row_number() OVER (PARTITION BY key, task, field ORDER BY after DESC) AS k FROM r JOIN n USING (key, i) WHERE taken) JOIN e USING (key) WHERE k = 1 AND value IS NOT NULL",
 }

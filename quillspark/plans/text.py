@@ -103,7 +103,13 @@ def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pattern_hits(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), PATTERNS)
 
 
-QUERIES = {f"text_{f.__name__}": f for f in (canonical_text, token_statistics, snippets, extraction_sanity, neighbour_similarity, numeric_grounding, citations, calendar_text, heading_echo, url_checks, pattern_hits)}
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document's first and last letters and a short part stand in it."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.occurrences(F.col("text"), F.lit("en")).alias("en"), T.occurrences(F.col("text"), F.right("text", F.lit(1))).alias("last"))
+
+
+QUERIES = {f"text_{f.__name__}": f for f in (canonical_text, token_statistics, snippets, extraction_sanity, neighbour_similarity, numeric_grounding, citations, calendar_text, heading_echo, url_checks, pattern_hits, occurrences)}
 
 ORACLES = {
     "text_canonical_text": f"SELECT doc_id, length(c)::BIGINT AS size, sha256(c) AS digest, source || ':' || left(sha256(c), 12) AS chunk_id FROM (SELECT doc_id, source, {_canonical_sql('text')} AS c FROM documents)",
@@ -117,4 +123,5 @@ ORACLES = {
     "text_heading_echo": f"WITH o AS (SELECT doc_id, text, array_to_string(string_split(text, ' ')[1:doc_id % 3 + 1], ' ') AS x FROM documents), p AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN lower(x) ELSE x END AS section FROM o) SELECT doc_id, sha256(CASE WHEN length(section) > 0 AND starts_with(text, section) AND NOT regexp_matches(substr(text, length(section) + 1), '^[A-Za-z0-9]') AND NOT regexp_matches(section, '^(?i:if|unless)\\b') THEN regexp_replace(substr(text, length(section) + 1), '^{_SPACE.replace(']+', ':.-]+')}', '') ELSE text END) AS body FROM p",
     "text_url_checks": f"WITH h AS (SELECT page_id, html, url, lower(regexp_extract(CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '^([a-z]+://[^/?#]+)', '\\1.gov') ELSE url END, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages) SELECT page_id, regexp_matches(host, '(^|\\.)(gov|mil)$') AS government, array_to_string(list_filter(regexp_extract_all(html, '(?i)\\bsrc\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), lambda u: regexp_matches(u, '^(?i:https?)://') AND regexp_extract(u, '^([A-Za-z]+://[^/?#]+)', 1) <> regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)), ' ') AS off_origin FROM h",
     "text_pattern_hits": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, line::BIGINT AS line, token FROM l, (VALUES ('email', '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[a-z]+'), ('number', '[0-9]{13,}'), ('phone', '\\+[0-9]')) r(token, pattern) WHERE regexp_matches(content, pattern)",
+    "text_occurrences": "SELECT doc_id, ((length(text) - length(replace(text, 'en', ''))) // 2)::BIGINT AS en, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, right(text, 1), '')) END::BIGINT AS last FROM documents",
 }
