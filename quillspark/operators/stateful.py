@@ -158,7 +158,8 @@ def merged_writes(writes: DataFrame, state: DataFrame, width: int = 1 << 20) ->
     its writes' own as they are. Such maps are composed pair by pair up a tree; from its top the generation before each stretch comes
     down again. So no task has more of a key than one stretch, and the tree's depth is the logarithm of the stretches."""
     types = dict(writes.dtypes)
-    cut = staged(writes.withColumn("_s", F.floor(F.col("tie") / width)), "writes")
+    least = writes.agg(F.min("tie")).first()[0] or 0
+    cut = staged(writes.withColumn("_s", F.floor((F.col("tie") - least) / width)), "writes")
     known = state.groupBy("key").agg(F.max("generation").alias("_g"))
 
     def by_stretch(work, more: str = ""):
@@ -189,9 +190,8 @@ def merged_writes(writes: DataFrame, state: DataFrame, width: int = 1 << 20) ->
     key_type = to_arrow_type(writes.schema["key"].dataType)
     dealt = cut.select("key", "_s", "tie", "generation").repartition("key", "_s").sortWithinPartitions("key", "_s", "tie")
     levels = [staged(dealt.mapInArrow(by_stretch(as_map), f"key {types['key']}, node long, g long, h long"), "writes-maps")]
-    bounds = cut.agg(F.min("_s").alias("low"), F.max("_s").alias("high")).first()
-    low, high = bounds["low"] or 0, bounds["high"] or 0
-    while low != high:
+    top = cut.agg(F.max("_s")).first()[0] or 0
+    while top > 0:
         below = levels[-1].withColumn("up", F.floor(F.col("node") / 2))
         left, right = below.where("pmod(node, 2) = 0"), below.where("pmod(node, 2) = 1")
         go_on = right.select(F.col("key").alias("k"), F.col("up").alias("u"), F.col("g").alias("h"), F.col("h").alias("then"))
@@ -199,10 +199,10 @@ def merged_writes(writes: DataFrame, state: DataFrame, width: int = 1 << 20) ->
         first = left.select(F.col("key").alias("k"), F.col("up").alias("u"), F.col("g").alias("g2"))
         alone = right.join(first, right["key"].eqNullSafe(first["k"]) & (right["up"] == first["u"]) & (right["g"] == first["g2"]), "left_anti").select("key", "up", "g", "h")
         levels.append(staged(through.unionByName(alone).withColumnRenamed("up", "node"), "writes-maps"))
-        low, high = low // 2, high // 2
+        top //= 2
     # the generation before each stretch, from the top down
     nodes = cut.select("key", F.col("_s").alias("node")).distinct()
-    tops = nodes.select("key").distinct().join(known.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "left").select("key", F.lit(low).cast("long").alias("node"), F.coalesce("_g", F.lit(0)).alias("start"))
+    tops = nodes.select("key").distinct().join(known.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "left").select("key", F.lit(0).cast("long").alias("node"), F.coalesce("_g", F.lit(0)).alias("start"))
     start = staged(tops, "writes-starts")
     for d in range(len(levels) - 2, -1, -1):
         here = staged(nodes.select("key", F.floor(F.col("node") / (1 << d)).alias("node")).distinct(), "writes-nodes") if d else nodes
