@@ -35,13 +35,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, dropped, field, id_and_bytes, map_texts, sliced, small, small_batches, staged
-from .ngram_join import WORDS, Shingler, bridged, heavy_tokens, mixed, prefix, similar
+from .ngram_join import WORDS, Shingler, bridged, distinct, heavy_tokens, mixed, prefix, similar
 
 MIN_WORDS, SPAN, GAP = 25, 20, 20
 REACH, MISS, MIN_RUN = 48, 4, 40
 THRESHOLD, RECALL, MOST_ROWS = 0.75, 0.99, 2
+#: Lines in a group of the second step: they are short, so a group has about as many words as one of documents.
+CAP = 1024
 #: Tables of at most so many rows (keys, nodes) are broadcast; larger ones are joined by a shuffle.
 SMALL = 1_000_000
+#: Tables of lists of at most so many rows are.
+LISTS = 250_000
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_rows: int = MOST_ROWS) -> tuple[int, int]:
@@ -102,12 +106,23 @@ def lines_of(text: bytes) -> list[list[bytes]]:
     return [line.split() for line in text.split(b"\n")]
 
 
-def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(doc_id, start, n, whole, window, line, key, size, prefix, least, b0 ...): place and number of words, whether it is a line. Of a
-    window: its digest and the start of the line that it lies in wholly (-1: none that counts). Of a line: digest of its words, number
-    of different shingles, prefix of them (those in ``heavy`` come last), least minimum and band keys. The other kind's are null.
+def hashed(shingle: Shingler, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts: the hashes of all their words, where each text begins among them and how many it has; and of the lines of
+    MIN_WORDS words or more where they begin, how many words they have, and of which text they are."""
+    each = [shingle.words(t) for t in texts]
+    size = np.array(list(map(len, each)), np.int64)
+    cut = [list(map(len, lines_of(t))) for t in texts]
+    length = np.array([n for c in cut for n in c], np.int64)
+    start = np.cumsum(length) - length
+    of = np.repeat(np.arange(len(texts)), list(map(len, cut)))
+    counts = length >= MIN_WORDS
+    return np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(size) - size, size, start[counts], length[counts], of[counts]
 
-    Hashes are taken over all texts of a batch at once."""
+
+def lines(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """(doc_id, start, n, key, size, prefix, least, b0 ...) of the lines that count: place and number of words, digest of its words, number
+    of different shingles, prefix of them (those in ``heavy`` come last), least minimum and band keys. Hashes are taken over all
+    texts of a batch at once."""
     names = ["least", *(f"b{k}" for k in range(BANDS))]
     order = np.argsort(heavy, kind="stable")
     shared = texts.sparkSession.sparkContext.broadcast((heavy[order], order))
@@ -117,29 +132,13 @@ def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
         common, ranks = shared.value
 
         def work(ids: list, texts: list[bytes]) -> dict:
-            each = [shingle.words(t) for t in texts]
-            size = np.array(list(map(len, each)), np.int64)
-            words, base = np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(size) - size
-            at = [b + places(w) for b, w in zip(base.tolist(), each, strict=True)]
-            many = list(map(len, at))
-            at = np.concatenate([*at, np.zeros(0, np.int64)])
-            # lines of all texts, by their places among all words
-            cut = [list(map(len, lines_of(t))) for t in texts]
-            length = np.array([n for c in cut for n in c], np.int64)
-            start = np.cumsum(length) - length
-            of = np.repeat(np.arange(len(texts)), list(map(len, cut)))
-            counts = length >= MIN_WORDS
-            held = np.searchsorted(start, at, "right") - 1 if len(start) else np.zeros(0, np.int64)
-            inside = counts[held] & (at + SPAN <= start[held] + length[held])
-            text_of = np.repeat(np.arange(len(texts)), many)
-            line = np.where(inside, start[held] - base[text_of], -1)
-            start, length, of = start[counts], length[counts], of[counts]
+            words, base, _, start, length, of = hashed(shingle, texts)
             grams, raw = shingles(words), words.tobytes()
             keys, different, first_tokens, hashes = [], [], [], []
             for a, n in zip(start.tolist(), length.tolist(), strict=True):
                 keys.append(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + n)]))
                 hashes.append(grams[a : a + n - WORDS + 1])
-                tokens = np.unique(hashes[-1])
+                tokens = distinct(hashes[-1])
                 different.append(len(tokens))
                 first_tokens.append(prefix(tokens, common, ranks).tobytes())
             bands = np.zeros((1 + BANDS, len(start)), np.int64)
@@ -155,34 +154,52 @@ def paragraphs(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
                                 bands[0] = least.view(np.int64)
                             sig = mixed(sig * np.uint64(0x9E3779B97F4A7C15) + least)
                         bands[1 + b] = sig.view(np.int64)
+            out: dict = {"doc_id": pa.array(np.array(ids, np.int64)[of]), "start": pa.array(start - base[of]), "n": pa.array(length), "key": pa.array(keys, pa.binary()), "size": pa.array(different, pa.int64()), "prefix": pa.array(first_tokens, pa.binary())}
+            return out | {name: pa.array(bands[b]) for b, name in enumerate(names)}
+
+        return work
+
+    return map_texts(texts, "doc_id long, start long, n long, key binary, size long, prefix binary, " + ", ".join(f"{b} long" for b in names), make)
+
+
+def places_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, start, n, key, window, line) of the lines that count and of the windows: place; of a line its number of words and the digest of
+    them (both null for a window); of a window its digest and the start of the line that it lies in wholly (-1: none that counts)."""
+
+    def make():
+        shingle = Shingler()
+
+        def work(ids: list, texts: list[bytes]) -> dict:
+            words, base, size, start, length, of = hashed(shingle, texts)
+            raw = words.tobytes()
+            keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + n)]) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+            at = [b + places(words[b : b + n]) for b, n in zip(base.tolist(), size.tolist(), strict=True)]
+            text_of = np.repeat(np.arange(len(texts)), list(map(len, at)))
+            at = np.concatenate([*at, np.zeros(0, np.int64)])
+            line = np.full(len(at), -1)
+            if len(start):
+                held = np.searchsorted(start, at, "right") - 1
+                inside = (held >= 0) & (at + SPAN <= start[held] + length[held])
+                line[inside] = (start[held] - base[text_of])[inside]
             doc, m, w = np.array(ids, np.int64), len(start), len(at)
-            both = lambda x, y: pa.array(np.concatenate([x, y]))
-            lines = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(w, kind)])
-            windows = lambda x: pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(x)])
-            out: dict = {
-                "doc_id": both(doc[of], doc[text_of]),
-                "start": both(start - base[of], at - base[text_of]),
-                "n": both(length, np.full(w, SPAN, np.int64)),
-                "whole": both(np.ones(m, bool), np.zeros(w, bool)),
-                "window": windows(window_keys(words, at).view(np.int64)),
-                "line": windows(line),
-                "key": lines(keys, pa.binary()),
-                "size": lines(different, pa.int64()),
-                "prefix": lines(first_tokens, pa.binary()),
+            return {
+                "doc_id": pa.array(np.concatenate([doc[of], doc[text_of]])),
+                "start": pa.array(np.concatenate([start - base[of], at - base[text_of]])),
+                "n": pa.concat_arrays([pa.array(length), pa.nulls(w, pa.int64())]),
+                "key": pa.concat_arrays([pa.array(keys, pa.binary()), pa.nulls(w, pa.binary())]),
+                "window": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(window_keys(words, at).view(np.int64))]),
+                "line": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(line)]),
             }
-            for b, name in enumerate(names):
-                out[name] = lines(bands[b], pa.int64())
-            return out
 
         return work
 
-    return map_texts(texts, "doc_id long, start long, n long, whole boolean, window long, line long, key binary, size long, prefix binary, " + ", ".join(f"{b} long" for b in names), make)
+    return map_texts(texts, "doc_id long, start long, n long, key binary, window long, line long", make)
 
 
 def line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, tokens): the shingle set of each wanted line (doc_id, start, n, node)."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "node")).alias("lines"))
-    rows = texts.join(small(lists, SMALL // 16), "doc_id").select("text", "lines")
+    rows = texts.join(small(lists, LISTS), "doc_id").select("text", "lines")
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +210,7 @@ def line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = shingle.words(text or b"")
                 for x in lines:
                     nodes.append(x["node"])
-                    tokens.append(np.unique(shingles(words[x["start"] : x["start"] + x["n"]])).tobytes())
+                    tokens.append(distinct(shingles(words[x["start"] : x["start"] + x["n"]])).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
     return rows.mapInArrow(run, "node long, tokens binary")
@@ -266,7 +283,7 @@ def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, side, at, words): for each (doc_id, side, at) up to REACH words before ``at`` (side -1, the nearest first) or from it on
     (side 1), as 32-bit hashes."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("side", "at")).alias("ends"))
-    rows = texts.join(small(lists, SMALL // 16), "doc_id").select("doc_id", "text", "ends")
+    rows = texts.join(small(lists, LISTS), "doc_id").select("doc_id", "text", "ends")
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +376,7 @@ def near_lines(texts: DataFrame, lines: DataFrame, buckets: DataFrame) -> DataFr
         wanted = lines.select("node", "doc_id", "start", "n").join(small(reps.withColumnRenamed("rep", "node"), SMALL), "node")
         return line_sets(texts, wanted).groupBy(F.col("node").alias("rep")).agg(F.first("tokens").alias("tokens"))
 
-    over = bridged(ranked, prefix_tokens(lines), sets_of_reps)
+    over = bridged(ranked, prefix_tokens(lines), sets_of_reps, CAP)
     joined = ranked.select("rep", "rank.*").join(over, "comp", "left").where("csize > 1 OR above IS NOT NULL")
     return joined.select(F.col("rep").alias("node"), F.coalesce("above", "comp").alias("component"))
 
@@ -368,24 +385,28 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, start_word, end_word, n_words, class_id, removed): runs of words, end exclusive, that stand elsewhere too.
     ``removed`` is false where they are the first of their kind and stay; class_id is the least cluster in the run."""
     texts = id_and_bytes(df, id_col, text_col).where("doc_id IS NOT NULL")
-    units = staged(paragraphs(texts, heavy_tokens(texts, texts.count())), "paragraphs")
+    # texts are read twice, for what tells lines apart and for all places: while lines are linked, places take no room
     place = F.xxhash64("doc_id", "start")
     elsewhere = F.min(place) != F.max(place)
     # one row for each different line; its place is any one occurrence's, to read its words again
-    whole = units.where("whole")
-    kinds = whole.groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in ("doc_id", "start", "n", "size", "prefix", "least")])
+    made = ["doc_id", "start", "n", "size", "prefix", "least", *(f"b{k}" for k in range(BANDS))]
+    kinds = lines(texts, heavy_tokens(texts, texts.count())).groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in made])
     kinds = staged(kinds.withColumn("node", F.xxhash64("key")), "lines")
-    buckets = whole.select(F.xxhash64("key").alias("node"), F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket")).distinct()
+    buckets = kinds.select("node", F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket"))
     near = staged(near_lines(texts, kinds, buckets), "lines-near")
-    lines = kinds.join(near, "node", "left").where("repeats OR component IS NOT NULL").select("key", F.coalesce("component", "node").alias("class"))
-    found = staged(whole.select("doc_id", "start", "n", "key").join(small(lines, SMALL), "key").select("doc_id", "start", "n", "class").distinct(), "paragraphs-found")
+    linked = kinds.join(near, "node", "left").where("repeats OR component IS NOT NULL").select("key", F.coalesce("component", "node").alias("class"))
+    linked = staged(linked, "lines-linked")
+    dropped(kinds)
+    every = staged(places_of(texts), "paragraphs")
+    whole = every.where("key IS NOT NULL").select("doc_id", "start", "n", "key")
+    found = staged(whole.join(small(linked, SMALL), "key").select("doc_id", "start", "n", "class").distinct(), "paragraphs-found")
     first = staged(found.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first")), "paragraphs-first")
     marked = found.join(small(first, SMALL), "class").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "class", (F.struct("doc_id", "start") != F.col("first")).alias("removed"))
     marked = staged(marked, "paragraphs-marked")
-    for x in (kinds, near, found):
+    for x in (linked, near, found):
         dropped(x)
-    hits = staged(repeated_windows(units.where("NOT whole").select("doc_id", "start", F.col("window").alias("key"), "line"), marked.where("removed")), "windows-repeated")
-    dropped(units)  # before texts are dealt for what is left
+    hits = staged(repeated_windows(every.where("key IS NULL").select("doc_id", "start", F.col("window").alias("key"), "line"), marked.where("removed")), "windows-repeated")
+    dropped(every)  # before texts are dealt for what is left
     runs = runs_of(texts, hits)
     copies = runs.select("doc_id", "start", "end", "class", F.lit(True).alias("removed"))
     stay = runs.groupBy(F.col("fdoc").alias("doc_id"), F.col("fstart").alias("start"), (F.col("fstart") + F.col("end") - F.col("start")).alias("end")).agg(F.min("class").alias("class")).withColumn("removed", F.lit(False))
@@ -423,7 +444,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     runs = find_repeats(df, id_col, text_col).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("runs"))
     names = df.columns
     rows = df.select(field(id_col).alias("doc_id"), field(text_col).cast("binary").alias("text"), F.struct(*[field(c) for c in names if c != text_col]).alias("row"))
-    joined = rows.join(small(runs, SMALL // 16), "doc_id", "left").drop("doc_id")
+    joined = rows.join(small(runs, LISTS), "doc_id", "left").drop("doc_id")
     small_batches(df.sparkSession)
     rest = joined.schema["row"].dataType.simpleString()
 
