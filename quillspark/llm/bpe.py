@@ -7,7 +7,8 @@ it, so that a walk adds up to a word's number, which points to its ids. The arra
 lexicon is merged exactly, so the lexicon changes speed and never results.
 
 Null and empty texts: no ids, empty decoded text. Special tokens of the file that stand in a text become their ids, as
-with the tokenizers library's defaults. Repeated rows are encoded each for itself.
+with the tokenizers library's defaults. Repeated rows are encoded each for itself. Very long texts are encoded whole; other columns
+are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations

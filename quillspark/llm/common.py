@@ -155,7 +155,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = least(both)
         large = both.join(small(nearest, HUBS), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = staged(large.where("a <> b").distinct(), label)
+        large = staged(large.where("a <> b"), label)  # no more rows than edges; the small star drops repeats
         dropped(nearest)
         # small star: a > b holds for every edge here, so b stands for the neighbours at most a
         nearest = least(large)

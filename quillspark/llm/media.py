@@ -5,7 +5,8 @@ stored bytes are read back with the wave module; all features come from what was
 executor costs the rows of its tasks and nothing is shuffled.
 
 Null and empty texts: 64 zero bytes. Equal texts give equal values, since a file is a function of its text alone. Other
-columns of the input are not read. An empty table gives an empty table.
+columns of the input are not read. Very long texts are transformed whole, by blocks of frames. Repeated rows are rows of their own. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ by less than one document. All draws come from hashes of keys and a seed, so rer
 
 Documents without words are never taken and never drawn on. Null and empty texts have size 0; null sources are a source;
 repeated rows are rows of their own and may get different numbers of copies; an empty table gives an empty one. Targets
-are capped at ``most`` times a source's size, the excess going to the others by weight.
+are capped at ``most`` times a source's size, the excess going to the others by weight. Very long texts are measured whole, each in
+its row; other columns, of any name, travel along or aren't read.
 """
 
 from __future__ import annotations

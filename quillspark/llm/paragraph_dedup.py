@@ -42,6 +42,8 @@ REACH, MISS, MIN_RUN = 48, 4, 40
 THRESHOLD, RECALL, MOST_ROWS = 0.75, 0.99, 2
 #: Lines in a group of the second step: they are short, so a group has about as many words as one of documents.
 CAP = 1024
+#: One text in so many tells which tokens are frequent; any order of tokens gives the same links.
+SAMPLE = 32
 #: Tables of at most so many rows (keys, nodes) are broadcast; larger ones are joined by a shuffle.
 SMALL = 1_000_000
 #: Tables of lists of at most so many rows are.
@@ -390,7 +392,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     elsewhere = F.min(place) != F.max(place)
     # one row for each different line; its place is any one occurrence's, to read its words again
     made = ["doc_id", "start", "n", "size", "prefix", "least", *(f"b{k}" for k in range(BANDS))]
-    kinds = lines(texts, heavy_tokens(texts, texts.count())).groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in made])
+    kinds = lines(texts, heavy_tokens(texts, texts.count(), SAMPLE)).groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in made])
     kinds = staged(kinds.withColumn("node", F.xxhash64("key")), "lines")
     buckets = kinds.select("node", F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket"))
     near = staged(near_lines(texts, kinds, buckets), "lines-near")

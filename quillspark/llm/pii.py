@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -150,19 +151,55 @@ def keys_of(token: str) -> set[str]:
     return out
 
 
-def features(token: str, before: str) -> int:
-    """Bits of a token's form."""
+class Spans:
+    """Spans (kind, start, end), those of a kind in order and apart: which kinds a stretch meets takes two searches a kind."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.by_kind: dict[int, tuple[list[int], list[int]]] = {}
+        for kind, start, end in sorted(spans):
+            starts, ends = self.by_kind.setdefault(kind, ([], []))
+            starts.append(start)
+            ends.append(end)
+
+    def met(self, start: int, end: int) -> list[int]:
+        out = []
+        for kind, (starts, ends) in self.by_kind.items():
+            i = bisect_right(ends, start)
+            if i < len(starts) and starts[i] < end:
+                out.append(kind)
+        return out
+
+
+#: Words before a token that speak of what it is, by kind.
+CUES = (
+    frozenset("mail email contact write reply".split()), frozenset("ip ips host server address addr gateway".split()),
+    frozenset("card cards visa mastercard credit debit account".split()), frozenset("call phone tel telephone ring mobile fax cell dial".split()),
+)
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]*$")
+#: Characters before a token in which the word before it is looked for.
+BESIDE = 32
+
+
+def word_before(text: str, at: int) -> str:
+    """The word that stands before a place in its line, in lower case; empty without one near."""
+    m = _WORD_BEFORE.search(text[max(0, at - BESIDE) : at])
+    return m[1].lower() if m else ""
+
+
+def features(token: str, before: str, word: str = "") -> int:
+    """Bits of a token's form and of the word before it."""
     digits = sum("0" <= c <= "9" for c in token)
     letters = any(c.isalpha() for c in token)
     at = token.find("@")
     tests = (
         True, at >= 0, at >= 0 and "." in token[at:], digits == 0, 1 <= digits <= 3, 4 <= digits <= 8, 9 <= digits <= 12, 13 <= digits <= 19, digits > 19,
         token.count(".") == 3, token.count(".") > 3, token.startswith("+") or before == "+", "-" in token, letters, letters and digits > 0, "(" in token or before == "(", "_" in token or "%" in token, len(token) >= 20,
+        *(word in cues for cues in CUES),
     )
     return sum(1 << k for k, x in enumerate(tests) if x)
 
 
-N_FEATURES = 18
+N_FEATURES = 18 + len(CUES)
 
 
 class Graph:
@@ -170,16 +207,9 @@ class Graph:
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]) -> None:
         self.nodes = nodes_of(text)
-        self.form = [features(text[s:e], text[s - 1 : s] if s else "") for s, e in self.nodes]
-        self.seen = [0] * len(self.nodes)
-        spans = sorted((s, e, k) for k, s, e in base)
-        at = 0
-        for i, (s, e) in enumerate(self.nodes):
-            while at < len(spans) and spans[at][1] <= s and (at + 1 == len(spans) or spans[at + 1][0] <= s):
-                at += 1
-            hit = [k for a, b, k in spans[max(0, at - 1) : at + 4] if a < e and s < b]
-            if hit:
-                self.seen[i] = min(hit) + 1
+        self.form = [features(text[s:e], text[s - 1 : s] if s else "", word_before(text, s)) for s, e in self.nodes]
+        self.base = Spans(base)
+        self.seen = [min(self.base.met(s, e), default=-1) + 1 for s, e in self.nodes]
         self.chain = [(i, i + 1) for i in range(len(self.nodes) - 1) if not text[self.nodes[i][1] : self.nodes[i + 1][0]].strip(TRIM + " \t\n\r\x0b\x0c")]
         by_key: dict[str, list[int]] = defaultdict(list)
         for i, (s, e) in enumerate(self.nodes):
@@ -246,7 +276,7 @@ class Field:
         label = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
         joined, out = set(g.chain), []
         for i, (s, e) in enumerate(g.nodes):
-            if label[i] and not g.seen[i] and not any(a < e and s < b for _, a, b in base):
+            if label[i] and not g.seen[i]:
                 if out and out[-1][0] == label[i] - 1 and (i - 1, i) in joined and out[-1][2] == g.nodes[i - 1][1]:
                     out[-1] = (out[-1][0], out[-1][1], e)
                 else:

@@ -10,7 +10,7 @@ labelled bad rows; otherwise, or without enough labels, the rule is off in that
 
 Null and empty texts have no words and fail the base rule. A null stratum is a stratum of its own. Labels that repeat an id
 count once, as good if any is good; labels without a row and rows without a label take no part in the tests. Repeated rows
-are judged each for itself. An empty table gives an empty one; without labels only the base rule holds.
+are judged each for itself. Very long texts are counted whole, within their row; other columns are not read. An empty table gives an empty one; without labels only the base rule holds.
 """
 
 from __future__ import annotations

@@ -1,11 +1,13 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
 Labels are what the rules say of the URLs that they decide, and those of a labelled table, if one is given. What rules speak of
-(a host's last label and labels that rules name, and the first step of a path) is left out of every feature, so the trees can't repeat the rules;
+(labels of a host that rules name, and the first step of a path) is left out of every feature, so the trees can't repeat the rules;
 they learn what else the decided URLs have in common. Trees are fit on a bounded sample (``TRAIN_ROWS`` different URLs, those of
 least hash). Features: lengths, depth, digit ratios, entropies, counts of parameters and hyphens, and statistics of suffixes: how
-many rows share the host, how many the last label of its own part, and the share of blocked URLs among labelled ones of that
-label whose hosts fall in other folds. Training and served rows get them from the same tables, in one pass. All expressions
+many rows share the host, how many its suffixes of one and of two labels, and the share of blocked URLs among labelled ones of those
+suffixes whose hosts fall in other folds. Training and served rows get them from the same tables, in one pass. From which chance on a
+URL is blocked is learnt too: trees fit without one fold's hosts judge that fold, and the least of ``CUTOFFS`` by which at most
+``WRONG`` of its allowed URLs are blocked counts; without one nothing is. All expressions
 and the trees run in the JVM; suffix tables are broadcast only behind a check of their size and else joined by a shuffle, of which
 Spark splits large partitions. ``held_out_errors`` gives the errors on hosts of a fold that the trees haven't seen.
 
@@ -30,8 +32,8 @@ from .common import field, small, staged
 #: (verdict, host and path prefix). Fixed values.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 TRAIN_ROWS, TREES, DEPTH, STEP, SEED = 10_000, 20, 4, 0.2, 7
-#: A URL is blocked from this probability on.
-BLOCK_FROM = 0.8
+#: Chances from which on a URL may be blocked, and the share of allowed URLs of the held-out fold that may be blocked by it.
+CUTOFFS, WRONG = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), 0.01
 FOLDS = 5
 SMALL = 50_000
 
@@ -73,16 +75,14 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def own_host(host: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """A host without its last label and without any label that a rule's host has; the first label if that leaves none."""
+    """A host without the labels that a rule's host has; the first label if that leaves none."""
     spoken = sorted({x for _, rule in rules for x in rule[: rule.index("/")].split(".")})
     labels = F.split(host, r"\.")
-    kept = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))
-    if spoken:
-        kept = F.filter(kept, lambda x: ~x.isin(*spoken))
+    kept = F.filter(labels, lambda x: ~x.isin(*spoken)) if spoken else labels
     return F.when(F.size(kept) > 0, F.array_join(kept, ".")).otherwise(F.get(labels, F.lit(0)))
 
 
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "hyphens", "host_digits", "path_digits", "host_entropy", "path_entropy", "parameters", "fragment", "secure", "longest_label", "host_rows", "suffix_rows", "suffix_blocked")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "hyphens", "host_digits", "path_digits", "host_entropy", "path_entropy", "parameters", "fragment", "secure", "longest_label", "host_rows", "suffix1_rows", "suffix1_blocked", "suffix2_rows", "suffix2_blocked")
 
 
 def with_features(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -107,20 +107,25 @@ def with_features(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
             "fragment": F.contains(F.col("_rest"), F.lit("#")).cast("double"),
             "secure": url.startswith("https://").cast("double"),
             "longest_label": F.array_max(F.transform(F.split(host, r"\."), F.length)).cast("double"),
-            "_suffix": F.substring_index(host, ".", -1),
+            "_suffix1": F.substring_index(host, ".", -1),
+            "_suffix2": F.substring_index(host, ".", -2),
             "_fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)),
         }
     )
     out = staged(out.drop("_host", "_path", "_rest"), "url-features")
     hosts = out.groupBy("host").agg(F.log1p(F.sum(F.col("served").cast("int"))).alias("host_rows"))
-    cells = staged(out.groupBy("_suffix", F.col("_fold").alias("f")).agg(F.sum(F.col("served").cast("int")).alias("n"), F.sum("blocked").alias("b"), F.count("blocked").alias("m")), "url-cells")
-    by_fold = F.map_from_entries(F.collect_list(F.struct("f", F.struct("b", "m"))))
-    suffixes = cells.groupBy("_suffix").agg(F.log1p(F.sum("n")).alias("suffix_rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.sum("m").alias("m"), by_fold.alias("by_fold"))
-    out = out.join(small(hosts, SMALL), "host").join(small(suffixes, SMALL), "_suffix")
-    own = F.try_element_at("by_fold", F.col("_fold"))
-    seen, blocked = F.col("m") - F.coalesce(own["m"], F.lit(0)), F.col("b") - F.coalesce(own["b"], F.lit(0))
-    # without labels of the suffix a half, to which few labels are drawn
-    return out.withColumn("suffix_blocked", (blocked + 5.0) / (seen + 10.0)).drop("_suffix", "b", "m", "by_fold")
+    out = out.join(small(hosts, SMALL), "host")
+    for suffix in ("suffix1", "suffix2"):
+        key = f"_{suffix}"
+        cells = staged(out.groupBy(key, F.col("_fold").alias("f")).agg(F.sum(F.col("served").cast("int")).alias("n"), F.sum("blocked").alias("b"), F.count("blocked").alias("m")), "url-cells")
+        by_fold = F.map_from_entries(F.collect_list(F.struct("f", F.struct("b", "m"))))
+        known = cells.groupBy(key).agg(F.log1p(F.sum("n")).alias(f"{suffix}_rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.sum("m").alias("m"), by_fold.alias("by_fold"))
+        out = out.join(small(known, SMALL), key)
+        own = F.try_element_at("by_fold", F.col("_fold"))
+        seen, blocked = F.col("m") - F.coalesce(own["m"], F.lit(0)), F.col("b") - F.coalesce(own["b"], F.lit(0))
+        # without labels of the suffix a half, to which few labels are drawn
+        out = out.withColumn(f"{suffix}_blocked", (blocked + 5.0) / (seen + 10.0)).drop(key, "b", "m", "by_fold")
+    return out
 
 
 def train(labelled: DataFrame) -> GBTClassificationModel | None:
@@ -154,13 +159,30 @@ def featured(df: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFram
     return with_features(rows, rules)
 
 
-def held_out_errors(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(fold, n, blocked, wrong_blocks, missed) over the labelled rows: how the trees, fit on the hosts of all other folds, judge
-    those of each fold."""
+def cutoff(labelled: DataFrame, fold: int = 0) -> float | None:
+    """The least of CUTOFFS by which trees that haven't seen the hosts of ``fold`` block at most WRONG of its allowed URLs; None if there
+    is none, or no allowed URL to tell by."""
+    judged = probabilities(labelled.where(F.col("_fold") == fold), train(labelled.where(F.col("_fold") != fold)))
+    fine = F.col("blocked") == 0
+    told = judged.agg(F.count_if(fine).alias("n"), *[F.count_if(fine & (F.col("p") >= c)).alias(f"c{i}") for i, c in enumerate(CUTOFFS)]).first()
+    return next((c for i, c in enumerate(CUTOFFS) if told["n"] and told[f"c{i}"] <= WRONG * told["n"]), None)
+
+
+def says_block(features: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``features`` with p and says, whether trees fit on ``labelled`` block, from the cutoff that its first fold gives."""
+    judged, least = probabilities(features, train(labelled)), cutoff(labelled)
+    return judged.withColumn("says", F.lit(False) if least is None else F.col("p") >= least)
+
+
+def held_out_errors(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", folds: Sequence[int] = range(FOLDS)) -> DataFrame:
+    """(fold, n, blocked, wrong_blocks, missed) over the labelled rows: how the trees and their cutoff, fit on the hosts of all other
+    folds, judge those of each fold."""
     known = staged(featured(df, rules, labelled, id_col, url_col).where("blocked IS NOT NULL"), "url-known")
     out = None
-    for k in range(FOLDS):
-        judged = probabilities(known.where(F.col("_fold") == k), train(known.where(F.col("_fold") != k))).withColumn("says", F.col("p") >= BLOCK_FROM)
+    for k in folds:
+        # the fold that gives the cutoff is the first of those that are left
+        rest = known.where(F.col("_fold") != k).withColumn("_fold", F.pmod(F.col("_fold") - k - 1, F.lit(FOLDS)))
+        judged = says_block(known.where(F.col("_fold") == k), rest)
         one = judged.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.count_if(F.col("blocked") == 1).alias("blocked"), F.count_if((F.col("blocked") == 0) & F.col("says")).alias("wrong_blocks"), F.count_if((F.col("blocked") == 1) & ~F.col("says")).alias("missed"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -170,7 +192,7 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled
     """(id_col, host, path, rule, verdict, p) for each row: the longest rule's verdict, else the trees'; p is the trees' chance for
     blocking. ``labelled``: (url, verdict) to train from beside what the rules decide."""
     features = staged(featured(df, rules, labelled, id_col, url_col), "url-rows")
-    method = probabilities(features.where("served"), train(features.where("blocked IS NOT NULL")))
-    blocked = (F.col("p") >= BLOCK_FROM) & (F.col("host") != "")
+    method = says_block(features.where("served"), features.where("blocked IS NOT NULL"))
+    blocked = F.col("says") & (F.col("host") != "")
     verdict = F.coalesce(F.col("r.verdict"), F.when(blocked, "block").otherwise("allow"))
     return method.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.round("p", 6).alias("p"))

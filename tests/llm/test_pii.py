@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -144,6 +145,53 @@ def test_trained_field_leaves_plain_numbers(spark):
     assert marked <= 2
 
 
+def test_kinds_that_a_token_meets():
+    rng = random.Random(7)
+    for _ in range(300):
+        spans = []
+        for kind in range(4):
+            at = 0
+            for _ in range(rng.randrange(4)):
+                start = at + rng.randrange(6)
+                at = start + rng.randrange(1, 6)
+                spans.append((kind, start, at))
+        held = pii.Spans(spans)
+        for _ in range(20):
+            s = rng.randrange(30)
+            e = s + rng.randrange(1, 8)
+            assert sorted(held.met(s, e)) == sorted({k for k, a, b in spans if a < e and s < b})
+    # a long token that many spans of one kind fill has its label
+    text = ";".join("4111111111111111,1.2.3.4" for _ in range(50))
+    assert set(pii.Graph(text, pii.base_spans(text)).seen) == {2}
+
+
+def test_words_before_a_number_tell(spark):
+    """Numbers of one form are labelled by the word before them."""
+    assert pii.word_before("Please call: +1", 13) == "call" and pii.word_before("line\n 12", 6) == "" and pii.word_before("", 0) == ""
+    rng = random.Random(5)
+    number = lambda: f"{rng.randrange(100, 999)} {rng.randrange(1000, 9999)} {rng.randrange(10, 99)}"
+    rows = [(i, f"Call +{number()} today. Item {rng.randrange(1000000, 9999999)} is gone, lot {rng.randrange(1000000, 9999999)} too.") for i in range(500)]
+    field = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    cue = pii.features("5551234", " ", "call") ^ pii.features("5551234", " ", "item")
+    bit = cue.bit_length() - 1
+    assert field.unary[bit, 4] - field.unary[bit, 0] > 0
+
+
+def test_many_spans_are_linear():
+    """Thousands of base spans and repeated numbers in one text."""
+    unary = np.zeros((pii.N_FEATURES, len(pii.LABELS)))
+    unary[5, 4] = 9.0
+    field = pii.Field(unary, np.zeros((len(pii.LABELS),) * 2), np.diag([0.0, *[4.0] * len(pii.KINDS)]))
+    took = []
+    for n in (2000, 8000):
+        text = " ".join(f"a{i}@b.cd 201-4477 10.0.{i % 256}.1" for i in range(n))
+        base = pii.base_spans(text)
+        start = time.perf_counter()
+        assert len(field.added(text, base)) == n and len(base) == 2 * n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 0.3
+
+
 def test_long_texts_are_linear():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "a@" * 60_000, "1." * 60_000, "+1" * 60_000, "1 " * 60_000):
         pii.base_spans(text)

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -111,11 +112,43 @@ def test_trees_learn_from_rules_what_rules_do_not_say(spark):
 
 
 def test_features_leave_out_what_rules_speak_of(spark):
-    df = spark.createDataFrame([(1, "http://a.b.example.com/en/1?x=1"), (2, "http://a.b.example.org/fr/1?x=1")], "page_id long, url string")
-    got = uf.featured(df, (), None, "page_id", "url").collect()
-    assert all(got[0][c] == got[1][c] for c in uf.FEATURES if c not in ("host_rows",))
+    df = spark.createDataFrame([(1, "http://a.b.example.com/en/1?x=1"), (2, "http://a.b.www.net/fr/1?x=1")], "page_id long, url string")
+    got = uf.featured(df, uf.RULES, None, "page_id", "url").collect()
+    assert all(got[0][c] == got[1][c] for c in uf.FEATURES if not c.endswith("_blocked"))
+
+
+def test_suffixes_are_those_of_the_host(spark):
+    df = spark.createDataFrame([(i, f"http://h{i}.blog.{x}/p") for i, x in enumerate(["co.uk", "co.uk", "ac.uk", "example.com"])], "page_id long, url string")
+    got = {r["id"]: (round(r["suffix1_rows"], 4), round(r["suffix2_rows"], 4)) for r in uf.featured(df, uf.RULES, None, "page_id", "url").collect()}
+    log = lambda n: round(math.log1p(n), 4)
+    # of example.com the labels that rules name go: its suffixes are those of its own part
+    assert got == {0: (log(3), log(2)), 1: (log(3), log(2)), 2: (log(3), log(1)), 3: (log(1), log(1))}
+
+
+def test_trees_find_a_planted_suffix(spark):
+    """Hosts differ by their suffix alone: those under two of eight are blocked, but for some noise; others are judged by it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    ends = ["zip", "loan", "one", "two", "six", "ten", "day", "sea"]
+    made = lambda n: [(f"https://{word()}.{end}/{word()}", end) for end in rng.choices(ends, k=n)]
+    labelled = spark.createDataFrame([(u, "block" if (e in ("zip", "loan")) != (rng.random() < 0.004) else "allow") for u, e in made(2500)], "url string, verdict string")
+    held = made(800)
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in uf.judge_urls(df, rules=(), labelled=labelled).collect()}
+    want = {i: "block" if e in ("zip", "loan") else "allow" for i, (_, e) in enumerate(held)}
+    assert sum(got[i] == want[i] for i in got) > 0.98 * len(held)
+
+
+def test_nothing_is_blocked_without_a_cutoff(spark):
+    """Labels that nothing in a URL tells: only a cutoff by which wrong blocks are few may count, so few are made."""
+    rng = random.Random(10)
+    made = lambda n: [f"https://{''.join(rng.choices('abcdefgh', k=8))}.org/" for _ in range(n)]
+    labelled = spark.createDataFrame([(u, rng.choice(["block", "allow"])) for u in made(1500)], "url string, verdict string")
+    df = spark.createDataFrame(list(enumerate(made(400))), "page_id long, url string")
+    got = uf.judge_urls(df, rules=(), labelled=labelled).groupBy("verdict").count().collect()
+    assert sum(r["count"] for r in got if r["verdict"] == "block") <= 24
 
 
 def test_held_out_errors_by_host(spark, sf):
-    got = uf.held_out_errors(spark.read.parquet(f"{sf}/pages.parquet")).collect()
-    assert len(got) == uf.FOLDS and all(0 <= r["wrong_blocks"] + r["missed"] <= r["n"] for r in got)
+    got = uf.held_out_errors(spark.read.parquet(f"{sf}/pages.parquet"), folds=(0, 3)).collect()
+    assert len(got) == 2 and all(0 <= r["wrong_blocks"] + r["missed"] <= r["n"] for r in got)
