@@ -1,7 +1,9 @@
 """From raw documents to token ids: quality rules, near duplicates, personal data, source mix, BPE.
 
 Each stage is a function of (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the
-columns of ``documents``. ``run`` writes each stage to the shared folder and reads it again, as a driver of STAGES does.
+columns of ``documents``. Null and empty texts have no words and fail the quality rules; a null language or source is one of its own.
+Rows that share an id stay or go together; of ties the least id stays; equal rows count once from the second stage on. Without labels
+only the base rule holds, and an empty table gives an empty one. ``run`` writes each stage to the shared folder and reads it again, as a driver of STAGES does.
 """
 
 from __future__ import annotations
