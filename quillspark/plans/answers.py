@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     first = p.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("_n = 1")
     words = F.filter(F.split("text", f"[{SPACES}]+"), lambda w: w != "")
     at = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") % 13).otherwise(F.col("conv_id") * 31 % F.greatest(F.size(words), F.lit(1)))
-    snippet = F.upper(F.array_join(F.slice(words, (at + 1).cast("int"), F.lit(5)), "  - "))
+    snippet = F.translate(F.array_join(F.slice(words, (at + 1).cast("int"), F.lit(5)), "  - "), ascii_lowercase, ascii_uppercase)
     k = F.col("conv_id")
     source = F.when(k % 4 == 3, F.lit("s9")).otherwise(F.col("source"))
     questions = first.select(k.alias("query"), source.alias("source"), F.when(k % 5 != 4, snippet).alias("snippet"))
@@ -107,7 +109,7 @@ _FOLD = lambda t: f"trim(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9 ]+'
 _ECHO = lambda t, s: f"CASE WHEN length({s}) > 0 AND starts_with({t}, {s}) AND NOT regexp_matches(substr({t}, length({s}) + 1), '^[A-Za-z0-9]') AND NOT regexp_matches({s}, '^(?i:if|unless)([^A-Za-z0-9_]|$)') THEN regexp_replace(substr({t}, length({s}) + 1), '^[\\t\\n\\x0b\\f\\r \\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}:.\\-]+', '') ELSE {t} END"
 _PASSAGES = f"passages AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, 's' || (conv_id % 7) AS source, CASE WHEN conv_id % 3 = 0 THEN {_FIRST('text', 2)} WHEN conv_id % 3 = 1 THEN 'If so' END AS section, text FROM conversations WHERE role = 'assistant')"
 _QUESTIONS = f"""{_PASSAGES}, first AS (SELECT *, list_filter(string_split_regex(text, '[{_S}]+'), lambda w: w <> '') AS w FROM passages QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
-cut AS (SELECT *, upper(array_to_string(w[CASE WHEN conv_id % 2 = 0 THEN conv_id % 13 ELSE conv_id * 31 % greatest(len(w), 1) END + 1 : CASE WHEN conv_id % 2 = 0 THEN conv_id % 13 ELSE conv_id * 31 % greatest(len(w), 1) END + 5], '  - ')) AS snippet FROM first),
+cut AS (SELECT *, translate(array_to_string(w[CASE WHEN conv_id % 2 = 0 THEN conv_id % 13 ELSE conv_id * 31 % greatest(len(w), 1) END + 1 : CASE WHEN conv_id % 2 = 0 THEN conv_id % 13 ELSE conv_id * 31 % greatest(len(w), 1) END + 5], '  - '), '{ascii_lowercase}', '{ascii_uppercase}') AS snippet FROM first),
 questions AS (SELECT conv_id AS query, CASE WHEN conv_id % 4 = 3 THEN 's9' ELSE source END AS source, snippet FROM cut WHERE conv_id % 5 <> 4 AND snippet <> '')"""
 _CARDS = "cards AS (SELECT p.*, q.query, row_number() OVER (PARTITION BY q.query ORDER BY turn * 7 % 5 + (conv_id = q.query)::INT DESC, id) AS rank FROM passages p, LATERAL (SELECT unnest([conv_id, conv_id + 1]) AS query) q WHERE q.query % 7 <> 6)"
 _ROWS = f"""{_QUESTIONS}, {_CARDS},
