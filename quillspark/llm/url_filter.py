@@ -7,7 +7,7 @@ least hash). Features: lengths, depth, digit ratios, entropies, counts of parame
 many rows share the host, how many its suffixes of one and of two labels, and the share of blocked URLs among labelled ones of those
 suffixes whose hosts fall in other folds. Training and served rows get them from the same tables, in one pass. From which chance on a
 URL is blocked is learnt too: trees fit without one fold's hosts judge that fold, and the least of ``CUTOFFS`` by which at most
-``WRONG`` of its allowed URLs are blocked counts; without one nothing is. All expressions
+``WRONG`` of its allowed URLs are blocked, and at least ``CAUGHT`` of its blocked ones, counts; without one nothing is. All expressions
 and the trees run in the JVM; suffix tables are broadcast only behind a check of their size and else joined by a shuffle, of which
 Spark splits large partitions. ``held_out_errors`` gives the errors on hosts of a fold that the trees haven't seen.
 
@@ -32,8 +32,9 @@ from .common import field, small, staged
 #: (verdict, host and path prefix). Fixed values.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 TRAIN_ROWS, TREES, DEPTH, STEP, SEED = 10_000, 20, 4, 0.2, 7
-#: Chances from which on a URL may be blocked, and the share of allowed URLs of the held-out fold that may be blocked by it.
-CUTOFFS, WRONG = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), 0.01
+#: Chances from which on a URL may be blocked; the share of allowed URLs of the held-out fold that may be blocked by it, and the share
+#: of blocked ones that must be.
+CUTOFFS, WRONG, CAUGHT = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), 0.01, 0.1
 FOLDS = 5
 SMALL = 50_000
 
@@ -160,12 +161,13 @@ def featured(df: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFram
 
 
 def cutoff(labelled: DataFrame, fold: int = 0) -> float | None:
-    """The least of CUTOFFS by which trees that haven't seen the hosts of ``fold`` block at most WRONG of its allowed URLs; None if there
-    is none, or no allowed URL to tell by."""
+    """The least of CUTOFFS by which trees that haven't seen the hosts of ``fold`` block at most WRONG of its allowed URLs and at least
+    CAUGHT of its blocked ones; None if there is none, or no URL of a kind to tell by."""
     judged = probabilities(labelled.where(F.col("_fold") == fold), train(labelled.where(F.col("_fold") != fold)))
-    fine = F.col("blocked") == 0
-    told = judged.agg(F.count_if(fine).alias("n"), *[F.count_if(fine & (F.col("p") >= c)).alias(f"c{i}") for i, c in enumerate(CUTOFFS)]).first()
-    return next((c for i, c in enumerate(CUTOFFS) if told["n"] and told[f"c{i}"] <= WRONG * told["n"]), None)
+    of = {"fine": F.col("blocked") == 0, "bad": F.col("blocked") == 1}
+    told = judged.agg(*[F.count_if(w).alias(n) for n, w in of.items()], *[F.count_if(w & (F.col("p") >= c)).alias(f"{n}{i}") for n, w in of.items() for i, c in enumerate(CUTOFFS)]).first()
+    sure = lambda i: told[f"fine{i}"] <= WRONG * told["fine"] and told[f"bad{i}"] >= CAUGHT * told["bad"]
+    return next((c for i, c in enumerate(CUTOFFS) if told["fine"] and told["bad"] and sure(i)), None)
 
 
 def says_block(features: DataFrame, labelled: DataFrame) -> DataFrame:
