@@ -63,8 +63,8 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How long fetches of a host must wait so that they are a second apart, if they come when the events do."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("host"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    """How long fetches of a host must wait so that they are a second apart, if they come when the events do, to the nearest millisecond."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("host"), "event_id", F.expr("round(unix_micros(cast(ts AS timestamp)), -3) div 1000").alias("at"))
     return S.paced(e, "host", "event_id", "at", 1000).select("event_id", "host", "wait")
 
 
