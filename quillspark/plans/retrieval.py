@@ -83,7 +83,8 @@ def similar_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.by_source(table(spark, sf_dir, "documents")).select("source", "slice", "first", "n", F.sha2(F.array_join(F.transform("passages", lambda x: x.cast("string")), ","), 256).alias("digest"))
+    """The ids of each source's documents in order, by their digest."""
+    return R.source_digests(table(spark, sf_dir, "documents"))
 
 
 def frozen_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ ORACLES = {
     "rank_bm25": f"WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), p AS (SELECT id, len(w) AS length, unnest(w) AS term FROM d), c AS (SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL), i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM c, n GROUP BY term, n), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), s AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN c USING (term) JOIN i USING (term), n GROUP BY query_id, id) SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5",
     "rank_term_weights": f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t GROUP BY term",
     "rank_similar_cards": "SELECT source, doc_id, rank FROM (SELECT source, doc_id, text AS excerpt, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank BETWEEN 2 AND 6 AND len(list_filter(regexp_split_to_array(excerpt, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) > 8",
-    "rank_passages_by_source": "SELECT source, doc_id // 1024 AS slice, min(doc_id) AS first, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2",
+    "rank_passages_by_source": "SELECT source, min(doc_id) AS first, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
     "rank_frozen_split": "WITH b AS (SELECT (list_reduce(list_prepend(5381::BIGINT, flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + ((unicode(c) - 65536) >> 10)::BIGINT, 56320 + ((unicode(c) - 65536) & 1023)::BIGINT] END))), lambda h, c: (h * 33 + c) % 4294967296) % 100)::BIGINT AS bucket FROM conversations) SELECT bucket < 30 AS held_out, count(*) AS n, sum(bucket)::BIGINT AS buckets FROM b GROUP BY 1",
     "rank_candidates": "WITH v AS (SELECT list_sort(list(value)) AS v, count(*) AS n FROM events) SELECT DISTINCT unnest([0.0::DOUBLE, v[1 + floor(0.25 * (n - 1))::BIGINT], v[1 + floor(0.5 * (n - 1))::BIGINT], v[1 + floor(0.75 * (n - 1))::BIGINT]]) AS candidate FROM v",
     "rank_median": "SELECT list_sort(list(value))[1 + count(*) // 2] AS median FROM events",
