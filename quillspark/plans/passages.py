@@ -14,8 +14,8 @@ from ..operators.common import staged, table
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, ord, text, page): canonical lines of documents as blocks, five of them a page."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    return d.select("id", "ord", T.canonical(F.col("text")).alias("text"), (F.col("ord") / 5 + 1).cast("int").alias("page")).where("text <> ''")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.canonical_lines(F.col("text"))).alias("ord", "text"))
+    return d.select("id", "ord", F.trim("text").alias("text"), (F.col("ord") / 5 + 1).cast("int").alias("page")).where("text <> ''")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the passages of each text cover it: how many there are, and the first fault; a text that can't be cut has uncut."""
-    docs = _documents(spark, sf_dir)
+    docs = staged(_documents(spark, sf_dir), "coverage-documents")
     spans = staged(C.passages(docs), "coverage-spans")
     counts = spans.groupBy("id").agg(F.sum((F.col("nth") >= 0).cast("long")).alias("n"), F.max(F.col("nth") < 0).alias("uncut"))
     faults = G.span_faults(spans.where("nth >= 0").select("id", "start", "end"), docs.select("id", "text"), "id")
@@ -58,7 +58,7 @@ def passage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places that name each passage in its text, by the fewest characters beside it; here passages of 64 words."""
-    docs = _documents(spark, sf_dir)
+    docs = staged(_documents(spark, sf_dir), "anchors-documents")
     found = C.anchors(C.passages(docs, 64).where("nth >= 0").select("id", "start", "end"), docs.select("id", "text"))
     return found.select(F.col("id").alias("doc_id"), "start", "end", "found", F.length("prefix").alias("prefix"), F.length("suffix").alias("suffix"))
 
@@ -66,10 +66,10 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where passages of 96 words are found again in their documents' pages: from the page that is said to have them (for a third the
     one after), with every vowel's accent and case changed."""
-    docs = _documents(spark, sf_dir)
+    docs = staged(_documents(spark, sf_dir), "highlights-documents")
     spans = C.passages(docs, 96).where("nth >= 0").join(docs.select("id", "text"), "id")
     said = spans.select(F.concat_ws(":", "id", "nth").alias("key"), "id", (F.col("page") + (F.col("nth") % 3 == 2).cast("int")).alias("page"), F.upper(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("passage"))
-    pages = _blocks(spark, sf_dir).groupBy("id", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text"))).getField("text"), " ").alias("t"))
+    pages = docs.select("id", F.inline("blocks")).groupBy("id", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text"))).getField("text"), " ").alias("t"))
     held = pages.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).getField("t").alias("pages"))
     return C.highlights(said, held).select("key", "page", "start", "end", F.round("coverage", 6).alias("coverage"))
 

@@ -264,3 +264,35 @@ def test_empty_tables(spark):
     assert H.raw_blocks(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert S.acronyms_printed(spark.createDataFrame([], "text string")).count() == 0
     assert T.words  # the module stays importable without a session
+
+
+def test_matches_by_arrays_are_those_of_the_automaton():
+    """Letters that come apart and runs that overlap too; where the whole passage stands first it is taken as it is."""
+    rng = random.Random(6)
+    for k in range(600):
+        signs = ("ab", "abc ", "abcdefgh 12 é ﬁ ß ⅷ")[k % 3]
+        text, part = "".join(rng.choices(signs, k=rng.randrange(1, 300))), "".join(rng.choices(signs, k=rng.randrange(1, 80)))
+        if k % 2:
+            a = rng.randrange(len(text))
+            part = text[a : a + 60].upper()
+            text = text[: a + 30] + "zz" + text[a : a + 60] + text[a + 30 :]
+        hay, (needle, known) = C.Letters.of(text), C._read(part)
+        assert (hay.bytes.decode(), hay.at.tolist()) == C.folded(text)
+        least = min(C.SMALLEST, len(needle.bytes))
+        if least:
+            assert C.matches(needle, known, hay, least) == C.Repeats(C.folded(part)[0]).matches(C.folded(text)[0], least)
+
+
+def test_a_citation_takes_along_the_pages_around_it_alone():
+    body = "The quick brown fox jumps over the lazy dog and then it sleeps for a while."
+    pages = [f"page {n} has nothing of it" for n in range(40)]
+    pages[21] = body[:40]
+    pages[22] = body[40:]
+    whole = C.located_in_pages(pages, 23, body.upper())
+    assert [p for p, *_ in whole] == [22, 23] and C.located_in_pages(pages[21:25], 23, body.upper(), 22, 40) == whole
+
+
+def test_lines_of_a_canonical_text(spark):
+    text = " á   b\r\n\n\tofﬁce​ \n-\n x y\t \ńz"
+    got = [x.strip(" ") for x in one(spark, T.canonical_lines(F.lit(text)))]
+    assert got == [one(spark, T.canonical(F.lit(x))) for x in text.split("\n")]
