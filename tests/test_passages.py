@@ -296,3 +296,8 @@ def test_lines_of_a_canonical_text(spark):
     text = " á   b\r\n\n\tofﬁce​ \n-\n x y\t \ńz"
     got = [x.strip(" ") for x in one(spark, T.canonical_lines(F.lit(text)))]
     assert got == [one(spark, T.canonical(F.lit(x))) for x in text.split("\n")]
+
+
+def test_patterns_that_look_back_try_their_own_letters_alone():
+    """Else each place of a text pays for the looking back."""
+    assert C._SENTENCE.startswith("(?=[.!?])") and C.SHOWN[-1][0].startswith("(?=[yo])")
