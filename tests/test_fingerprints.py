@@ -77,3 +77,21 @@ def test_reason_of_a_change(spark):
     assert got("a", "2024-01-01", "b", "2024-02-01", False) == ("changed", "hash")
     assert got("a", "2024-01-01", "a", "2024-02-01", False) == ("changed", "date")
     assert got("a", None, None, "2024-02-01", None) == ("unchanged", None) and got("a", "1", "b", "2", True) == ("manual", "unfetchable")
+
+
+def test_the_table_dealt_anew_has_no_large_part(spark, sf):
+    """Whole rows are dealt by a key of which no value has many, whatever the number of partitions."""
+    from unittest import mock
+
+    from quillspark.plans import registry
+
+    dealt = []
+    with mock.patch.object(registry.P, "revision", lambda df: dealt.append(df) or df.selectExpr("'' AS revision", "0L AS n").limit(0)):
+        registry.fingerprints(spark, sf)
+    most = dealt[0].groupBy("lang").count().agg(F.max("count")).first()[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in dealt[1].groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < most and max(sizes) < 2 * sum(sizes) / len(sizes)
