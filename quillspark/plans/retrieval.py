@@ -65,11 +65,10 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best documents for each benchmark item, by scores rounded to nine places."""
+    """The five best documents for each benchmark item, by scores rounded to six places."""
     d = table(spark, sf_dir, "documents")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scores = R.bm25_scores(d, items).withColumn("score", F.round("score", 6))
-    return R.ranked(scores, "query_id", "score", "id", 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    return R.bm25_top_k(d, items, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from quillspark.operators import retrieval as R
 from quillspark.plans import catalog
@@ -40,3 +41,22 @@ def test_a_source_has_one_digest_of_all_ids(spark):
     assert got == want
     made = catalog.QUERIES["rank_passages_by_source"](spark, "/root/testdata/sf0.001")
     assert made.columns == ["source", "first", "n", "digest"] and made.count() == made.select("source").distinct().count()
+
+
+def test_the_best_texts_are_those_of_all_scores(spark):
+    """Copies are ranked by id, a missing id is the first, rows that share an id are one; a task keeps a few for each query."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i // 2 if i < 6 else i, " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(300)] + [(1000 - i, "w1 w2 w3 w4") for i in range(60)] + [(None, "w1 w2 w3 w4")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=3))) for q in range(20)] + [(20, "w1 w2 w3 w4"), (21, "none")], "query_id long, query string")
+    want = R.ranked(R.bm25_scores(docs, asked).withColumn("score", F.round("score", 6)), "query_id", "score", "id", 7).select("query_id", "rank", "id", "score")
+    for size in (R.QUERY_BYTES, 2_000):
+        was, R.QUERY_BYTES = R.QUERY_BYTES, size
+        try:
+            got = R.bm25_top_k(docs, asked, 7)
+        finally:
+            R.QUERY_BYTES = was
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
