@@ -9,12 +9,12 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import cleaning as L
 from ..operators import registry as G
-from ..operators.common import staged, table
+from ..operators.common import spread, staged, table
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, ord, text, page): canonical lines of documents as blocks, five of them a page."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.canonical_lines(F.col("text"))).alias("ord", "text"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.posexplode(T.canonical_lines(F.col("text"))).alias("ord", "text"))
     return d.select("id", "ord", F.trim("text").alias("text"), (F.col("ord") / 5 + 1).cast("int").alias("page")).where("text <> ''")
 
 
@@ -107,7 +107,7 @@ def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents made fit to show, and the opening sentences that answer."""
     head = F.concat(F.lit("page 1"), F.lit("Mental Health Version 6 1 Released March 2024, Revised July 2025 EFCT PARTICIPANT GUIDE | SECTION 1 | PAGE 14 • one •• two y three ______ "), F.col("text"))
-    d = table(spark, sf_dir, "documents").select("doc_id", C.shown_text(head).alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", C.shown_text(head).alias("t"))
     return d.select("doc_id", F.sha2("t", 256).alias("digest"), C.openings(F.col("t")).alias("opening"))
 
 
