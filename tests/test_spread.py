@@ -43,3 +43,9 @@ def test_white_space(spark):
     plain = lambda t: __import__("re").sub(f"[{T.SPACES}]+", " ", t).strip(" ")
     assert [r["c"] for r in df.select(T.collapsed(F.col("t")).alias("c")).collect()] == [plain(t) for t in texts]
     assert [r["c"] for r in df.select(T.trimmed(F.col("t")).alias("c")).collect()] == [__import__("re").sub(f"^[{T.SPACES}]+|[{T.SPACES}]+$", "", t) for t in texts]
+
+
+def test_shown_patterns_at_every_start(spark):
+    cases = {"a EFCT PARTICIPANT GUIDE | SECTION 1 | PAGE 14 b": "a b", "|SECTION 2| b": "b", " | SECTION 1 | 3b": "b", "Module 1: Course Capstone x": "x", "a　Module 2: Getting Career Ready": "a", "page 3A b page4C": "A b C", "x•• y": "x - y", "a ■ b": "a - b", "a  b": "a b"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert [r["c"] for r in df.select(C.shown_text(F.col("t")).alias("c")).collect()] == list(cases.values())
