@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -146,9 +146,10 @@ def without_running(text: str, prefix: list[str], suffix: list[str]) -> str:
     return "" if _NUMBER.fullmatch(out) else out.strip()
 
 
-def affixes(blocks: DataFrame) -> DataFrame:
+def affixes(blocks: DataFrame, finish: Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds stripped, prefix and suffix: each block without its document's running pieces and other furniture, and those pieces, from
-    (id, ord, text, ...). Blocks are shuffled once, with all they carry, and leave as they came."""
+    (id, ord, text, ...). Blocks are shuffled once, with all they carry, and leave as they came. ``finish`` is what more happens to a stripped
+    block; it is worked out before blocks are rows, so that no condition on it repeats it."""
     columns = [c for c in blocks.columns if c != "id"]
     block = F.struct(F.col("ord").cast("long").alias("ord"), *[F.col(c) for c in columns if c != "ord"])
     listed = blocks.groupBy("id").agg(F.array_sort(F.collect_list(block)).alias("b"))
@@ -169,6 +170,8 @@ def affixes(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), held, *out], names=["id", "b", "stripped", "prefix", "suffix"])
 
     found = listed.mapInArrow(run, f"id {kinds['id']}, b {kinds['b']}, stripped array<string>, prefix array<string>, suffix array<string>")
+    if finish is not None:
+        found = found.withColumn("stripped", F.transform("stripped", finish))
     each = found.select("id", F.explode(F.arrays_zip("b", "stripped")).alias("x"), "prefix", "suffix")
     return each.select("id", *[F.col("x.b").getField(c).alias(c) for c in columns], "x.stripped", "prefix", "suffix")
 
@@ -178,13 +181,13 @@ def without_exercise(text: Column) -> Column:
     a list."""
     # a run starts behind a boundary, so no other place is tried
     heading = rf"(?:^|(?<=[.!?{MARKERS}]))[^.!?{MARKERS}]*?\bQUIZ\s+TRUE\s+FALSE\b"
-    return trimmed(F.regexp_replace(text, "(?i)" + pattern(heading) + "(?s:.)*$", ""))
+    return trimmed(F.when(text.rlike("(?i)QUIZ"), F.regexp_replace(text, "(?i)" + pattern(heading) + "(?s:.)*$", "")).otherwise(text))
 
 
 def cleaned(blocks: DataFrame) -> DataFrame:
     """(id, ord, page, kind, confidence, action, text, before, after) from (id, ord, text, page): action is dropped (a sure kind, or
     nothing left: kind is then empty), review, stripped or kept; text is what stays; before and after are snippets of an edit."""
-    rows = affixes(classified(blocks)).withColumn("after_", without_exercise(F.col("stripped")))
+    rows = affixes(classified(blocks), without_exercise).withColumnRenamed("stripped", "after_")
     gone = (F.col("kind") != "content") & (F.col("confidence") >= DROPS)
     void = F.col("after_") == ""
     action = F.when(gone | void, "dropped").when(F.col("kind") != "content", "review").when(F.col("after_") != F.col("text"), "stripped").otherwise("kept")

@@ -49,3 +49,11 @@ def test_shown_patterns_at_every_start(spark):
     cases = {"a EFCT PARTICIPANT GUIDE | SECTION 1 | PAGE 14 b": "a b", "|SECTION 2| b": "b", " | SECTION 1 | 3b": "b", "Module 1: Course Capstone x": "x", "a　Module 2: Getting Career Ready": "a", "page 3A b page4C": "A b C", "x•• y": "x - y", "a ■ b": "a - b", "a  b": "a b"}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert [r["c"] for r in df.select(C.shown_text(F.col("t")).alias("c")).collect()] == list(cases.values())
+
+
+def test_a_block_is_finished_once(spark):
+    rows = [(1, k, t, 1) for k, t in enumerate(["Read on. JOB QUIZ TRUE FALSE 1 2", " quiz ", "QUIZ true false x", "plain"])]
+    out = L.cleaned(spark.createDataFrame(rows, "id long, ord int, text string, page int"))
+    assert [r["text"] for r in out.orderBy("ord").collect()] == ["Read on.", "quiz", None, "plain"]
+    assert plan_of(L.rebuilt(out)).count("FALSE") == 1
+    assert math.isclose(1.0, out.agg(F.max("confidence")).first()[0])
