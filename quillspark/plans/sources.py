@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import rules as R
 from ..operators import sources as S
-from ..operators.common import table
+from ..operators.common import spread, staged, table
 
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def registry_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of passages that are made of documents: anchors of 12 characters of the text, some changed, some too short."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     k = F.col("doc_id")
     c = d.select("doc_id", T.canonical(F.col("text")).alias("text"), (k % 50).alias("s"))
     texts = c.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), "text").where("doc_id % 11 <> 0")
