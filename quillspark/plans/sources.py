@@ -127,12 +127,12 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Well-formed results among JSON texts of which some lack what they need; then what a summary and a card get."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     score = F.when(k % 7 == 0, F.lit('"high"')).otherwise(F.concat(F.lit("0."), (k % 9 + 1).cast("string")))
     url = F.when(k % 5 == 0, "https://va.gov.example.com").when(k % 11 == 0, "http://va.gov/x").otherwise("HTTPS://www.va.gov/x")
     raw = F.concat(F.lit('{"score": '), score, F.lit(', "chunk": {"id": "'), k.cast("string"), F.lit('", "text": "page 2 of • it", "sourceId": "s", "sourceTitle": '), F.when(k % 13 == 0, "5").otherwise('"T"'), F.lit(', "url": "'), url, F.lit('"'), F.when(k % 2 == 0, ', "page": 3').otherwise(', "page": "x"'), F.when(k % 3 == 0, ', "excerpt": "cut ___ here"').otherwise(""), F.when(k % 17 == 0, "").otherwise("}}"))
-    rows = S.narrowed(p.select(raw.alias("raw")))
+    rows = staged(S.narrowed(p.select(raw.alias("raw"))), "narrowed")
     exact = F.when(F.col("id").cast("long") % 4 == 0, "exact")
     out = S.cards(rows, C.shown_text(F.coalesce("excerpt", "text")), exact)
     return out.join(S.chunks_for_model(rows).select("id", "text"), "id").select("id", "score", "page", "section", "excerpt", "anchor", "text")

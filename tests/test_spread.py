@@ -51,6 +51,13 @@ def test_shown_patterns_at_every_start(spark):
     assert [r["c"] for r in df.select(C.shown_text(F.col("t")).alias("c")).collect()] == list(cases.values())
 
 
+def test_json_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"score": 1, "chunk": {"id": "a", "text": "t", "sourceId": "s", "sourceTitle": "T", "url": "https://va.gov/x"}}',), ("{",), (None,)], "raw string")
+    out = S.narrowed(df)
+    assert [(r["id"], r["score"], r["page"]) for r in out.collect()] == [("a", 1.0, None)]
+    assert plan_of(out).count("parseJson") == 1
+
+
 def test_a_block_is_finished_once(spark):
     rows = [(1, k, t, 1) for k, t in enumerate(["Read on. JOB QUIZ TRUE FALSE 1 2", " quiz ", "QUIZ true false x", "plain"])]
     out = L.cleaned(spark.createDataFrame(rows, "id long, ord int, text string, page int"))
