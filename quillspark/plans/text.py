@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import rules as R
-from ..operators.common import table
+from ..operators.common import spread, table
 
 _SPACE = r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 _NUMBERED = "t0"
@@ -40,12 +40,12 @@ def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"), T.split_bucket(F.col("text")).cast("long").alias("bucket"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.snippet(F.col("text")).alias("snippet"), T.split_bucket(F.col("text")).cast("long").alias("bucket"))
 
 
 def extraction_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of each document's text, taken as an extraction of a page for each 2,000 characters begun."""
-    d = table(spark, sf_dir, "documents").withColumn("pages", F.ceil(F.col("n_chars") / 2000))
+    d = spread(table(spark, sf_dir, "documents")).withColumn("pages", F.ceil(F.col("n_chars") / 2000))
     return d.select("doc_id", F.array_join(T.extraction_faults(F.col("text"), F.col("pages")), ",").alias("faults"))
 
 

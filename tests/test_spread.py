@@ -28,6 +28,13 @@ def test_tables_bound_batches(spark, sf):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == common.BATCH_ROWS
 
 
+def test_one_file_is_dealt_to_many_tasks(spark, sf):
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert common.spread(common.table(spark, sf, "documents")).rdd.getNumPartitions() >= least
+    for name in ("passages_shown", "text_snippets", "text_extraction_sanity", "passages_passages", "passages_cleaned_blocks"):
+        assert "RoundRobinPartitioning" in plan_of(catalog.QUERIES[name](spark, sf)), name
+
+
 def test_composition(spark):
     texts = [None, "", "plain", "café", "café ", "가", "̈́", "Å", "\U0001d15e"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -45,6 +52,22 @@ def test_white_space(spark):
     assert [r["c"] for r in df.select(T.trimmed(F.col("t")).alias("c")).collect()] == [__import__("re").sub(f"^[{T.SPACES}]+|[{T.SPACES}]+$", "", t) for t in texts]
 
 
+def test_units_and_buckets(spark):
+    texts = [None, "", "ab", "a\U0001f600b", "￿" * 3000, "\U0001f600" * 2500]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(T.n_units(F.col("t")).alias("n"), T.split_bucket(F.col("t")).alias("b")).collect()
+
+    def bucket(t):
+        h, raw = 5381, t.encode("utf-16-be")
+        for k in range(0, len(raw), 2):
+            h = (h * 33 + raw[k] * 256 + raw[k + 1]) % 2**32
+        return h % 100
+
+    assert [r["n"] for r in rows] == [None if t is None else len(t.encode("utf-16-be")) // 2 for t in texts]
+    assert [r["b"] for r in rows] == [None if t is None else bucket(t) for t in texts]
+    assert "aggregate(" not in plan_of(df.select(T.split_bucket(F.col("t"))))
+
+
 def test_shown_patterns_at_every_start(spark):
     cases = {"a EFCT PARTICIPANT GUIDE | SECTION 1 | PAGE 14 b": "a b", "|SECTION 2| b": "b", " | SECTION 1 | 3b": "b", "Module 1: Course Capstone x": "x", "a　Module 2: Getting Career Ready": "a", "page 3A b page4C": "A b C", "x•• y": "x - y", "a ■ b": "a - b", "a  b": "a b"}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
