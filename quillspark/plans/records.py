@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import registry as G
 from ..operators import retrieval as R
 from ..operators import stateful as S
-from ..operators.common import table
+from ..operators.common import spread, table
 from ..sources import artifact as A
 
 KEY = b"0123456789abcdef"
@@ -103,7 +103,7 @@ def backups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "stores": {"profile": {"eaos": "'), some(11, 2, "2027-02-29", "2027-02-28"), F.lit('"}, "timeline-state": {"schemaVersion": 1, "tasks": {"'), some(7, 1, "z", "a"), F.lit('": {"status": "done"}}}, "calendar-sync": '),
         some(3, 0, "null", '{"schemaVersion": 1, "exclusions": {"taskIds": ["a"], "categories": []}}'), F.lit("}"), some(29, 8, "", "}"),
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", J.backup_fault(text, "9.0.0", ["a", "b"], ["c"]).alias("fault"))
+    return spread(table(spark, sf_dir, "customer")).select("c_custkey", J.backup_fault(text, "9.0.0", ["a", "b"], ["c"]).alias("fault"))
 
 
 QUERIES = {f"records_{f.__name__}": f for f in (signatures, encryption, lists, states, approvals, paged_texts, writes, files_by_reach, misses, folded, backups)}
