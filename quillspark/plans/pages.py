@@ -10,7 +10,7 @@ from ..functions.text import canonical
 from ..operators import html as H
 from ..operators import registry as G
 from ..operators import sources as S
-from ..operators.common import table
+from ..operators.common import spread, table
 
 #: Made-up robots files by the last digit of a page.
 ROBOTS = (
@@ -34,7 +34,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section carry-forward over rows that stand for blocks: lines of documents, headings where a line is short."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     tagged = d.withColumn("tag", F.when(F.length("text") < 40, "h2").otherwise("p"))
     return H.shaped_blocks(tagged).groupBy(F.col("id").alias("doc_id"), "section").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 

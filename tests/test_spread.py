@@ -31,7 +31,7 @@ def test_tables_bound_batches(spark, sf):
 def test_one_file_is_dealt_to_many_tasks(spark, sf):
     least = 2 * spark.sparkContext.defaultParallelism
     assert common.spread(common.table(spark, sf, "documents")).rdd.getNumPartitions() >= least
-    for name in ("passages_shown", "text_snippets", "text_extraction_sanity", "records_backups", "passages_passages", "passages_cleaned_blocks"):
+    for name in ("passages_shown", "text_snippets", "text_extraction_sanity", "records_backups", "pages_sections", "passages_passages", "passages_cleaned_blocks"):
         assert "RoundRobinPartitioning" in plan_of(catalog.QUERIES[name](spark, sf)), name
 
 
