@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, acronyms, cited_ids
 from ..operators import answers as A
-from ..operators.common import table
+from ..operators.common import spread, table
 from .passages import _S
 
 LEAD, SHORT = 40, 15
@@ -23,7 +23,7 @@ def short(text: Column) -> Column:
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies as passages: each third has a section that its text starts with."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    c = spread(table(spark, sf_dir, "conversations").where("role = 'assistant'"))
     section = F.when(F.col("conv_id") % 3 == 0, A.first_words(F.col("text"), 2)).when(F.col("conv_id") % 3 == 1, F.lit("If so"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.concat(F.lit("s"), (F.col("conv_id") % 7).cast("string")).alias("source"), section.alias("section"), "text")
 
