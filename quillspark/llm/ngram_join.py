@@ -15,8 +15,7 @@ no comparison. The join links classes whose Jaccard similarity reaches 3/4, in t
    otherwise members are compared exactly, one link for each component being enough.
 
 Components of the links are those of all pairs, since a pair is only left out if its ends are already connected. Token
-order comes from counts over a sample (one document in ``SAMPLE``, the ``HEAVY`` most frequent tokens); any order gives the same
-links.
+order comes from counts over all documents (the ``HEAVY`` most frequent tokens); any order gives the same links.
 
 Texts of fewer than five words are one shingle; null, empty and blank texts have the empty set and are linked with
 nothing, as are rows whose id is null (their component is null). Rows that share an id count as one document. Repeated
@@ -44,7 +43,7 @@ BANDS, ROWS = 8, 2
 CAP, CAP_TOKENS, QUERIES = 128, 1 << 20, 2048
 #: Shared prefix tokens asked for: a twentieth of the smaller set and one.
 SHARE = 20
-SAMPLE, HEAVY = 8, 250_000
+HEAVY = 250_000
 #: Lists of ids of at most so many rows are broadcast; longer ones are joined by a shuffle.
 SMALL = 500_000
 
@@ -233,8 +232,8 @@ def bucket_pairs(met: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
 
 
-def heavy_tokens(texts: DataFrame, rows: int, share: int = SAMPLE) -> np.ndarray:
-    """Tokens met three times or more in one of ``share`` texts, from the least to the most frequent. Those of the upper half of
+def heavy_tokens(texts: DataFrame, rows: int, share: int = 1) -> np.ndarray:
+    """Tokens met three times or more in all texts (or one of ``share``), from the least to the most frequent. Those of the upper half of
     values aren't counted: they stand at the end of the order anyway, which prefixes hardly reach."""
     step = max(1, min(share, rows // 10_000))
 

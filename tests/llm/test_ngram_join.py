@@ -124,3 +124,10 @@ def test_keep_one_with_clashing_names_and_repeated_ids(spark):
     assert out.columns == df.columns
     # both rows of 2 go with their document; of the equal rows of 4 the lesser stays
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[4], rows[5], rows[6]], key=repr)
+
+
+def test_tokens_are_counted_in_all_texts(spark):
+    rows = [(k, f"one two three four five six seven eight nine ten {k}".encode()) for k in range(3)]
+    texts = spark.createDataFrame(rows, "doc_id long, text binary")
+    shared = nj.Shingler()(b"one two three four five six seven eight nine ten")
+    assert set(nj.heavy_tokens(texts, 1_000_000).tolist()) == set(shared[shared < 1 << 63].tolist())
