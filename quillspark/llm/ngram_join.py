@@ -44,6 +44,10 @@ CAP, CAP_TOKENS, QUERIES = 128, 1 << 20, 2048
 #: Shared prefix tokens asked for: a twentieth of the smaller set and one.
 SHARE = 20
 HEAVY = 250_000
+#: Tokens travel in parts by their first bits, so that a row has many of them; a part's rows that Python holds at once, besides lone tokens.
+PART_BITS, PART_ROWS = 11, 1 << 18
+#: Bits of a token that don't tell when tokens are counted: those with the other bits in common count together.
+LOW_BITS = 21
 #: Lists of ids of at most so many rows are broadcast; longer ones are joined by a shuffle.
 SMALL = 500_000
 
@@ -232,9 +236,80 @@ def bucket_pairs(met: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
 
 
-def heavy_tokens(texts: DataFrame, rows: int, share: int = 1) -> np.ndarray:
-    """Tokens met three times or more in all texts (or one of ``share``), from the least to the most frequent. Those of the upper half of
-    values aren't counted: they stand at the end of the order anyway, which prefixes hardly reach."""
+def packed(tokens: np.ndarray, **columns: np.ndarray) -> dict:
+    """part and ``columns`` as bytes, a row for each part of the tokens (sorted) that has any."""
+    part = tokens >> np.uint64(64 - PART_BITS)
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    ends = np.concatenate([at, [len(part)]])
+    out = {"part": pa.array(part[at].astype(np.int32))}
+    return out | {c: pa.Array.from_buffers(pa.binary(), len(at), [None, *map(pa.py_buffer, ((ends * x.itemsize).astype(np.int32), x))]) for c, x in columns.items()}
+
+
+def in_parts(rows: DataFrame, work: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str, most: int = PART_ROWS, **types: type) -> DataFrame:
+    """Deals what ``packed`` made by part; ``work`` gets (part, columns as arrays of ``types``), a part's in pieces of about ``most`` rows one after the other."""
+    small_batches(rows.sparkSession)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, held, n = None, [], 0
+        for batch in batches:
+            for part, *columns in zip(*(batch.column(c).to_pylist() for c in ("part", *types)), strict=True):
+                if held and (part != now or n >= most):
+                    yield now, *(np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), types.values(), strict=True))
+                    held, n = [], 0
+                now, n = part, n + len(columns[0]) // np.dtype(next(iter(types.values()))).itemsize
+                held.append(columns)
+        if held:
+            yield now, *(np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), types.values(), strict=True))
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: work(pieces(batches)), schema)
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where equal ones begin in a sorted array."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def frequent_keys(texts: DataFrame) -> np.ndarray:
+    """Tokens without their LOW_BITS met three times or more in all texts, from the least to the most frequent. All values are counted: a
+    passage that many texts share would else stand before what texts have alone."""
+
+    def make():
+        shingle = Shingler()
+
+        def work(_: list, texts: list[bytes]) -> dict:
+            t = np.concatenate([shingle(x) >> np.uint64(LOW_BITS) for x in texts] or [np.zeros(0, np.uint64)])
+            t, n = np.unique(t, return_counts=True)
+            return packed(t << np.uint64(LOW_BITS), key=t.astype(np.uint32), m=n.astype(np.uint16))
+
+        return work
+
+    def counted(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        at, known = None, None
+        for part, key, m in pieces:
+            if part != at and known is not None:
+                yield kept(at, *known)
+            key, m = key.astype(np.uint64), m.astype(np.int64)
+            if part == at:
+                key, m = np.concatenate([known[0], key]), np.concatenate([known[1], m])
+            order = np.argsort(key)
+            key, m = key[order], m[order]
+            first = starts(key)
+            at, known = part, (key[first], np.add.reduceat(m, first))
+        if known is not None:
+            yield kept(at, *known)
+
+    def kept(part: int, key: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        key = key[m > 2] | np.uint64(part << (64 - PART_BITS - LOW_BITS))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(m[m > 2])], names=["token", "m"])
+
+    rows = map_texts(texts, "part int, key binary, m binary", make)
+    counts = in_parts(rows, counted, "token long, m long", key=np.uint32, m=np.uint16)
+    top = counts.orderBy(F.desc("m"), "token").limit(HEAVY).collect()
+    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def heavy_tokens(texts: DataFrame, rows: int, share: int = 1, most: int = (1 << 63) - 1) -> np.ndarray:
+    """Tokens up to ``most`` met three times or more in all texts (or one of ``share``), from the least to the most frequent."""
     step = max(1, min(share, rows // 10_000))
 
     def make():
@@ -242,7 +317,7 @@ def heavy_tokens(texts: DataFrame, rows: int, share: int = 1) -> np.ndarray:
 
         def work(_: list, texts: list[bytes]) -> dict:
             t = np.concatenate([shingle(x) for x in texts] or [np.zeros(0, np.uint64)])
-            t, n = np.unique(t[t < np.uint64(1 << 63)], return_counts=True)
+            t, n = np.unique(t[t <= np.uint64(most)], return_counts=True)
             return {"token": pa.array(t.view(np.int64)), "m": pa.array(n)}
 
         return work
@@ -253,37 +328,47 @@ def heavy_tokens(texts: DataFrame, rows: int, share: int = 1) -> np.ndarray:
     return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def prefix(t: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first tokens of a sorted set: those not in ``values`` (sorted) first, by value; then by their ``ranks``."""
+def prefix(t: np.ndarray, values: np.ndarray, ranks: np.ndarray, low_bits: int = 0) -> np.ndarray:
+    """The first tokens of a sorted set: those not in ``values`` (sorted, without ``low_bits``) first, by value; then by their ``ranks``."""
     if len(values) and len(t):
-        at = np.searchsorted(values, t)
+        key = t >> np.uint64(low_bits)
+        at = np.searchsorted(values, key)
         at[at == len(values)] = 0
-        rank = np.where(values[at] == t, ranks[at] + 1, 0)
+        rank = np.where(values[at] == key, ranks[at] + 1, 0)
         t = t[np.argsort(rank, kind="stable")]
     return t[: prefix_length(len(t))]
 
 
-def prefixes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(token, rep, n, pos): the first tokens of each set, those not in ``heavy`` first, by value; then by frequency."""
-    order = np.argsort(heavy, kind="stable")
-    shared = texts.sparkSession.sparkContext.broadcast((heavy[order], order))
+#: A row of a prefix.
+ROW = {"token": np.uint64, "rep": np.int64, "n": np.int32, "pos": np.int32}
+
+
+def packed_prefixes(tokens: list[np.ndarray], reps: np.ndarray, sizes: np.ndarray) -> dict:
+    """The columns of ROW, packed, from the first tokens of sets, their reps and their sizes."""
+    many = list(map(len, tokens))
+    token = np.concatenate([*tokens, np.zeros(0, np.uint64)])
+    order = np.argsort(token)
+    pos = np.concatenate([*(np.arange(k, dtype=np.int32) for k in many), np.zeros(0, np.int32)])
+    rep, n = np.repeat(reps.astype(np.int64), many), np.repeat(sizes.astype(np.int32), many)
+    return packed(token[order], token=token[order], rep=rep[order], n=n[order], pos=pos[order])
+
+
+def prefixes(texts: DataFrame, keys: np.ndarray) -> DataFrame:
+    """The first tokens of each set, packed: those not in ``keys`` (frequent_keys) first, by value; then by frequency."""
+    order = np.argsort(keys, kind="stable")
+    shared = texts.sparkSession.sparkContext.broadcast((keys[order], order))
 
     def make():
         shingle = Shingler()
         values, ranks = shared.value
 
         def work(ids: list, texts: list[bytes]) -> dict:
-            tokens, reps, sizes = [np.zeros(0, np.uint64)], [], []
-            for text in texts:
-                t = shingle(text)
-                tokens.append(prefix(t, values, ranks))
-                sizes.append(len(t))
-                reps.append(len(tokens[-1]))
-            return {"token": pa.array(np.concatenate(tokens).view(np.int64)), "rep": pa.array(np.repeat(np.array(ids, np.int64), reps)), "n": pa.array(np.repeat(np.array(sizes, np.int32), reps)), "pos": pa.array(np.concatenate([np.arange(0, dtype=np.int32), *(np.arange(k, dtype=np.int32) for k in reps)]))}
+            sets = [shingle(text) for text in texts]
+            return packed_prefixes([prefix(t, values, ranks, LOW_BITS) for t in sets], np.array(ids, np.int64), np.array(list(map(len, sets)), np.int64))
 
         return work
 
-    return map_texts(texts, "token long, rep long, n int, pos int", make)
+    return map_texts(texts, "part int, " + ", ".join(f"{c} binary" for c in ROW), make)
 
 
 def opened(rows: DataFrame) -> DataFrame:
@@ -319,14 +404,13 @@ def opened(rows: DataFrame) -> DataFrame:
 
 def bridged(ranked: DataFrame, tokens: DataFrame, sets_of_reps: Callable[[DataFrame], DataFrame], cap: int = CAP) -> DataFrame:
     """(comp, above): components that links join, and the least of those joined. ``ranked`` has (rep, n, rank: size of its
-    component and component, bucket: what groups are made of), ``tokens`` the prefixes (token, rep, n, pos); ``sets_of_reps`` gives the sets
+    component and component, bucket: what groups are made of), ``tokens`` the prefixes (ROW, packed); ``sets_of_reps`` gives the sets
     (rep, tokens) of a table of reps. A group has about ``cap`` classes and CAP_TOKENS tokens at most."""
     chunks = ranked.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / cap, F.sum("n") / CAP_TOKENS)).alias("chunks"))
     grouped = ranked.join(small(staged(chunks, "join-chunks"), SMALL), "bucket").select("rep", F.xxhash64("bucket", F.pmod(F.xxhash64("rep"), F.col("chunks"))).alias("grp"), "rank", "n")
     grouped = staged(grouped, "join-groups")
     # tokens of one class alone link nothing
-    counted = tokens.repartition("token").sortWithinPartitions("token")
-    shared = staged(in_company(counted), "join-tokens")
+    shared = staged(in_company(tokens), "join-tokens")
     met = shared.groupBy("rep").agg(F.count("*").alias("met"))
     alone_in = F.expr(f"least(n, n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 + n div {SHARE}) - met")
     reaching = grouped.join(met, "rep").withColumn("reach", F.floor((DEN * F.col("n") - (NUM + DEN) * F.greatest(alone_in, F.lit(0))) / NUM))
@@ -364,7 +448,6 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_shingles, component_id) for each row of ``df``: the size of its set and the smallest id that links reach."""
     texts = id_and_bytes(df, id_col, text_col)
     docs = staged(described(texts), "join-docs")
-    total = docs.count()
     known = docs.where("n > 0 AND doc_id IS NOT NULL")
     classes = staged(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("least").alias("least")), "join-classes")
 
@@ -388,7 +471,7 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     copies = known.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_anti").select("doc_id").distinct()
     copies = staged(copies.unionByName(docs.where("n = 0 AND doc_id IS NOT NULL").select("doc_id").distinct().join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_anti")).distinct(), "join-copies")
     different = texts.where("doc_id IS NOT NULL").join(small(copies, SMALL), "doc_id", "left_anti")
-    tokens = prefixes(different, heavy_tokens(texts, total))
+    tokens = prefixes(different, frequent_keys(texts))
     over = bridged(ranked, tokens, lambda reps: sets_of(texts.join(small(reps.withColumnRenamed("rep", "doc_id"), SMALL), "doc_id", "left_semi")).distinct().withColumnRenamed("doc_id", "rep"))
     of_class = classes.select("key", "rep").join(ranked.select("rep", F.col("rank.comp").alias("comp")), "rep").join(over, "comp", "left").select("key", F.coalesce("above", "comp").alias("component_id"))
     linked = docs.where("n > 0").select("doc_id", "n", "key").join(of_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -396,10 +479,26 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def in_company(tokens: DataFrame) -> DataFrame:
-    """The rows of (token, rep, n, pos), sorted by token in each partition, whose token another rep has too."""
-    from pyspark.sql import Window
-
-    return tokens.withColumn("least", F.min("rep").over(Window.partitionBy("token"))).withColumn("most", F.max("rep").over(Window.partitionBy("token"))).where("least < most").select("token", "rep", "n", "pos")
+    """(token, rep, n, pos) of the packed rows whose token another rep has too."""
+
+    def work(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for part, *piece in pieces:
+            if part != at:
+                at, known, lone = part, np.zeros(0, np.uint64), None
+            rows = piece if lone is None else [np.concatenate(x) for x in zip(lone, piece, strict=True)]
+            order = np.argsort(rows[0])
+            rows = [x[order] for x in rows]
+            first = starts(rows[0])
+            met = (np.minimum.reduceat(rows[1], first) < np.maximum.reduceat(rows[1], first)) | np.isin(rows[0][first], known)
+            keep = np.repeat(met, np.diff(np.concatenate([first, [len(order)]])))
+            known, lone = np.union1d(known, rows[0][first][met]), [x[~keep] for x in rows]
+            token, *rest = (x[keep] for x in rows)
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), *rest)], names=list(ROW))
+            for k in range(0, out.num_rows, 1 << 14):
+                yield out.slice(k, 1 << 14)
+
+    return in_parts(tokens, work, "token long, rep long, n int, pos int", **ROW)
 
 
 #: DuckDB SQL for the rows of joined over documents: all pairs that share a shingle, then reachability.

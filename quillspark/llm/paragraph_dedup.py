@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, dropped, field, id_and_bytes, map_texts, sliced, small, small_batches, staged
-from .ngram_join import WORDS, Shingler, bridged, distinct, heavy_tokens, mixed, prefix, similar
+from .ngram_join import PART_ROWS, ROW, WORDS, Shingler, bridged, distinct, heavy_tokens, mixed, packed_prefixes, prefix, similar
 
 MIN_WORDS, SPAN, GAP = 25, 20, 20
 REACH, MISS, MIN_RUN = 48, 4, 40
@@ -219,19 +219,27 @@ def line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def prefix_tokens(lines: DataFrame) -> DataFrame:
-    """(token, rep, n, pos) of the lines (node, size, prefix)."""
+    """The prefixes of the lines (node, size, prefix), packed."""
     small_batches(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[pa.RecordBatch]:
+            made = packed_prefixes([np.frombuffer(x, np.uint64) for x in tokens], np.array(nodes, np.int64), np.array(sizes, np.int64))
+            out = pa.RecordBatch.from_pydict(made)
+            for at in range(0, out.num_rows, 1 << 10):
+                yield out.slice(at, 1 << 10)
+
+        nodes, sizes, tokens = [], [], []
         for batch in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
-            if tokens:
-                many = list(map(len, tokens))
-                node, size = (np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "size"))
-                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in many])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(node), pa.array(size.astype(np.int32)), pa.array(pos)], names=["token", "rep", "n", "pos"])
+            for column, held in (("node", nodes), ("size", sizes), ("prefix", tokens)):
+                held += batch.column(column).to_pylist()
+            if sum(map(len, tokens)) >= 8 * PART_ROWS:
+                yield from rows()
+                nodes, sizes, tokens = [], [], []
+        if tokens:
+            yield from rows()
 
-    return lines.select("node", "size", "prefix").mapInArrow(run, "token long, rep long, n int, pos int")
+    return lines.select("node", "size", "prefix").mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in ROW))
 
 
 def repeated_windows(windows: DataFrame, removed: DataFrame) -> DataFrame:
@@ -392,7 +400,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     elsewhere = F.min(place) != F.max(place)
     # one row for each different line; its place is any one occurrence's, to read its words again
     made = ["doc_id", "start", "n", "size", "prefix", "least", *(f"b{k}" for k in range(BANDS))]
-    kinds = lines(texts, heavy_tokens(texts, texts.count(), SAMPLE)).groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in made])
+    kinds = lines(texts, heavy_tokens(texts, texts.count(), SAMPLE, (1 << 64) - 1)).groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in made])
     kinds = staged(kinds.withColumn("node", F.xxhash64("key")), "lines")
     buckets = kinds.select("node", F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket"))
     near = staged(near_lines(texts, kinds, buckets), "lines-near")

@@ -131,3 +131,34 @@ def test_tokens_are_counted_in_all_texts(spark):
     texts = spark.createDataFrame(rows, "doc_id long, text binary")
     shared = nj.Shingler()(b"one two three four five six seven eight nine ten")
     assert set(nj.heavy_tokens(texts, 1_000_000).tolist()) == set(shared[shared < 1 << 63].tolist())
+
+
+def test_frequent_tokens_of_all_values_come_last(spark):
+    """A passage that many texts share isn't in their prefixes, whatever the values of its tokens."""
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(d, " ".join([*passage, *(f"w{d}x{k}" for k in range(60))]).encode()) for d in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text binary")
+    common = nj.Shingler()(" ".join(passage).encode())
+    assert (common >= 1 << 63).any()
+    keys = nj.frequent_keys(texts)
+    assert set(keys.tolist()) == set((common >> nj.LOW_BITS).tolist())
+    packed = nj.prefixes(texts, keys).collect()
+    got = np.concatenate([np.frombuffer(r["token"], np.uint64) for r in packed])
+    assert len(got) == 40 * nj.prefix_length(116) and not set(got.tolist()) & set(common.tolist())
+    assert nj.in_company(nj.prefixes(texts, keys)).count() == 0
+
+
+def test_shared_tokens_in_pieces(spark, monkeypatch):
+    """Tokens of a part are told as shared also if their rows come in different pieces."""
+    rng = random.Random(8)
+    rows = [(d, [rng.randrange(300) for _ in range(20)]) for d in range(200)] + [(7, [301, 302]), (7, [301, 302])]
+    made = [nj.packed_prefixes([np.array(sorted(set(t)), np.uint64)], np.array([d]), np.array([len(set(t))])) for d, t in rows]
+    names = ["part", *nj.ROW]
+    df = spark.createDataFrame([tuple(m[c][0].as_py() for c in names) for m in made], "part int, " + ", ".join(f"{c} binary" for c in nj.ROW))
+    monkeypatch.setattr(nj.in_parts, "__defaults__", (50,))
+    held = defaultdict(set)
+    for d, t in rows:
+        for x in t:
+            held[x].add(d)
+    want = sorted((x, d) for d, t in rows for x in set(t) if len(held[x]) > 1)
+    assert sorted((r["token"], r["rep"]) for r in nj.in_company(df).collect()) == want
