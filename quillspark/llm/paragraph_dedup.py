@@ -121,6 +121,11 @@ def hashed(shingle: Shingler, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([*each, np.zeros(0, np.uint64)]), np.cumsum(size) - size, size, start[counts], length[counts], of[counts]
 
 
+def frequent_order(texts: DataFrame) -> np.ndarray:
+    """Frequent tokens of all values, for ``lines``: what many lines share would else stand before what a line has alone."""
+    return heavy_tokens(texts, texts.count(), SAMPLE, (1 << 64) - 1)
+
+
 def lines(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
     """(doc_id, start, n, key, size, prefix, least, b0 ...) of the lines that count: place and number of words, digest of its words, number
     of different shingles, prefix of them (those in ``heavy`` come last), least minimum and band keys. Hashes are taken over all
@@ -400,7 +405,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     elsewhere = F.min(place) != F.max(place)
     # one row for each different line; its place is any one occurrence's, to read its words again
     made = ["doc_id", "start", "n", "size", "prefix", "least", *(f"b{k}" for k in range(BANDS))]
-    kinds = lines(texts, heavy_tokens(texts, texts.count(), SAMPLE, (1 << 64) - 1)).groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in made])
+    kinds = lines(texts, frequent_order(texts)).groupBy("key").agg(elsewhere.alias("repeats"), *[F.first(c).alias(c) for c in made])
     kinds = staged(kinds.withColumn("node", F.xxhash64("key")), "lines")
     buckets = kinds.select("node", F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("bucket"))
     near = staged(near_lines(texts, kinds, buckets), "lines-near")

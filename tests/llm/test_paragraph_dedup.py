@@ -200,3 +200,14 @@ def test_odd_rows(spark, odd, none):
     assert {r["doc_id"] for r in pd.find_repeats(df).where("removed").collect()} <= {1}
     assert pd.drop_repeats(odd).columns == odd.columns and pd.drop_repeats(odd).count() == odd.count()
     assert pd.cut(b"a b c d", [(1, 3)]) == b"a d" and pd.cut(b" a b\nc", [(0, 2)]) == b" c" and pd.cut(b"a b", [(1, 2)]) == b"a "
+
+
+def test_a_common_passage_is_in_no_prefix(spark):
+    """Tokens of all values are counted, so what many lines share comes last."""
+    rng = random.Random(9)
+    passage = words(rng, 40)
+    rows = [(d, " ".join(passage + words(rng, 40)).encode()) for d in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text binary")
+    common = set(pd.Shingler()(" ".join(passage).encode()).tolist())
+    got = [set(np.frombuffer(r["prefix"], np.uint64).tolist()) for r in pd.lines(texts, pd.frequent_order(texts)).collect()]
+    assert len(got) == 40 and not any(common & x for x in got)
