@@ -14,6 +14,8 @@ from ..sources import blob as B
 from . import timeline as plans
 
 MODEL, VERSION = "made-up", "1"
+#: Folders that calendars are dealt into: of a million, each has a thousand.
+FOLDERS = 1024
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +32,9 @@ def calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each person's calendar written as a file of its own: what the files hold."""
     path = scratch_path(spark, "calendars")
     texts = T.calendar(plans._events(spark, sf_dir), "person", dt.datetime(2000, 6, 1, 12)).select(F.concat(F.col("person").cast("string"), F.lit(".ics")).alias("name"), "text")
-    B.write_texts(texts, path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ics").load(path)
-    return files.select(F.regexp_extract("path", "([0-9]+)[.]ics$", 1).cast("long").alias("person"), F.sha2("content", 256).alias("digest"))
+    B.write_texts(texts, path, FOLDERS)
+    files = B.read_texts(spark, path)
+    return files.select(F.regexp_extract("name", "([0-9]+)[.]ics$", 1).cast("long").alias("person"), F.sha2("content", 256).alias("digest"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +24,15 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, LongType, StringType, StructField, StructType
 
 MANIFEST = "manifest.json"
 #: Bytes of vectors that a task reads at most, and that it holds at once.
 RANGE_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
 #: Rows in a batch that a writer takes at once.
 BATCH_ROWS = 8192
+#: Folders of texts that a task reads.
+TASK_FOLDERS = 16
 
 
 class ArtifactFault(ValueError):
@@ -230,17 +233,18 @@ class Written(WriterCommitMessage):
 
 class TextWriter(DataSourceWriter):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path, self.folders = options["path"], int(options.get("folders", 0))
 
     def write(self, iterator: Iterator) -> Written:
         files, root = opened(self.path)
-        files.create_dir(root, recursive=True)
+        for folder in [f"{root}/{k}" for k in range(self.folders)] or [root]:
+            files.create_dir(folder, recursive=True)
         n = octets = 0
         for row in iterator:
             if row["name"] is None or not re.fullmatch(r"[\w-][\w.-]*", row["name"]):
                 raise ValueError("a name isn't fit for a file")
             data = (row["text"] or "").encode()
-            write_file(files, f"{root}/{row['name']}", data)
+            write_file(files, f"{root}/{zlib.crc32(row['name'].encode()) % self.folders}/{row['name']}" if self.folders else f"{root}/{row['name']}", data)
             n, octets = n + 1, octets + len(data)
         return Written(n, octets)
 
@@ -248,25 +252,78 @@ class TextWriter(DataSourceWriter):
         files, root = opened(self.path)
         files.create_dir(root, recursive=True)
         known = [m for m in messages if m is not None]
-        write_file(files, f"{root}/_SUCCESS", json.dumps({"files": sum(m.files for m in known), "octets": sum(m.octets for m in known)}).encode())
+        write_file(files, f"{root}/_SUCCESS", json.dumps({"files": sum(m.files for m in known), "octets": sum(m.octets for m in known)} | ({"folders": self.folders} if self.folders else {})).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         """What was written stays, as a later run writes the same; without _SUCCESS it doesn't count."""
 
 
+@dataclass
+class Folders(InputPartition):
+    """Folders ``start`` up to ``end``, exclusive."""
+
+    start: int
+    end: int
+
+
+class TextReader(DataSourceReader):
+    """Each task lists its own folders, so the names of all files are never in one place."""
+
+    def __init__(self, options: dict) -> None:
+        self.path = options["path"]
+        files, root = opened(self.path)
+        with files.open_input_stream(f"{root}/_SUCCESS") as f:
+            self.folders = json.loads(f.read()).get("folders", 0)
+        if not self.folders:
+            raise ValueError("the texts aren't in folders")
+
+    def partitions(self) -> list[Folders]:
+        return [Folders(k, min(self.folders, k + TASK_FOLDERS)) for k in range(0, self.folders, TASK_FOLDERS)]
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        files, root = opened(self.path)
+        for k in range(partition.start, partition.end):
+            names, contents, held = [], [], 0
+            for x in files.get_file_info(arrow_fs.FileSelector(f"{root}/{k}", allow_not_found=True)):
+                if re.search("[.][0-9a-f]{32}[.]tmp$", x.base_name):
+                    continue
+                with files.open_input_stream(x.path) as f:
+                    contents.append(f.read())
+                names.append(x.base_name)
+                held += len(contents[-1])
+                if held >= CHUNK_BYTES or len(names) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+                    names, contents, held = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+
+
 class Texts(DataSource):
-    """Option: path. Rows (name, text): a file each."""
+    """Options: path; to write also folders (none if unset). Rows (name, text): a file each; read: (name, content)."""
 
     @classmethod
     def name(cls) -> str:
         return "quill_texts"
 
+    def schema(self) -> StructType:
+        return StructType([StructField("name", StringType()), StructField("content", BinaryType())])
+
+    def reader(self, schema: StructType) -> TextReader:
+        return TextReader(dict(self.options))
+
     def writer(self, schema: StructType, overwrite: bool) -> TextWriter:
         return TextWriter(dict(self.options))
 
 
-def write_texts(texts: DataFrame, path: str) -> None:
+def write_texts(texts: DataFrame, path: str, folders: int = 0) -> None:
     """Writes each (name, text) as the file ``path``/name in UTF-8, line ends as they are, and _SUCCESS with their number once all are
-    there; a null text is an empty file."""
+    there; a null text is an empty file. With ``folders`` files are dealt into so many numbered folders by their names, which
+    read_texts reads side by side."""
     texts.sparkSession.dataSource.register(Texts)
-    texts.select("name", "text").write.format("quill_texts").option("path", path).mode("append").save()
+    texts.select("name", "text").write.format("quill_texts").option("path", path).option("folders", folders).mode("append").save()
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of all files that write_texts dealt into folders."""
+    spark.dataSource.register(Texts)
+    return spark.read.format("quill_texts").option("path", path).load()

@@ -115,3 +115,20 @@ def test_texts(spark, tmp_path):
         with pytest.raises(PySparkException, match="fit for a file"):
             B.write_texts(spark.createDataFrame([(name, "x")], "name string, text string"), str(tmp_path / "bad"))
     assert not (tmp_path / "bad" / "_SUCCESS").exists()
+
+
+def test_texts_in_folders(spark, tmp_path, monkeypatch):
+    """Files of several folders are all read, in any number of batches, without what a lost task left; flat ones and unfinished ones aren't."""
+    path = str(tmp_path / "dealt")
+    rows = [(f"{k}.ics", "é\r\n" * (k % 7)) for k in range(200)]
+    B.write_texts(spark.createDataFrame(rows, "name string, text string").repartition(3), path, 20)
+    B.write_texts(spark.createDataFrame(rows[:50], "name string, text string"), path, 20)  # once more: the same files
+    assert len([d for d in os.listdir(path) if os.path.isdir(f"{path}/{d}")]) == 20
+    with open(f"{path}/0/5.ics.{'0' * 32}.tmp", "wb") as f:
+        f.write(b"left behind")
+    out = B.read_texts(spark, path)
+    assert out.rdd.getNumPartitions() == 2
+    assert sorted((r["name"], bytes(r["content"]).decode()) for r in out.collect()) == sorted(rows)
+    B.write_texts(spark.createDataFrame(rows[:3], "name string, text string"), str(tmp_path / "flat"))
+    with pytest.raises(PySparkException, match="in folders"):
+        B.read_texts(spark, str(tmp_path / "flat")).collect()
