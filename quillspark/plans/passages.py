@@ -32,11 +32,23 @@ def list_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text, blocks) for the chunker: a line that is short is the section of what follows."""
-    head = F.when(F.length("text") < 40, F.col("text"))
-    rows = G.sections(_blocks(spark, sf_dir), "id", "ord", head)
-    listed = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "section", "page"))).alias("blocks"))
-    return listed.withColumn("text", T.canonical(F.array_join("blocks.text", "\n")))
+    """(id, text, blocks) for the chunker: a line that is short is the section of what follows. A line that ends with a hyphen is joined to
+    the next without it, in its block too, so that all blocks stand in the text. Documents stay rows: their numbered lines are cut before
+    each section, and the lines of a piece take the first of them along."""
+    # whether a text has blocks is told by the text: a condition on blocks would make them before documents are dealt out, once more
+    read = table(spark, sf_dir, "documents").where(F.col("text").rlike(f"[^{T.SPACES}{T.INVISIBLE}]"))
+    lines = spread(read).select(F.col("doc_id").alias("id"), F.transform(T.canonical_lines(F.col("text")), lambda x: F.trim(x)).alias("lines"))
+    numbered = F.transform("lines", lambda x, i: F.concat(F.when(F.length(x) < 40, C.CUT).otherwise(""), i.cast("string"), F.lit(" "), x))
+    pieces = F.split(F.array_join(F.filter(numbered, lambda x: ~x.endswith(" ")), "\n"), f"\n?{C.CUT}")
+    text = lambda x: F.substring(x, F.instr(x, " ") + 1, F.length(x))
+    parted = F.transform(F.filter(pieces, lambda x: x != ""), lambda x: F.struct(F.split(x, "\n").alias("lines"), text(F.substring_index(x, "\n", 1)).alias("head")))
+    headed = F.transform(parted, lambda p: p.withField("head", F.when(F.length(p["head"]) < 40, p["head"])))
+    line = lambda x, p: F.struct(F.substring_index(x, " ", 1).cast("int").alias("ord"), text(x).alias("text"), p["head"].alias("section"))
+    whole = lines.select("id", headed.alias("parts")).select("id", F.flatten(F.transform("parts", lambda p: F.transform(p["lines"], lambda x: line(x, p)))).alias("blocks"))
+    joined = F.replace(F.replace(F.array_join("blocks.text", "\n"), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
+    cut = lambda b, i: F.when((i < F.size("blocks") - 1) & b["text"].endswith("-"), F.left(b["text"], F.length(b["text"]) - 1)).otherwise(b["text"])
+    kept = F.transform("blocks", lambda b, i: F.struct(b["ord"].alias("ord"), cut(b, i).alias("text"), b["section"].alias("section"), (b["ord"] / 5 + 1).cast("int").alias("page")))
+    return whole.select("id", F.filter(kept, lambda b: b["text"] != "").alias("blocks"), joined.alias("text"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,15 +75,22 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "end", "found", F.length("prefix").alias("prefix"), F.length("suffix").alias("suffix"))
 
 
+#: Vowels in capitals with another accent each: without, acute; with any, none.
+_VOWELS = "AEIOUÁÉÍÓÚÀÂÄÈÊËÎÏÔÖÙÛÜ", "ÁÉÍÓÚAEIOUAAAEEEIIOOUUU"
+
+
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where passages of 96 words are found again in their documents' pages: from the page that is said to have them (for a third the
-    one after), with every vowel's accent and case changed."""
+    one after, if there is one), with every vowel's accent and case changed. Each passage has a row; one that isn't found has no page."""
     docs = staged(_documents(spark, sf_dir), "highlights-documents")
-    spans = C.passages(docs, 96).where("nth >= 0").join(docs.select("id", "text"), "id")
-    said = spans.select(F.concat_ws(":", "id", "nth").alias("key"), "id", (F.col("page") + (F.col("nth") % 3 == 2).cast("int")).alias("page"), F.upper(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("passage"))
-    pages = docs.select("id", F.inline("blocks")).groupBy("id", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text"))).getField("text"), " ").alias("t"))
-    held = pages.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).getField("t").alias("pages"))
-    return C.highlights(said, held).select("key", "page", "start", "end", F.round("coverage", 6).alias("coverage"))
+    step = lambda b, i: b["page"] - F.coalesce(F.get(F.col("blocks"), i - 1)["page"], F.lit(1))
+    pages = F.array_join(F.transform("blocks", lambda b, i: F.concat(F.when(step(b, i) > 0, F.repeat(F.lit(C.CUT), step(b, i))).when(i > 0, " ").otherwise(""), b["text"])), "")
+    held = docs.select("id", F.split(pages, C.CUT).alias("pages"))
+    last = docs.select("id", F.element_at("blocks", -1)["page"].alias("last"))
+    spans = C.passages(docs, 96, texts=True).join(last, "id")
+    said = F.least(F.col("page") + (F.col("nth") % 3 == 2).cast("int"), "last")
+    cited = spans.select(F.concat_ws(":", "id", "nth").alias("key"), "id", said.alias("page"), F.translate(F.upper("passage"), *_VOWELS).alias("passage"))
+    return C.highlights(cited, held).select("key", "page", "start", "end", F.round("coverage", 6).alias("coverage"))
 
 
 FURNITURE = (

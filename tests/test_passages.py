@@ -301,3 +301,58 @@ def test_lines_of_a_canonical_text(spark):
 def test_patterns_that_look_back_try_their_own_letters_alone():
     """Else each place of a text pays for the looking back."""
     assert C._SENTENCE.startswith("(?=[.!?])") and C.SHOWN[-1][0].startswith("(?=[yo])")
+
+
+def test_each_citation_has_a_row(spark):
+    """Those of unknown documents, pages that aren't there and passages that aren't found too; the others as one by one, however many
+    share the pages of a document."""
+    rng = random.Random(9)
+    pages = {d: [" ".join(rng.choices(("Straße", "Önologie", "office", "one", "two", "three", "cité"), k=rng.randrange(0, 60))) for _ in range(rng.randrange(1, 40))] for d in range(6)}
+    asked = [("none", 77, 1, "x"), ("null", 0, None, "x"), ("far", 1, 10**6, "x"), ("before", 1, -3, "x"), ("empty", 2, 1, None)]
+    for k in range(700):
+        d = rng.randrange(6) if k % 2 else 3
+        n = rng.randrange(1, len(pages[d]) + 1)
+        words = " ".join(pages[d][n - 1 : n + 1]).split(" ")
+        a = rng.randrange(len(words))
+        asked.append((f"k{k}", d, max(1, n - k % 3), " ".join(words[a : a + 30]).upper()))
+    cited = spark.createDataFrame(asked, "key string, id int, page int, passage string")
+    got = {}
+    for r in C.highlights(cited, spark.createDataFrame(list(pages.items()), "id int, pages array<string>")).collect():
+        got.setdefault(r["key"], []).append(tuple(r)[1:])
+    want = {key: C.located_in_pages(pages.get(d, []), page, passage or "") for key, d, page, passage in asked}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v or [(None,) * 4] for k, v in want.items()}
+    assert sum(bool(v) for v in want.values()) > 500
+
+
+def test_passages_are_found_in_other_letters():
+    """Capitals of ß are two letters: a passage in capitals stands where the one in its text does."""
+    text = "In der großen Straße heißt es, daß Fuß und Maß bloß Spaß machen."
+    assert C.located("vor " + text, text.upper()) == C.located("vor " + text, text) == (4, 4 + len(text) - 1, 1.0)
+
+
+def test_no_passage_is_left_out(spark, tmp_path):
+    """A page is cited that is there, pages without text count, and a line that ends with a hyphen doesn't leave out its document."""
+    texts = ["Der Fuß-\nball ist groß.\nUnd das Maß auch.", "one two three four five six\n" * 7, "first\n\n\n\n\n\n\n\n\n\n\nA line far below that is longer than forty letters.", " \n​", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = P.highlights(spark, str(tmp_path)).collect()
+    assert {r["key"].split(":")[0] for r in got} == {"0", "1", "2"} and all(r["page"] for r in got)
+    assert {r["page"] for r in got if r["key"] == "2:0"} == {1, 3} and {r["key"] for r in got} == {f"{r['id']}:{r['nth']}" for r in C.passages(P._documents(spark, str(tmp_path)), 96).collect()}
+
+
+def test_documents_stay_rows(spark, sf):
+    """Blocks and sections by looking at all lines of a text, without a shuffle of lines."""
+    from tests.test_spread import plan_of
+
+    lines = {r["id"]: r["l"] for r in spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), T.canonical_lines(F.col("text")).alias("l")).collect()}
+    made = P._documents(spark, sf)
+    for r in made.collect():
+        head, want = None, []
+        for k, x in enumerate(lines.pop(r["id"])):
+            x = x.strip(" ")
+            if x:
+                head = x if len(x) < 40 else head
+                want.append((k, x, head, k // 5 + 1))
+        assert [tuple(b) for b in r["blocks"]] == want and r["text"] == " ".join(x for _, x, _, _ in want)
+    assert not any(x.strip(" ") for got in lines.values() for x in got)
+    plan = plan_of(P._documents(spark, sf))
+    assert "hashpartitioning" not in plan and plan.count("ArrowEvalPython [nfc(") == 1
