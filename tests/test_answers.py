@@ -137,3 +137,32 @@ def test_selection_given_the_passage(spark):
 def test_expected_ids_fold_quotes(spark):
     p = spark.createDataFrame([(1, "s", "it’s  here"), (2, "s", "no")], "id int, source string, text string")
     assert [tuple(r) for r in S.expected_ids(spark.createDataFrame([(9, "s", "it's here")], "query int, source string, snippet string"), p).collect()] == [(9, 1)]
+
+
+def test_snippets_of_any_length_are_found_in_one_pass(spark):
+    """Of letters of one to four bytes, at a text's ends and over and over, copies too; the driver sees numbers, not snippets."""
+    from quillspark.operators import containment as N
+
+    rng = random.Random(3)
+    signs = "ab é€\U0001f600"
+    texts = [(i, "st"[i % 2], "".join(rng.choices(signs[: 2 + i % 5], k=rng.randrange(0, 120)))) for i in range(120)] + [(500, "s", "a" * 300), (501, "t", "a" * 300)]
+    snippets = [(0, "s", "a" * 299), (1, "s", "a" * 301), (2, "t", "a")]
+    for k in range(3, 200):
+        _, source, text = rng.choice(texts)
+        a = rng.randrange(len(text) + 1)
+        piece = text[a : a + rng.choice((1, 2, 3, 7, 8, 15, 16, 17, 40))]
+        snippets.append((k, rng.choice((source, "t")), piece if k % 4 else piece + "b"))
+    want = {(k, i) for k, s, x in snippets for i, u, t in texts if s == u and x in t}
+    t, q = spark.createDataFrame(texts, "id int, source string, text string").repartition(3), spark.createDataFrame(snippets, "key int, source string, snippet string")
+    got = [(r["key"], r["id"]) for r in containing(t, q).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert N.BLOCK_BYTES // N.NUMBERS >= 1_000_000
+
+
+def test_expected_ids_fold_texts_once(spark, sf):
+    """No condition makes the folded texts before documents are dealt out, once more."""
+    from quillspark.plans import catalog
+    from tests.test_spread import plan_of
+
+    plan = plan_of(catalog.QUERIES["sources_expected"](spark, sf))
+    assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython [nfc(") == 1
